@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from heapq import nlargest
 from itertools import chain, combinations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,7 @@ from .common import bounded_batches, slices, stored
 
 SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]+){3,}\S(?!\S)")
 DIMS = 1 << 18
+NONE = -1.0  # the margin of a text without words: an ordinary word
 LONGEST = 24  # letters of a window; a longer word gives several that overlap by half
 
 
@@ -22,7 +26,8 @@ class Kernel:
     """The gap-weighted subsequence kernel of strings, through its feature map.
 
     A feature is a subsequence of `letters` letters within `span` places; each occurrence counts decay to the power of
-    the letters it skips. Inserted letters and gaps so cost a factor, not the match. Values are normalised.
+    the letters it skips. Inserted letters and gaps so cost a factor, not the match. A string's features are divided by
+    the root of its squared occurrence weights, so that length doesn't count.
     """
 
     def __init__(self, letters: int = 4, span: int = 6, decay: float = 0.5):
@@ -49,10 +54,10 @@ class Kernel:
         norm = np.sqrt(np.bincount(who, w * w, len(words)))
         return who, what, w / np.maximum(norm, 1e-12)[who]
 
-    def project(self, words: list[str], onto: np.ndarray) -> np.ndarray:
-        """The products of the words' feature vectors with a vector."""
+    def project(self, words: list[str], machines: list[tuple[np.ndarray, float]]) -> list[np.ndarray]:
+        """The words' margins by each machine: a vector in feature space and a bias."""
         who, what, w = self.features(words)
-        return np.bincount(who, onto[what] * w, len(words))
+        return [np.bincount(who, onto[what] * w, len(words)) + bias for onto, bias in machines]
 
     def gram(self, words: list[str], landmarks: list[str]) -> np.ndarray:
         """Kernel values of words with landmarks."""
@@ -104,18 +109,17 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 60) -> t
     return w[:-1], float(w[-1])
 
 
-def logistic(z: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]:
-    """a, b of 1 / (1 + exp(-(a z + b))), by Newton steps with a light penalty on a."""
-    a, b = 1.0, 0.0
+def logistic(z: np.ndarray, y: np.ndarray, steps: int = 200) -> np.ndarray:
+    """Weights of the columns of z (or of z alone) and of 1 in the log odds of y, by Newton steps with a light penalty."""
+    d = np.hstack([z.reshape(len(z), -1), np.ones((len(z), 1))])
+    w, least = np.zeros(d.shape[1]), np.diag([1e-2] * (d.shape[1] - 1) + [1e-6])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        r, g = p * (1 - p) + 1e-6, p - y
-        h = np.array([[(r * z * z).sum() + 1e-2, (r * z).sum()], [(r * z).sum(), r.sum()]])
-        d = np.linalg.solve(h, [(g * z).sum() + 1e-2 * a, g.sum()])
-        a, b = a - d[0], b - d[1]
-        if abs(d).max() < 1e-6:
+        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+        move = np.linalg.solve(d.T @ (d * (p * (1 - p) + 1e-6)[:, None]) + least, d.T @ (p - y) + least @ w)
+        w -= move * min(1.0, 5 / max(1e-9, np.abs(move).max()))
+        if np.abs(move).max() < 1e-6:
             break
-    return float(a), float(b)
+    return w
 
 
 def _held(doc_id: str = "doc_id"):
@@ -123,15 +127,17 @@ def _held(doc_id: str = "doc_id"):
 
 
 def _margins(rows: DataFrame, model, schema: str, keep: list[str], cache_words: int = 400_000) -> DataFrame:
-    """The largest margin over a text's windows, beside the columns to keep."""
+    """z, beside the columns to keep: the largest strong margin of a text's tokens, and the three largest weak ones of
+    different tokens. A token has the largest margins of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, (onto, bias) = Kernel(), model.value
-        known: dict[str, float] = {}
+        kernel, machines = Kernel(), model.value
+        none = (NONE,) * 2
+        known: dict[str, tuple[float, float]] = {}
         for b in batches:
             texts, out = [t or "" for t in b.column("text").to_pylist()], []
             for i, j in slices(texts, 1_000_000):
-                split = [tokens(t) for t in texts[i:j]]
+                split = [set(tokens(t)) for t in texts[i:j]]
                 missing = list(set(chain.from_iterable(split)).difference(known))
                 if len(known) + len(missing) > cache_words:
                     known.clear()
@@ -140,60 +146,108 @@ def _margins(rows: DataFrame, model, schema: str, keep: list[str], cache_words:
                     part = missing[k : k + 4000]
                     parts = [windows(t) for t in part]
                     flat = list(chain.from_iterable(parts))
-                    z = iter(kernel.project(flat, onto) + bias) if flat else iter(())
-                    known.update((t, max((float(next(z)) for _ in w), default=-1.0)) for t, w in zip(part, parts, strict=True))
-                out += [max(map(known.__getitem__, t), default=-1.0) for t in split]
-            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(out, pa.float64())], names=[*keep, "z"])
+                    z = iter(zip(*kernel.project(flat, machines), strict=True)) if flat else iter(())
+                    for t, w in zip(part, parts, strict=True):
+                        own = [next(z) for _ in w]
+                        known[t] = (max(x for x, _ in own), max(x for _, x in own)) if own else none
+                for t in split:
+                    strong, weak = zip(*map(known.__getitem__, t), strict=True) if t else ((NONE,), (NONE,))
+                    out.append([max(strong), *nlargest(3, chain(weak, (NONE,) * 3))])
+            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(np.clip(out, -2, 2).tolist(), pa.list_(pa.float64()))], names=[*keep, "z"])
 
     return rows.select(*keep, "text").mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, landmarks: int = 256, max_words: int = 3000):
-    """(vector in feature space, bias, calibration a, b), from at most max_docs labelled documents that aren't held out.
+def varied(word: str) -> list[str]:
+    """A word with one letter put in, at each inner place."""
+    letters = "xeaqio"
+    return [word[:i] + letters[(i + len(word)) % len(letters)] + word[i:] for i in range(1, len(word))] if len(word) > 4 else []
 
-    A sentence of a document labelled 0 is negative. One of a document labelled 1 is positive if it holds a word that
-    documents labelled 0 (almost) never hold: such a word is its window, as a word is of a negative sentence. The
-    machine separates those windows, at most max_words of either kind, by their kernel values with the landmarks
-    (Nyström); a sentence, and a document, has the largest margin of its windows.
+
+def fit(kernel: Kernel, bad: list[str], good: list[str], landmarks: int) -> tuple[np.ndarray, float]:
+    """The separating vector in feature space and its bias: Nystrom features of the windows by landmarks of both kinds."""
+    of_bad = min(len(bad), landmarks // 2)
+    marks = list(dict.fromkeys(bad[:of_bad] + good[-(landmarks - of_bad) :]))
+    value, vector = np.linalg.eigh(kernel.gram(marks, marks))
+    root = vector[:, value > 1e-8] / np.sqrt(value[value > 1e-8])
+    more = list(dict.fromkeys(v for w in bad[:100] for v in varied(w)))
+    every, y = [*bad, *more, *good], np.array([1.0] * (len(bad) + len(more)) + [-1.0] * len(good))
+    w, bias = svm(kernel.gram(every, marks) @ root, y, np.array([30.0] * len(bad) + [1.0] * len(more) + [10.0] * len(good)))
+    who, what, v = kernel.features(marks)
+    onto = np.zeros(DIMS)
+    np.add.at(onto, what, (root @ w)[who] * v)
+    return onto, bias
+
+
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, landmarks: int = 384, max_words: int = 3000, rounds: int = 3):
+    """(machines, weights), from at most max_docs labelled documents that aren't held out.
+
+    A sentence of a document labelled 0 is negative, with each of its windows. One of a document labelled 1 is positive
+    if it has a window that such documents hold far more often, in so many of them and after so many different words
+    that chance is ruled out (neither copies of a document nor its repetitions add to both), or one that begins like
+    that; the window stands for it. The strong machine takes windows that (almost) only toxic documents hold as
+    positive, the weak one all that they hold unduly often. Each separates at most max_words windows of either kind by
+    their kernel values with the landmarks (Nystrom); in each round the negative windows nearest to the positive side,
+    over the whole sample, join the others. A document's odds are logistic in its margins (see _margins): one strong
+    window, or several weak ones, are toxic.
     """
     spark = docs.sparkSession
     given = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    given = given.filter(~_held()).orderBy(F.xxhash64("doc_id")).limit(max_docs).selectExpr("doc_id label_id", "toxic")
+    given = given.filter(~_held()).orderBy(F.xxhash64("doc_id")).limit(max_docs).selectExpr("doc_id label_id", "int(toxic = 1) toxic")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(rows.join(F.broadcast(given), F.col("doc_id") == F.col("label_id")).select("toxic", "text"), "labelled")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for y, t in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
-                own = list({w for x in set((t or "").split()) for w in windows(x)})
-                yield pa.record_batch([pa.array(own, pa.string()), pa.array([int(y == 1)] * len(own), pa.int64())], names=["word", "y"])
-
-    seen = stored(rows.mapInArrow(words, "word string, y long").groupBy("word").agg(F.sum("y").alias("pos"), F.count("*").alias("n")), "windows")
-    docs_of = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not docs_of[1] or docs_of[1] == docs_of[0]:
-        return np.zeros(DIMS), -1.0, 1.0, 0.0 if not docs_of[1] else 9.0
-    share = docs_of[1] / docs_of[0]
-    bad = [r.word for r in seen.filter((F.col("pos") >= 3) & (F.col("pos") >= 0.9 * F.col("n"))).orderBy(F.desc("pos"), "word").limit(max_words).collect()]
-    fair = seen.filter(F.col("pos") <= F.col("n") * min(0.5, 1.5 * share))
-    good = [r.word for r in fair.orderBy(F.desc("n"), "word").limit(max_words // 2).collect()]
-    good += [r.word for r in fair.orderBy(F.xxhash64("word")).limit(max_words // 2).collect()]
-    good = list(dict.fromkeys(good))
-    if not bad or not good:
-        return np.zeros(DIMS), -1.0, 1.0, float(np.log(share / (1 - share)) + 1)
-    kernel = Kernel()
-    marks = bad[: landmarks // 2] + good[:: max(1, len(good) // (landmarks - min(len(bad), landmarks // 2)))][: landmarks // 2]
-    value, vector = np.linalg.eigh(kernel.gram(marks, marks))
-    root = vector[:, value > 1e-8] / np.sqrt(value[value > 1e-8])
-    every, y = bad + good, np.array([1.0] * len(bad) + [-1.0] * len(good))
-    x = kernel.gram(every, marks) @ root
-    w, bias = svm(x, y, np.where(y > 0, 10.0 * max(1.0, len(good) / len(bad) / 4), 10.0))
-    who, what, v = kernel.features(marks)
-    onto = np.zeros(DIMS)
-    np.add.at(onto, what, (root @ w)[who] * v)
-    z = _margins(rows.selectExpr("cast(toxic as long) toxic", "text"), spark.sparkContext.broadcast((onto, bias)), "toxic long, z double", ["toxic"])
-    z = z.toArrow()
-    a, b = logistic(z.column("z").to_numpy(), z.column("toxic").to_numpy().astype(float))
-    return onto, bias, a, b
+                split = (t or "").split()
+                own = {(w, crc32(p.encode("utf-8", "replace"))) for p, x in set(zip(["", *split], split, strict=False)) for w in windows(x)}
+                own = [*own, *{(f"{w[:k]}*", c) for w, c in own for k in range(4, min(7, len(w)))}]
+                first = {w: k for k, (w, _) in enumerate(own)}
+                once = pa.array([int(first[w] == k) for k, (w, _) in enumerate(own)], pa.int32())
+                yield pa.record_batch([pa.array([w for w, _ in own], pa.string()), pa.array([c for _, c in own], pa.int64()), pa.array([y] * len(own), pa.int32()), once], names=["word", "after", "y", "once"])
+
+    met = rows.mapInArrow(words, "word string, after long, y int, once int").groupBy("word", "after")
+    met = met.agg(F.max("y").alias("y"), F.min("y").alias("least"), F.sum(F.col("once") * F.col("y")).alias("docs"))
+    both = stored(met.groupBy("word").agg(F.least(F.sum("y"), F.sum("docs")).alias("pos"), F.sum(F.lit(1) - F.col("least")).alias("neg")), "windows")
+    seen = both.filter("not endswith(word, '*')")
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not toxic or toxic == n:
+        return [], np.array([0.0] * 4 + [9.0 if toxic else -8.0])
+    share = toxic / n
+    need = (math.log10(both.count() + 1) + 1) / -math.log10(share)
+    total = F.col("pos") + F.col("neg")
+    fair = seen.filter((F.col("pos") <= 1.5 * share * total) | ((F.col("pos") <= 0.2 * total) & (total > 4)))
+    start = [r.word for r in fair.orderBy(F.desc(total), "word").limit(max_words // 2).collect()]
+    start += [r.word for r in fair.orderBy(F.xxhash64("word")).limit(max_words // 2).collect()]
+    kernel, machines = Kernel(), []
+    for purity in (0.98, max(0.4, min(0.9, 3 * share))):
+        top = both.filter((F.col("pos") >= need) & (F.col("pos") >= purity * total))
+        stems = top.filter("endswith(word, '*')").orderBy(F.desc("pos"), "word").limit(max_words).select(F.expr("trim(TRAILING '*' FROM word)").alias("stem"))
+        begun = seen.filter(F.col("pos") >= purity * total).select("word", "pos", F.explode(F.expr("transform(sequence(4, 6), k -> left(word, k))")).alias("stem")).join(F.broadcast(stems), "stem", "left_semi")
+        found = top.filter("not endswith(word, '*')").select("word", "pos").unionByName(begun.select("word", "pos")).distinct()
+        bad = [r.word for r in found.orderBy(F.desc("pos"), "word").limit(max_words).collect()]
+        good = [w for w in dict.fromkeys(start) if w not in set(bad)]
+        if not bad or not good:
+            machines.append((np.zeros(DIMS), NONE))
+            continue
+        for turn in range(rounds + 1):
+            machine = fit(kernel, bad, good, landmarks)
+            if turn == rounds:
+                break
+            model = spark.sparkContext.broadcast([machine])
+
+            def margins(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+                own = Kernel()
+                for b in batches:
+                    z = own.project(b.column("word").to_pylist(), model.value)[0] if b.num_rows else np.zeros(0)
+                    yield pa.record_batch([b.column("word"), pa.array(z)], names=["word", "z"])
+
+            hard = [r.word for r in fair.select("word").mapInArrow(margins, "word string, z double").orderBy(F.desc("z"), "word").limit(max_words // 2).collect()]
+            good = list(dict.fromkeys([*(w for w in good if w not in set(hard)), *(w for w in reversed(hard) if w not in set(bad))]))
+        machines.append(machine)
+    z = _margins(rows.selectExpr("cast(toxic as long) toxic", "text"), spark.sparkContext.broadcast(machines), "toxic long, z array<double>", ["toxic"]).toArrow()
+    return machines, logistic(np.array(z.column("z").to_pylist()), z.column("toxic").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, labels: DataFrame, max_docs: int = 8000) -> DataFrame:
@@ -205,8 +259,11 @@ def score(docs: DataFrame, labels: DataFrame, max_docs: int = 8000) -> DataFrame
     Null labels are left out, of repeated ones the larger holds, other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    onto, bias, a, b = train(docs, labels, max_docs)
+    machines, w = train(docs, labels, max_docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _held().alias("held_out"))
-    z = _margins(rows, docs.sparkSession.sparkContext.broadcast((onto, bias)), "doc_id long, held_out boolean, z double", ["doc_id", "held_out"])
-    p = 1 / (1 + F.exp(-(F.col("z") * a + b)))
-    return z.select("doc_id", "held_out", p.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    if not machines:
+        p = F.lit(1 / (1 + math.exp(-w[-1])))
+        return rows.select("doc_id", "held_out", p.alias("score"), (p >= 0.5).cast("int").alias("predicted"))
+    z = _margins(rows, docs.sparkSession.sparkContext.broadcast(machines), "doc_id long, held_out boolean, z array<double>", ["doc_id", "held_out"])
+    odds = sum((F.col("z")[k] * float(x) for k, x in enumerate(w[:-1])), F.lit(float(w[-1])))
+    return z.select("doc_id", "held_out", (1 / (1 + F.exp(-odds))).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
