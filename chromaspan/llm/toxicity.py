@@ -127,8 +127,8 @@ def _held(doc_id: str = "doc_id"):
 
 
 def _margins(rows: DataFrame, model, schema: str, keep: list[str], cache_words: int = 400_000) -> DataFrame:
-    """z, beside the columns to keep: the largest strong margin of a text's tokens, and the three largest weak ones of
-    different tokens. A token has the largest margins of its windows."""
+    """z, beside the columns to keep: the largest strong margin of a text's tokens, and the second and third largest weak
+    ones of different tokens, each from 0 to 1.5. A token has the largest margins of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel, machines = Kernel(), model.value
@@ -152,8 +152,8 @@ def _margins(rows: DataFrame, model, schema: str, keep: list[str], cache_words:
                         known[t] = (max(x for x, _ in own), max(x for _, x in own)) if own else none
                 for t in split:
                     strong, weak = zip(*map(known.__getitem__, t), strict=True) if t else ((NONE,), (NONE,))
-                    out.append([max(strong), *nlargest(3, chain(weak, (NONE,) * 3))])
-            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(np.clip(out, -2, 2).tolist(), pa.list_(pa.float64()))], names=[*keep, "z"])
+                    out.append([max(strong), *nlargest(3, chain(weak, (NONE,) * 3))[1:]])
+            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(np.clip(out, 0, 1.5).tolist(), pa.list_(pa.float64()))], names=[*keep, "z"])
 
     return rows.select(*keep, "text").mapInArrow(run, schema)
 
@@ -184,9 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, landmarks: i
 
     A sentence of a document labelled 0 is negative, with each of its windows. One of a document labelled 1 is positive
     if it has a window that such documents hold far more often, in so many of them and after so many different words
-    that chance is ruled out (neither copies of a document nor its repetitions add to both), or one that begins like
-    that; the window stands for it. The strong machine takes windows that (almost) only toxic documents hold as
-    positive, the weak one all that they hold unduly often. Each separates at most max_words windows of either kind by
+    that chance is ruled out (neither copies of a document nor its repetitions add to both); the window stands for it.
+    The strong machine takes windows that (almost) only toxic documents hold as positive, the weak one all that they
+    hold unduly often or that begin like one. Each separates at most max_words windows of either kind by
     their kernel values with the landmarks (Nystrom); in each round the negative windows nearest to the positive side,
     over the whole sample, join the others. A document's odds are logistic in its margins (see _margins): one strong
     window, or several weak ones, are toxic.
@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, landmarks: i
     seen = both.filter("not endswith(word, '*')")
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == n:
-        return [], np.array([0.0] * 4 + [9.0 if toxic else -8.0])
+        return [], np.array([0.0] * 3 + [9.0 if toxic else -8.0])
     share = toxic / n
     need = (math.log10(both.count() + 1) + 1) / -math.log10(share)
     total = F.col("pos") + F.col("neg")
@@ -225,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, landmarks: i
         top = both.filter((F.col("pos") >= need) & (F.col("pos") >= purity * total))
         stems = top.filter("endswith(word, '*')").orderBy(F.desc("pos"), "word").limit(max_words).select(F.expr("trim(TRAILING '*' FROM word)").alias("stem"))
         begun = seen.filter(F.col("pos") >= purity * total).select("word", "pos", F.explode(F.expr("transform(sequence(4, 6), k -> left(word, k))")).alias("stem")).join(F.broadcast(stems), "stem", "left_semi")
-        found = top.filter("not endswith(word, '*')").select("word", "pos").unionByName(begun.select("word", "pos")).distinct()
+        found = top.filter("not endswith(word, '*')").select("word", "pos")
+        found = found.unionByName(begun.select("word", "pos")).distinct() if machines else found
         bad = [r.word for r in found.orderBy(F.desc("pos"), "word").limit(max_words).collect()]
         good = [w for w in dict.fromkeys(start) if w not in set(bad)]
         if not bad or not good:
