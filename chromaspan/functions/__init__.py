@@ -1 +1 @@
-"""functions of the engine."""
+"""Column expressions."""

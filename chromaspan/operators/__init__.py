@@ -1 +1 @@
-"""operators of the engine."""
+"""Operators."""

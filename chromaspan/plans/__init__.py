@@ -1 +1 @@
-"""plans of the engine."""
+"""Queries over the test tables."""

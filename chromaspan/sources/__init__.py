@@ -1 +1 @@
-"""sources of the engine."""
+"""Readers and writers."""

@@ -1 +1 @@
-"""streaming of the engine."""
+"""Streams."""
