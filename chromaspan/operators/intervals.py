@@ -33,20 +33,22 @@ def _binned(df: DataFrame, start: str, end: str, width: int, levels: int, own: b
     return out.withColumn("_bin", F.explode(F.expr(f"sequence({start} div _w, {end} div _w)")))
 
 
-def overlap_join(q: DataFrame, r: DataFrame, q_cols: tuple[str, str, str], r_cols: tuple[str, str, str], condition: Column | None = None, bin_width: int = BIN, levels: int = 4) -> DataFrame:
+def overlap_join(q: DataFrame, r: DataFrame, q_cols: tuple[str, str, str], r_cols: tuple[str, str, str], condition: Column | None = None, bin_width: int = BIN, levels: int = 4, how: str = "inner") -> DataFrame:
     """All pairs of rows of q and r that overlap on the same chromosome (and meet the condition).
 
     cols: the names of chromosome, start and end; the two sides share no other column names. A row of r stands in the
     level of bins that suits its length, in a few bins there; q is dealt to every level, so long rows of q cost bins.
+    how="left_semi" gives the rows of q that have a pair, once for each bin and level where they have one.
     """
     (qc, qs, qe), (rc, rs, re) = q_cols, r_cols
     a = _binned(q, qs, qe, bin_width, levels, own=False)
     b = _binned(r, rs, re, bin_width, levels, own=True).withColumnsRenamed({"_level": "_rlevel", "_w": "_rw", "_bin": "_rbin"})
     on = (F.col(qc) == F.col(rc)) & (F.col("_level") == F.col("_rlevel")) & (F.col("_bin") == F.col("_rbin")) & overlaps(F.col(qs), F.col(qe), F.col(rs), F.col(re))
-    on &= F.col("_bin") == F.expr(f"greatest({qs}, {rs}) div _w")
+    if how == "inner":
+        on &= F.col("_bin") == F.expr(f"greatest({qs}, {rs}) div _w")
     if condition is not None:
         on &= condition
-    return a.join(b, on).drop("_level", "_w", "_bin", "_rlevel", "_rw", "_rbin")
+    return a.join(b, on, how).drop("_level", "_w", "_bin", "_rlevel", "_rw", "_rbin")
 
 
 def exists_filter(q: DataFrame, r: DataFrame, kind: str = "dice", threshold: float = 0.5, inverse: bool = False, aberrant: tuple[float, float] | None = None, optimize: bool = True, q_cols=("chrom", "seg_start", "seg_end"), r_cols=("chrom", "seg_start", "seg_end"), bin_width: int = BIN) -> DataFrame:
@@ -62,7 +64,7 @@ def exists_filter(q: DataFrame, r: DataFrame, kind: str = "dice", threshold: flo
         met = start_bounds(kind, threshold, *cols) & met
     asked = q if aberrant is None else q.filter(is_aberrant(F.col("state"), *aberrant))
     keys = asked.select(*q_cols).distinct()
-    hit = overlap_join(keys, ref, q_cols, ("_r0", "_r1", "_r2"), met, bin_width).select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(q_cols))).distinct()
+    hit = overlap_join(keys, ref, q_cols, ("_r0", "_r1", "_r2"), met, bin_width, how="left_semi").select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(q_cols))).distinct()
     same = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_k{k}") for k, c in enumerate(q_cols)))
     out = asked.join(hit, same, "left_semi" if inverse else "left_anti")
     if aberrant is not None and not inverse:
