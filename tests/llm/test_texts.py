@@ -41,6 +41,17 @@ def test_token_counts(which, request):
     same(token_count.count_tokens(df, WORD, frequent=5, cache_words=10).collect(), want)
 
 
+def test_frequent_words(docs, nothing):
+    from collections import Counter
+
+    seen = Counter(w for _, x in texts(docs) for w in x.encode().split())
+    least = seen.most_common(200)[-1][1]
+    got = token_count.frequent_words(docs.repartition(5), 200)
+    assert len(got) == 200 and {w for w, n in seen.items() if n > 2 * least} <= set(got)
+    assert token_count.frequent_words(docs, 10**6, groups=(2,)) and set(token_count.frequent_words(docs, 10**6)) == set(seen)
+    assert token_count.frequent_words(nothing, 10) == []
+
+
 @pytest.mark.parametrize("which", ["docs", "oddities", "nothing"])
 def test_bpe(which, request):
     df = request.getfixturevalue(which)
@@ -224,7 +235,8 @@ def test_components(spark):
     import random
 
     r = random.Random(8)
-    pairs = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
+    hubs = [(1000, 1000 + k) for k in range(1, 250)] + [(2500, 2000 + k) for k in range(250)] + [(2500, 1003)]  # at the smallest and at the largest id
+    pairs = hubs + [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
     least = {x: x for p in pairs for x in p}
     for _ in range(60):
         for a, b in pairs:
