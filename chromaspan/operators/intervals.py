@@ -82,12 +82,28 @@ def stab(points: DataFrame, segments: DataFrame, cols=("chrom", "seg_start", "se
     return overlap_join(points.withColumn("_end", F.col("pos")), segments, ("p_chrom", "pos", "_end"), cols, bin_width=bin_width).drop("_end")
 
 
-def predecessor(points: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+def running_count(df: DataFrame, keys: list[str], position: str, order: list[str], one: Column, bin_width: int = BIN) -> DataFrame:
+    """df with _n: the sum of `one` over the rows of the same keys up to each, by position and order.
+
+    Rows are counted within bins along the position, and what lies before a bin is added from the bins' sums; so only
+    those sums, and no whole chromosome, meet in one task.
+    """
+    in_bin = Window.partitionBy(*keys, "_bin").orderBy(position, *order).rowsBetween(Window.unboundedPreceding, 0)
+    d = df.withColumn("_bin", F.expr(f"{position} div {bin_width}")).withColumn("_one", one)
+    sums = d.groupBy(*keys, "_bin").agg(F.sum("_one").alias("_sum"))
+    earlier = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate((*keys, "_bin"))), earlier.alias("_earlier"))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate((*keys, "_bin"))))
+    out = d.withColumn("_n", F.sum("_one").over(in_bin)).join(sums, same)
+    return out.select(*df.columns, (F.col("_n") + F.col("_earlier")).cast("long").alias("_n"))
+
+
+def predecessor(points: DataFrame, starts: DataFrame, keys: list[str], bin_width: int = BIN) -> DataFrame:
     """points with ordinal: how many distinct starts (keys, start) come before the last one that is at pos or before it
-    (0 where none is). One sort by key and position, no pairs."""
+    (0 where none is). Sorted in bins along the chromosome, no pairs."""
     both = points.withColumns({"_p": F.col("pos"), "_of": F.lit(1)}).unionByName(starts.select(*keys, F.col("start").alias("_p")).distinct().withColumn("_of", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_p", "_of").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("ordinal", F.greatest(F.sum(1 - F.col("_of")).over(w) - 1, F.lit(0)).cast("long")).filter("_of = 1").drop("_p", "_of")
+    counted = running_count(both, keys, "_p", ["_of"], 1 - F.col("_of"), bin_width)
+    return counted.filter("_of = 1").withColumn("ordinal", F.greatest(F.col("_n") - 1, F.lit(0)).cast("long")).drop("_p", "_of", "_n")
 
 
 def validated(df: DataFrame, start: str = "seg_start", end: str = "seg_end") -> DataFrame:

@@ -85,3 +85,13 @@ def summarize(segments: DataFrame, direction: int, cutoff: float, positions: Dat
     hit = stab(points.withColumnRenamed("chrom", "p_chrom"), segments).groupBy(F.col("p_chrom").alias("chrom"), "pos")
     got = hit.agg((F.sum(F.when(passes, F.exp(x)).otherwise(0.0)) / F.count("*")).alias("value"))
     return points.join(got, ["chrom", "pos"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def best_split(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """(keys, split_stat): how far apart the best cut in two sets the means, with two values at least on either side;
+    0 for fewer than four values."""
+    by, up_to = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = df.select(*keys, *order, (F.col(value) - F.avg(value).over(by)).alias("_x"), F.count(value).over(by).alias("_n"))
+    d = d.select(*keys, "_n", F.sum("_x").over(up_to).alias("_s"), F.count("_x").over(up_to).alias("_i"))
+    inner = F.when(F.col("_i").between(2, F.col("_n") - 2), F.col("_n") * F.col("_s") * F.col("_s") / (F.col("_i") * (F.col("_n") - F.col("_i"))))
+    return d.groupBy(*keys).agg(F.sqrt(F.coalesce(F.max(inner), F.lit(0.0))).alias("split_stat"))

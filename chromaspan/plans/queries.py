@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import coords, overlap, predicates
+from ..functions import alleles, coords, predicates
 from ..operators import cbs, genes, intervals, merge, stats
 from ..sources import files
 from .views import spark_view, with_views
@@ -638,6 +638,129 @@ def _(v):
     return files.raw_matrix(v.raw.drop("value").withColumnRenamed("cn", "value"), SAMPLES[:10])
 
 
+@query("k2_allele_matrix", f"SELECT marker, chrom, pos, {', '.join(f'max(cn % 2) FILTER (WHERE sample = {s!r}) AS {s}_a, max(cn) FILTER (WHERE sample = {s!r}) AS {s}_b' for s in SAMPLES[:10])} FROM v_raw GROUP BY marker, chrom, pos")
+def _(v):
+    wide = files.raw_matrix(v.raw.withColumn("value", alleles.pair(F.col("cn") % 2, F.col("cn"))), SAMPLES[:10])
+    return wide.select("marker", "chrom", "pos", *(F.col(f"`{s}.{x.upper()}`").alias(f"{s}_{x}") for s in SAMPLES[:10] for x in "ab"))
+
+
+@query("k5_unnamed_markers", "SELECT DISTINCT concat(CAST(chrom AS VARCHAR), ':', CAST(pos AS VARCHAR)) AS marker, chrom, pos FROM v_raw")
+def _(v):
+    path = v.folder("markers")
+    files.write_markers(v.raw.select("marker", "chrom", "pos").distinct(), path, named=False)
+    return files.read_markers(v.spark, path).select("marker", "chrom", "pos")
+
+
+@query("k7_matrix_files", SCORED_SQL.strip() + f", {PAIR}, s AS (SELECT gene, sample, {EXTREME} AS score FROM pair GROUP BY gene, sample) SELECT gene, {PIVOT} FROM s GROUP BY gene")
+def _(v):
+    path = v.folder("genes.mat")
+    files.write_matrix(genes.matrix(genes.gene_scores(with_exons(v.gene), scored(v), relaxed=True), "gene", SAMPLES), "gene", path)
+    back = v.spark.read.schema(", ".join(["gene string", *(f"{s} int" for s in SAMPLES)])).option("sep", "\t").option("header", True).csv(path)
+    return back.select("gene", *SAMPLES)
+
+
+@query("k8_gene_list_files", """SELECT concat('R', CAST(region_id AS VARCHAR)) AS region, count(DISTINCT gene) AS n, coalesce(string_agg(DISTINCT gene, ',' ORDER BY gene), '') AS genes
+    FROM v_region LEFT JOIN v_gene ON r_chrom = g_chrom AND region_start <= tx_end AND tx_start <= region_end GROUP BY region_id""")
+def _(v):
+    path = v.folder("regions.genes")
+    listed = genes.genes_of(v.region, v.gene, ["region_id"], ("r_chrom", "region_start", "region_end"))
+    files.write_gene_lists(listed.withColumn("region", F.concat(F.lit("R"), F.col("region_id").cast("string"))), "region", path)
+    back = v.spark.read.schema("region string, n long, genes string").option("sep", "\t").option("header", True).csv(path)
+    return back.select("region", "n", F.coalesce("genes", F.lit("")).alias("genes"))
+
+
+@query("s13_cytoband_files", "SELECT CAST(g_chrom AS VARCHAR) AS chrom, tx_start AS band_start, tx_end AS band_end, concat('p', CAST(p_size AS VARCHAR)) AS band FROM v_gene")
+def _(v):
+    path = v.folder("bands")
+    lines = F.concat_ws("\t", F.concat(F.lit("chr"), F.col("g_chrom").cast("string")), "tx_start", "tx_end", F.concat(F.lit("p"), F.col("p_size").cast("string")), F.lit("gneg"))
+    v.gene.select(lines).write.text(path)
+    return files.read_cytobands(v.spark, path).select("chrom", "band_start", "band_end", "band")
+
+
+@query("s15_lesion_files", """SELECT concat('peak', CAST(p_partkey AS VARCHAR)) AS region, sample, CAST(CASE WHEN p_partkey % 3 = 2 THEN 0 WHEN p_partkey % 3 = 0 THEN 1 ELSE -1 END * CASE WHEN p_size > t THEN 1 ELSE 0 END AS INT) AS state
+    FROM part CROSS JOIN (VALUES ('A', 10), ('B', 30)) x(sample, t)""")
+def _(v):
+    path = v.folder("lesions.txt")
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, "Amplification Peak").when(k % 3 == 1, "Deletion Peak").otherwise("other")
+    called = [(F.col("p_size") > t).cast("int").alias(s) for s, t in (("A", 10), ("B", 30))]
+    table = v.table("part").select(name.alias("name"), F.lit("d").alias("descriptor"), F.concat(F.lit("peak"), k.cast("string")).alias("wide"), *(F.lit("x").alias(f"f{i}") for i in range(8)), *called)
+    table.write.option("sep", "\t").option("header", True).csv(path)
+    return files.read_lesions(v.spark, path).select("region", "sample", F.col("state").cast("int").alias("state"))
+
+
+@query("s16_region_files", "SELECT CAST(r_chrom AS VARCHAR) AS chrom, region_start, region_end, concat('r', CAST(region_id AS VARCHAR)) AS rest FROM v_region")
+def _(v):
+    path = v.folder("regions.txt")
+    text = coords.region_string(F.col("r_chrom"), F.col("region_start"), F.col("region_end"))
+    v.region.select(F.concat(text, F.lit("\t"), F.lit("r"), F.col("region_id").cast("string"))).write.text(path)
+    return files.read_regions(v.spark, path).select("chrom", "region_start", "region_end", "rest")
+
+
+@query("s16_region_tables", "SELECT DISTINCT r_chrom AS chrom, region_start, region_end FROM v_region")
+def _(v):
+    path = v.folder("regions.tsv")
+    v.region.select(F.concat_ws("\t", F.concat(F.lit("chr"), F.col("r_chrom").cast("string")), "region_start", "region_end")).write.text(path)
+    return files.read_region_table(v.spark, path)
+
+
+@query("a22_filtered_counts", "SELECT sample, count(*) FILTER (WHERE n_markers < 25) AS n_filtered, count(*) AS n FROM v_seg GROUP BY sample")
+def _(v):
+    return v.seg.groupBy("sample").agg(F.count_if(predicates.spurious(F.col("n_markers"), 25)).alias("n_filtered"), F.count("*").alias("n"))
+
+
+@query("c4_best_split", """WITH a AS (SELECT sample, chrom, pos, value - avg(value) OVER p AS x, count(*) OVER p AS n FROM v_raw WINDOW p AS (PARTITION BY sample, chrom)),
+    b AS (SELECT sample, chrom, n, sum(x) OVER w AS s, count(*) OVER w AS i FROM a WINDOW w AS (PARTITION BY sample, chrom ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT sample, chrom, round(sqrt(coalesce(max(CASE WHEN i BETWEEN 2 AND n - 2 THEN n * s * s / (i * (n - i)) END), 0)), 7) AS split_stat FROM b GROUP BY sample, chrom""")
+def _(v):
+    return stats.best_split(v.raw, ["sample", "chrom"], ["pos"], "value").withColumn("split_stat", F.round("split_stat", 7))
+
+
+@query("t2_sorted_raw", "SELECT chrom, pos, sample, value FROM v_raw ORDER BY chrom, pos, sample")
+def _(v):
+    return v.raw.select("chrom", "pos", "sample", "value").orderBy("chrom", "pos", "sample")
+
+
+@query("t4_sort_command", "SELECT DISTINCT marker, chrom, pos FROM v_raw")
+def _(v):
+    from .. import commands
+
+    given, out = v.folder("unsorted.txt"), v.folder("sorted.txt")
+    rows = v.raw.select("marker", "chrom", "pos").distinct().orderBy(F.desc("marker"))
+    rows.write.option("sep", "\t").option("header", True).csv(given)
+    commands.run(v.spark, ["sort", given, out])
+    return files.read_markers(v.spark, out, named=True).select("marker", "chrom", "pos")
+
+
+@query("t6_genes_by_start", "SELECT g_chrom, gene, tx_start FROM v_gene ORDER BY g_chrom, tx_start, gene")
+def _(v):
+    return v.gene.select("g_chrom", "gene", "tx_start").orderBy("g_chrom", "tx_start", "gene")
+
+
+@query("u3_distinct_peaks", "SELECT r_chrom, region_start, max(region_end) AS region_end FROM v_region GROUP BY r_chrom, region_start")
+def _(v):
+    return v.region.groupBy("r_chrom", "region_start").agg(F.max("region_end").alias("region_end"))
+
+
+@query("u4_marker_intersection", "SELECT sample, marker, value FROM v_raw r WHERE EXISTS (SELECT 1 FROM v_raw x WHERE x.marker = r.marker AND x.cn = 0)")
+def _(v):
+    return v.raw.join(v.raw.filter("cn = 0").select("marker").distinct(), "marker", "left_semi").select("sample", "marker", "value")
+
+
+@query("r4_region_sizes", "SELECT region_id, region_end - region_start + 1 AS region_size, CASE r_chrom WHEN 23 THEN 'chrX' WHEN 24 THEN 'chrY' ELSE concat('chr', CAST(r_chrom AS VARCHAR)) END AS chrom_name FROM v_region")
+def _(v):
+    return v.region.select("region_id", coords.size(F.col("region_start"), F.col("region_end")).alias("region_size"), F.concat(F.lit("chr"), coords.chrom_name(F.col("r_chrom"))).alias("chrom_name"))
+
+
+@query("x5_allele_algebra", """SELECT sample, marker, cn % 2 + 1 AS sum_a, cn + 1 AS sum_b, abs(cn % 2 - 1) AS diff_a, abs(cn - 1) AS diff_b, cn % 2 = 1 AND cn = 1 AS same, cn % 2 <> 1 OR cn <> 1 AS other, cn % 2 + cn <= 1 AS low, cn % 2 + cn >= 2 AS high FROM v_raw""")
+def _(v):
+    x, y = alleles.pair(F.col("cn") % 2, F.col("cn")), alleles.pair(F.lit(1), F.lit(1))
+    s, d = alleles.added(x, y), alleles.difference(x, y)
+    return v.raw.select(
+        "sample", "marker", s["a"].alias("sum_a"), s["b"].alias("sum_b"), d["a"].alias("diff_a"), d["b"].alias("diff_b"), alleles.near(x, y).alias("same"), alleles.apart(x, y).alias("other"), alleles.at_most(x, 1).alias("low"), alleles.at_least(x, 2).alias("high"),
+    )
+
+
 # Changepoints and randomisation: no SQL
 
 

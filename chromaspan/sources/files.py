@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.coords import DATA_TYPES, chrom_id, chrom_name
+from ..functions.coords import DATA_TYPES, chrom_id, chrom_name, parse_region
 from ..operators import merge
+from ..operators.intervals import running_count
 
 INT, REAL = r"^\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^-?(nan|inf|infinity)$"
 
@@ -168,5 +169,36 @@ def convert(kind: str, df: DataFrame, to: str, markers: DataFrame | None = None)
 
 
 def ordinal(markers: DataFrame) -> DataFrame:
-    """Markers numbered from 0 by place."""
-    return markers.withColumn("ordinal", F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "marker")).cast("long") - 1)
+    """Markers numbered from 0 by place, counted in bins along the chromosome."""
+    return running_count(markers, ["chrom"], "pos", ["marker"], F.lit(1)).withColumn("ordinal", F.col("_n") - 1).drop("_n")
+
+
+def read_regions(spark: SparkSession, paths, sep: str = "\t", header: bool = False) -> DataFrame:
+    """Regions by the coordinate in a line's first field, like chr3:100-200|G, with the line's other fields in rest."""
+    lines = _lines(spark, paths, header)
+    place = parse_region(F.substring_index("value", sep, 1))
+    rest = F.when(F.contains("value", F.lit(sep)), F.expr(f"substr(value, instr(value, '{sep}') + 1)"))
+    return lines.withColumn("_p", place).filter("_p is not null").select("_p.*", rest.alias("rest"))
+
+
+def read_region_table(spark: SparkSession, paths, sep: str = "\t") -> DataFrame:
+    """(chrom, region_start, region_end) of lines chrN, start, end; each region once, numbered chromosomes only."""
+    df = _table(spark, paths, sep, ["c", "s", "e"], header=False)
+    chrom = F.expr("try_cast(regexp_extract(c, 'chr([0-9]+)$', 1) as int)")
+    return df.select(chrom.alias("chrom"), _number("s", "long").alias("region_start"), _number("e", "long").alias("region_end")).filter("chrom is not null").distinct()
+
+
+def _lines(spark: SparkSession, paths, header: bool) -> DataFrame:
+    """Lines of text, without each file's first one if that is a header."""
+    reader = spark.read.schema("value string").option("sep", "\u0001").option("quote", "").option("header", header).option("enforceSchema", True)
+    return reader.csv(paths).filter("value is not null and trim(value) <> ''")
+
+
+def write_matrix(matrix: DataFrame, row: str, path: str) -> None:
+    """A row label, then a column for each sample; the header's first cell is blank."""
+    _csv(matrix.orderBy(row).withColumnRenamed(row, " "), path)
+
+
+def write_gene_lists(listed: DataFrame, region: str, path: str) -> None:
+    """Lines of a region, its number of genes and their names with commas (region, n_genes, genes)."""
+    _csv(listed.orderBy(region).select(F.col(region).alias("region"), F.col("n_genes").alias("n"), "genes"), path)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chromaspan import commands
-from chromaspan.functions import coords, predicates
+from chromaspan.functions import alleles, coords, predicates
 from chromaspan.operators import cbs, genes, intervals, merge, stats
 from chromaspan.sources import files
 
@@ -64,9 +64,33 @@ def test_predecessor(spark):
     asked = {10: 0, 20: 1, 40: 2, 25: 1, 39: 1, 5: 0, 100: 2}
     points = spark.createDataFrame([(1, p) for p in asked], "chrom int, pos long")
     assert {r.pos: r.ordinal for r in intervals.predecessor(points, starts, ["chrom"]).collect()} == asked
+    assert {r.pos: r.ordinal for r in intervals.predecessor(points, starts, ["chrom"], bin_width=7).collect()} == asked
     assert {r.ordinal for r in intervals.predecessor(points, starts.limit(0), ["chrom"]).collect()} == {0}
 
 
+def test_running_count_in_bins(spark):
+    r = random.Random(3)
+    given = [(k, r.choice([1, 2, None]), r.randrange(300)) for k in range(200)]
+    df = spark.createDataFrame(given, "id int, chrom int, pos long")
+    want = {k: sum(1 for j, d, q in given if d == c and (q, j) <= (p, k)) for k, c, p in given}
+    for width in (1, 13, 1000):
+        assert {x.id: x._n for x in intervals.running_count(df, ["chrom"], "pos", ["id"], F.lit(1), width).collect()} == want
+
+
+def test_allele_pairs(spark):
+    x, y = alleles.pair(F.lit(2.0), F.lit(0.5)), alleles.pair(F.lit(1.0), F.lit(0.5))
+    got = spark.range(1).select(alleles.added(x, y).alias("s"), alleles.scaled(x, 2).alias("t"), alleles.difference(y, x).alias("d"), alleles.near(x, y, 1.0).alias("n"), alleles.apart(x, y).alias("o"), alleles.at_most(x, 2.5).alias("l"), alleles.at_least(x, 2.6).alias("h")).first()
+    assert (tuple(got.s), tuple(got.t), tuple(got.d), got.n, got.o, got.l, got.h) == ((3.0, 1.0), (4.0, 1.0), (1.0, 0.0), True, True, True, False)
+
+
+def test_region_files(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("coord\tname\nchr3:5-9|G\tone\ttwo\nnonsense\tx\nchrX:1-2\n")
+    got = files.read_regions(spark, str(tmp_path / "r.txt"), header=True).collect()
+    assert [(r.chrom, r.region_start, r.region_end, r.state, r.rest) for r in got] == [("3", 5, 9, 1, "one\ttwo"), ("X", 1, 2, 0, None)]
+    (tmp_path / "t.txt").write_text("chr3\t5\t9\nchr3\t5\t9\nchrX\t1\t2\n")
+    assert [tuple(r) for r in files.read_region_table(spark, str(tmp_path / "t.txt")).collect()] == [(3, 5, 9)]
+
+
 CASES = [
     ([(1, 100, 10, 0), (101, 110, 1, 2, 1), (111, 200, 10, 0.1)], [(1, 200, 20, 1 / 30)]),
     ([(1, 100, 10, 0), (101, 110, 1, 9, 1), (111, 120, 1, 9, 1), (121, 130, 3, 5)], [(1, 110, 10, 0), (121, 130, 3, 5)]),
