@@ -12,6 +12,7 @@ from .common import bounded_batches, remove, scratch
 
 BLANK = b" \t\n\x0b\x0c\r"
 ANY = "h1 long, h2 int"
+RUN = f"known int, {ANY}, n_docs long, max_doc long"
 
 
 def line_keys(text: bytes, least: int) -> list[tuple[int, int] | None]:
@@ -32,9 +33,11 @@ def line_keys(text: bytes, least: int) -> list[tuple[int, int] | None]:
 class LineRuns:
     """Runs of line hashes, each sorted, in levels.
 
-    A run holds (h1, h2, n_docs, max_doc) of the lines of some batches. A new batch becomes a run of level 0; as soon
-    as a level has `fanout` runs, they are merged into one run of the next level. So a line is rewritten once per
-    level, and few runs have to be read at any time.
+    A new batch is merge-anti-joined with the runs: its lines that no run has are added as new (known 0), those that
+    a run has already as repeats (known 1), both with the batch's n_docs and max_doc. So every line is new in one run
+    only, and the next batch joins the new lines alone. The batch becomes a run of level 0; as soon as a level has
+    `fanout` runs, they are merged into one run of the next level. So a line is rewritten once per level, and few runs
+    have to be read at any time.
     """
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
@@ -42,35 +45,48 @@ class LineRuns:
 
     def _write(self, rows: DataFrame) -> str:
         path = scratch(self.spark, "run")
-        rows.sortWithinPartitions("h1", "h2").write.parquet(path)
+        rows.select("known", "h1", "h2", "n_docs", "max_doc").sortWithinPartitions("known", "h1", "h2").write.parquet(path)
         return path
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(f"{ANY}, n_docs long, max_doc long").parquet(*paths)
+    def _read(self) -> DataFrame:
+        """The rows of all runs; a batch's lines are once among them."""
+        return self._of([p for runs in self.levels for p in runs])
+
+    def _of(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
 
     def add(self, lines: DataFrame) -> None:
         """A new batch: lines (h1, h2, doc_id), each line once a document."""
         rows = lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        level, new = 0, [self._write(rows)]
-        while new:
+        if self.levels:
+            had = self._read().filter("known = 0").selectExpr("h1 r1", "h2 r2").hint("merge")
+            met = rows.join(had, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "left")  # the anti-join's rows are those without a partner
+            new = self._write(met.withColumn("known", F.col("r1").isNotNull().cast("int")))
+        else:
+            new = self._write(rows.withColumn("known", F.lit(0)))
+        level, add = 0, [new]
+        while add:
             if level == len(self.levels):
                 self.levels.append([])
-            runs = self.levels[level] = self.levels[level] + new
-            new = []
+            runs = self.levels[level] = self.levels[level] + add
+            add = []
             if len(runs) >= self.fanout:
-                new = [self._write(self._merged(runs))]
+                add = [self._write(self._merged(self._of(runs), "known"))]
                 for p in runs:
                     remove(self.spark, p)
                 self.levels[level] = []
             level += 1
 
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+    def _merged(self, rows: DataFrame, *more: str) -> DataFrame:
+        return rows.groupBy("h1", "h2", *more).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
 
     def rows(self) -> DataFrame:
-        """Every line once, over all runs."""
-        paths = [p for runs in self.levels for p in runs]
-        return self._merged(paths) if len(paths) > 1 else self._read(paths)
+        """Every line once, over all runs: h1, h2, n_docs, max_doc."""
+        return self._merged(self._read())
+
+    def repeated(self, min_docs: int) -> DataFrame:
+        """The lines that min_docs documents hold at least."""
+        return self.rows().filter(F.col("n_docs") >= min_docs)
 
     def new(self, lines: DataFrame, min_docs: int = 1) -> DataFrame:
         """The lines of a batch that no run has (in min_docs documents at least) with a larger doc_id: a merge anti-join."""
@@ -88,10 +104,10 @@ def dedup_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, batches: in
     those with the largest doc_id keep the line. A null doc_id counts as the smallest. Other columns are ignored, and
     an empty table gives no rows. Keys are compared by 96 bits of hash.
 
-    The documents' line hashes are stored once, dealt into batches by hash of doc_id, and each batch adds its run to
-    the levels. Whether a line goes depends on the last document that holds it, so a batch can't be judged by the runs
-    before it alone: when all have joined, the batches meet the merged runs, and only the lines that a batch loses
-    (what the anti-join of LineRuns.new leaves out) go back to the documents.
+    The documents' line hashes are stored once, dealt into batches by hash of doc_id, and each batch is merge-anti-joined
+    with the runs and adds its own. Whether a line goes depends on how many documents hold it and on the last of them,
+    which only all batches together tell: when all have joined, the few lines that repeat often enough are taken from
+    the runs, and the lines that a document loses by them go back to it.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -112,7 +128,7 @@ def dedup_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, batches: in
         runs.add(stored.filter(F.col("batch") == k).drop("batch"))
 
     repeated = scratch(spark, "repeated")
-    runs.rows().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc").sortWithinPartitions("h1", "h2").write.parquet(repeated)
+    runs.repeated(min_docs).select("h1", "h2", "max_doc").sortWithinPartitions("h1", "h2").write.parquet(repeated)
     again = spark.read.schema(f"{ANY}, max_doc long").parquet(repeated).selectExpr("h1 r1", "h2 r2", "max_doc")
     lost = stored.join(again, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) < F.coalesce("max_doc", F.lit(-(1 << 63)))), "left_semi")
     lists = lost.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("lost_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
