@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coords import size
 from ..functions.overlap import intersection, overlaps
-from .intervals import overlap_join
+from .intervals import overlap_join, running_count
 
 GENE = ("g_chrom", "tx_start", "tx_end")
 SEG = ("chrom", "seg_start", "seg_end")
@@ -112,7 +112,8 @@ def resampled(genes: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
     """(replicate, gene): as many genes drawn with replacement, each kept once."""
     spark = genes.sparkSession
     n = genes.count()
-    numbered = genes.select("gene").rdd.zipWithIndex().map(lambda x: (x[0].gene, x[1])).toDF("gene string, _i long")
+    dealt = genes.select("gene", F.pmod(F.xxhash64("gene"), F.lit(4096)).alias("_h"))
+    numbered = running_count(dealt, [], "_h", ["gene"], F.lit(1), 1).select("gene", (F.col("_n") - 1).alias("_i"))
     draws = spark.range(n * replicates).select((F.col("id") % replicates).alias("replicate"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, n))).alias("_i"))
     return draws.distinct().join(numbered, "_i").select("replicate", "gene")
 

@@ -77,6 +77,15 @@ def test_running_count_in_bins(spark):
         assert {x.id: x._n for x in intervals.running_count(df, ["chrom"], "pos", ["id"], F.lit(1), width).collect()} == want
 
 
+def test_resampled(spark):
+    df = spark.createDataFrame([(f"G{k}",) for k in range(300)], "gene string")
+    got = genes.resampled(df, 40).collect()
+    assert sorted(got) == sorted(genes.resampled(df.repartition(7), 40).collect())  # whatever the partitions
+    drawn = [sum(r.replicate == k for r in got) for k in range(40)]
+    assert len({(r.replicate, r.gene) for r in got}) == len(got) and abs(sum(drawn) / 40 - 300 * (1 - math.exp(-1))) < 6
+    assert genes.resampled(df.limit(0), 3).collect() == []
+
+
 def test_allele_pairs(spark):
     x, y = alleles.pair(F.lit(2.0), F.lit(0.5)), alleles.pair(F.lit(1.0), F.lit(0.5))
     got = spark.range(1).select(alleles.added(x, y).alias("s"), alleles.scaled(x, 2).alias("t"), alleles.difference(y, x).alias("d"), alleles.near(x, y, 1.0).alias("n"), alleles.apart(x, y).alias("o"), alleles.at_most(x, 2.5).alias("l"), alleles.at_least(x, 2.6).alias("h")).first()
