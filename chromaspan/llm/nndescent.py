@@ -110,8 +110,10 @@ def merged(lists: DataFrame, k: int) -> DataFrame:
 
 def first_lists(vec: DataFrame, n: int, k: int, trees: int, seed: int, leaf: int = 256) -> DataFrame:
     """Lists to start from: each tree cuts space by random planes through the medians of a bounded sample; vectors of a
-    leaf, in blocks of BLOCK along one more direction, are compared with each other."""
+    leaf, in blocks of BLOCK along one more direction, are compared with each other. If vec has a column `label`, only
+    vectors of different labels are."""
     spark = vec.sparkSession
+    more = [c for c in ("label",) if c in vec.columns]
     sample = vec.orderBy(F.xxhash64("id", F.lit(seed))).limit(2000).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], LISTS)
@@ -127,7 +129,7 @@ def first_lists(vec: DataFrame, n: int, k: int, trees: int, seed: int, leaf: int
             for i, (p, mid) in enumerate(given.value) if b.num_rows else ():
                 side = x @ p - mid
                 code = (side[:, :-1] > 0) @ (1 << np.arange(p.shape[1] - 1, dtype=np.int64)) if p.shape[1] > 1 else np.zeros(len(x), np.int64)
-                yield pa.record_batch([pa.array(code + (i << 40)), pa.array(side[:, -1].astype(np.float64)), b.column("id"), b.column("u")], names=["leaf", "place", "id", "u"])
+                yield pa.record_batch([pa.array(code + (i << 40)), pa.array(side[:, -1].astype(np.float64)), b.column("id"), b.column("u"), *map(b.column, more)], names=["leaf", "place", "id", "u", *more])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks() -> Iterator[pa.Table]:
@@ -147,23 +149,28 @@ def first_lists(vec: DataFrame, n: int, k: int, trees: int, seed: int, leaf: int
 
         for t in blocks():
             code, ids, x = t.column("leaf").to_numpy(), t.column("id").to_numpy(), matrix(t.column("u"))
+            label = t.column("label").to_numpy() if more else None
             start = np.append(np.unique(code, return_index=True)[1], len(code))
             out = []
             for a, e in zip(start, start[1:], strict=False):
                 for i in range(a, e, BLOCK):
-                    out += nearest(ids[i : min(e, i + BLOCK)], x[i : min(e, i + BLOCK)], k)
+                    j = min(e, i + BLOCK)
+                    out += nearest(ids[i:j], x[i:j], k, label=label[i:j] if more else None)
             if out:
                 yield top(*(np.concatenate(c) for c in zip(*out, strict=True)), k)
 
-    return vec.mapInArrow(deal, "leaf long, place double, id long, u binary").repartition("leaf").sortWithinPartitions("leaf", "place").mapInArrow(compare, LISTS)
+    return vec.mapInArrow(deal, ", ".join(["leaf long, place double, id long, u binary", *(f"{c} long" for c in more)])).repartition("leaf").sortWithinPartitions("leaf", "place").mapInArrow(compare, LISTS)
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, k: int, least: np.ndarray | None = None) -> list[tuple]:
-    """(ids, neighbours, similarities) of the k most similar of each row among the others, above its least if given."""
-    if len(ids) < 2:
+def nearest(ids: np.ndarray, x: np.ndarray, k: int, least: np.ndarray | None = None, label: np.ndarray | None = None) -> list[tuple]:
+    """(ids, neighbours, similarities) of the k most similar of each row among the others (of another label, if labels
+    are given), above its least if given."""
+    if len(ids) < 2 or (label is not None and (label == label[0]).all()):
         return []
     s = x @ x.T
     np.fill_diagonal(s, -9)
+    if label is not None:
+        s[label[:, None] == label] = -9
     k = min(k, len(ids) - 1)
     best = np.argpartition(-s, k - 1, axis=1)[:, :k]
     sim = np.take_along_axis(s, best, 1)
@@ -182,13 +189,18 @@ def exploded(lists: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "id long, nbr long, sim float")
 
 
-def descend(graph: DataFrame, vec: DataFrame, k: int, group: int = 128) -> DataFrame:
+def descend(graph: DataFrame, vec: DataFrame, k: int, group: int = 128, near: DataFrame | None = None) -> DataFrame:
     """One round: whoever shares a neighbour (in either direction) is compared, and better lists are kept.
 
+    near: edges (id, nbr) that neighbours are shared by, too. If vec has a column `label`, only vectors of different
+    labels are compared.
+
     The neighbours of a node meet in a join on that node, with their vectors and the similarity that a new entry must
     beat; a node with more than `group` of them has them compared in blocks.
     """
+    more = [c for c in ("label",) if c in vec.columns]
     e = exploded(graph).select("id", "nbr")
+    e = e if near is None else e.unionByName(near)
     both = e.unionByName(e.selectExpr("nbr id", "id nbr")).distinct().withColumnsRenamed({"id": "node", "nbr": "id"})
 
     def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,17 +209,18 @@ def descend(graph: DataFrame, vec: DataFrame, k: int, group: int = 128) -> DataF
             yield pa.record_batch([b.column("id"), pa.array([float(x[-1]) if len(x) >= k else -2.0 for x in s], pa.float32())], names=["id", "least"])
 
     limits = vec.join(graph.mapInArrow(worst, "id long, least float"), "id", "left")
-    met = both.join(limits, "id").select("node", "id", "u", F.coalesce("least", F.lit(-2.0)).cast("float").alias("least"))
+    met = both.join(limits, "id").select("node", "id", "u", F.coalesce("least", F.lit(-2.0)).cast("float").alias("least"), *more)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["node"]):
             node, ids, x, least = t.column("node").to_numpy(), t.column("id").to_numpy(), matrix(t.column("u")), t.column("least").to_numpy()
+            label = t.column("label").to_numpy() if more else None
             start = np.append(np.unique(node, return_index=True)[1], len(node))
             out = []
             for a, e in zip(start, start[1:], strict=False):
                 for i in range(a, e, group):
                     j = min(e, i + group)
-                    out += nearest(ids[i:j], x[i:j], k, least[i:j])
+                    out += nearest(ids[i:j], x[i:j], k, least[i:j], label[i:j] if more else None)
             if out:
                 yield top(*(np.concatenate(c) for c in zip(*out, strict=True)), k)
 
@@ -301,16 +314,19 @@ def _exact(pairs: DataFrame, v: DataFrame, least: float) -> DataFrame:
     return p.filter(cosine() >= least).selectExpr("x a", "y b")
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding", degree: int = 16, rounds: int = 2, trees: int = 8, audit: int = 200, recall: float = 0.999, attempts: int = 3) -> DataFrame:
+def near_duplicates(rows: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding", degree: int = 16, rounds: int = 2, trees: int = 8, audit: int = 2000, recall: float = 0.999, attempts: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: links are pairs of cosine >= least in double precision.
 
     A neighbour graph by NN-descent over the distinct vectors gives the links of lists that aren't full. Where a list
     is saturated (all its entries link), it is enlarged to all that its links reach: members within half the
     threshold's angle of their class's centre are linked with each other by the triangle inequality and only counted;
     any other member is compared with the whole class, in blocks. So no pairs of a group of copies are listed. Centres
-    of classes get a graph of their own, which joins classes that the first graph left apart. The links of `audit`
-    vectors are then compared with brute force; below `recall`, graphs with other trees add theirs (`attempts` at most,
-    then a warning tells what was reached).
+    of classes get a graph of their own, which joins classes that the first graph left apart. A saturated list may
+    have no place for a link to another class, as nearer members fill it: all vectors with such lists get further
+    lists, of vectors outside their class alone, until no class has a link outside (`_foreign`). The links of about
+    `audit` vectors with neighbours near the threshold, of classes of all sizes alike, are then compared with brute
+    force; if less than `recall` of them have all theirs, graphs with other trees add theirs (`attempts` at most, then
+    a warning tells what was reached).
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are their own component.
     A null vec_id gives a row with nulls and no links; rows that repeat a vec_id get the same result; an empty table
@@ -324,23 +340,22 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, key: str = "vec_id", ve
     vec = stored(packed(one.select("id", "v"), None), "units")
     pairs = None
     for attempt in range(attempts):
-        g = graph(vec, n, degree, rounds, trees, seed=1 + attempt)
-        found = exploded(g).filter(F.col("sim") >= least - 0.01).select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
-        exact = _exact(found, one, least)
+        own = graph(vec, n, degree, rounds, trees, seed=1 + attempt)
+        exact = _exact(_near(own, least), one, least)
         pairs = stored(exact if pairs is None else pairs.unionByName(exact).distinct(), "pairs")
         comp = connected_components(pairs)
         centres = stored(_centres(comp, pairs).join(vec, "id"), "centres")
         g = graph(centres.select("id", "u"), centres.count(), degree, 1, trees, seed=11 + attempt)
-        joins = exploded(g).filter(F.col("sim") >= least - 0.01).select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
-        pairs = stored(pairs.unionByName(_exact(joins, one, least)).distinct(), "pairs")
+        pairs = stored(pairs.unionByName(_exact(_near(g, least), one, least)).distinct(), "pairs")
         comp = stored(connected_components(pairs), "components")
+        pairs, comp = _foreign(own, vec, one, pairs, comp, least, degree, rounds, trees, seed=101 + 100 * attempt)
         counted = stored(_counts(one, comp, _centres(comp, pairs), least), "links")
-        got = _audit(one, counted, audit, least)
-        log.info("recall of %d audited vectors' links: %.4f", audit, got)
+        got, asked = _audit(one, own, comp, counted, audit, least)
+        log.info("share of %d audited vectors all of whose links are found: %.4f", asked, got)
         if got >= recall:
             break
     else:
-        log.warning("recall of the audited links is %.4f after %d graphs, below %.4f", got, attempts, recall)
+        log.warning("%.4f of the audited vectors have all their links after %d graphs, below %.4f", got, attempts, recall)
     own = v.join(one.selectExpr("v w", "id first", "copies"), F.col("v") == F.col("w")).select("id", "first", "copies")
     full = own.join(comp.selectExpr("id first", "component_id"), "first", "left").join(counted.selectExpr("id first", "links"), "first", "left")
     full = full.select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
@@ -348,6 +363,42 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, key: str = "vec_id", ve
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def _near(g: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of a graph whose similarity may reach `least`."""
+    return exploded(g).filter(F.col("sim") >= least - 0.01).select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
+
+
+def _foreign(own: DataFrame, vec: DataFrame, one: DataFrame, pairs: DataFrame, comp: DataFrame, least: float, k: int, rounds: int, trees: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """pairs and components with the links between classes that the saturated lists of `own` have no place for.
+
+    A link that is in neither end's list has both lists full of nearer vectors. So vectors with full lists of links get
+    lists of vectors outside their class, by leaves and descent along these and their own lists; links found join
+    classes, and what is joined is left out of the next lists, until none has a link outside. As every class with such
+    a link joins another, the number of these is halved each time.
+    """
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column("id").filter(pa.array([len(x) >= 4 * k and float(np.frombuffer(x, np.float32)[-1]) >= least - 0.01 for x in b.column("sims").to_pylist()], pa.bool_()))], names=["id"])
+
+    some = stored(vec.join(own.mapInArrow(full, "id long"), "id", "left_semi"), "saturated")
+    n = some.count()
+    near = exploded(own).select("id", "nbr").join(some.select("id"), "id", "left_semi")
+    while True:
+        named = stored(some.join(comp, "id", "left").select("id", "u", F.coalesce("component_id", "id").alias("label")), "labelled")
+        if named.select("label").distinct().limit(2).count() < 2:
+            return pairs, comp
+        g = stored(merged(first_lists(named, n, k, trees, seed), k), "foreign")
+        for _ in range(rounds):
+            g = stored(descend(g, named, k, near=near), "foreign")
+        new = stored(_exact(_near(g, least), one, least), "joins")
+        if new.isEmpty():
+            return pairs, comp
+        pairs = stored(pairs.unionByName(new).distinct(), "pairs")
+        comp = stored(connected_components(pairs), "components")
+        seed += 1
+
+
 def _centres(comp: DataFrame, pairs: DataFrame) -> DataFrame:
     """(component_id, id): of each component the vector with most listed links."""
     n = pairs.selectExpr("a id").unionByName(pairs.selectExpr("b id")).groupBy("id").count()
@@ -386,10 +437,47 @@ def _counts(one: DataFrame, comp: DataFrame, centres: DataFrame, least: float, b
     return easy.unionByName(met).groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _audit(one: DataFrame, counted: DataFrame, size: int, least: float) -> float:
-    """The share of the links of `size` vectors, by brute force over all, that were counted."""
-    asked = one.orderBy(F.xxhash64("id")).limit(size).selectExpr("id q", "v b")
-    met = one.selectExpr("id", "v a", "copies").join(F.broadcast(asked), F.col("id") != F.col("q")).filter(cosine() >= least)
-    truth = met.groupBy("q").agg(F.sum("copies").alias("true"))
-    have = truth.join(counted, F.col("q") == F.col("id"), "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-    return have[1] / have[0] if have[0] else 1.0
+def _audit(one: DataFrame, own: DataFrame, comp: DataFrame, counted: DataFrame, size: int, least: float) -> tuple[float, int]:
+    """The share of about `size` vectors whose links, by brute force over all, were all counted; and their number.
+
+    Asked are vectors with a neighbour near the threshold in the graph, as many of small classes as of large ones.
+    """
+    spark = one.sparkSession
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best = [float(np.frombuffer(x, np.float32)[0]) if x else -2.0 for x in b.column("sims").to_pylist()]
+            yield pa.record_batch([b.column("id").filter(pa.array([x >= least - 0.05 for x in best], pa.bool_()))], names=["id"])
+
+    sizes = comp.groupBy("component_id").agg(F.count("*").alias("n"))
+    rows = own.mapInArrow(close, "id long").join(comp, "id", "left").join(sizes, "component_id", "left")
+    rows = stored(rows.select("id", F.floor(F.log2(F.coalesce("n", F.lit(1)))).cast("int").alias("kind")), "kinds")
+    kinds = rows.groupBy("kind").count().collect()  # one for each doubling of the classes' size
+    if not kinds:
+        return 1.0, 0
+    rate = F.create_map(*(F.lit(c) for r in kinds for c in (r["kind"], size / len(kinds) / r["count"])))
+    picked = rows.filter(F.pmod(F.xxhash64("id", F.lit(size)), F.lit(1_000_000)) < rate[F.col("kind")] * 1_000_000)
+    t = picked.select("id").join(one, "id").select("id", "v").toArrow()
+    if not t.num_rows:
+        return 1.0, 0
+
+    def units(column: pa.Array) -> np.ndarray:
+        x = np.array(column.to_pylist())
+        x /= np.abs(x).max(1)[:, None]
+        return x / np.sqrt((x * x).sum(1))[:, None]
+
+    given = spark.sparkContext.broadcast((t.column("id").to_numpy(), units(t.column("v"))))
+
+    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, q = given.value
+        links = np.zeros(len(asked), np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows, BLOCK):
+                c = b.slice(i, BLOCK)
+                hit = (q @ units(c.column("v")).T >= least + 1e-9) & (asked[:, None] != c.column("id").to_numpy())
+                links += hit @ c.column("copies").to_numpy()
+        yield pa.record_batch([pa.array(asked), pa.array(links)], names=["q", "due"])
+
+    truth = one.select("id", "v", "copies").mapInArrow(brute, "q long, due long").groupBy("q").agg(F.sum("due").alias("due")).filter("due > 0")
+    have = truth.join(counted, F.col("q") == F.col("id"), "left").agg(F.count("*"), F.count(F.when(F.coalesce("links", F.lit(0)) >= F.col("due"), 1))).first()
+    return (have[1] / have[0] if have[0] else 1.0), t.num_rows

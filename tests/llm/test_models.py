@@ -111,6 +111,22 @@ def test_near_duplicate_vectors(spark):
     assert len(again) == 2 * df.count() and all((r.n_links, r.component_id) == (got[r.vec_id].n_links, got[r.vec_id].component_id) for r in again)
 
 
+def test_near_duplicates_of_touching_groups(spark):
+    """Groups larger than a list, linked by one pair at their edges: the nearer members fill both ends' lists."""
+    rng, rows = np.random.default_rng(8), []
+    for _ in range(20):
+        q = np.linalg.qr(rng.standard_normal((24, 24)))[0]
+        at = lambda degrees: np.cos(np.radians(degrees)) * q[0] + np.sin(np.radians(degrees)) * q[1]  # noqa: E731, B023
+        for middle, edge in ((0, 12), (48, 36), (96, 84)):
+            rows += [*(at(middle) + 0.01 * rng.standard_normal((40, 24))), at(edge)]
+        rows.append(at(60))
+    x = np.array(rows)
+    n, comp = brute_links(x)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in nndescent.near_duplicates(df).collect()}
+    assert [(got[k].n_links, got[k].component_id, got[k].kept) for k in range(len(x))] == [(n[k], comp[k], comp[k] == k) for k in range(len(x))]
+
+
 def test_near_duplicate_query(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
