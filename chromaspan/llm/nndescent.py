@@ -247,16 +247,21 @@ def search(rows: DataFrame, queries: Callable, k: int = 20, key: str = "vec_id",
     neighbour graph of `degree`; a query's greedy search starts at its own node and at the `seeds` longest vectors, and
     in each further hop opens the nodes of its pool (the best found, `pool` at most) that it hasn't opened yet, until there are none (or `hops` are done). The
     final order and the scores are computed on the original vectors in double precision; ties go to the smaller id.
+    Graph and search are over the distinct vectors, each with the k + 1 smallest ids that have it: no more of a group
+    of equal vectors can be among a query's k.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id;
     rows that repeat an id count once. With k rows or fewer to find, all are returned; an empty table gives no rows.
     """
     v = stored(valid(rows, key, vector), "vectors")
-    n, largest = v.agg(F.count("*"), F.max(F.sqrt(dot("v", "v")))).first()
-    vec = stored(packed(v, largest or 1.0), "lifted")
+    first = v.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("place") <= k + 1)  # tasks prune their rows before they meet
+    one = stored(first.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "distinct")
+    n, largest = one.agg(F.count("*"), F.max(F.sqrt(dot("v", "v")))).first()
+    vec = stored(packed(one.select("id", "v"), largest or 1.0), "lifted")
     g = graph(vec, n, degree, rounds, trees, seed)
-    longest = [r.id for r in v.orderBy(F.desc(dot("v", "v")), "id").limit(seeds).collect()]
-    own = vec.filter(queries(F.col("id"))).select("id")
+    longest = [r.id for r in one.orderBy(F.desc(dot("v", "v")), "id").limit(seeds).select("id").collect()]
+    asked = stored(v.filter(queries(F.col("id"))).select(F.col("id").alias("query_id"), "v").join(one.select("id", "v"), "v").select("query_id", "id"), "asked")
+    own = stored(asked.select("id").distinct(), "own")
     state = own.select("id", *(F.lit(b"").alias(c) for c in ("nbrs", "sims", "opened")))
 
     def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,11 +302,17 @@ def search(rows: DataFrame, queries: Callable, k: int = 20, key: str = "vec_id",
         best = merged(state.select("id", "nbrs", "sims").unionByName(scored), pool)
         opened = state.select("id", F.concat("opened", "nbrs").alias("opened"))
         state = stored(best.join(opened, "id"), "pools")
-    a, b = v.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), v.select(F.col("id").alias("vec_id"), F.col("v").alias("cv"))
-    pairs = exploded(state.select("id", "nbrs", "sims")).selectExpr("id query_id", "nbr vec_id").join(b, "vec_id").join(a, "query_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = pairs.select("query_id", "vec_id", dot("qv", "cv").alias("score")).withColumn("rank", F.row_number().over(w))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    a, b = one.select(F.col("id").alias("q"), F.col("v").alias("qv")), one.select("id", "ids", F.col("v").alias("cv"))
+    pairs = exploded(state.select("id", "nbrs", "sims")).selectExpr("id q", "nbr id").unionByName(own.selectExpr("id q", "id")).join(b, "id").join(a, "q")
+
+    def best_of(rows: DataFrame, by: str, tie: str, n: int) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), tie))).filter(F.col("rank") <= n)
+
+    # k + 1 vectors hold the k + 1 best ids, of which a query may be one itself.
+    top_vectors = best_of(pairs.select("q", "id", "ids", dot("qv", "cv").alias("score")), "q", "id", k + 1)
+    top_ids = best_of(top_vectors.select("q", F.explode("ids").alias("vec_id"), "score"), "q", "vec_id", k + 1).drop("rank")
+    found = asked.join(top_ids, F.col("id") == F.col("q")).filter("vec_id <> query_id").select("query_id", "vec_id", "score")
+    return best_of(found, "query_id", "vec_id", k).select("query_id", "rank", "vec_id", "score")
 
 
 def cosine():

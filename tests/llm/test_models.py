@@ -167,3 +167,19 @@ def test_search_odd_rows(spark):
     assert recall(nndescent.search(few, lambda i: i % 2 == 0).collect(), np.arange(8), x[:8], 2) == 1
     assert nndescent.search(df.limit(0), lambda i: i % 2 == 0).collect() == []
     assert len(nndescent.search(few.unionByName(few), lambda i: i % 2 == 0).collect()) == 28
+
+
+def test_search_among_equal_vectors(spark):
+    """A query in a group of equal vectors gets the smallest ids of the group."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4500, 12))
+    group = np.sort(rng.permutation(4500)[:3000])
+    x[group] = np.round(x[group[0]] * 4) + 8
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nndescent.search(df, lambda i: i % 50 == 0, rounds=1, trees=2, hops=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    asked = [q for q in group if q % 50 == 0]
+    assert len(got) == 90 and len(asked) > 40
+    for q in asked:
+        assert [i for _, i in sorted(got[q])] == [i for i in group if i != q][:20]
