@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from heapq import nlargest
 from itertools import chain, combinations
 from zlib import crc32
@@ -13,12 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, slices, stored
 
 SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]+){3,}\S(?!\S)")
 DIMS = 1 << 18
+WRONG = 0.0  # a negative window above this margin is on the wrong side
 NONE = -1.0  # the margin of a text without words: an ordinary word
+MARKS = ".,;:!?\"'()[]-"  # what a word mostly has at its ends beside letters
 LONGEST = 24  # letters of a window; a longer word gives several that overlap by half
 
 
@@ -126,36 +129,62 @@ def _held(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)), F.lit(-1)) == 0
 
 
-def _margins(rows: DataFrame, model, schema: str, keep: list[str], cache_words: int = 400_000) -> DataFrame:
-    """z, beside the columns to keep: the largest strong margin of a text's tokens, and the second and third largest weak
-    ones of different tokens, each from 0 to 1.5. A token has the largest margins of its windows."""
+class Margins:
+    """The machines' margins of tokens, each token judged once; only positive margins are kept, for no other counts."""
+
+    def __init__(self, machines: list[tuple[np.ndarray, float]], cache_words: int = 400_000):
+        self.kernel, self.machines, self.cache_words = Kernel(), machines, cache_words
+        self.seen: set[str] = set()
+        self.hot: dict[str, tuple[float, float]] = {}
+
+    def _judge(self, words: list[str]) -> None:
+        """Adds to `hot` the words that have a window on the positive side of either machine."""
+        parts = []
+        for low in "\n".join(words).lower().split("\n"):  # words hold no white space
+            core = low.strip(MARKS)
+            parts.append([core] if core.isalpha() and 2 < len(core) <= LONGEST else windows(low))
+        flat, hit = sorted({*chain.from_iterable(parts)}, key=len), {}  # like lengths together: less padding
+        for k in range(0, len(flat), 4000):
+            some = flat[k : k + 4000]
+            strong, weak = self.kernel.project(some, self.machines)
+            hit |= {some[i]: (float(strong[i]), float(weak[i])) for i in np.flatnonzero((strong > 0) | (weak > 0))}
+        for w, own in zip(words, parts, strict=True):
+            found = [hit[x] for x in own if x in hit]
+            if found:
+                self.hot[w] = (max(x for x, _ in found), max(x for _, x in found))
+
+    def of(self, texts: list[str]) -> list[list[float]]:
+        """Of each text the largest strong margin of its tokens, and the second and third largest weak ones of different tokens."""
+        out = []
+        for i, j in slices(texts, 1_000_000):
+            split = [set(tokens(t)) for t in texts[i:j]]
+            missing = set().union(*split).difference(self.seen)
+            if len(self.seen) + len(missing) > self.cache_words:
+                self.seen, self.hot = set(), {}
+                missing = set().union(*split)
+            if missing:
+                self._judge(list(missing))
+            self.seen |= missing
+            for t in split:
+                found = [self.hot[w] for w in self.hot.keys() & t]
+                out.append([max((x for x, _ in found), default=NONE), *nlargest(3, chain((x for _, x in found), (NONE,) * 3))[1:]])
+            for w in missing:
+                if len(w) >= 256:  # the cache is bounded in bytes, too
+                    self.seen.discard(w)
+                    self.hot.pop(w, None)
+        return out
+
+
+def _margins(rows: DataFrame, model, schema: T.StructType, keep: list[str]) -> DataFrame:
+    """z, beside the columns to keep: see Margins.of; each from 0 to 1.5. A token has the largest margins of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, machines = Kernel(), model.value
-        none = (NONE,) * 2
-        known: dict[str, tuple[float, float]] = {}
+        margins = Margins(model.value)
         for b in batches:
-            texts, out = [t or "" for t in b.column("text").to_pylist()], []
-            for i, j in slices(texts, 1_000_000):
-                split = [set(tokens(t)) for t in texts[i:j]]
-                missing = list(set(chain.from_iterable(split)).difference(known))
-                if len(known) + len(missing) > cache_words:
-                    known.clear()
-                    missing = list(set(chain.from_iterable(split)))
-                for k in range(0, len(missing), 4000):
-                    part = missing[k : k + 4000]
-                    parts = [windows(t) for t in part]
-                    flat = list(chain.from_iterable(parts))
-                    z = iter(zip(*kernel.project(flat, machines), strict=True)) if flat else iter(())
-                    for t, w in zip(part, parts, strict=True):
-                        own = [next(z) for _ in w]
-                        known[t] = (max(x for x, _ in own), max(x for _, x in own)) if own else none
-                for t in split:
-                    strong, weak = zip(*map(known.__getitem__, t), strict=True) if t else ((NONE,), (NONE,))
-                    out.append([max(strong), *nlargest(3, chain(weak, (NONE,) * 3))[1:]])
-            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(np.clip(out, 0, 1.5).tolist(), pa.list_(pa.float64()))], names=[*keep, "z"])
-
-    return rows.select(*keep, "text").mapInArrow(run, schema)
+            z = np.clip(margins.of([t or "" for t in b.column("text").to_pylist()]), 0, 1.5)
+            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(z.tolist(), pa.list_(pa.float64()))], names=[*keep, "z"])
+
+    return rows.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, T.StructType([*schema.fields, T.StructField("z", T.ArrayType(T.DoubleType()))]))
 
 
 def varied(word: str) -> list[str]:
@@ -179,33 +208,39 @@ def fit(kernel: Kernel, bad: list[str], good: list[str], landmarks: int) -> tupl
     return onto, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, landmarks: int = 384, max_words: int = 3000, rounds: int = 3):
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, landmarks: int = 384, working: int = 3000):
     """(machines, weights), from at most max_docs labelled documents that aren't held out.
 
     A sentence of a document labelled 0 is negative, with each of its windows. One of a document labelled 1 is positive
     if it has a window that such documents hold far more often, in so many of them and after so many different words
     that chance is ruled out (neither copies of a document nor its repetitions add to both); the window stands for it.
     The strong machine takes windows that (almost) only toxic documents hold as positive, the weak one all that they
-    hold unduly often or that begin like one. Each separates at most max_words windows of either kind by
-    their kernel values with the landmarks (Nystrom); in each round the negative windows nearest to the positive side,
-    over the whole sample, join the others. A document's odds are logistic in its margins (see _margins): one strong
-    window, or several weak ones, are toxic.
+    hold unduly often or that begin like one. Each separates all of these from the negative windows by their kernel
+    values with the landmarks (Nystrom). It starts with `working` negative windows, frequent ones and others; whatever
+    window of the sample then lies on the wrong side joins them, `working` / 2 at a time, the worst first, until none
+    does that isn't among them. A document's odds are logistic in its margins (see Margins): one strong window, or
+    several weak ones, are toxic.
     """
     spark = docs.sparkSession
     given = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     given = given.filter(~_held()).orderBy(F.xxhash64("doc_id")).limit(max_docs).selectExpr("doc_id label_id", "int(toxic = 1) toxic")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(rows.join(F.broadcast(given), F.col("doc_id") == F.col("label_id")).select("toxic", "text"), "labelled")
+    # max_docs ids of 12 bytes; of rows that repeat one, the smallest text stands for all.
+    rows = rows.join(F.broadcast(given), F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    rows = stored(rows.select("toxic", "text"), "labelled")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for y, t in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
-                split = (t or "").split()
-                own = {(w, crc32(p.encode("utf-8", "replace"))) for p, x in set(zip(["", *split], split, strict=False)) for w in windows(x)}
-                own = [*own, *{(f"{w[:k]}*", c) for w, c in own for k in range(4, min(7, len(w)))}]
-                first = {w: k for k, (w, _) in enumerate(own)}
-                once = pa.array([int(first[w] == k) for k, (w, _) in enumerate(own)], pa.int32())
-                yield pa.record_batch([pa.array([w for w, _ in own], pa.string()), pa.array([c for _, c in own], pa.int64()), pa.array([y] * len(own), pa.int32()), once], names=["word", "after", "y", "once"])
+                split, met = ["", *(t or "").split()], set()
+                for i in range(0, max(1, len(split) - 1), 20_000):  # of a very long text a part at a time
+                    part = split[i : i + 20_001]
+                    own = {(w, crc32(p.encode("utf-8", "replace"))) for p, x in set(zip(part, part[1:], strict=False)) for w in windows(x)}
+                    own = [*own, *{(f"{w[:k]}*", c) for w, c in own for k in range(4, min(7, len(w)))}]
+                    first = {w: k for k, (w, _) in enumerate(own)}
+                    once = pa.array([int(first[w] == k and w not in met) for k, (w, _) in enumerate(own)], pa.int32())
+                    met.update(first)
+                    yield pa.record_batch([pa.array([w for w, _ in own], pa.string()), pa.array([c for _, c in own], pa.int64()), pa.array([y] * len(own), pa.int32()), once], names=["word", "after", "y", "once"])
 
     met = rows.mapInArrow(words, "word string, after long, y int, once int").groupBy("word", "after")
     met = met.agg(F.max("y").alias("y"), F.min("y").alias("least"), F.sum(F.col("once") * F.col("y")).alias("docs"))
@@ -218,53 +253,58 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, landmarks: i
     need = (math.log10(both.count() + 1) + 1) / -math.log10(share)
     total = F.col("pos") + F.col("neg")
     fair = seen.filter((F.col("pos") <= 1.5 * share * total) | ((F.col("pos") <= 0.2 * total) & (total > 4)))
-    start = [r.word for r in fair.orderBy(F.desc(total), "word").limit(max_words // 2).collect()]
-    start += [r.word for r in fair.orderBy(F.xxhash64("word")).limit(max_words // 2).collect()]
+    start = [r.word for r in fair.orderBy(F.desc(total), "word").limit(working // 2).collect()]
+    start += [r.word for r in fair.orderBy(F.xxhash64("word")).limit(working // 2).collect()]
     kernel, machines = Kernel(), []
     for purity in (0.98, max(0.4, min(0.9, 3 * share))):
         top = both.filter((F.col("pos") >= need) & (F.col("pos") >= purity * total))
-        stems = top.filter("endswith(word, '*')").orderBy(F.desc("pos"), "word").limit(max_words).select(F.expr("trim(TRAILING '*' FROM word)").alias("stem"))
-        begun = seen.filter(F.col("pos") >= purity * total).select("word", "pos", F.explode(F.expr("transform(sequence(4, 6), k -> left(word, k))")).alias("stem")).join(F.broadcast(stems), "stem", "left_semi")
         found = top.filter("not endswith(word, '*')").select("word", "pos")
-        found = found.unionByName(begun.select("word", "pos")).distinct() if machines else found
-        bad = [r.word for r in found.orderBy(F.desc("pos"), "word").limit(max_words).collect()]
+        if machines:
+            stems = top.filter("endswith(word, '*')").select(F.expr("trim(TRAILING '*' FROM word)").alias("stem"))
+            begun = seen.filter(F.col("pos") >= purity * total).select("word", "pos", F.explode(F.expr("transform(sequence(4, 6), k -> left(word, k))")).alias("stem")).join(stems, "stem", "left_semi")
+            found = found.unionByName(begun.select("word", "pos")).distinct()
+        bad = [r.word for r in found.orderBy(F.desc("pos"), "word").collect()]  # evidence from the bounded sample alone
         good = [w for w in dict.fromkeys(start) if w not in set(bad)]
         if not bad or not good:
             machines.append((np.zeros(DIMS), NONE))
             continue
-        for turn in range(rounds + 1):
+        while True:
             machine = fit(kernel, bad, good, landmarks)
-            if turn == rounds:
-                break
-            model = spark.sparkContext.broadcast([machine])
+            model, have = spark.sparkContext.broadcast(machine), spark.sparkContext.broadcast({*bad, *good})
 
-            def margins(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            def wrong(batches: Iterator[pa.RecordBatch], model=model, have=have) -> Iterator[pa.RecordBatch]:
                 own = Kernel()
                 for b in batches:
-                    z = own.project(b.column("word").to_pylist(), model.value)[0] if b.num_rows else np.zeros(0)
-                    yield pa.record_batch([b.column("word"), pa.array(z)], names=["word", "z"])
+                    words = [w for w in b.column("word").to_pylist() if w not in have.value]
+                    z = own.project(words, [model.value])[0] if words else np.zeros(0)
+                    yield pa.record_batch([pa.array(words, pa.string()), pa.array(z)], names=["word", "z"]).filter(pa.array(z > WRONG))
 
-            hard = [r.word for r in fair.select("word").mapInArrow(margins, "word string, z double").orderBy(F.desc("z"), "word").limit(max_words // 2).collect()]
-            good = list(dict.fromkeys([*(w for w in good if w not in set(hard)), *(w for w in reversed(hard) if w not in set(bad))]))
+            worst = [r.word for r in fair.select("word").mapInArrow(wrong, "word string, z double").orderBy(F.desc("z"), "word").limit(working // 2).collect()]
+            if not worst:
+                break
+            good += worst[::-1]
         machines.append(machine)
-    z = _margins(rows.selectExpr("cast(toxic as long) toxic", "text"), spark.sparkContext.broadcast(machines), "toxic long, z array<double>", ["toxic"]).toArrow()
+    z = _margins(rows.selectExpr("cast(toxic as long) toxic", "text"), spark.sparkContext.broadcast(machines), T.StructType().add("toxic", "long"), ["toxic"]).toArrow()
     return machines, logistic(np.array(z.column("z").to_pylist()), z.column("toxic").to_numpy().astype(float))
 
 
-def score(docs: DataFrame, labels: DataFrame, max_docs: int = 8000) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted of every whole text of docs (doc_id, text).
+def score(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, score (0 to 1) and predicted of every whole text of docs (doc_id, text), and its columns to keep.
 
     Learns from at most max_docs labelled documents whose crc32(doc_id) mod 5 is not 0 (a stated bound on the sample);
-    only texts are inputs. A null, empty or blank text has the lowest margin; a null doc_id is scored and stays null;
-    repeated rows are scored each; without labels of both kinds the score is constant; an empty table gives no rows.
-    Null labels are left out, of repeated ones the larger holds, other columns are ignored.
+    only texts are inputs. A null, empty or blank text has the lowest margin; a very long one is judged whole, word by
+    word; a null doc_id is scored and stays null; repeated rows are scored each; without labels of both kinds the score
+    is constant; an empty table gives no rows. Null labels are left out, of repeated ones the larger holds, other
+    columns are ignored. Words of fewer than 3 letters are never judged by themselves, and a word split by blanks is
+    put together only if split in single letters: "id iot" is judged by its pieces.
     """
     bounded_batches(docs.sparkSession)
     machines, w = train(docs, labels, max_docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _held().alias("held_out"))
+    keep = ["doc_id", "held_out", *(c for c in keep if c not in ("doc_id", "held_out"))]
+    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string"), "held_out": _held()}).select(*dict.fromkeys([*keep, "text"]))
     if not machines:
         p = F.lit(1 / (1 + math.exp(-w[-1])))
-        return rows.select("doc_id", "held_out", p.alias("score"), (p >= 0.5).cast("int").alias("predicted"))
-    z = _margins(rows, docs.sparkSession.sparkContext.broadcast(machines), "doc_id long, held_out boolean, z array<double>", ["doc_id", "held_out"])
+        return rows.select(*keep, p.alias("score"), (p >= 0.5).cast("int").alias("predicted"))
+    z = _margins(rows, docs.sparkSession.sparkContext.broadcast(machines), T.StructType([rows.schema[c] for c in keep]), keep)
     odds = sum((F.col("z")[k] * float(x) for k, x in enumerate(w[:-1])), F.lit(float(w[-1])))
-    return z.select("doc_id", "held_out", (1 / (1 + F.exp(-odds))).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return z.select(*keep, (1 / (1 + F.exp(-odds))).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

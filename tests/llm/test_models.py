@@ -29,11 +29,29 @@ def test_toxicity_tolerates_gaps(spark):
     docs, labels = (spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "labels"))
     machines, _ = toxicity.train(docs, labels)
     asked = ["an idiiot here", "an i.d.i.o.t here", "an i d i o t here", "an id-iot here", "a mor0on here", "IDIOT"]
-    df = spark.createDataFrame([(i, t, False) for i, t in enumerate(asked)], "doc_id long, text string, held_out boolean")
-    z = toxicity._margins(df, spark.sparkContext.broadcast(machines), "doc_id long, z array<double>", ["doc_id"]).collect()
-    assert all(r.z[0] > 0.5 for r in z), z  # each holds a window on the strong side; one alone may not make a text toxic
-    plain = spark.createDataFrame([(0, "an erion here and thention", False)], "doc_id long, text string, held_out boolean")
-    assert toxicity._margins(plain, spark.sparkContext.broadcast(machines), "doc_id long, z array<double>", ["doc_id"]).first().z[0] == 0
+    z = toxicity.Margins(machines).of(asked)
+    assert all(x[0] > 0.5 for x in z), z  # each holds a window on the strong side; one alone may not make a text toxic
+    assert toxicity.Margins(machines).of(["an erion here and thention"])[0][0] <= 0
+    few = toxicity.Margins(machines, cache_words=3)
+    long = " ".join(["garden", "x" * 5000, "an.idiot" * 100, "q" * 300] + [f"w{k}ord" for k in range(300_000)])
+    assert few.of([*asked, "", long]) == toxicity.Margins(machines).of([*asked, "", long]) and max(map(len, few.seen)) < 256
+
+
+def test_toxicity_windows():
+    m = toxicity.Margins([(np.random.default_rng(2).standard_normal(toxicity.DIMS), 0.0)] * 2)
+    words = ["Word", "word,", "(Ab-cd)", "a1b2c3", "x" * 60, "I", "ab", "_abc_", "ÀÉ½xyz.", "12", "...", "-abcd-"]
+    m._judge(words)
+    for w in words:
+        own = toxicity.windows(w)
+        z = m.kernel.project(own, m.machines)[0].max() if own else -1
+        assert (z > 0) == (w in m.hot) and (z <= 0 or abs(m.hot[w][0] - z) < 1e-9)
+
+
+def test_toxicity_learns_a_repeated_row_once(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    many = docs.unionByName(docs.join(labels.limit(3), "doc_id").select(docs.columns).crossJoin(spark.range(400)).drop("id"))
+    a, b = toxicity.train(docs, labels), toxicity.train(many, labels)
+    assert all(np.allclose(x[0], y[0]) and x[1] == y[1] for x, y in zip(a[0], b[0], strict=True)) and np.allclose(a[1], b[1])
 
 
 def test_kernel_is_a_kernel():
@@ -44,6 +62,22 @@ def test_kernel_is_a_kernel():
     assert g[0, 1] > 0.3 > g[0, 2]
 
 
+def test_kernel_against_enumerated_subsequences():
+    from itertools import combinations
+
+    def occurrences(word, letters=4, span=6, decay=0.5):
+        s = f"^{word}"
+        return [("".join(s[i] for i in c), decay ** (c[-1] - c[0] + 1 - letters)) for c in combinations(range(len(s)), letters) if c[-1] - c[0] < span]
+
+    def kernel(a, b):
+        a, b = occurrences(a), occurrences(b)
+        norm = np.sqrt(sum(w * w for _, w in a) * sum(w * w for _, w in b))
+        return sum(x * y for f, x in a for g, y in b if f == g) / norm if norm else 0.0
+
+    words = ["idiot", "idiiot", "xidiotx", "garden", "abc", "banana", "bananas", "idot", "ab"]
+    assert np.allclose(toxicity.Kernel().gram(words, words), [[kernel(a, b) for b in words] for a in words], atol=1e-6)
+
+
 @pytest.mark.parametrize("which", ["oddities", "nothing"])
 def test_toxicity_and_quality_odd_rows(spark, which, request):
     df = request.getfixturevalue(which)
