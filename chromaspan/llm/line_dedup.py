@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, remove, scratch
 
 BLANK = b" \t\n\x0b\x0c\r"
 ANY = "h1 long, h2 int"
-RUN = f"known int, {ANY}, n_docs long, max_doc long"
+LEAST_ID = -(1 << 63)  # stands for a null doc_id
 
 
 def line_keys(text: bytes, least: int) -> list[tuple[int, int] | None]:
@@ -31,119 +34,156 @@ def line_keys(text: bytes, least: int) -> list[tuple[int, int] | None]:
 
 
 class LineRuns:
-    """Runs of line hashes, each sorted, in levels.
-
-    A new batch is merge-anti-joined with the runs: its lines that no run has are added as new (known 0), those that
-    a run has already as repeats (known 1), both with the batch's n_docs and max_doc. So every line is new in one run
-    only, and the next batch joins the new lines alone. The batch becomes a run of level 0; as soon as a level has
-    `fanout` runs, they are merged into one run of the next level. So a line is rewritten once per level, and few runs
-    have to be read at any time.
+    """Runs of line hashes in levels: tables bucketed by the hash and sorted in each bucket.
+
+    A new batch is counted by line and merge-joined with every run, bucket by bucket; the runs are neither shuffled nor
+    sorted for it. Its lines that no run has (the anti-join) are new; they alone are what later batches are joined
+    with, so every line is new once. Its other lines are repeats: they keep the batch's count and the count `had` by
+    the run that met them first. What is new and what repeats become one run of level 0; as soon as a level has
+    `fanout` runs, these are merged into one of the next level, before the next batch comes. So a line is rewritten
+    once a level, and a batch meets few runs.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
+    def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout, self.levels = spark, fanout, []
-
-    def _write(self, rows: DataFrame) -> str:
-        path = scratch(self.spark, "run")
-        rows.select("known", "h1", "h2", "n_docs", "max_doc").sortWithinPartitions("known", "h1", "h2").write.parquet(path)
-        return path
-
-    def _read(self) -> DataFrame:
-        """The rows of all runs; a batch's lines are once among them."""
-        return self._of([p for runs in self.levels for p in runs])
-
-    def _of(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    @contextmanager
+    def _sorted(self) -> Iterator[None]:
+        """Lets scans of buckets that are one file each keep their order."""
+        name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, "true")
+        yield
+        self.spark.conf.set(name, before)
+
+    def _write(self, rows: DataFrame) -> tuple[str, str]:
+        name, path = f"chromaspan_run_{uuid.uuid4().hex}", scratch(self.spark, "run")
+        rows = rows.select("h1", "h2", "known", "n_docs", "max_doc", "had").repartition(self.buckets, "h1", "h2")
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        return name, path
+
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name, _ in level]
+
+    def _drop(self, runs: list[tuple[str, str]]) -> None:
+        for name, path in runs:
+            self.spark.sql(f"DROP TABLE {name}")
+            remove(self.spark, path)
+
+    def met(self, lines: DataFrame) -> DataFrame:
+        """Lines (h1, h2, doc_id), each once a document, counted, with known (0: no run has it) and had."""
+        out = lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")).withColumn("had", F.lit(None).cast("long"))
+        for name in self.runs():
+            run = self.spark.table(name).filter("known = 0").selectExpr("h1 r1", "h2 r2", "n_docs r_docs", "max_doc r_max").hint("merge")
+            out = out.join(run, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "left")
+            out = out.select("h1", "h2", "n_docs", F.greatest("max_doc", "r_max").alias("max_doc"), F.coalesce("had", "r_docs").alias("had"))
+        return out.select("h1", "h2", F.col("had").isNotNull().cast("int").alias("known"), "n_docs", "max_doc", F.coalesce("had", F.lit(0)).cast("long").alias("had"))
 
     def add(self, lines: DataFrame) -> None:
         """A new batch: lines (h1, h2, doc_id), each line once a document."""
-        rows = lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        if self.levels:
-            had = self._read().filter("known = 0").selectExpr("h1 r1", "h2 r2").hint("merge")
-            met = rows.join(had, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "left")  # the anti-join's rows are those without a partner
-            new = self._write(met.withColumn("known", F.col("r1").isNotNull().cast("int")))
-        else:
-            new = self._write(rows.withColumn("known", F.lit(0)))
-        level, add = 0, [new]
-        while add:
-            if level == len(self.levels):
-                self.levels.append([])
-            runs = self.levels[level] = self.levels[level] + add
-            add = []
-            if len(runs) >= self.fanout:
-                add = [self._write(self._merged(self._of(runs), "known"))]
-                for p in runs:
-                    remove(self.spark, p)
-                self.levels[level] = []
-            level += 1
-
-    def _merged(self, rows: DataFrame, *more: str) -> DataFrame:
-        return rows.groupBy("h1", "h2", *more).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
-
-    def rows(self) -> DataFrame:
-        """Every line once, over all runs: h1, h2, n_docs, max_doc."""
-        return self._merged(self._read())
+        with self._sorted():
+            add, level = [self._write(self.met(lines))], 0
+            while add:
+                if level == len(self.levels):
+                    self.levels.append([])
+                runs = self.levels[level] = self.levels[level] + add
+                add = []
+                if len(runs) >= self.fanout:
+                    rows = self._all([name for name, _ in runs]).groupBy("h1", "h2", "known")
+                    add = [self._write(rows.agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("had").alias("had")))]
+                    self._drop(runs)
+                    self.levels[level] = []
+                level += 1
+
+    def _all(self, names: list[str]) -> DataFrame:
+        out = self.spark.table(names[0])
+        for name in names[1:]:
+            out = out.unionByName(self.spark.table(name))
+        return out
 
     def repeated(self, min_docs: int) -> DataFrame:
-        """The lines that min_docs documents hold at least."""
-        return self.rows().filter(F.col("n_docs") >= min_docs)
+        """h1, h2, max_doc and n_docs of the lines that min_docs documents hold at least.
 
-    def new(self, lines: DataFrame, min_docs: int = 1) -> DataFrame:
-        """The lines of a batch that no run has (in min_docs documents at least) with a larger doc_id: a merge anti-join."""
-        runs = self.rows().filter(F.col("n_docs") >= min_docs).hint("merge").selectExpr("h1 r1", "h2 r2", "max_doc")
-        return lines.join(runs, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) < F.col("max_doc")), "left_anti")
+        A line of one batch alone has its count where it is new; the joins have told all others, and only these are
+        grouped: what they had when they were new, and every repeat's own count.
+        """
+        rows = self._all(self.runs())
+        total = F.max("had") + F.sum("n_docs")
+        again = rows.filter("known = 1").groupBy("h1", "h2").agg(total.alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        both = rows.filter("known = 0").select("h1", "h2", "n_docs", "max_doc").unionByName(again).filter(F.col("n_docs") >= min_docs)
+        return both.groupBy("h1", "h2").agg(F.max("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
 
+    def close(self) -> None:
+        for level in self.levels:
+            self._drop(level)
+        self.levels = []
 
-def dedup_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, batches: int = 3, fanout: int = 3) -> DataFrame:
-    """doc_id, text (of the lines kept, joined by newlines), n_lines and n_dropped of every row of docs (doc_id, text).
+
+def dedup_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, fanout: int = 2, batch_docs: int = 4096, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text (of the lines kept, joined by newlines), n_lines and n_dropped of every row of docs (doc_id, text), and its columns to keep.
 
     A line's key is the line without blanks at its ends and with A-Z lower-cased. A key of at least `least` code
     points that at least min_docs documents hold loses all its lines except in the largest doc_id holding it.
 
-    A null or empty text is one empty line. A row is a document: rows that repeat a doc_id count as several, and all
-    those with the largest doc_id keep the line. A null doc_id counts as the smallest. Other columns are ignored, and
-    an empty table gives no rows. Keys are compared by 96 bits of hash.
+    A null or empty text is one empty line; a very long text is split as a whole. A row is a document: rows that repeat
+    a doc_id count as several, and all those with the largest doc_id keep the line; every row stays one row. A null
+    doc_id counts as the smallest. Columns neither used nor kept are ignored, and an empty table gives no rows. Keys
+    are compared by 96 bits of hash.
 
-    The documents' line hashes are stored once, dealt into batches by hash of doc_id, and each batch is merge-anti-joined
-    with the runs and adds its own. Whether a line goes depends on how many documents hold it and on the last of them,
-    which only all batches together tell: when all have joined, the few lines that repeat often enough are taken from
-    the runs, and the lines that a document loses by them go back to it.
+    The documents' line hashes are stored once, dealt by hash of the row into a first batch and one more for every
+    doubling beyond batch_docs documents, so that levels grow with the input while no batch has to fit anywhere; each
+    batch is joined with the runs and adds its own (see LineRuns). Whether a line goes depends on how many documents
+    hold it and on the last of them, which only all batches together tell: when all have been added, the repeated
+    lines are joined back, and what a document loses by them goes back to its text, by doc_id and a hash of the text.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    keep = [c for c in keep if c not in ("doc_id", "text", "n_lines", "n_dropped")]
+    names = {"row_hash": "row_hash", "lost": "lost"}
+    while set(names.values()) & set(keep):
+        names = {k: f"_{v}" for k, v in names.items()}
+    row_hash, lost_lines = names["row_hash"], names["lost"]
+    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("binary")}).select("doc_id", "text", *keep)
+    rows = rows.withColumn(row_hash, F.xxhash64("text"))
 
     def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            out = [(d, *k) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for k in {*line_keys(t or b"", least)} - {None}]
-            cols = [*zip(*out, strict=True)] or [(), (), ()]
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["doc_id", "h1", "h2"])
+            out = [(d, r, *k) for d, r, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for k in {*line_keys(t or b"", least)} - {None}]
+            cols = [*zip(*out, strict=True)] or [()] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "row_hash", "h1", "h2"])
 
+    n = docs.count()
+    batches = 1 + max(0, n // batch_docs).bit_length()
     path = scratch(spark, "lines")
-    lines = rows.mapInArrow(keys, f"doc_id long, {ANY}").withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-    lines.write.partitionBy("batch").parquet(path)
-    stored = spark.read.schema(f"doc_id long, {ANY}, batch int").parquet(path)
+    lines = rows.select("doc_id", row_hash, "text").mapInArrow(keys, f"doc_id long, row_hash long, {ANY}")
+    lines.withColumn("batch", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(path)
+    stored = spark.read.schema(f"doc_id long, row_hash long, {ANY}, batch int").parquet(path)
     runs = LineRuns(spark, fanout)
     for k in range(batches):
-        runs.add(stored.filter(F.col("batch") == k).drop("batch"))
-
+        runs.add(stored.filter(F.col("batch") == k).select("h1", "h2", "doc_id"))
     repeated = scratch(spark, "repeated")
-    runs.repeated(min_docs).select("h1", "h2", "max_doc").sortWithinPartitions("h1", "h2").write.parquet(repeated)
+    runs.repeated(min_docs).write.parquet(repeated)
+    runs.close()
+
     again = spark.read.schema(f"{ANY}, max_doc long").parquet(repeated).selectExpr("h1 r1", "h2 r2", "max_doc")
-    lost = stored.join(again, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) < F.coalesce("max_doc", F.lit(-(1 << 63)))), "left_semi")
-    lists = lost.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("lost_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
+    null_least = lambda c: F.coalesce(c, F.lit(LEAST_ID))
+    lost = stored.join(again, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (null_least("doc_id") < null_least("max_doc")), "left_semi")
+    lists = lost.groupBy(null_least("doc_id").alias("lost_id"), F.col("row_hash").alias("lost_row")).agg(F.collect_set(F.struct("h1", "h2")).alias(lost_lines))
 
     def rewrite(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             out = []
-            for t, gone in zip(b.column("text").to_pylist(), b.column("lost").to_pylist(), strict=True):
+            for t, gone in zip(b.column("text").to_pylist(), b.column(lost_lines).to_pylist(), strict=True):
                 own = (t or b"").split(b"\n")
                 drop = {(x["h1"], x["h2"]) for x in gone or ()}
                 kept = own if not drop else [x for x, k in zip(own, line_keys(t, least), strict=True) if k not in drop]
                 out.append((b"\n".join(kept), len(own), len(own) - len(kept)))
             cols = [*zip(*out, strict=True)] or [(), (), ()]
             text = pa.array(cols[0], pa.binary()).cast(pa.string())
-            yield pa.record_batch([b.column("doc_id"), text, pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["doc_id", "text", "n_lines", "n_dropped"])
+            yield pa.record_batch([b.column("doc_id"), text, pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *map(b.column, keep)], names=["doc_id", "text", "n_lines", "n_dropped", *keep])
 
-    joined = rows.join(lists, F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("lost_id"), "left").select("doc_id", "text", "lost")
-    return joined.mapInArrow(rewrite, "doc_id long, text string, n_lines long, n_dropped long")
+    on = (null_least("doc_id") == F.col("lost_id")) & (F.col(row_hash) == F.col("lost_row"))
+    joined = rows.join(lists, on, "left").select("doc_id", "text", lost_lines, *keep)
+    out = T.StructType().add("doc_id", "long").add("text", "string").add("n_lines", "long").add("n_dropped", "long")
+    return joined.mapInArrow(rewrite, T.StructType([*out.fields, *(rows.schema[c] for c in keep)]))

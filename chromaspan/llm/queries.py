@@ -70,12 +70,12 @@ AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 ORACLE_SQL = {
     "op3_line_dedup": f"""
         WITH line AS (
-            SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i
-            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+            SELECT row, doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i
+            FROM (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
         keyed AS (SELECT *, translate(trim(line, {BLANKS}), {AZ}) AS k FROM line),
-        often AS (SELECT k, max(doc_id) AS last_id FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
-        judged AS (SELECT keyed.*, often.k IS NOT NULL AND doc_id <> last_id AS gone FROM keyed LEFT JOIN often ON keyed.k = often.k)
-        SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+        often AS (SELECT k, max(doc_id) AS last_id FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT row) >= 3),
+        judged AS (SELECT keyed.*, often.k IS NOT NULL AND doc_id IS DISTINCT FROM last_id AS gone FROM keyed LEFT JOIN often ON keyed.k = often.k)
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-        FROM judged GROUP BY doc_id""",
+        FROM judged GROUP BY row""",
 }

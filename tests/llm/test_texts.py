@@ -9,6 +9,7 @@ import duckdb
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chromaspan.llm import bpe, line_dedup, lm_score, packing, simhash, token_count
@@ -153,6 +154,7 @@ def brute_lines(rows):
 def test_line_dedup(which, request):
     df = request.getfixturevalue(which)
     same(line_dedup.dedup_lines(df).collect(), brute_lines(texts(df)))
+    same(line_dedup.dedup_lines(df, batch_docs=3, fanout=3).collect(), brute_lines(texts(df)))
 
 
 def test_line_dedup_query(spark):
@@ -163,19 +165,52 @@ def test_line_dedup_query(spark):
 
 
 def test_line_runs(spark):
+    """Runs after every batch: what is new, what repeats, levels, and that a batch reads them without a shuffle or sort."""
     runs = line_dedup.LineRuns(spark, fanout=2)
-    held = {}
-    for k in range(5):
-        batch = [(x, 0, k * 10 + x) for x in range(k, k + 4)]
-        runs.add(spark.createDataFrame(batch, "h1 long, h2 int, doc_id long"))
+    held, new_in = {}, {}
+    for k in range(7):
+        batch = [(x, 0, k * 10 + x + d) for x in range(k, k + 4) for d in range(2)]
+        lines = spark.createDataFrame(batch, "h1 long, h2 int, doc_id long")
+        if k:
+            assert {r.h1: (r.known, r.had) for r in runs.met(lines).collect()} == {x: (int(x in new_in), new_in.get(x, 0)) for x in range(k, k + 4)}
+        runs.add(lines)
+        for x in range(k, k + 4):
+            new_in.setdefault(x, 2)
         for x, _, d in batch:
             n, m = held.get(x, (0, 0))
             held[x] = (n + 1, max(m, d))
-        assert {r.h1: (r.n_docs, r.max_doc) for r in runs.rows().collect()} == held
-        assert sum(map(len, runs.levels)) <= 3
-    asked = spark.createDataFrame([(0, 0, 1), (100, 0, 1), (4, 0, 1000)], "h1 long, h2 int, doc_id long")
-    assert sorted(r.h1 for r in runs.new(asked).collect()) == [0, 4, 100]
-    assert [r.h1 for r in runs.new(spark.createDataFrame([(1, 0, 5)], "h1 long, h2 int, doc_id long")).collect()] == []
+        assert len(runs.runs()) == (k + 1).bit_count()  # the binary digits of the number of batches
+        for least in (1, 3, 4, 7):
+            assert {r.h1: (r.n_docs, r.max_doc) for r in runs.repeated(least).collect()} == {x: v for x, v in held.items() if v[0] >= least}
+        rows = runs._all(runs.runs()).filter("known = 0").collect()
+        assert sorted(r.h1 for r in rows) == sorted(held)
+    with runs._sorted():
+        plan = runs.met(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 3
+    runs.close()
+
+
+def test_line_dedup_by_the_joins(spark, monkeypatch):
+    """Without the joins' outcome, repeats of different batches aren't found."""
+    rows = [(i, f"a line that many documents repeat {i % 7}\nx{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(line_dedup.dedup_lines(df, batch_docs=2).collect(), brute_lines(rows))
+    met = line_dedup.LineRuns.met
+    monkeypatch.setattr(line_dedup.LineRuns, "met", lambda self, lines: met(self, lines).withColumns({"known": F.lit(0), "had": F.lit(0).cast("long")}))
+    assert sum(r.n_dropped for r in line_dedup.dedup_lines(df, batch_docs=2).collect()) < sum(r[3] for r in brute_lines(rows))
+
+
+def test_line_dedup_repeated_and_kept(spark):
+    """Rows that repeat an id, or all of a row, each stay one row, with their own columns."""
+    rows = [(1, "the line that comes again and again\none"), (1, "the line that comes again and again\ntwo"), (2, "the line that comes again and again\nx"), (2, "the line that comes again and again\nx"), (None, "the line that comes again and again\nnull"), (None, None)]
+    df = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, lost int, row_hash string")
+    got = line_dedup.dedup_lines(df, batch_docs=1, keep=["lost", "row_hash", "text"]).collect()
+    assert sorted((r.lost, r.doc_id, r.text, r.n_dropped) for r in got) == [(k, *r[:2], r[3]) for k, r in enumerate(brute_lines([(i, t or "") for i, t in rows]))]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows[:4])
+    want = [(i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, t, n, d in brute_lines(rows[:4])]
+    same(con.sql(ORACLE_SQL["op3_line_dedup"]).fetchall(), want)
 
 
 def brute_prints(rows):
