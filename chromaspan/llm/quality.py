@@ -1,29 +1,31 @@
-"""Document quality by co-training of a text view and a page-metadata view."""
+"""Document quality by co-training of a text-content view and a page-metadata view."""
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, stored
 from .toxicity import logistic
 
 BINS, BUCKETS = 8, 32
-TEXT = 16
-META = 3  # numbers of the metadata view, beside the two hashed names
+SHAPE, NAMES, META = 16, 2, 3  # numbers of a text's shape; names and columns of the record
+GRAMS = 1 << 14  # buckets of hashed words, and of hashed pairs of words
+ROW = "y double, hash long, shape binary, grams binary, meta binary"
 
 
-def text_view(text: bytes) -> list[float]:
-    """What the text itself looks like: shares of kinds of characters, of repeated words, and word lengths."""
+def shape(text: bytes, words: list[bytes]) -> list[float]:
+    """What a text looks like: shares of kinds of characters, of repeated words, and word lengths."""
     n = max(1, len(text))
     h = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     upper, lower, digit, blank = h[65:91].sum(), h[97:123].sum(), h[48:58].sum(), h[[32, 9, 10, 11, 12, 13]].sum()
-    words = text.lower().split()
     m = max(1, len(words))
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -34,147 +36,288 @@ def text_view(text: bytes) -> list[float]:
     ]
 
 
-def meta_view(lang: str | None, source: str | None, n_chars: int | None, text: bytes) -> list[float]:
-    """What the page's record says: language and source (hashed), stated length, number of lines and their mean length."""
-    lines = text.count(b"\n") + 1
-    name = lambda x: -1.0 if x is None else float(zlib.crc32(str(x).encode()) % BUCKETS)
-    return [name(lang), name(source), float(np.log1p(max(0, n_chars or 0))), float(np.log1p(lines)), float(np.log1p(len(text) / lines))]
-
-
-class View:
-    """An additive logistic model over binned numbers and hashed names."""
-
-    def __init__(self, names: int):
-        self.names = names
-
-    def cuts(self, x: np.ndarray) -> None:
-        self.edges = [np.unique(np.quantile(c, np.arange(1, BINS) / BINS)) for c in x[:, self.names :].T]
-        self.width = self.names * (BUCKETS + 1) + len(self.edges) * BINS + 1
-
-    def design(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), self.width))
-        at, rows = 0, np.arange(len(x))
-        for k in range(self.names):
-            out[rows, at + x[:, k].astype(int) + 1] = 1
-            at += BUCKETS + 1
-        for e, c in zip(self.edges, x[:, self.names :].T, strict=True):
-            out[rows, at + np.searchsorted(e, c, side="right")] = 1
-            at += BINS
-        out[:, -1] = 1
-        return out
-
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 30) -> None:
-        d, self.w = self.design(x), np.zeros(self.width)
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(d @ self.w, -30, 30)))
-            r = p * (1 - p) + 1e-6
-            move = np.linalg.solve(d.T @ (d * r[:, None]) + np.eye(self.width), d.T @ (p - y) + self.w)
-            self.w -= move
-            if np.abs(move).max() < 1e-5:
-                break
+class Grams:
+    """The hashed words and pairs of words that a text holds: ascending numbers below 2 * GRAMS."""
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        return self.design(x) @ self.w
+    def __init__(self, cache_words: int = 400_000):
+        self.known: dict[bytes, int] = {}
+        self.cache_words = cache_words
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.scale = logistic(self.margin(x), y)
+    def of(self, words: list[bytes]) -> np.ndarray:
+        missing = set(words).difference(self.known)
+        if len(self.known) + len(missing) > self.cache_words:
+            self.known, missing = {}, set(words)
+        self.known.update((w, zlib.crc32(w)) for w in missing)
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint32, len(words))
+        for w in missing:
+            if len(w) >= 256:  # the cache is bounded in bytes, too
+                del self.known[w]
+        pair = (h[:-1] * np.uint32(0x9E3779B1)) ^ h[1:]
+        pair ^= pair >> np.uint32(15)
+        return np.unique(np.concatenate([h % GRAMS, pair % GRAMS + np.uint32(GRAMS)])).astype(np.uint16)
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return self.margin(x) * self.scale[0] + self.scale[1]
 
+def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
+    """What the page's record says, without its text: language and source (hashed) and the stated length (null: -1)."""
+    name = lambda x: -1.0 if x is None else float(zlib.crc32(str(x).encode()) % BUCKETS)
+    return [name(lang), name(source), -1.0 if n_chars is None else float(np.log1p(max(0, n_chars)))]
+
+
+@dataclass
+class Rows:
+    """Rows of one view: numbers (the first of them hashed names) and, for texts, the grams of each."""
+
+    x: np.ndarray
+    grams: list[np.ndarray] | None = None
+
+    def __add__(self, other: Rows) -> Rows:
+        return Rows(np.concatenate([self.x, other.x]), None if self.grams is None else self.grams + other.grams)
+
+    def pick(self, at: np.ndarray) -> Rows:
+        return Rows(self.x[at], None if self.grams is None else [self.grams[i] for i in at])
+
+
+def minimise(f: Callable, w: np.ndarray, steps: int = 60, memory: int = 8) -> np.ndarray:
+    """The minimum of a smooth convex f, which returns its value and gradient, by limited-memory BFGS."""
+    value, g = f(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        d, alphas = -g, []
+        for s, y, r in reversed(past):
+            alphas.append(a := r * (s @ d))
+            d = d - a * y
+        if past:
+            s, y, r = past[-1]
+            d = d / (r * (y @ y))
+        for (s, y, r), a in zip(past, reversed(alphas), strict=True):
+            d = d + s * (a - r * (y @ d))
+        step, slope = 1.0 if past else min(1.0, 1 / max(1e-12, np.abs(g).sum())), g @ d
+        while True:
+            new, ng = f(w + step * d)
+            if new <= value + 1e-4 * step * slope or step < 1e-8:
+                break
+            step /= 2
+        s, y = step * d, ng - g
+        done = value - new < 1e-6 * max(1.0, abs(value))
+        w, value, g = w + s, new, ng
+        if done:
+            break
+        if s @ y > 1e-12:
+            past = [*past, (s, y, 1 / (s @ y))][-memory:]
+    return w
 
-def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = 3, per_round: int = 300, sure: float = 0.98) -> tuple[list[View], np.ndarray]:
-    """Two views, and weights of their logits and of 1.
 
-    A fourth of the labelled rows calibrates; the views learn from the rest and, round by round, from the pool's rows
-    of which the other view is `sure`, at most per_round of either label.
+class View:
+    """A logistic model over binned numbers, hashed names and, for texts, hashed words and pairs of words."""
+
+    def __init__(self, names: int, numbers: int):
+        self.names, self.numbers, self.w, self.scale = names, numbers, None, (1.0, 0.0)
+
+    def cuts(self, rows: Rows) -> None:
+        self.edges = [np.unique(np.quantile(c, np.arange(1, BINS) / BINS)) for c in rows.x[:, self.names :].T]
+        self.width = self.names * (BUCKETS + 1) + self.numbers * BINS + 1
+
+    def design(self, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sparse design matrix: of each element its row, column and value."""
+        x, n = rows.x, len(rows.x)
+        cols = [k * (BUCKETS + 1) + 1 + x[:, k].astype(np.int64) for k in range(self.names)]
+        at = self.names * (BUCKETS + 1)
+        cols += [at + k * BINS + np.searchsorted(e, c, side="right") for k, (e, c) in enumerate(zip(self.edges, x[:, self.names :].T, strict=True))]
+        cols.append(np.full(n, self.width - 1))
+        who, what, v = np.tile(np.arange(n), len(cols)), np.concatenate(cols), np.ones(n * len(cols))
+        if rows.grams is not None:
+            size = np.array([len(g) for g in rows.grams], np.int64)
+            who = np.concatenate([who, np.repeat(np.arange(n), size)])
+            what = np.concatenate([what, *(g.astype(np.int64) + self.width for g in rows.grams)])
+            v = np.concatenate([v, np.repeat(2 / np.sqrt(np.maximum(size, 1)), size)])
+        return who, what, v
+
+    def fit(self, rows: Rows, y: np.ndarray) -> None:
+        who, what, v = self.design(rows)
+        n, size = len(y), self.width + (0 if rows.grams is None else 2 * GRAMS)
+
+        def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+            z = np.bincount(who, w[what] * v, n)
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            return float(np.logaddexp(0, z).sum() - z @ y + w @ w / 2), np.bincount(what, v * (p - y)[who], size) + w
+
+        self.w = minimise(loss, np.zeros(size) if self.w is None else self.w)
+
+    def margin(self, rows: Rows) -> np.ndarray:
+        who, what, v = self.design(rows)
+        return np.bincount(who, self.w[what] * v, len(rows.x))
+
+    def calibrate(self, rows: Rows, y: np.ndarray) -> None:
+        self.scale = logistic(self.margin(rows), y)
+
+    def logit(self, rows: Rows) -> np.ndarray:
+        return np.clip(self.margin(rows) * self.scale[0] + self.scale[1], -12, 12)
+
+
+def co_train(seed: list[Rows], y: np.ndarray, sure_rows: Callable, rounds: int = 3, sure: float = 0.98) -> tuple[list[View], np.ndarray]:
+    """Two views, text and metadata, and weights of their logits and of 1.
+
+    A fourth of each kind of labelled rows calibrates (all do, if a kind has too few); the views learn from the rest
+    and, round by round, from rows without labels of which the other view is `sure`. sure_rows(views, limit) returns
+    these: for each view and label (1, 0) the rows of both views, at most so many, each row once over all rounds.
     """
-    hold = np.arange(len(y)) % 4 == 3
-    views = [View(0), View(2)]
-    more: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-    left = np.ones(len(pool[0]), bool)
-    for v, a, p in zip(views, x, pool, strict=True):
-        v.cuts(np.concatenate([a, p]))
+    hold = np.zeros(len(y), bool)
+    for label in (0, 1):
+        hold[np.flatnonzero(y == label)[3::4]] = True
+    fits, tests = (np.flatnonzero(~hold), np.flatnonzero(hold)) if len(set(y[hold])) == 2 else (np.arange(len(y)),) * 2
+    views = [View(0, SHAPE), View(NAMES, META - NAMES)]
+    learn = [(r.pick(fits), y[fits]) for r in seed]
+    for v, r in zip(views, seed, strict=True):
+        v.cuts(r)
     for turn in range(rounds + 1):
-        for k, v in enumerate(views):
-            v.fit(np.concatenate([x[k][~hold], *(m[0] for m in more[k])]), np.concatenate([y[~hold], *(m[1] for m in more[k])]))
-            v.calibrate(x[k][hold], y[hold])
-        if turn == rounds or not left.any():
+        for v, (r, t), s in zip(views, learn, seed, strict=True):
+            v.fit(r, t)
+            v.calibrate(s.pick(tests), y[tests])
+        if turn == rounds:
             break
-        limit = np.log(sure / (1 - sure))
-        for k, v in enumerate(views):
-            z = v.logit(pool[k])
-            for label, order in ((1.0, np.argsort(-z)), (0.0, np.argsort(z))):
-                pick = [i for i in order[: 4 * per_round] if left[i] and (z[i] >= limit if label else z[i] <= -limit)][:per_round]
-                left[pick] = False
-                more[1 - k].append((pool[1 - k][pick], np.full(len(pick), label)))
-    # Together: logistic regression over the calibrated logits, with the text's weight and the metadata's.
-    d = np.stack([*(np.clip(v.logit(a[hold]), -12, 12) for v, a in zip(views, x, strict=True)), np.ones(hold.sum())], 1)
-    w = np.array([1.0, 0.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        move = np.linalg.solve(d.T @ (d * (p * (1 - p) + 1e-6)[:, None]) + 0.1 * np.eye(3), d.T @ (p - y[hold]) + 0.1 * (w - [1, 0, 0]))
-        w -= move
-        if np.abs(move).max() < 1e-6:
+        found = sure_rows(views, float(np.log(sure / (1 - sure))))
+        for k, label, rows in found:
+            r, t = learn[1 - k]
+            learn[1 - k] = (r + rows[1 - k], np.append(t, np.full(len(rows[0].x), float(label))))
+        if not any(len(rows[0].x) for *_, rows in found):
             break
-    return views, w
+    # Together: logistic regression over the calibrated logits, with a penalty towards the text's alone.
+    d = np.stack([*(v.logit(r.pick(tests)) for v, r in zip(views, seed, strict=True)), np.ones(len(tests))], 1)
+    start = np.array([1.0, 0.0, 0.0])
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = d @ w
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return float(np.logaddexp(0, z).sum() - z @ y[tests] + 0.05 * ((w - start) ** 2).sum()), d.T @ (p - y[tests]) + 0.1 * (w - start)
+
+    return views, minimise(loss, start)
 
 
 def _held():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)), F.lit(-1)) == 0
 
 
-def _record(docs: DataFrame) -> DataFrame:
-    """The columns used; those of the metadata that docs lacks are null."""
+def _record(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The columns used, those of the metadata that docs lacks null; and those to keep."""
     get = lambda c, t: (F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c)
-    return docs.select(get("doc_id", "long"), get("text", "binary"), get("lang", "string"), get("source", "string"), get("n_chars", "long"))
+    used = {"doc_id": "long", "text": "binary", "lang": "string", "source": "string", "n_chars": "long"}
+    return docs.select(*(get(c, t) for c, t in used.items()), *(c for c in keep if c not in used))
 
 
-def _features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    texts = [t or b"" for t in b.column("text").to_pylist()]
-    meta = [meta_view(*x) for x in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")), texts, strict=True)]
-    return np.array([text_view(t) for t in texts]).reshape(-1, TEXT), np.array(meta).reshape(-1, 2 + META)
+def _features(b: pa.RecordBatch, grams: Grams) -> list[Rows]:
+    """The text view's and the metadata view's rows."""
+    looks, words = [], []
+    for t in b.column("text").to_pylist():
+        w = (t or b"").lower().split()
+        looks.append(shape(t or b"", w))
+        words.append(grams.of(w))
+    meta = [meta_view(*x) for x in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]
+    return [Rows(np.array(looks).reshape(-1, SHAPE), words), Rows(np.array(meta).reshape(-1, META))]
 
 
-def score(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, pool_docs: int = 4000, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score (that quality is 1), predicted and kept of every row of docs (doc_id, text, lang, source, n_chars).
+def _packed(rows: list[Rows], y: pa.Array, h: pa.Array) -> pa.RecordBatch:
+    text, meta = rows
+    cols = [[x.tobytes() for x in part] for part in (text.x, text.grams, meta.x)]
+    return pa.record_batch([y, h, *(pa.array(c, pa.binary()) for c in cols)], names=["y", "hash", "shape", "grams", "meta"])
 
-    Learns from at most max_docs labelled rows whose crc32(doc_id) mod 5 is not 0, with a pool of at most pool_docs
-    others (stated bounds on the samples; the labels of the pool aren't read). All documents are scored over their
-    whole texts. A null text is empty, null or missing metadata has a bin of its own, a null doc_id is scored and stays
-    null; repeated rows are scored each; an empty table gives no rows. Without labels of both kinds all rows score 1
-    (or 0, if all labels are 0).
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    rows = _record(docs)
+
+def _unpacked(t: pa.Table | pa.RecordBatch) -> list[Rows]:
+    of = lambda c, n: np.frombuffer(b"".join(t.column(c).to_pylist()), np.float64).reshape(-1, n)
+    return [Rows(of("shape", SHAPE), [np.frombuffer(x, np.uint16) for x in t.column("grams").to_pylist()]), Rows(of("meta", META))]
+
+
+def train(rows: DataFrame, labels: DataFrame, max_docs: int, per_round: int) -> tuple[list[View], np.ndarray] | None:
+    """The co-trained views and their weights; None without labels of both kinds. rows: as _record returns them."""
+    spark = rows.sparkSession
     given = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter(~_held())
-    given = given.orderBy(F.xxhash64("doc_id")).limit(max_docs).selectExpr("doc_id label_id", "double(quality) y")
-    other = rows.select("doc_id").filter("doc_id is not null").join(labels.selectExpr("doc_id l"), F.col("doc_id") == F.col("l"), "left_anti")
-    other = other.filter(~_held()).orderBy(F.xxhash64("doc_id")).limit(pool_docs).selectExpr("doc_id label_id", "cast(null as double) y")
+    given = given.orderBy(F.xxhash64("doc_id")).limit(max_docs).selectExpr("doc_id label_id", "double(quality > 0) y")
+    open_ = rows.filter(~_held()).join(F.broadcast(stored(given, "wanted")), F.col("doc_id") == F.col("label_id"), "left")  # max_docs ids
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
         for b in batches:
-            a, m = _features(b)
-            yield pa.record_batch([b.column("y"), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64()))], names=["y", "a", "b"])
-
-    wanted = stored(given.unionByName(other), "wanted")  # max_docs + pool_docs ids
-    taken = rows.join(F.broadcast(wanted), F.col("doc_id") == F.col("label_id")).drop("label_id")
-    t = taken.mapInArrow(features, "y double, a array<double>, b array<double>").toArrow()
-    y, a, m = t.column("y").to_pandas().to_numpy(), np.array(t.column("a").to_pylist()).reshape(-1, TEXT), np.array(t.column("b").to_pylist()).reshape(-1, 2 + META)
-    known = ~np.isnan(y)
-    y = (y > 0).astype(float) * known
-    if known.sum() < 20 or len(set(y[known])) < 2:
-        p = F.lit(float(y[known].mean() if known.any() else 1.0))
-        scored = rows.select("doc_id", _held().alias("held_out"), p.alias("score"))
+            yield _packed(_features(b, grams), b.column("y"), b.column("hash"))
+
+    hashed = open_.withColumn("hash", F.xxhash64("doc_id", "text")).select("text", "lang", "source", "n_chars", "y", "hash", "label_id")
+    first = F.min(F.struct("hash", "text", "lang", "source", "n_chars", "y")).alias("r")  # of rows that repeat a labelled id, one
+    known = hashed.filter("label_id is not null").groupBy("label_id").agg(first).select("r.*").mapInArrow(features, ROW).toArrow()  # max_docs rows
+    known = known.sort_by("hash")
+    y = known.column("y").to_numpy()
+    if len(set(y)) < 2:
+        return None
+    pool = stored(hashed.filter("label_id is null").mapInArrow(features, ROW), "pool")
+    taken: set[int] = set()
+
+    def sure_rows(views: list[View], limit: float) -> list[tuple]:
+        model = spark.sparkContext.broadcast((views, taken))
+
+        def surest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A task's per_round surest rows of each kind: all that may be among the per_round of all tasks."""
+            views, out = model.value[0], {}
+            for b in batches:
+                rows, h = _unpacked(b), b.column("hash").to_numpy()
+                for k, (v, r) in enumerate(zip(views, rows, strict=True)):
+                    z = v.logit(r) if len(h) else np.zeros(0)
+                    for label, s in ((1, z), (0, -z)):
+                        best = out.setdefault((k, label), {})
+                        for i in np.flatnonzero(s >= limit)[np.argsort(-s[s >= limit], kind="stable")]:
+                            if len(best) >= 2 * per_round:
+                                best = out[k, label] = dict(sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:per_round])
+                                if s[i] < min(x[0] for x in best.values()):
+                                    break
+                            if int(h[i]) not in model.value[1]:
+                                best[int(h[i])] = (float(s[i]), b.slice(i, 1))
+            for (k, label), best in out.items():
+                for h, (z, row) in sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:per_round]:
+                    extra = [pa.array([2 * k + label], pa.int32()), pa.array([z])]
+                    yield pa.record_batch([*extra, *row.columns], names=["kind", "z", *row.schema.names])
+
+        best = stored(pool.mapInArrow(surest, f"kind int, z double, {ROW}"), "sure")
+        out = []
+        for k in (0, 1):
+            for label in (1, 0):
+                some = best.filter(F.col("kind") == 2 * k + label).dropDuplicates(["hash"]).orderBy(F.desc("z"), "hash").limit(per_round).toArrow()
+                some = some.filter(pa.array([h not in taken for h in some.column("hash").to_pylist()], pa.bool_()))  # another kind's
+                taken.update(some.column("hash").to_pylist())
+                out.append((k, label, _unpacked(some)))
+        return out
+
+    return co_train(_unpacked(known), y, sure_rows)
+
+
+def score(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, per_round: int = 300, threshold: float = 0.5, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, score (that quality is 1), predicted and kept of every row of docs (doc_id, text, lang, source, n_chars), and its columns to keep.
+
+    Learns from at most max_docs labelled rows whose crc32(doc_id) mod 5 is not 0 (a stated bound on the sample). The
+    text view sees the text alone (hashed words and pairs of words, and its shape), the metadata view the record alone
+    (lang, source, n_chars). In each round every other row that isn't held out is looked at, whatever its labels, and
+    the per_round rows that a view is surest of, of either kind, teach the other view. All documents are scored over
+    their whole texts, each by one task.
+
+    A null text is empty, null or missing metadata has a bin of its own, a null doc_id is scored and stays null;
+    repeated rows are scored each, but learnt from once: of rows that repeat a labelled id one is taken, of unlabelled
+    rows with the same id and text too. An empty table gives no rows. Without labels of both kinds no model can be
+    fitted: all rows score 1 and are kept.
+    """
+    bounded_batches(docs.sparkSession)
+    made = ["doc_id", "held_out", "score", "predicted", "kept"]
+    keep = [c for c in keep if c not in made]
+    rows = _record(docs, keep)
+    fitted = train(_record(docs), labels, max_docs, per_round)
+    rows = rows.withColumn("held_out", _held()).withColumn("text", F.col("text").cast("binary"))
+    types = {**{f.name: f for f in rows.schema.fields}, **({"text": T.StructField("text", T.StringType())} if "text" in keep else {})}
+    schema = T.StructType([types[c] for c in ("doc_id", "held_out", *keep)]).add("score", "double")
+    if fitted is None:
+        scored = rows.withColumn("text", F.col("text").cast("string")).select("doc_id", "held_out", *keep, F.lit(1.0).alias("score"))
     else:
-        model = spark.sparkContext.broadcast(co_train([a[known], m[known]], y[known], [a[~known], m[~known]]))
+        model = docs.sparkSession.sparkContext.broadcast(fitted)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            views, w = model.value
+            (views, w), grams = model.value, Grams()
             for b in batches:
-                z = sum(c * np.clip(v.logit(f), -12, 12) for c, v, f in zip(w, views, _features(b), strict=False)) + w[2]
-                yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "held_out", "score"])
+                z = sum(c * v.logit(r) for c, v, r in zip(w, views, _features(b, grams), strict=False)) + w[2]
+                cols = [b.column(c).cast(pa.string()) if c == "text" else b.column(c) for c in ("doc_id", "held_out", *keep)]
+                yield pa.record_batch([*cols, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=schema.names)
 
-        scored = rows.withColumn("held_out", _held()).mapInArrow(run, "doc_id long, held_out boolean, score double")
+        scored = rows.mapInArrow(run, schema)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumn("kept", F.col("score") >= threshold)

@@ -84,7 +84,8 @@ def test_toxicity_and_quality_odd_rows(spark, which, request):
     for labels in ([], [(4, 1, 0), (5, 0, 1), (None, 1, 1), (6, None, None), (4, 1, 0)], [(k, 1, 0) for k in range(1, 9)]):
         t = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
         for f in (toxicity.score, quality.score):
-            rows = f(df, t).collect()
+            rows = f(df, t, keep=["words", "n", "text"]).collect()
+            assert sorted((str(r.doc_id), str(r.text), r.n) for r in rows) == sorted((str(r.doc_id), str(r.text), r.n) for r in df.collect())
             assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in df.collect())
             assert all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in rows)
 
@@ -95,6 +96,76 @@ def test_quality_held_out(spark):
     assert n > 500 and got > 0.97
 
 
+def test_quality_views_are_apart():
+    """The metadata view doesn't change with the text, nor the text view with the record."""
+    import pyarrow as pa
+
+    def views(text, lang, source, n):
+        b = pa.record_batch([[text], [lang], [source], [n]], names=["text", "lang", "source", "n_chars"])
+        text, meta = quality._features(b, quality.Grams())
+        return text.x.tolist(), text.grams[0].tolist(), meta.x.tolist()
+
+    a, b, c = views(b"some words here\nand here", "en", "src1", 9), views(b"OTHER!!", "en", "src1", 9), views(b"some words here\nand here", "de", None, None)
+    assert a[2] == b[2] != c[2] and a[:2] == c[:2] and a[0] != b[0] and a[1] != b[1]
+    few, words = quality.Grams(cache_words=2), [b"a", b"b", b"c" * 300, b"a", b"d"]
+    assert few.of(words).tolist() == quality.Grams().of(words).tolist() and all(len(w) < 256 for w in few.known)
+    assert len(set(few.of(words).tolist())) == 8  # 4 words, 4 pairs
+
+
+def test_quality_learns_a_repeated_row_once(spark):
+    """1,000 copies of a labelled row and of an unlabelled one change no score."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    free = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0
+    one = docs.filter(free).join(labels, "doc_id", "left_semi").limit(1).unionByName(docs.filter(free).join(labels, "doc_id", "left_anti").limit(1))
+    a = {r.doc_id: r.score for r in quality.score(docs, labels).collect()}
+    b = quality.score(docs.unionByName(one.crossJoin(spark.range(1000)).drop("id")), labels).collect()
+    assert len(b) == docs.count() + 2000 and all(abs(a[r.doc_id] - r.score) < 1e-6 for r in b)
+
+
+def test_quality_without_a_model_keeps_all(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for labels in ([], [(k, 0, 0) for k in range(50)], [(k, 1, 0) for k in range(50)]):
+        rows = quality.score(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), keep=["text", "lang"]).collect()
+        assert len(rows) == docs.count() and all(r.kept and r.score == 1 for r in rows)
+    assert {(r.doc_id, r.text, r.lang) for r in rows} == {(r.doc_id, r.text, r.lang) for r in docs.collect()}
+
+
+def test_co_training_uses_the_other_view():
+    """A view that can't learn from its few labels learns from the rows that the other one is sure of."""
+    rng = np.random.default_rng(5)
+
+    def rows(n, y):
+        text = quality.Rows(np.zeros((n, quality.SHAPE)), [np.unique(rng.integers(0, 50, 30) + 100 * int(t)).astype(np.uint16) for t in y])
+        return [text, quality.Rows(np.stack([np.where(rng.random(n) < 0.5, 3.0, 7.0 + 2 * y), np.zeros(n), rng.random(n)], 1))]
+
+    y = np.array([0.0, 1.0] * 12)
+    seed = rows(24, y)
+    seed[1].x[:, 0] = 3.0  # nothing to learn for the metadata view
+    pool_y = (rng.random(500) < 0.5).astype(float)
+    pool, left = rows(500, pool_y), np.ones(500, bool)
+
+    def sure(views, limit):
+        out = []
+        for k, v in enumerate(views):
+            z = v.logit(pool[k])
+            for label, s in ((1, z), (0, -z)):
+                at = np.flatnonzero((s >= limit) & left)[:100]
+                left[at] = False
+                out.append((k, label, [p.pick(at) for p in pool]))
+        return out
+
+    views, w = quality.co_train(seed, y, sure, sure=0.9)
+    ask = rows(2, np.array([0.0, 1.0]))[1]
+    ask.x[:, 0] = [7.0, 9.0]
+    z = views[1].margin(ask)
+    assert z[0] < -0.5 and z[1] > 0.5 and len(w) == 3
+
+
+def test_minimise():
+    a = np.diag([1.0, 10.0, 100.0])
+    assert np.allclose(quality.minimise(lambda w: (float(w @ a @ w / 2 - w.sum()), a @ w - 1), np.zeros(3)), [1, 0.1, 0.01], atol=1e-2)
+
+
 def test_quality_without_metadata(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
     got, _ = accuracy(quality.score(docs, labels := spark.read.parquet(f"{BIG}/labels.parquet")).collect(), labels, "quality")
