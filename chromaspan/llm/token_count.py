@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, slices
 
 SUMMARY = "words binary, counts binary"
+LONG = 256  # bytes; words as long as that are neither counted nor cached, so that tables of words are bounded in bytes
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -56,7 +57,7 @@ def _added(seen: Counter, rows: list[tuple[bytes, bytes]], words: int) -> Counte
 
 
 def frequent_words(docs: DataFrame, words: int, groups: tuple[int, ...] = (1024, 32)) -> list[bytes]:
-    """About the `words` most frequent words of all whole texts.
+    """About the `words` most frequent words, of under LONG bytes, of all whole texts.
 
     Each task counts its own texts, pruned to a bounded number of words, and hands on one packed summary; summaries
     are merged in two levels of groups, so that the driver adds up groups[-1] of them at most, whatever the input. A
@@ -68,7 +69,8 @@ def frequent_words(docs: DataFrame, words: int, groups: tuple[int, ...] = (1024,
         for b in batches:
             texts = [t or b"" for t in b.column("text").to_pylist()]
             for i, j in slices(texts):
-                seen.update(chain.from_iterable(map(bytes.split, texts[i:j])))
+                own = Counter(chain.from_iterable(map(bytes.split, texts[i:j])))
+                seen.update({w: n for w, n in own.items() if len(w) < LONG})
                 seen = _pruned(seen, words)
         yield _summary(seen, words)
 
@@ -87,8 +89,8 @@ def frequent_words(docs: DataFrame, words: int, groups: tuple[int, ...] = (1024,
 
 
 def frequent_lengths(docs: DataFrame, path: str, words: int) -> tuple[bytes, bytes]:
-    """The first tier: the corpus's frequent words of under 256 bytes and their lengths, as two byte strings."""
-    top = [w for w in frequent_words(docs, words) if len(w) < 256]
+    """The first tier: the corpus's frequent words and their lengths, as two byte strings."""
+    top = frequent_words(docs, words)
     return b" ".join(top), bytes(min(x, 255) for x in _lengths(_tokenizer(path), top))
 
 
@@ -96,7 +98,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, frequent: int =
     """Tokens of every whole text, as the tokenizers library gives them for the word-level vocabulary at path.
 
     docs needs doc_id and text; other columns are ignored. A null text counts as empty (0 bytes, 0 tokens), rows that
-    repeat give a row each, a null doc_id stays null, an empty table gives no rows. The lengths of the `frequent` most
+    repeat give a row each, a null doc_id stays null, a very long text or word is counted whole, an empty table gives no
+    rows. The lengths of the `frequent` most
     frequent words of all texts are broadcast as two compact byte strings; a word they lack is encoded once per worker
     and kept in a cache of at most cache_words words. No pre-token is shuffled: only packed summaries of the tasks'
     word counts are.
@@ -122,6 +125,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, frequent: int =
                     missing = list(set(chain.from_iterable(parts)).difference(known))
                 known.update(zip(missing, _lengths(tokenizer, missing), strict=True))
                 counts += [sum(map(known.__getitem__, p)) for p in parts]
+                for w in missing:
+                    if len(w) >= LONG:
+                        del known[w]
             yield pa.record_batch(
                 [b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
