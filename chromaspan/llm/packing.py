@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, _byte_of_char
+from .bpe import PATTERN, _byte_of_char, _supported
 from .common import bounded_batches, slices
 
 PLAN = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long"
@@ -28,6 +28,7 @@ class Tokens:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _supported(spec)
         back = _byte_of_char()
         ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
@@ -60,11 +61,11 @@ def cut_points(ids: np.ndarray, closes: np.ndarray, sentence_cost: float, word_c
     return at[order].astype(np.int64), cost[order]
 
 
-def best_cuts(at: list[int], cost: list[float], window: int) -> list[int]:
+def best_cuts(at: list[int], cost: list[float], window: int, each: float = 0.0) -> list[int]:
     """Window ends among the points `at` (ascending, from 0, no two further apart than window) of the cheapest partition of [0, at[-1]).
 
-    A window of n tokens costs window - n for its padding (nothing where n is a power of two) and the cost of its end.
-    best[j] = cost[j] + window - at[j] + min(best[i] + at[i]) over at[i] >= at[j] - window: a sliding minimum, kept in
+    A window of n tokens costs `each`, window - n for its padding (nothing where n is a power of two) and the cost of its end.
+    best[j] = cost[j] + each + window - at[j] + min(best[i] + at[i]) over at[i] >= at[j] - window: a sliding minimum, kept in
     a queue that is monotone in best + at. The power-of-two lengths are looked up by their start.
     """
     points = [0, *at]
@@ -82,7 +83,7 @@ def best_cuts(at: list[int], cost: list[float], window: int) -> list[int]:
             k = where.get(p - n)
             if k is not None and best[k] < least:
                 least, i = best[k], k
-        best[j], back[j] = least + cost[j - 1], i
+        best[j], back[j] = least + cost[j - 1] + each, i
         key[j] = best[j] + p
         while queue and key[queue[-1]] >= key[j]:
             queue.pop()
@@ -96,17 +97,18 @@ def best_cuts(at: list[int], cost: list[float], window: int) -> list[int]:
 
 def pack(
     docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, sentence_cost: float = 4.0, word_cost: float = 24.0, stride: int = 64, block_tokens: int = 400_000,
-    with_ids: bool = True,
+    with_ids: bool = True, sequence_cost: float = 512.0,
 ) -> DataFrame:
     """Sequences of at most `window` tokens that hold every token of docs (doc_id, text) once, in order of doc_id.
 
     Returns a row per piece of a document in a sequence: doc_id, start (tokens of the document before it), length,
     doc_tokens (its end id included), sequence_id, offset (in the sequence) and ids_crc32 (of the piece's ids as
     little-endian unsigned 32-bit integers); with_ids adds the ids. A null text is empty (its end id alone), a null
-    doc_id comes first and stays null, repeated rows are packed each, an empty table gives no rows, and other columns
-    are ignored.
+    doc_id comes first and stays null, repeated rows are packed each, a very long text is cut like any other, an empty
+    table gives no rows, and other columns are ignored. A sequence costs sequence_cost beside its padding and cuts, so
+    that short ones of a power of two tokens, which have no padding, don't come cheap.
 
-    Documents are dealt by ranges of doc_id; each range is tokenised once and cut in blocks of about block_tokens,
+    Documents are dealt by ranges of doc_id, and of a hash of the text where many rows have one doc_id; each range is tokenised once and cut in blocks of about block_tokens,
     whose last, still open window goes on into the next block. So a task holds one block (or one longer document),
     ids are never shuffled, and only a range's last sequence may stay short.
     """
@@ -125,7 +127,7 @@ def pack(
         def flush(last: bool) -> pa.RecordBatch:
             nonlocal held, at, cost, size, sequence
             points, costs = np.concatenate(at), np.concatenate(cost)
-            ends = best_cuts(points.tolist(), costs.tolist(), window)
+            ends = best_cuts(points.tolist(), costs.tolist(), window, sequence_cost)
             if not last and len(ends) > 1:
                 ends.pop()
             rows: list[tuple] = []
@@ -168,4 +170,4 @@ def pack(
 
     schema = PLAN + ", ids_crc32 long" + (", ids array<int>" if with_ids else "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, schema)
+    return rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, schema)
