@@ -25,6 +25,15 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _supported(spec: dict) -> None:
+    """Raises if the vocabulary file asks for steps that aren't done here."""
+    pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+    strips = [a["content"] for a in added if a.get("lstrip") or a.get("rstrip") or a.get("single_word")]
+    if not plain or spec["model"]["type"] != "BPE" or strips:
+        raise ValueError(f"not a plain byte-level BPE file: pre_tokenizer {pre}, normalizer {spec.get('normalizer')}, model {spec['model']['type']}, stripping added tokens {strips}")
+
+
 class Codec:
     """Exact ids of a byte-level BPE vocabulary file, and texts of ids.
 
@@ -39,6 +48,7 @@ class Codec:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _supported(spec)
         back = _byte_of_char()
         vocab = spec["model"]["vocab"]
         raw = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
@@ -152,7 +162,11 @@ class Codec:
                 missing = set(parts)
             for p in missing:
                 known[p] = array("I", self.piece(p)).tobytes()
-            return list(map(known.__getitem__, parts))
+            out = list(map(known.__getitem__, parts))
+            for p in missing:
+                if len(p) >= 256:  # the cache is bounded in bytes, too
+                    del known[p]
+            return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers; special strings give their own id."""
@@ -170,7 +184,8 @@ class Codec:
 def encode_rows(docs: DataFrame, path: str, row: Callable[[bytes, str], tuple], schema: str) -> DataFrame:
     """doc_id and what row(ids, decoded text) returns, for every whole text of docs (doc_id, text; other columns are ignored).
 
-    A null text is empty: no ids. Repeated rows give a row each, a null doc_id stays null, an empty table gives no rows.
+    A null text is empty: no ids. Repeated rows give a row each, a null doc_id stays null, a very long text or word is
+    encoded whole, an empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
