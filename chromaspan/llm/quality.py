@@ -21,32 +21,33 @@ GRAMS = 1 << 14  # buckets of hashed words, and of hashed pairs of words
 ROW = "y double, hash long, shape binary, grams binary, meta binary"
 
 
-def shape(text: bytes, words: list[bytes]) -> list[float]:
+def shape(text: bytes, words: list[bytes], distinct: int, same: int) -> list[float]:
     """What a text looks like: shares of kinds of characters, of repeated words, and word lengths."""
     n = max(1, len(text))
     h = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     upper, lower, digit, blank = h[65:91].sum(), h[97:123].sum(), h[48:58].sum(), h[[32, 9, 10, 11, 12, 13]].sum()
     m = max(1, len(words))
-    same = sum(a == b for a, b in zip(words, words[1:], strict=False))
     size = np.fromiter(map(len, words), np.int64, len(words))
     marks = h[[33, 36, 37, 38, 42, 35]].sum()
     return [
         upper / max(1, upper + lower), lower / n, digit / n, blank / n, h[128:].sum() / n, h[33] / m, marks / m, h[124] / m, (h[46] + h[44]) / m, (h[60] + h[62] + h[123] + h[125]) / m,
-        len(set(words)) / m, same / m, float(size.mean()) if len(words) else 0.0, float(size.std()) if len(words) else 0.0, float((size <= 3).mean()) if len(words) else 0.0, float(np.log1p(len(words))),
+        distinct / m, same / m, float(size.mean()) if len(words) else 0.0, float(size.std()) if len(words) else 0.0, float((size <= 3).mean()) if len(words) else 0.0, float(np.log1p(len(words))),
     ]
 
 
 class Grams:
-    """The hashed words and pairs of words that a text holds: ascending numbers below 2 * GRAMS."""
+    """The hashed words and pairs of words that a text holds: ascending numbers below 2 * GRAMS; the number of
+    different words, and of words that repeat the one before."""
 
     def __init__(self, cache_words: int = 400_000):
         self.known: dict[bytes, int] = {}
         self.cache_words = cache_words
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        missing = set(words).difference(self.known)
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, int, int]:
+        own = set(words)
+        missing = own.difference(self.known)
         if len(self.known) + len(missing) > self.cache_words:
-            self.known, missing = {}, set(words)
+            self.known, missing = {}, own
         self.known.update((w, zlib.crc32(w)) for w in missing)
         h = np.fromiter(map(self.known.__getitem__, words), np.uint32, len(words))
         for w in missing:
@@ -54,7 +55,8 @@ class Grams:
                 del self.known[w]
         pair = (h[:-1] * np.uint32(0x9E3779B1)) ^ h[1:]
         pair ^= pair >> np.uint32(15)
-        return np.unique(np.concatenate([h % GRAMS, pair % GRAMS + np.uint32(GRAMS)])).astype(np.uint16)
+        found = np.concatenate([h % GRAMS, pair % GRAMS + np.uint32(GRAMS)]).astype(np.uint16)
+        return np.unique(found), len(own), int((h[1:] == h[:-1]).sum())
 
 
 def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
@@ -209,8 +211,9 @@ def _features(b: pa.RecordBatch, grams: Grams) -> list[Rows]:
     looks, words = [], []
     for t in b.column("text").to_pylist():
         w = (t or b"").lower().split()
-        looks.append(shape(t or b"", w))
-        words.append(grams.of(w))
+        found, distinct, same = grams.of(w)
+        looks.append(shape(t or b"", w, distinct, same))
+        words.append(found)
     meta = [meta_view(*x) for x in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]
     return [Rows(np.array(looks).reshape(-1, SHAPE), words), Rows(np.array(meta).reshape(-1, META))]
 
