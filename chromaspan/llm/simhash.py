@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, connected_components, stored
 
@@ -30,16 +31,18 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42, block: int = 20_000
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every whole text of docs (doc_id, text)."""
+def fingerprints(docs: DataFrame, words: int = 4, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of every whole text of docs (doc_id, text), and its other columns to keep."""
     bounded_batches(docs.sparkSession)
+    keep = [c for c in keep if c not in ("doc_id", "text", "fp")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t or b"", words) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(fp.view(np.int64)), *map(b.column, keep)], names=["doc_id", "fp", *keep])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("binary")}).select("doc_id", "text", *keep)
+    return rows.mapInArrow(run, T.StructType([*T.StructType().add("doc_id", "long").add("fp", "long").fields, *(rows.schema[c] for c in keep)]))
 
 
 class BKForest:
@@ -148,22 +151,31 @@ def links(fps: DataFrame, radius: int = 4, share: int = 2, chunk: int = 500_000)
 
     Every fingerprint goes to one shard for each mask; two that link share one at least. A task holds whole shards
     in a row and grows a BK-tree for each; every fingerprint follows the edges within the radius in its own shard's
-    tree, and each shard returns a star per component instead of its pairs.
+    tree, and each shard returns a star per component instead of its pairs. A shard of more than `chunk` fingerprints
+    is cut in parts, and a tree is grown of every two parts, so no task holds more and no pair is left out.
     """
     masks = [m - (1 << 64) if m >> 63 else m for m in shard_masks(radius, share)]
     keys = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
     rows = fps.select("fp", F.explode(keys).alias("s")).select("fp", F.xxhash64("s.mask", "s.key").alias("shard"))
+    sizes = rows.groupBy("shard").count().filter(F.col("count") > chunk)
+    hot = stored(sizes.selectExpr("shard hot", f"int((count + {chunk // 2 - 1}) div {chunk // 2}) parts"), "hot-shards")
+    if not hot.isEmpty():
+        # One in `chunk` of all rows at most is the name of a hot shard; Spark broadcasts them if they are few.
+        cut = rows.join(hot, F.col("shard") == F.col("hot"), "left").withColumn("p", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
+        pairs = F.expr("transform(sequence(0, parts - 1), q -> xxhash64(shard, least(p, q), greatest(p, q)))")
+        # With itself a part meets in every tree that it is in.
+        rows = cut.select("fp", F.explode(F.when(F.col("parts") > 1, pairs).otherwise(F.array("shard"))).alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        size, most = 0, 2 * chunk
 
-        def edges(last: bool) -> pa.RecordBatch:
-            nonlocal held, size
+        def edges(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, most
             shard, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = len(shard) if last else np.searchsorted(shard, shard[-1])  # the last shard may go on
-            held = [(shard[cut:], fp[cut:])]
-            size = len(shard) - cut
+            cut = len(shard) if last else int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
+            held, size = [(shard[cut:], fp[cut:])], len(shard) - cut
+            most = max(2 * chunk, 2 * size)
             shard, fp = shard[:cut], fp[:cut]
             many = np.zeros(cut, bool)
             many[1:] = shard[1:] == shard[:-1]
@@ -171,36 +183,54 @@ def links(fps: DataFrame, radius: int = 4, share: int = 2, chunk: int = 500_000)
             shard, fp = shard[many], fp[many]
             lead = BKForest(shard, fp.view(np.uint64), radius).components() if len(fp) else np.zeros(0, np.int64)
             out = np.flatnonzero(lead != np.arange(len(lead)))
-            return pa.record_batch([pa.array(fp[out]), pa.array(fp[lead[out]])], names=["a", "b"])
+            yield pa.record_batch([pa.array(fp[out]), pa.array(fp[lead[out]])], names=["a", "b"])
 
         for b in batches:
             held.append((b.column("shard").to_numpy(), b.column("fp").to_numpy()))
             size += b.num_rows
-            if size >= chunk:
-                yield edges(False)
+            if size >= most:
+                yield from edges(False)
         if held:
-            yield edges(True)
+            yield from edges(True)
 
     return rows.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
+def grouped(fp: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, class, least) of the distinct fingerprints of fp (doc_id, fp): class names their component, least is the smallest doc_id with the fingerprint."""
+    own = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    edges = stored(links(own.select("fp"), radius), "links")
+    comp = connected_components(edges)
+    return stored(own.join(comp, own.fp == comp.id, "left").select("fp", "least", F.coalesce("component_id", "fp").alias("class")), "classes")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id of every row of docs (doc_id, text).
 
     Fingerprints that differ in at most `radius` bits link; component_id is the smallest doc_id that links reach. A
     null, empty or blank text has fingerprint zero and is linked like any other; texts of fewer words than a shingle
-    have one. Rows that repeat link with each other; a null doc_id is grouped with its fingerprint, but never is the
-    smallest. Other columns are ignored; an empty table gives no rows.
+    have one; a very long text is hashed in blocks of shingles. Rows that repeat link with each other; a null doc_id is
+    grouped with its fingerprint, but never is the smallest. Other columns are ignored; an empty table gives no rows.
 
     Only distinct fingerprints are searched and linked, so copies, however many, cost one row.
     """
     fp = stored(fingerprints(docs, words), "fingerprints")
-    own = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = stored(links(own.select("fp"), radius), "links")
-    comp = connected_components(edges)
-    group = own.join(comp, own.fp == comp.id, "left").select("fp", "least", F.coalesce("component_id", "fp").alias("class"))
-    group = stored(group, "classes")
+    group = grouped(fp, radius)
     first = group.groupBy("class").agg(F.min("least").alias("component_id"))
     named = group.join(first, "class").select(F.col("fp").alias("key"), "component_id")
     joined = fp.join(named, F.col("fp") == F.col("key"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """docs (doc_id, text and others) with one row of each group of near duplicates: of those with the smallest doc_id
+    (nulls come last) the first in a table that is written once with the fingerprints. All columns stay as they are."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    fp = stored(fingerprints(docs.select("doc_id", "text", row), words, keep=["row"]).withColumn("place", F.monotonically_increasing_id()), "fingerprints")
+    group = grouped(fp.select("doc_id", "fp"), radius)
+    # The first row of every fingerprint, then of every class: aggregates with partial results, no group is sorted.
+    order = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))
+    own = fp.groupBy("fp").agg(order().alias("first")).select(F.col("fp").alias("own_fp"), "first.*")
+    best = own.join(group, own.own_fp == group.fp).groupBy("class").agg(order().alias("first"))
+    chosen = stored(best.select(F.col("first.place").alias("chosen")), "chosen")
+    return fp.join(chosen, F.col("place") == F.col("chosen"), "left_semi").select("row.*")
