@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -13,10 +14,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, slices, stored
+from .nndescent import whole_groups
 
 END = b""  # no word is empty
 
 
+def _h(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(big: np.ndarray) -> float:
+    """What of the corpus's log likelihood depends on the classes, from the bigram counts of classes."""
+    return float(_h(big).sum() - _h(big.sum(0)).sum() - _h(big.sum(1)).sum())
+
+
+def without(big: np.ndarray, a: int, out: np.ndarray, into: np.ndarray, own: float) -> np.ndarray:
+    """The class bigrams without a word of class a; out and into are its pairs with each class (itself left out), own those with itself."""
+    base = big.copy()
+    base[a] -= out
+    base[:, a] -= into
+    base[a, a] -= own
+    return base
+
+
+def gains(base: np.ndarray, out: np.ndarray, into: np.ndarray, own: float) -> np.ndarray:
+    """Of each class what the likelihood gains if the word that base lacks joins it."""
+    j, i = np.flatnonzero(out), np.flatnonzero(into)
+    g = (_h(base[:, j] + out[j]) - _h(base[:, j])).sum(1) + (_h(base[i] + into[i, None]) - _h(base[i])).sum(0)
+    d, row, col = np.diag(base), base.sum(1) + into, base.sum(0) + out  # wherever it goes, the others' totals are back
+    lost = _h(row).sum() - _h(base.sum(1)).sum() + _h(col).sum() - _h(base.sum(0)).sum()
+    g += _h(d + out + into + own) - _h(d + out) - _h(d + into) + _h(d)  # where its row and column cross
+    return g - (_h(row + out.sum() + own) - _h(row) + _h(col + into.sum() + own) - _h(col)) - lost
+
+
 def exchange(n: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     """The class of each of T types by the exchange algorithm, from their bigram counts n (T x T).
 
@@ -25,32 +55,19 @@ def exchange(n: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     """
     t = len(n)
     n = n.astype(np.float64)
-    left, right = n.sum(0), n.sum(1)  # as the second and as the first of a pair
-    order = np.argsort(-(left + right), kind="stable")
+    order = np.argsort(-(n.sum(0) + n.sum(1)), kind="stable")
     cls = np.empty(t, np.int64)
     cls[order] = np.arange(t) % classes
     one = np.eye(classes)[cls]
     big = one.T @ n @ one
-
-    def h(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1))
-
     for _ in range(sweeps):
         moved = 0
         for w in order:
             a = cls[w]
             one[w] = 0
-            out, into, own = n[w] @ one, n[:, w] @ one, n[w, w]  # to and from each class, without itself
-            base = big.copy()
-            base[a] -= out
-            base[:, a] -= into
-            base[a, a] -= own
-            row, col = base.sum(1), base.sum(0)
-            # What changes if w joins class c: row c, column c, their crossing, and the class's totals.
-            gain = (h(base + out) - h(base)).sum(1) + (h(base + into[:, None]) - h(base)).sum(0)
-            d = np.diag(base)
-            gain += h(d + out + into + own) - h(d + out) - h(d + into) + h(d)
-            gain -= h(row + right[w]) - h(row) + h(col + left[w]) - h(col)
+            out, into, own = n[w] @ one, n[:, w] @ one, n[w, w]
+            base = without(big, a, out, into, own)
+            gain = gains(base, out, into, own)
             c = int(np.argmax(gain))
             c = a if gain[a] >= gain[c] - 1e-9 else c
             base[c] += out
@@ -82,12 +99,16 @@ class Types:
         of, rest = self.suffix.get, self.rest
         self.known.update((w, of(w[-3:], rest)) for w in missing)
         get = self.known.__getitem__
-        return [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
+        out = [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
+        for w in missing:
+            if len(w) >= 256:  # the cache is bounded in bytes, too
+                del self.known[w]
+        return out
 
 
-def _words(docs: DataFrame) -> DataFrame:
+def _words(docs: DataFrame, held: int) -> DataFrame:
     crc = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)), F.lit(-1))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), (crc == 1).alias("held_out"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), (crc == held).alias("held_out"))
 
 
 def word_counts(rows: DataFrame, most: int = 300_000) -> DataFrame:
@@ -114,7 +135,7 @@ def word_counts(rows: DataFrame, most: int = 300_000) -> DataFrame:
 
 
 def frequent(words: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """At most `most` of the most frequent words with their counts: those in the upper steps of a logarithmic scale of
+    """At most `most` of the most frequent words of under 256 bytes with their counts: those in the upper steps of a logarithmic scale of
     counts that hold no more. The scale has few steps at any size, and no task sends more than is kept."""
     step = F.floor(F.log2("c") * 32).cast("long")
     fits, least = 0, None
@@ -123,84 +144,203 @@ def frequent(words: DataFrame, most: int) -> list[tuple[bytes, int]]:
         if fits > most:
             break
         least = s
-    kept = [] if least is None else words.filter(step >= least).collect()
+    kept = [] if least is None else words.filter((step >= least) & (F.length("word") < 256)).collect()
     return sorted(((bytes(r.word), r.c) for r in kept), key=lambda x: (-x[1], x[0]))
 
 
-def score(docs: DataFrame, table_words: int = 100_000, own_types: int = 1024, suffix_types: int = 255, classes: int = 128, prior: float = 5.0) -> DataFrame:
-    """The log10 probability of every whole text of docs (doc_id, text) by a class bigram model of the training rows.
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of their counts."""
+    at, index = np.unique(np.concatenate(keys), return_inverse=True)
+    return at, np.bincount(index, np.concatenate(counts), len(at)).astype(np.int64)
 
-    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams, add 0.5), score and perplexity
-    (of score, per token). Rows whose crc32(doc_id) mod 5 is 1 are held out; a null doc_id is trained on and stays
-    null. A null, empty or blank text has the end token only. Repeated rows count and are scored each; an empty table
-    gives no rows; without training rows every base probability is 1. Other columns are ignored.
 
-    The model: each word has a type (the own_types most frequent words have their own; others share that of their last
-    three bytes, if frequent, or one for the rest), each type a class, found by exchange over the types' bigrams.
-    p(word | before) = p(class | class before) p(type | class) p(word | type); p(word | type) and p(type | class)
-    add 0.5 a word or type and for one unseen, p(class | class before) is smoothed to p(class) with weight `prior`.
+def bigrams(rows: DataFrame, table: list[bytes], suffixes: list[bytes], most: int = 4_000_000) -> DataFrame:
+    """(a, b, n) of all pairs of codes in the training texts, the end before and after each; the codes are those of Types plus 1, the end is 0."""
+    spark = rows.sparkSession
+    given, size = spark.sparkContext.broadcast((table, suffixes)), 2 + len(table) + len(suffixes)
 
-    Words are counted over all training rows. The table_words most frequent words (a bounded broadcast) are scored
-    where they stand; the rest meet their counts in a join, once a document and word. The bigrams come to the driver
-    as a matrix of (own_types + suffix_types + 1) squared at most, whatever the input.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    rows = _words(docs)
-    counts = stored(word_counts(rows), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = counts.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    words = counts.filter(F.col("word") != F.lit(END))
-    top = frequent(words, table_words)
-    own = [w for w, _ in top[:own_types]]
-    tail = words.join(F.broadcast(spark.createDataFrame([(w,) for w in own], "word binary")), "word", "left_anti") if own else words
-    tail = tail.groupBy(F.substring("word", -3, 3).alias("suffix")).agg(F.sum("c").alias("c"), F.count("*").alias("v"))
-    shared = [(bytes(r.suffix), r.c, r.v) for r in tail.orderBy(F.desc("c"), "suffix").limit(suffix_types).collect()]
-    # Types in order: the end, the own words, the suffixes, the rest.
-    size = np.array([ends, *(c for _, c in top[: len(own)]), *(c for _, c, _ in shared), 0], np.float64)
-    vocab = np.array([1] * (1 + len(own)) + [v for _, _, v in shared] + [0], np.float64)
-    size[-1], vocab[-1] = max(0, total - size.sum()), max(0, distinct - vocab.sum())
-    t = len(size)
-    typed = spark.sparkContext.broadcast((own, [s for s, _, _ in shared]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, end = Types(*given.value), np.zeros(1, np.int64)
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def out() -> pa.RecordBatch:
+            at, n = _summed(keys, counts)
+            keys[:], counts[:] = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            return pa.record_batch([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, n, end = Types(*typed.value), np.zeros(t * t, np.int64), np.zeros(1, np.int64)
         for b in batches:
             texts = [x or b"" for x in b.column("text").to_pylist()]
             for i, j in slices(texts):
                 stream = np.concatenate([end, *chain.from_iterable((c + 1, end) for c in types.codes([x.lower().split() for x in texts[i:j]]))])
-                n += np.bincount(stream[:-1] * t + stream[1:], minlength=t * t)
+                at, n = np.unique(stream[:-1] * size + stream[1:], return_counts=True)
+                keys.append(at)
+                counts.append(n)
+                if sum(map(len, keys)) > most:
+                    yield out()
+        yield out()
+
+    pairs = rows.filter("not held_out").select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return stored(pairs, "bigrams")
+
+
+def class_matrix(pairs: DataFrame, of: np.ndarray) -> np.ndarray:
+    """The bigram counts of classes (of: each code's class): each task sums its pairs, so the driver gets numbers of class pairs alone."""
+    k = int(of.max()) + 1
+    given = pairs.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(k * k, np.int64)
+        for b in batches:
+            p = given.value[b.column("a").to_numpy()] * k + given.value[b.column("b").to_numpy()]
+            n += np.bincount(p, b.column("n").to_numpy(), k * k).astype(np.int64)
         at = np.flatnonzero(n)
         yield pa.record_batch([pa.array(at), pa.array(n[at])], names=["pair", "n"])
 
-    found = rows.filter("not held_out").select("text").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(t * t, np.int64)
-    n[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    n = n.reshape(t, t)
-    cls = exchange(n, min(classes, t))
+    t = pairs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(k * k, np.int64)
+    out[t.column("pair").to_numpy()] = t.column("n").to_numpy()
+    return out.reshape(k, k)
+
+
+def reassigned(pairs: DataFrame, of: np.ndarray, big: np.ndarray, first: int, last: int) -> np.ndarray:
+    """The codes' classes after an exchange step for every code in [first, last): its pairs with each class meet in a
+    shuffle by code, and it goes where the likelihood gains most."""
+    k, spark = len(big), pairs.sparkSession
+    given = spark.sparkContext.broadcast((of, big.astype(np.float64)))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a code: pairs to class c (c), from class c (k + c), with itself (2 k)."""
+        of, keys, counts, wide = given.value[0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 2 * k + 1
 
-    k = cls.max() + 1
-    one = np.eye(k)[cls]
-    big, in_class = one.T @ n @ one, size @ one
+        def out() -> pa.RecordBatch:
+            at, n = _summed(keys, counts)
+            keys[:], counts[:] = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            return pa.record_batch([pa.array((at // wide).astype(np.int32)), pa.array((at % wide).astype(np.int32)), pa.array(n)], names=["code", "c", "n"])
+
+        for b in batches:
+            x, y, n = (b.column(c).to_numpy() for c in ("a", "b", "n"))
+            x, y = x.astype(np.int64), y.astype(np.int64)
+            for who, c in ((x, np.where(x == y, 2 * k, of[y])), (y, np.where(x == y, -1, k + of[x]))):
+                some = (who >= first) & (who < last) & (c >= 0)
+                keys.append(who[some] * wide + c[some])
+                counts.append(n[some])
+            if sum(map(len, keys)) > 4_000_000:
+                yield out()
+        yield out()
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, big = given.value
+        for t in whole_groups(batches, ["code"]):
+            code, c, n = (t.column(x).to_numpy() for x in ("code", "c", "n"))
+            start = np.append(np.unique(code, return_index=True)[1], len(code))
+            best = []
+            for i, j in zip(start, start[1:], strict=False):
+                v = np.bincount(c[i:j], n[i:j], 2 * k + 1)
+                out, into, own, a = v[:k], v[k : 2 * k], v[2 * k], of[code[i]]
+                gain = gains(without(big, a, out, into, own), out, into, own)
+                best.append(int(np.argmax(gain)) if gain.max() > gain[a] + 1e-9 else int(a))
+            yield pa.record_batch([pa.array(code[start[:-1]]), pa.array(best, pa.int32())], names=["code", "cls"])
+
+    met = pairs.mapInArrow(contexts, "code int, c int, n long").groupBy("code", "c").agg(F.sum("n").alias("n"))
+    t = met.repartition("code").sortWithinPartitions("code").mapInArrow(move, "code int, cls int").toArrow()  # the table's words at most
+    out = of.copy()
+    out[t.column("code").to_numpy()] = t.column("cls").to_numpy()
+    return out
+
+
+@dataclass
+class Model:
+    """A class bigram model. Codes: 0 the end, then the table's words, then the types that all other words share."""
+
+    table: list[bytes]
+    suffixes: list[bytes]
+    of: np.ndarray  # the class of each code
+    emit: np.ndarray  # log10 p(word | class), for shared types without their words' log10 (c + 0.5)
+    base: np.ndarray  # the same for the unigram baseline
+    go: np.ndarray  # log10 p(class | class before)
+    ends: int  # training tokens that are the end
+    total: int  # training tokens
+
+
+def fit(rows: DataFrame, counts: DataFrame, table_words: int, own_types: int, suffix_types: int, classes: int, prior: float, sweeps: int) -> Model:
+    """The model of the training rows; see score."""
+    spark = rows.sparkSession
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    ends = counts.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    words = counts.filter(F.col("word") != F.lit(END))
+    top = frequent(words, table_words)
+    table = [w for w, _ in top]
+    own = table[:own_types]
+    # table_words short words at most
+    tail = words.join(F.broadcast(spark.createDataFrame([(w,) for w in table], "word binary")), "word", "left_anti") if table else words
+    tail = tail.groupBy(F.substring("word", -3, 3).alias("suffix")).agg(F.sum("c").alias("c"), F.count("*").alias("v"))
+    shared = [(bytes(r.suffix), r.c, r.v) for r in tail.orderBy(F.desc("c"), "suffix").limit(suffix_types).collect()]
+    suffixes = [s for s, _, _ in shared]
+    size = np.array([ends, *(c for _, c in top), *(c for _, c, _ in shared), 0], np.float64)
+    vocab = np.array([1] * (1 + len(top)) + [v for _, _, v in shared] + [0], np.float64)
+    size[-1], vocab[-1] = max(0, total - size.sum()), max(0, distinct - vocab.sum())
+
+    pairs = bigrams(rows, table, suffixes)
+    # First the exchange among the most frequent words and, as types, the endings of the others; then every word by itself.
+    few = Types(own, suffixes)
+    kind = np.concatenate([[0], *(c + 1 for c in few.codes([table])), np.arange(1 + len(own), 2 + len(own) + len(suffixes))]).astype(np.int64)
+    n = class_matrix(pairs, kind)
+    t = int(kind.max()) + 1
+    of = exchange(n, min(classes, t))[kind]
+    of = np.unique(of, return_inverse=True)[1]
+    big = class_matrix(pairs, of)
+    for _ in range(sweeps):
+        new = reassigned(pairs, of, big, 1 + len(own), 1 + len(table))
+        after = class_matrix(pairs, new)
+        if len(after) < len(big) or likelihood(after) <= likelihood(big):
+            break
+        of, big = new, after
+
+    k = len(big)
+    in_class, types = np.bincount(of, size, k), np.bincount(of, minlength=k)
     p_class = (in_class + 0.5) / (in_class.sum() + 0.5 * k)
     go = np.log10((big + prior * p_class) / (big.sum(1, keepdims=True) + prior))
-    p_type = np.log10((size + 0.5) / (in_class[cls] + 0.5 * one.sum(0)[cls]))
-    within = np.log10(size + 0.5 * (vocab + 1))
-    whole = np.log10(total + 0.5 * (distinct + 1))
-    # By code: 0 the end, then the table's words, then the types that the others share.
-    few = Types(own, [s for s, _, _ in shared])
-    kind = np.concatenate([[0], *(c + 1 for c in few.codes([[w for w, _ in top]])), np.arange(1 + len(own), t)])
-    c = np.log10(np.array([ends, *(c for _, c in top)], np.float64) + 0.5)
-    emits = p_type[kind] - within[kind]
-    emits[: len(c)] += c
-    emits[: 1 + len(own)] = p_type[: 1 + len(own)]  # alone in their types
-    base = np.full(len(kind), -whole)
-    base[: len(c)] += c
-    model = spark.sparkContext.broadcast(([w for w, _ in top], [s for s, _, _ in shared], cls[kind], emits, base, go))
+    emit = np.log10((size + 0.5) / (in_class[of] + 0.5 * types[of]))
+    alone = 1 + len(table)
+    emit[alone:] -= np.log10(size[alone:] + 0.5 * (vocab[alone:] + 1))
+    base = np.full(len(size), -np.log10(total + 0.5 * (distinct + 1)))
+    base[:alone] += np.log10(size[:alone] + 0.5)
+    return Model(table, suffixes, of, emit, base, go, ends, int(total))
+
+
+def score(
+    docs: DataFrame, table_words: int = 100_000, own_types: int = 1024, suffix_types: int = 255, classes: int = 128, prior: float = 5.0, sweeps: int = 1, held: int = 1
+) -> DataFrame:
+    """The log10 probability of every whole text of docs (doc_id, text) by a class bigram model of the training rows.
+
+    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams, add 0.5), score and perplexity
+    (of score, per token). Rows whose crc32(doc_id) mod 5 is `held` are held out; a null doc_id is trained on and stays
+    null. A null, empty or blank text has the end token only; a very long one is scored whole. Repeated rows count and
+    are scored each; an empty table gives no rows; without training rows every base probability is 1. Other columns
+    are ignored.
+
+    The model: words are counted over all training rows, and so are the pairs of them, in a table that grows with the
+    corpus. The table_words most frequent words (a bounded broadcast) have classes of their own choice: the own_types
+    first by exchange among themselves, where all others stand for types by their last three bytes; then each of the
+    others by an exchange step with its own pairs. Words beyond the table have the class of their type, which is
+    clustered like a word (suffix_types of them, and one for the rest).
+    p(word | before) = p(class | class before) p(type | class) p(word | type); p(word | type) and p(type | class)
+    add 0.5 a word or type and for one unseen, p(class | class before) is smoothed to p(class) with weight `prior`.
+
+    The table's words are scored where they stand; the rest meet their counts in a join, once a document and word. The
+    driver gets matrices of (own_types + suffix_types + 2) squared at most, and the table's words with their classes.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = _words(docs, held)
+    counts = stored(word_counts(rows), "words")
+    fitted = fit(rows, counts, table_words, own_types, suffix_types, classes, prior, sweeps)
+    model = spark.sparkContext.broadcast(fitted)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, suffixes, of, emit, uni, move = model.value
-        types, known, key = Types(table, suffixes), 1 + len(table), TaskContext.get().partitionId() << 40
+        m = model.value
+        of, emit, base, go = m.of, m.emit, m.base, m.go
+        types, known, key = Types(m.table, m.suffixes), 1 + len(m.table), TaskContext.get().partitionId() << 40
         for b in batches:
             texts = [x or b"" for x in b.column("text").to_pylist()]
             for i, j in slices(texts):
@@ -209,8 +349,8 @@ def score(docs: DataFrame, table_words: int = 100_000, own_types: int = 1024, su
                     s = np.concatenate([code + 1, [0]])
                     q = of[s]
                     rare = Counter(words[x] for x in np.flatnonzero(s >= known))
-                    value = move[np.concatenate([[of[0]], q[:-1]]), q].sum() + emit[s].sum()
-                    out.append((len(s), len(s) - sum(rare.values()) - (not ends), float(uni[s].sum()), float(value), list(rare), list(rare.values())))
+                    value = go[np.concatenate([of[:1], q[:-1]]), q].sum() + emit[s].sum()
+                    out.append((len(s), len(s) - sum(rare.values()) - (not m.ends), float(base[s].sum()), float(value), list(rare), list(rare.values())))
                 cols = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())), strict=True)]
                 ids = pa.array(np.arange(key, key + len(out)))
                 key += len(out)
@@ -223,6 +363,6 @@ def score(docs: DataFrame, table_words: int = 100_000, own_types: int = 1024, su
     log_c, seen = F.coalesce("log_c", F.lit(0.0)), F.coalesce("seen", F.lit(0))
     both = parts.drop("words", "times").join(more, "row", "left")
     return both.select(
-        "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + seen).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + seen).cast("long").alias("n_known"), F.lit(fitted.total).cast("long").alias("train_tokens"),
         (F.col("base") + log_c).alias("base_score"), (F.col("model") + log_c).alias("score"), F.pow(F.lit(10.0), -(F.col("model") + log_c) / F.col("n")).alias("perplexity"),
     )

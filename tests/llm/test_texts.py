@@ -316,7 +316,7 @@ def test_lm(which, request):
     c = Counter(w for s, h in zip(split, held, strict=True) if not h for w in s)
     n, v = sum(c.values()), len(c)
     base = [sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in s) for s in split]
-    for kw in ({}, {"table_words": 40, "own_types": 20, "suffix_types": 10, "classes": 6}):
+    for kw in ({}, {"table_words": 400, "own_types": 20, "suffix_types": 10, "classes": 6, "sweeps": 3}):
         got = sorted(lm_score.score(df, **kw).collect(), key=lambda r: (r.doc_id is not None, r.doc_id, r.n_tokens))
         want = sorted(zip(rows, held, split, base, strict=True), key=lambda r: (r[0][0] is not None, r[0][0], len(r[2])))
         assert [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(i, h, len(s), sum(c[w] > 0 for w in s), n) for (i, _), h, s, _ in want]
@@ -325,6 +325,83 @@ def test_lm(which, request):
             assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+@pytest.mark.parametrize("which", ["docs", "oddities"])
+def test_lm_score_by_brute_force(spark, which, request):
+    """Scores by the definition, from counts of the texts themselves; only which word has which class is taken from the model."""
+    import math
+    from collections import Counter
+
+    df = request.getfixturevalue(which)
+    kw = dict(table_words=300, own_types=60, suffix_types=12, classes=7, prior=5.0, sweeps=2)
+    words = lm_score._words(df, 1)
+    counts = lm_score.word_counts(words)
+    m = lm_score.fit(words, counts, **kw)
+    table, suffix = {w: i + 1 for i, w in enumerate(m.table)}, {s: len(m.table) + 1 + i for i, s in enumerate(m.suffixes)}
+    code = lambda w: 0 if not w else table.get(w) or suffix.get(w[-3:], len(m.of) - 1)
+    split = [(i, i is not None and zlib.crc32(str(i).encode()) % 5 == 1, [*x.encode().lower().split(), b""]) for i, x in texts(df)]
+    c = Counter(w for _, held, s in split if not held for w in s)
+    size, vocab, big, left = Counter(), Counter(), Counter(), Counter()
+    for w, n in c.items():
+        size[code(w)] += n
+        vocab[code(w)] += 1
+    for _, held, s in split:
+        for a, b in zip([b"", *s], s, strict=False):
+            if not held:
+                big[m.of[code(a)], m.of[code(b)]] += 1
+                left[m.of[code(a)]] += 1
+    k, in_class, types = max(m.of) + 1, Counter(), Counter(m.of.tolist())
+    for t, n in size.items():
+        in_class[m.of[t]] += n
+    total = sum(c.values())
+
+    def log_p(a, b):
+        t = code(b)
+        g, h = m.of[code(a)], m.of[t]
+        p_class = (in_class[h] + 0.5) / (total + 0.5 * k)
+        within = 1 if t <= len(m.table) else (c[b] + 0.5) / (size[t] + 0.5 * (vocab[t] + 1))
+        return math.log10((big[g, h] + 5 * p_class) / (left[g] + 5) * (size[t] + 0.5) / (in_class[h] + 0.5 * types[h]) * within)
+
+    want = sorted(((i is not None, i, len(s), sum(log_p(a, b) for a, b in zip([b"", *s], s, strict=False))) for i, _, s in split), key=lambda x: x[:3])
+    got = sorted(((r.doc_id is not None, r.doc_id, r.n_tokens, r.score, r.perplexity) for r in lm_score.score(df, **kw).collect()), key=lambda x: x[:3])
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert all(abs(g[3] - w[3]) < 1e-6 * abs(w[3]) + 1e-9 and abs(math.log10(g[4]) + g[3] / g[2]) < 1e-6 for g, w in zip(got, want, strict=True))
+
+
+def test_exchange_gains_are_differences_of_likelihood():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, cls = rng.poisson(2.0, (12, 12)).astype(float), np.arange(12) % 4
+    one = np.eye(4)[cls]
+    big = one.T @ n @ one
+    for w in range(12):
+        rest = one.copy()
+        rest[w] = 0
+        out, into, own = n[w] @ rest, n[:, w] @ rest, n[w, w]
+        base = lm_score.without(big, cls[w], out, into, own)
+        for c, g in enumerate(lm_score.gains(base, out, into, own)):
+            new = rest.copy()
+            new[w, c] = 1
+            assert abs(g - (lm_score.likelihood(new.T @ n @ new) - lm_score.likelihood(base))) < 1e-6
+
+
+def test_words_beyond_the_first_are_exchanged(spark):
+    """Words that never meet the first block's exchange join the class of their contexts."""
+    import random
+
+    r = random.Random(4)
+    kinds = [[f"{k}word{i}zz" for i in range(40)] for k in "abc"]
+    text = lambda: " ".join(r.choice(kinds[k % 3]) for k in range(60))
+    df = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string")
+    rows = lm_score._words(df, 1)
+    m = lm_score.fit(rows, lm_score.word_counts(rows), table_words=1000, own_types=30, suffix_types=5, classes=6, prior=5.0, sweeps=2)
+    of = {w.decode(): m.of[i + 1] for i, w in enumerate(m.table)}
+    assert len(of) == 120
+    for kind in kinds:
+        assert len({of[w] for w in kind}) <= 2
+    assert not {of[w] for w in kinds[0]} & {of[w] for w in kinds[1]}
+
+
 def test_exchange_beats_start():
     import numpy as np
 
