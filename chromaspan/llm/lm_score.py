@@ -81,6 +81,20 @@ def exchange(n: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     return cls
 
 
+class Known(dict):
+    """Codes by word; what is missing is looked up by its last three bytes, and kept if it is short."""
+
+    def __init__(self, table: dict[bytes, int], suffix: dict[bytes, int], rest: int):
+        super().__init__(table)
+        self.suffix, self.rest = suffix, rest
+
+    def __missing__(self, word: bytes) -> int:
+        code = self.suffix.get(word[-3:], self.rest)
+        if len(word) < 256:
+            self[word] = code
+        return code
+
+
 class Types:
     """Codes of words: a table word has its own; any other shares one with the words of its type, by its last bytes."""
 
@@ -88,22 +102,14 @@ class Types:
         self.table = {w: i for i, w in enumerate(table)}
         self.suffix = {s: len(table) + i for i, s in enumerate(suffixes)}
         self.rest = len(table) + len(suffixes)
-        self.known: dict[bytes, int] = dict(self.table)
+        self.known = Known(self.table, self.suffix, self.rest)
 
     def codes(self, texts: list[list[bytes]], cache_words: int = 400_000) -> list[np.ndarray]:
         """An array of codes for each text."""
-        missing = set(chain.from_iterable(texts)).difference(self.known)
-        if len(self.known) + len(missing) > cache_words + len(self.table):
-            self.known = dict(self.table)
-            missing = set(chain.from_iterable(texts)).difference(self.known)
-        of, rest = self.suffix.get, self.rest
-        self.known.update((w, of(w[-3:], rest)) for w in missing)
+        if len(self.known) > cache_words + len(self.table):
+            self.known = Known(self.table, self.suffix, self.rest)
         get = self.known.__getitem__
-        out = [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
-        for w in missing:
-            if len(w) >= 256:  # the cache is bounded in bytes, too
-                del self.known[w]
-        return out
+        return [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
 
 
 def _words(docs: DataFrame, held: int) -> DataFrame:
@@ -148,26 +154,28 @@ def frequent(words: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r.word), r.c) for r in kept), key=lambda x: (-x[1], x[0]))
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys with the sums of their counts."""
-    at, index = np.unique(np.concatenate(keys), return_inverse=True)
-    return at, np.bincount(index, np.concatenate(counts), len(at)).astype(np.int64)
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+    """Distinct pairs with the sums of their counts; the lists are emptied."""
+    key, n = np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*counts, np.zeros(0, np.int64)])
+    keys.clear()
+    counts.clear()
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    return pa.record_batch([pa.array(key[start]), pa.array(np.add.reduceat(n, start) if len(start) else n)], names=["pair", "n"])
 
 
 def bigrams(rows: DataFrame, table: list[bytes], suffixes: list[bytes], most: int = 4_000_000) -> DataFrame:
-    """(a, b, n) of all pairs of codes in the training texts, the end before and after each; the codes are those of Types plus 1, the end is 0."""
+    """(pair, n) of all pairs of codes in the training texts, the end before and after each: pair is the first code times
+    the number of codes plus the second; the codes are those of Types plus 1, the end is 0. A task sums its own pairs,
+    so a pair is shuffled once a task (or once every `most` pairs)."""
     spark = rows.sparkSession
     given, size = spark.sparkContext.broadcast((table, suffixes)), 2 + len(table) + len(suffixes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types, end = Types(*given.value), np.zeros(1, np.int64)
-        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-        def out() -> pa.RecordBatch:
-            at, n = _summed(keys, counts)
-            keys[:], counts[:] = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            return pa.record_batch([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
-
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         for b in batches:
             texts = [x or b"" for x in b.column("text").to_pylist()]
             for i, j in slices(texts):
@@ -176,22 +184,23 @@ def bigrams(rows: DataFrame, table: list[bytes], suffixes: list[bytes], most: in
                 keys.append(at)
                 counts.append(n)
                 if sum(map(len, keys)) > most:
-                    yield out()
-        yield out()
+                    yield _summed(keys, counts)
+        yield _summed(keys, counts)
 
-    pairs = rows.filter("not held_out").select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = rows.filter("not held_out").select("text").mapInArrow(run, "pair long, n long").repartition("pair").groupBy("pair").agg(F.sum("n").alias("n"))
     return stored(pairs, "bigrams")
 
 
 def class_matrix(pairs: DataFrame, of: np.ndarray) -> np.ndarray:
     """The bigram counts of classes (of: each code's class): each task sums its pairs, so the driver gets numbers of class pairs alone."""
-    k = int(of.max()) + 1
+    k, size = int(of.max()) + 1, len(of)
     given = pairs.sparkSession.sparkContext.broadcast(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(k * k, np.int64)
         for b in batches:
-            p = given.value[b.column("a").to_numpy()] * k + given.value[b.column("b").to_numpy()]
+            x, y = np.divmod(b.column("pair").to_numpy(), size)
+            p = given.value[x] * k + given.value[y]
             n += np.bincount(p, b.column("n").to_numpy(), k * k).astype(np.int64)
         at = np.flatnonzero(n)
         yield pa.record_batch([pa.array(at), pa.array(n[at])], names=["pair", "n"])
@@ -209,24 +218,19 @@ def reassigned(pairs: DataFrame, of: np.ndarray, big: np.ndarray, first: int, la
     given = spark.sparkContext.broadcast((of, big.astype(np.float64)))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of a code: pairs to class c (c), from class c (k + c), with itself (2 k)."""
-        of, keys, counts, wide = given.value[0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 2 * k + 1
-
-        def out() -> pa.RecordBatch:
-            at, n = _summed(keys, counts)
-            keys[:], counts[:] = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            return pa.record_batch([pa.array((at // wide).astype(np.int32)), pa.array((at % wide).astype(np.int32)), pa.array(n)], names=["code", "c", "n"])
-
+        """Of a code: pairs to class c (c), from class c (k + c), with itself (2 k). The counts of a task's codes stand
+        in one array of 2 k + 1 numbers a code."""
+        of, wide, size = given.value[0], 2 * k + 1, len(given.value[0])
+        held = np.zeros((last - first) * wide, np.int64)
         for b in batches:
-            x, y, n = (b.column(c).to_numpy() for c in ("a", "b", "n"))
-            x, y = x.astype(np.int64), y.astype(np.int64)
+            (x, y), n = np.divmod(b.column("pair").to_numpy(), size), b.column("n").to_numpy()
             for who, c in ((x, np.where(x == y, 2 * k, of[y])), (y, np.where(x == y, -1, k + of[x]))):
                 some = (who >= first) & (who < last) & (c >= 0)
-                keys.append(who[some] * wide + c[some])
-                counts.append(n[some])
-            if sum(map(len, keys)) > 4_000_000:
-                yield out()
-        yield out()
+                np.add.at(held, (who[some] - first) * wide + c[some], n[some])
+        at = np.flatnonzero(held)
+        for i in range(0, len(at), 500_000):
+            p = at[i : i + 500_000]
+            yield pa.record_batch([pa.array((p // wide + first).astype(np.int32)), pa.array((p % wide).astype(np.int32)), pa.array(held[p])], names=["code", "c", "n"])
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, big = given.value
@@ -286,9 +290,9 @@ def fit(rows: DataFrame, counts: DataFrame, table_words: int, own_types: int, su
     kind = np.concatenate([[0], *(c + 1 for c in few.codes([table])), np.arange(1 + len(own), 2 + len(own) + len(suffixes))]).astype(np.int64)
     n = class_matrix(pairs, kind)
     t = int(kind.max()) + 1
-    of = exchange(n, min(classes, t))[kind]
-    of = np.unique(of, return_inverse=True)[1]
-    big = class_matrix(pairs, of)
+    cls = np.unique(exchange(n, min(classes, t)), return_inverse=True)[1]
+    of, one = cls[kind], np.eye(cls.max() + 1, dtype=np.int64)[cls]
+    big = one.T @ n @ one
     for _ in range(sweeps):
         new = reassigned(pairs, of, big, 1 + len(own), 1 + len(table))
         after = class_matrix(pairs, new)
@@ -309,7 +313,7 @@ def fit(rows: DataFrame, counts: DataFrame, table_words: int, own_types: int, su
 
 
 def score(
-    docs: DataFrame, table_words: int = 100_000, own_types: int = 1024, suffix_types: int = 255, classes: int = 128, prior: float = 5.0, sweeps: int = 1, held: int = 1
+    docs: DataFrame, table_words: int = 65_536, own_types: int = 1024, suffix_types: int = 255, classes: int = 128, prior: float = 5.0, sweeps: int = 1, held: int = 1
 ) -> DataFrame:
     """The log10 probability of every whole text of docs (doc_id, text) by a class bigram model of the training rows.
 
