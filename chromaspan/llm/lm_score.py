@@ -200,8 +200,7 @@ def class_matrix(pairs: DataFrame, of: np.ndarray) -> np.ndarray:
         n = np.zeros(k * k, np.int64)
         for b in batches:
             x, y = np.divmod(b.column("pair").to_numpy(), size)
-            p = given.value[x] * k + given.value[y]
-            n += np.bincount(p, b.column("n").to_numpy(), k * k).astype(np.int64)
+            np.add.at(n, given.value[x] * k + given.value[y], b.column("n").to_numpy())
         at = np.flatnonzero(n)
         yield pa.record_batch([pa.array(at), pa.array(n[at])], names=["pair", "n"])
 
@@ -218,19 +217,28 @@ def reassigned(pairs: DataFrame, of: np.ndarray, big: np.ndarray, first: int, la
     given = spark.sparkContext.broadcast((of, big.astype(np.float64)))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of a code: pairs to class c (c), from class c (k + c), with itself (2 k). The counts of a task's codes stand
-        in one array of 2 k + 1 numbers a code."""
+        """Of a code: pairs to class c (c), from class c (k + c), with itself (2 k); summed once every 2,000,000."""
         of, wide, size = given.value[0], 2 * k + 1, len(given.value[0])
-        held = np.zeros((last - first) * wide, np.int64)
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            b = _summed(keys, counts)
+            p = b.column("pair").to_numpy()
+            return pa.record_batch([pa.array((p // wide).astype(np.int32)), pa.array((p % wide).astype(np.int32)), b.column("n")], names=["code", "c", "n"])
+
+        held = 0
         for b in batches:
             (x, y), n = np.divmod(b.column("pair").to_numpy(), size), b.column("n").to_numpy()
             for who, c in ((x, np.where(x == y, 2 * k, of[y])), (y, np.where(x == y, -1, k + of[x]))):
                 some = (who >= first) & (who < last) & (c >= 0)
-                np.add.at(held, (who[some] - first) * wide + c[some], n[some])
-        at = np.flatnonzero(held)
-        for i in range(0, len(at), 500_000):
-            p = at[i : i + 500_000]
-            yield pa.record_batch([pa.array((p // wide + first).astype(np.int32)), pa.array((p % wide).astype(np.int32)), pa.array(held[p])], names=["code", "c", "n"])
+                keys.append(who[some] * wide + c[some])
+                counts.append(n[some])
+                held += len(keys[-1])
+            if held > 2_000_000:
+                yield out()
+                held = 0
+        yield out()
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, big = given.value
