@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -108,10 +109,35 @@ def merged(lists: DataFrame, k: int) -> DataFrame:
     return lists.repartition("id").sortWithinPartitions("id").mapInArrow(run, LISTS)
 
 
+def split_hot(rows: DataFrame, keys: DataFrame, key: str, most: int) -> DataFrame:
+    """rows (key, id and others) with `part`: 0, but where keys, which has the key of every row, holds a key more than
+    `most` times, which is dealt by id into parts of about that many. There are few such keys, one in `most` of all
+    rows at most; Spark broadcasts them if they are small."""
+    hot = stored(keys.groupBy(key).count().filter(F.col("count") > most).selectExpr(f"{key} hot_key", f"int((count + {most - 1}) div {most}) parts"), "hot-keys")
+    if hot.isEmpty():
+        return rows.withColumn("part", F.lit(0))
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
+    return rows.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn("part", part).drop("hot_key", "parts")
+
+
+def join_hot(rows: DataFrame, right: DataFrame, key: str, n: str, hot: int) -> DataFrame:
+    """rows joined with right, which has each of their keys once and in n how many rows it meets.
+
+    Keys of `hot` rows or more meet theirs by a broadcast, so a large group stays in the tasks that hold it; of these
+    there are no more than the number of rows / hot.
+    """
+    more = [c for c in right.columns if c != key]
+    few = F.broadcast(right.filter(F.col(n) >= hot).select(key, F.struct(*more).alias("hot_row")))
+    e = rows.join(few, key, "left")
+    rest = e.filter("hot_row is null").drop("hot_row").join(right.filter(F.col(n) < hot), key)
+    return e.filter("hot_row is not null").select(*rows.columns, *(F.col(f"hot_row.{c}").alias(c) for c in more)).unionByName(rest)
+
+
 def first_lists(vec: DataFrame, n: int, k: int, trees: int, seed: int, leaf: int = 256) -> DataFrame:
     """Lists to start from: each tree cuts space by random planes through the medians of a bounded sample; vectors of a
-    leaf, in blocks of BLOCK along one more direction, are compared with each other. If vec has a column `label`, only
-    vectors of different labels are."""
+    leaf, in blocks of BLOCK along one more direction, are compared with each other. A leaf of more than twice the
+    size meant (a group of near copies isn't cut by planes) is dealt in parts. If vec has a column `label`, only vectors
+    of different labels are compared."""
     spark = vec.sparkSession
     more = [c for c in ("label",) if c in vec.columns]
     sample = vec.orderBy(F.xxhash64("id", F.lit(seed))).limit(2000).toArrow()
@@ -150,7 +176,9 @@ def first_lists(vec: DataFrame, n: int, k: int, trees: int, seed: int, leaf: int
         for t in blocks():
             code, ids, x = t.column("leaf").to_numpy(), t.column("id").to_numpy(), matrix(t.column("u"))
             label = t.column("label").to_numpy() if more else None
-            start = np.append(np.unique(code, return_index=True)[1], len(code))
+            part = t.column("part").to_numpy()
+            start = np.flatnonzero(np.append(True, (np.diff(code) != 0) | (np.diff(part) != 0)))
+            start = np.append(start, len(code))
             out = []
             for a, e in zip(start, start[1:], strict=False):
                 for i in range(a, e, BLOCK):
@@ -159,7 +187,8 @@ def first_lists(vec: DataFrame, n: int, k: int, trees: int, seed: int, leaf: int
             if out:
                 yield top(*(np.concatenate(c) for c in zip(*out, strict=True)), k)
 
-    return vec.mapInArrow(deal, ", ".join(["leaf long, place double, id long, u binary", *(f"{c} long" for c in more)])).repartition("leaf").sortWithinPartitions("leaf", "place").mapInArrow(compare, LISTS)
+    dealt = vec.mapInArrow(deal, ", ".join(["leaf long, place double, id long, u binary", *(f"{c} long" for c in more)]))
+    return split_hot(dealt, dealt, "leaf", 2 * leaf).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "place").mapInArrow(compare, LISTS)
 
 
 def nearest(ids: np.ndarray, x: np.ndarray, k: int, least: np.ndarray | None = None, label: np.ndarray | None = None) -> list[tuple]:
@@ -196,7 +225,7 @@ def descend(graph: DataFrame, vec: DataFrame, k: int, group: int = 128, near: Da
     labels are compared.
 
     The neighbours of a node meet in a join on that node, with their vectors and the similarity that a new entry must
-    beat; a node with more than `group` of them has them compared in blocks.
+    beat; a node with more than `group` of them has them compared in blocks, and one with many more is dealt in parts.
     """
     more = [c for c in ("label",) if c in vec.columns]
     e = exploded(graph).select("id", "nbr")
@@ -209,13 +238,14 @@ def descend(graph: DataFrame, vec: DataFrame, k: int, group: int = 128, near: Da
             yield pa.record_batch([b.column("id"), pa.array([float(x[-1]) if len(x) >= k else -2.0 for x in s], pa.float32())], names=["id", "least"])
 
     limits = vec.join(graph.mapInArrow(worst, "id long, least float"), "id", "left")
-    met = both.join(limits, "id").select("node", "id", "u", F.coalesce("least", F.lit(-2.0)).cast("float").alias("least"), *more)
+    both = split_hot(both, both, "node", 8 * group)
+    met = both.join(limits, "id").select("node", "part", "id", "u", F.coalesce("least", F.lit(-2.0)).cast("float").alias("least"), *more)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["node"]):
-            node, ids, x, least = t.column("node").to_numpy(), t.column("id").to_numpy(), matrix(t.column("u")), t.column("least").to_numpy()
+        for t in whole_groups(batches, ["node", "part"]):
+            node, part, ids, x, least = t.column("node").to_numpy(), t.column("part").to_numpy(), t.column("id").to_numpy(), matrix(t.column("u")), t.column("least").to_numpy()
             label = t.column("label").to_numpy() if more else None
-            start = np.append(np.unique(node, return_index=True)[1], len(node))
+            start = np.append(np.flatnonzero(np.append(True, (np.diff(node) != 0) | (np.diff(part) != 0))), len(node))
             out = []
             for a, e in zip(start, start[1:], strict=False):
                 for i in range(a, e, group):
@@ -224,7 +254,7 @@ def descend(graph: DataFrame, vec: DataFrame, k: int, group: int = 128, near: Da
             if out:
                 yield top(*(np.concatenate(c) for c in zip(*out, strict=True)), k)
 
-    new = met.repartition("node").sortWithinPartitions("node", F.xxhash64("id")).mapInArrow(compare, LISTS)
+    new = met.repartition("node", "part").sortWithinPartitions("node", "part", F.xxhash64("id")).mapInArrow(compare, LISTS)
     return merged(graph.unionByName(new), k)
 
 
@@ -240,13 +270,13 @@ def dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(rows: DataFrame, queries: Callable, k: int = 20, key: str = "vec_id", vector: str = "embedding", degree: int = 40, rounds: int = 3, trees: int = 8, pool: int = 192, hops: int = 8, seeds: int = 16, seed: int = 1) -> DataFrame:
+def search(rows: DataFrame, queries: Callable, k: int = 20, key: str = "vec_id", vector: str = "embedding", degree: int = 40, rounds: int = 3, trees: int = 8, pool: int = 192, width: int = 64, seeds: int = 16, seed: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query the k rows of largest inner product, itself left out.
 
     queries: a condition on the column `id`; queries are rows of the index themselves. Every valid row is indexed, by a
     neighbour graph of `degree`; a query's greedy search starts at its own node and at the `seeds` longest vectors, and
-    in each further hop opens the nodes of its pool (the best found, `pool` at most) that it hasn't opened yet, until there are none (or `hops` are done). The
-    final order and the scores are computed on the original vectors in double precision; ties go to the smaller id.
+    in each further hop opens the `width` best nodes of its pool (the best found, `pool` at most) that it hasn't opened
+    yet, until all of its pool are; what a query has scored once isn't scored again. The final order and the scores are computed on the original vectors in double precision; ties go to the smaller id.
     Graph and search are over the distinct vectors, each with the k + 1 smallest ids that have it: no more of a group
     of equal vectors can be among a query's k.
 
@@ -266,12 +296,21 @@ def search(rows: DataFrame, queries: Callable, k: int = 20, key: str = "vec_id",
 
     def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q, nodes = [], []
-            for i, x, o in zip(b.column("id").to_pylist(), b.column("nbrs").to_pylist(), b.column("opened").to_pylist(), strict=True):
-                new = np.setdiff1d(np.frombuffer(x, np.int64), np.frombuffer(o, np.int64))
-                q.append(np.full(len(new), i))
-                nodes.append(new)
-            yield pa.record_batch([pa.array(np.concatenate([*q, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(np.concatenate([*nodes, np.zeros(0, np.int64)]))], names=["q", "id"])
+            nodes = []
+            for x, o in zip(b.column("nbrs").to_pylist(), b.column("opened").to_pylist(), strict=True):
+                best = np.frombuffer(x, np.int64)
+                nodes.append(best[~np.isin(best, np.frombuffer(o, np.int64))][:width])
+            q = np.repeat(b.column("id").to_numpy(), [len(x) for x in nodes])
+            yield pa.record_batch([pa.array(q), pa.array(np.concatenate([*nodes, np.zeros(0, np.int64)]))], names=["q", "id"])
+
+    def both_opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The state's opened nodes with those that this hop opens: the same choice as fresh's."""
+        for b in batches:
+            out = []
+            for x, o in zip(b.column("nbrs").to_pylist(), b.column("opened").to_pylist(), strict=True):
+                best, had = np.frombuffer(x, np.int64), np.frombuffer(o, np.int64)
+                out.append(o + best[~np.isin(best, had)][:width].tobytes())
+            yield pa.record_batch([b.column("id"), pa.array(out, pa.binary())], names=["id", "opened"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["q"]):
@@ -288,7 +327,8 @@ def search(rows: DataFrame, queries: Callable, k: int = 20, key: str = "vec_id",
             if out:
                 yield top(*(np.concatenate(c) for c in zip(*out, strict=True)), pool)
 
-    for hop in range(hops):
+    done = None
+    for hop in count():
         nodes = stored(state.mapInArrow(fresh, "q long, id long") if hop else own.selectExpr("id q", "id"), "nodes")
         if nodes.isEmpty():
             break
@@ -297,11 +337,12 @@ def search(rows: DataFrame, queries: Callable, k: int = 20, key: str = "vec_id",
         if not hop and longest:
             seen = seen.unionByName(own.select(F.col("id").alias("q"), F.explode(F.lit(longest)).alias("id")))
         seen = seen.filter("q <> id").distinct()
-        seen = seen.withColumn("mine", F.lit(False)).unionByName(state.selectExpr("id q", "id", "true mine"))
-        scored = seen.join(vec, "id").select("q", "id", "u", "mine").repartition("q").sortWithinPartitions("q").mapInArrow(near, LISTS)
+        seen = stored(seen if done is None else seen.join(done, ["q", "id"], "left_anti"), "seen")
+        done = seen if done is None else done.unionByName(seen)
+        all_ = seen.withColumn("mine", F.lit(False)).unionByName(state.selectExpr("id q", "id", "true mine"))
+        scored = all_.join(vec, "id").select("q", "id", "u", "mine").repartition("q").sortWithinPartitions("q").mapInArrow(near, LISTS)
         best = merged(state.select("id", "nbrs", "sims").unionByName(scored), pool)
-        opened = state.select("id", F.concat("opened", "nbrs").alias("opened"))
-        state = stored(best.join(opened, "id"), "pools")
+        state = stored(best.join(state.mapInArrow(both_opened, "id long, opened binary"), "id"), "pools")
     a, b = one.select(F.col("id").alias("q"), F.col("v").alias("qv")), one.select("id", "ids", F.col("v").alias("cv"))
     pairs = exploded(state.select("id", "nbrs", "sims")).selectExpr("id q", "nbr id").unionByName(own.selectExpr("id q", "id")).join(b, "id").join(a, "q")
 
@@ -325,7 +366,7 @@ def _exact(pairs: DataFrame, v: DataFrame, least: float) -> DataFrame:
     return p.filter(cosine() >= least).selectExpr("x a", "y b")
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding", degree: int = 16, rounds: int = 2, trees: int = 8, audit: int = 2000, recall: float = 0.999, attempts: int = 3) -> DataFrame:
+def near_duplicates(rows: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding", degree: int = 16, rounds: int = 2, trees: int = 8, audit: int = 2000, recall: float = 0.999) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: links are pairs of cosine >= least in double precision.
 
     A neighbour graph by NN-descent over the distinct vectors gives the links of lists that aren't full. Where a list
@@ -336,8 +377,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, key: str = "vec_id", ve
     have no place for a link to another class, as nearer members fill it: all vectors with such lists get further
     lists, of vectors outside their class alone, until no class has a link outside (`_foreign`). The links of about
     `audit` vectors with neighbours near the threshold, of classes of all sizes alike, are then compared with brute
-    force; if less than `recall` of them have all theirs, graphs with other trees add theirs (`attempts` at most, then
-    a warning tells what was reached).
+    force; if less than `recall` of them have all theirs, another graph adds its own, with lists twice as long and
+    twice the trees; if lists as long as the table aren't enough, an error says so.
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are their own component.
     A null vec_id gives a row with nulls and no links; rows that repeat a vec_id get the same result; an empty table
@@ -350,26 +391,28 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, key: str = "vec_id", ve
     n = one.count()
     vec = stored(packed(one.select("id", "v"), None), "units")
     pairs = None
-    for attempt in range(attempts):
-        own = graph(vec, n, degree, rounds, trees, seed=1 + attempt)
+    for attempt in count():
+        k, more = degree << attempt, trees << attempt
+        own = graph(vec, n, k, rounds, more, seed=1 + attempt)
         exact = _exact(_near(own, least), one, least)
         pairs = stored(exact if pairs is None else pairs.unionByName(exact).distinct(), "pairs")
         comp = connected_components(pairs)
         centres = stored(_centres(comp, pairs).join(vec, "id"), "centres")
-        g = graph(centres.select("id", "u"), centres.count(), degree, 1, trees, seed=11 + attempt)
+        g = graph(centres.select("id", "u"), centres.count(), k, 1, more, seed=11 + attempt)
         pairs = stored(pairs.unionByName(_exact(_near(g, least), one, least)).distinct(), "pairs")
         comp = stored(connected_components(pairs), "components")
-        pairs, comp = _foreign(own, vec, one, pairs, comp, least, degree, rounds, trees, seed=101 + 100 * attempt)
+        pairs, comp = _foreign(own, vec, one, pairs, comp, least, k, rounds, more, seed=101 + 100 * attempt)
         counted = stored(_counts(one, comp, _centres(comp, pairs), least), "links")
         got, asked = _audit(one, own, comp, counted, audit, least)
         log.info("share of %d audited vectors all of whose links are found: %.4f", asked, got)
         if got >= recall:
             break
-    else:
-        log.warning("%.4f of the audited vectors have all their links after %d graphs, below %.4f", got, attempts, recall)
-    own = v.join(one.selectExpr("v w", "id first", "copies"), F.col("v") == F.col("w")).select("id", "first", "copies")
-    full = own.join(comp.selectExpr("id first", "component_id"), "first", "left").join(counted.selectExpr("id first", "links"), "first", "left")
-    full = full.select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
+        if k >= n:
+            raise RuntimeError(f"only {got:.4f} of {asked} audited vectors have all their links with lists of {k}")
+    info = one.join(comp.selectExpr("id", "component_id"), "id", "left").join(counted, "id", "left")
+    links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
+    info = info.select("v", "copies", links, F.coalesce("component_id", "id").alias("component_id"))
+    full = join_hot(v, info, "v", "copies", max(100, n // 1000)).select("id", "n_links", "component_id")
     out = rows.select(F.col(key).cast("long").alias("vec_id")).join(full, F.col("vec_id") == F.col("id"), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
@@ -418,12 +461,17 @@ def _centres(comp: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _counts(one: DataFrame, comp: DataFrame, centres: DataFrame, least: float, block: int = 2048) -> DataFrame:
     """(id, links) of distinct vectors that have links: copies of other vectors of their component within the threshold."""
-    lead = centres.join(one.select("id", F.col("v").alias("b")), "id").select("component_id", "b")
-    rows = comp.join(one, "id").join(lead, "component_id").select("component_id", "id", "copies", F.col("v").alias("a"), "b")
+    members = stored(comp.join(one, "id").select("component_id", "id", "copies", F.col("v").alias("a")), "joined")
+    hot = max(100, members.count() // 1000)
+    sizes = members.groupBy("component_id").count()
+    lead = centres.join(one.select("id", F.col("v").alias("b")), "id").select("component_id", "b").join(sizes, "component_id")
+    rows = join_hot(members, lead, "component_id", "count", hot)
     rows = stored(rows.select("component_id", "id", "copies", F.col("a").alias("v"), (cosine() >= math.sqrt((1 + least) / 2) + 1e-9).alias("core")), "members")
     size = rows.groupBy("component_id").agg(F.sum(F.when(F.col("core"), F.col("copies")).otherwise(0)).alias("in_core"), F.count("*").alias("n"), F.count(F.when(~F.col("core"), 1)).alias("rest"))
-    easy = rows.filter("core").join(size, "component_id").select("id", (F.col("in_core") - F.col("copies")).alias("links"))
-    hard = rows.join(size.filter("rest > 0"), "component_id").withColumns({"parts": F.expr(f"int((n + {block - 1}) div {block})"), "rests": F.expr(f"int((rest + {block - 1}) div {block})")})
+    size = stored(size, "sizes")
+    met = join_hot(rows, size, "component_id", "n", hot)
+    easy = met.filter("core").select("id", (F.col("in_core") - F.col("copies")).alias("links"))
+    hard = met.filter("rest > 0").withColumns({"parts": F.expr(f"int((n + {block - 1}) div {block})"), "rests": F.expr(f"int((rest + {block - 1}) div {block})")})
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     all_ = hard.select("component_id", part("parts").alias("p"), F.explode(F.expr("sequence(0, rests - 1)")).alias("r"), F.lit(False).alias("asks"), "id", "copies", "v", "core")
     rest = hard.filter("not core").select("component_id", F.explode(F.expr("sequence(0, parts - 1)")).alias("p"), part("rests").alias("r"), F.lit(True).alias("asks"), "id", "copies", "v", "core")
@@ -444,12 +492,12 @@ def _counts(one: DataFrame, comp: DataFrame, centres: DataFrame, least: float, b
                 links += [hit @ n[a:e][o], n[a:e][q] @ hit[:, core[a:e][o]]]
             yield pa.record_batch([pa.array(np.concatenate(who)), pa.array(np.concatenate(links).astype(np.int64))], names=["id", "links"])
 
-    met = all_.unionByName(rest).repartition("component_id", "p", "r").sortWithinPartitions("component_id", "p", "r").mapInArrow(compare, "id long, links long")
-    return easy.unionByName(met).groupBy("id").agg(F.sum("links").alias("links"))
+    compared = all_.unionByName(rest).repartition("component_id", "p", "r").sortWithinPartitions("component_id", "p", "r").mapInArrow(compare, "id long, links long")
+    return easy.unionByName(compared).groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def _audit(one: DataFrame, own: DataFrame, comp: DataFrame, counted: DataFrame, size: int, least: float) -> tuple[float, int]:
-    """The share of about `size` vectors whose links, by brute force over all, were all counted; and their number.
+    """The share of about `size` vectors whose links, by brute force over all, were all counted and no others; and the number of linked ones.
 
     Asked are vectors with a neighbour near the threshold in the graph, as many of small classes as of large ones.
     """
@@ -481,14 +529,15 @@ def _audit(one: DataFrame, own: DataFrame, comp: DataFrame, counted: DataFrame,
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, q = given.value
-        links = np.zeros(len(asked), np.int64)
+        sure, most = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
         for b in batches:
             for i in range(0, b.num_rows, BLOCK):
                 c = b.slice(i, BLOCK)
-                hit = (q @ units(c.column("v")).T >= least + 1e-9) & (asked[:, None] != c.column("id").to_numpy())
-                links += hit @ c.column("copies").to_numpy()
-        yield pa.record_batch([pa.array(asked), pa.array(links)], names=["q", "due"])
-
-    truth = one.select("id", "v", "copies").mapInArrow(brute, "q long, due long").groupBy("q").agg(F.sum("due").alias("due")).filter("due > 0")
-    have = truth.join(counted, F.col("q") == F.col("id"), "left").agg(F.count("*"), F.count(F.when(F.coalesce("links", F.lit(0)) >= F.col("due"), 1))).first()
-    return (have[1] / have[0] if have[0] else 1.0), t.num_rows
+                cos, other, copies = q @ units(c.column("v")).T, asked[:, None] != c.column("id").to_numpy(), c.column("copies").to_numpy()
+                sure += ((cos >= least + 1e-9) & other) @ copies
+                most += ((cos >= least - 1e-9) & other) @ copies
+        yield pa.record_batch([pa.array(asked), pa.array(sure), pa.array(most)], names=["q", "due", "most"])
+
+    truth = one.select("id", "v", "copies").mapInArrow(brute, "q long, due long, most long").groupBy("q").agg(F.sum("due").alias("due"), F.sum("most").alias("most")).filter("most > 0")
+    have = truth.join(counted, F.col("q") == F.col("id"), "left").agg(F.count("*"), F.count(F.when(F.coalesce("links", F.lit(0)).between(F.col("due"), F.col("most")), 1))).first()
+    return (have[1] / have[0] if have[0] else 1.0), have[0]

@@ -274,6 +274,15 @@ def test_search_odd_rows(spark):
     assert len(nndescent.search(few.unionByName(few), lambda i: i % 2 == 0).collect()) == 28
 
 
+def test_hot_keys_are_split_and_met(spark):
+    rows = spark.createDataFrame([(1 if k < 500 else k, k) for k in range(700)], "node long, id long")
+    got = nndescent.split_hot(rows, rows, "node", 100).groupBy("node", "part").count().collect()
+    assert max(r["count"] for r in got) < 200 and len([r for r in got if r.node == 1]) == 5 and sum(r["count"] for r in got) == 700
+    right = rows.groupBy("node").count().withColumn("x", F.col("node") * 2)
+    for hot in (1, 100, 10_000):
+        assert sorted(map(tuple, nndescent.join_hot(rows, right, "node", "count", hot).select("node", "id", "x").collect())) == sorted((r.node, r.id, 2 * r.node) for r in rows.collect())
+
+
 def test_search_among_equal_vectors(spark):
     """A query in a group of equal vectors gets the smallest ids of the group."""
     rng = np.random.default_rng(4)
@@ -282,7 +291,7 @@ def test_search_among_equal_vectors(spark):
     x[group] = np.round(x[group[0]] * 4) + 8
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {}
-    for r in nndescent.search(df, lambda i: i % 50 == 0, rounds=1, trees=2, hops=3).collect():
+    for r in nndescent.search(df, lambda i: i % 50 == 0, rounds=1, trees=2).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
     asked = [q for q in group if q % 50 == 0]
     assert len(got) == 90 and len(asked) > 40
