@@ -270,7 +270,7 @@ def dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(rows: DataFrame, queries: Callable, k: int = 20, key: str = "vec_id", vector: str = "embedding", degree: int = 40, rounds: int = 3, trees: int = 8, pool: int = 192, width: int = 64, seeds: int = 16, seed: int = 1) -> DataFrame:
+def search(rows: DataFrame, queries: Callable, k: int = 20, key: str = "vec_id", vector: str = "embedding", degree: int = 40, rounds: int = 3, trees: int = 8, pool: int = 128, width: int = 128, seeds: int = 16, seed: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query the k rows of largest inner product, itself left out.
 
     queries: a condition on the column `id`; queries are rows of the index themselves. Every valid row is indexed, by a
