@@ -106,9 +106,14 @@ def predecessor(points: DataFrame, starts: DataFrame, keys: list[str], bin_width
     return counted.filter("_of = 1").withColumn("ordinal", F.greatest(F.col("_n") - 1, F.lit(0)).cast("long")).drop("_p", "_of", "_n")
 
 
+def is_valid(start: str = "seg_start", end: str = "seg_end") -> Column:
+    """Whether an interval doesn't end before it starts."""
+    return F.col(start) <= F.col(end)
+
+
 def validated(df: DataFrame, start: str = "seg_start", end: str = "seg_end") -> DataFrame:
     """df, whose evaluation fails on an interval that ends before it starts."""
-    ok = F.assert_true(F.col(start) <= F.col(end), F.lit("interval ends before it starts"))
+    ok = F.assert_true(is_valid(start, end), F.lit("interval ends before it starts"))
     return df.withColumn(start, F.when(ok.isNull(), F.col(start)))
 
 

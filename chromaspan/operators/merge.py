@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.predicates import is_aberrant, small, spurious
 from .intervals import stab
 
+EPSILON = 2.0**-23  # how far apart equal values may be: the precision of 32-bit floats
+
 
-def runs(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Segments of adjacent equal values (a struct's components must all be equal), by sample and chromosome."""
+def runs(raw: DataFrame, value: str = "value", epsilon: float = EPSILON) -> DataFrame:
+    """Segments of adjacent values no more than epsilon apart (of a struct all components), by sample and chromosome;
+    nulls are alike. A segment has its first value."""
     w = Window.partitionBy("sample", "chrom").orderBy("pos", "marker")
-    new = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"), F.lit(1))
+    kind = raw.schema[value].dataType
+    parts = [f"{value}.{f.name}" for f in kind.fields] if isinstance(kind, StructType) else [value]
+
+    def same(c: str) -> Column:
+        before = F.lag(c).over(w)
+        return F.coalesce(F.abs(F.col(c) - before) <= epsilon, F.col(c).eqNullSafe(before))
+
+    new = (~reduce(and_, map(same, parts))).cast("int")
     new = F.when(F.row_number().over(w) == 1, 1).otherwise(new)
     marked = raw.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
     return marked.groupBy("sample", "chrom", "_run").agg(F.min("pos").alias("seg_start"), F.max("pos").alias("seg_end"), F.count("*").alias("n_markers"), F.first(value).alias("state")).drop("_run")

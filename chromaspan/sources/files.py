@@ -147,7 +147,9 @@ def write_gene_sets(sets: DataFrame, path: str) -> None:
 
 def read_any(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     """The kind of data that the file's extension names, and its rows."""
-    kind = DATA_TYPES[path.rstrip("/").rpartition(".")[2]]
+    kind = DATA_TYPES.get(path.rstrip("/").rpartition(".")[2])
+    if kind is None or kind == "raw_lrrbaf":
+        raise ValueError(f"no reader for the extension of {path!r}; known are {', '.join(sorted(set(DATA_TYPES) - {'lrrbaf'}))}")
     read = {"raw": read_raw, "raw_ref": read_raw, "segmented": read_segments, "segmented_ascn": read_allele_segments}
     if kind == "raw_ascn":
         return kind, read_raw(spark, path, alleles=True)
@@ -155,7 +157,9 @@ def read_any(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
 
 
 def convert(kind: str, df: DataFrame, to: str, markers: DataFrame | None = None) -> DataFrame:
-    """Rows of one kind as another; segments become raw values at the given markers."""
+    """Rows of one kind as another; segments become raw values at the given markers. Total values can't become those of alleles."""
+    if to.endswith("ascn") and not kind.endswith("ascn"):
+        raise ValueError(f"{kind} can't become {to}")
     raw, seg = {"raw", "raw_ref", "raw_ascn"}, {"segmented", "segmented_ref", "segmented_ascn"}
     if kind in raw and to in seg:
         df = merge.runs(df)

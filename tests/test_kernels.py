@@ -260,3 +260,30 @@ def test_file_numbers(spark, tmp_path):
     (tmp_path / "x.seg").write_text("sample\tchrom\tstart\tend\tcount\tstate\nA\tchrX\t1\t9\t3\t0.25\nA\tchrM\t1\t9\t3\t1\nB\t2\t+5\t 7\t2.0\tNA\nC\t3\t1\t2\t1\tnan")
     got = [tuple(r) for r in files.read_segments(spark, str(tmp_path / "x.seg")).orderBy("sample").collect()]
     assert got[:2] == [("A", 23, 1, 9, 3, 0.25), ("B", 2, None, None, None, None)] and math.isnan(got[2][5])
+
+
+def test_runs_within_epsilon(spark):
+    rows = [("S", f"m{k}", 1, k, x) for k, x in enumerate([0.1 + 0.2, 0.3, 0.3 + 1e-5, None, None, 0.3])]
+    raw = spark.createDataFrame(rows, "sample string, marker string, chrom int, pos long, value double")
+    got = [(r.seg_start, r.n_markers, r.state) for r in merge.runs(raw).orderBy("seg_start").collect()]
+    assert got == [(0, 2, 0.1 + 0.2), (2, 1, 0.3 + 1e-5), (3, 2, None), (5, 1, 0.3)]
+    pairs = raw.withColumn("value", F.struct(F.col("value").alias("a"), F.lit(1.0).alias("b")))
+    assert [r.n_markers for r in merge.runs(pairs).orderBy("seg_start").collect()] == [2, 1, 2, 1]
+    assert [r.n_markers for r in merge.runs(raw, epsilon=1e-4).orderBy("seg_start").collect()] == [3, 2, 1]
+
+
+def test_invalid_conversions_raise(spark):
+    raw = spark.createDataFrame([("S", "m", 1, 1, 0.5)], "sample string, marker string, chrom int, pos long, value double")
+    for kind, to in (("raw", "segmented_ascn"), ("raw", "raw_ascn"), ("segmented", "segmented_ascn")):
+        with pytest.raises(ValueError, match="can't become"):
+            files.convert(kind, raw, to)
+    for path in ("x.lrrbaf", "x.txt", "x"):
+        with pytest.raises(ValueError, match="no reader"):
+            files.read_any(spark, path)
+
+
+def test_an_interval_that_ends_before_it_starts_raises(spark):
+    df = spark.createDataFrame([(1, 5), (7, 6)], "seg_start long, seg_end long")
+    assert intervals.validated(df.limit(1)).count() == 1
+    with pytest.raises(Exception, match="ends before it starts"):
+        intervals.validated(df).collect()
