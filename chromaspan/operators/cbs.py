@@ -34,17 +34,19 @@ def smooth(x: np.ndarray, chrom: np.ndarray | None = None, region: int = 10, out
     far, near = outlier_sd * sd, smooth_sd * sd
     out, edges = y.copy(), np.flatnonzero(np.append(True, c[1:] != c[:-1]))
     for a, e in zip(edges, np.append(edges[1:], len(y)), strict=True):
-        for i in range(a, e):
-            lo, hi = max(a, i - region), min(e, i + region + 1)
-            others = np.delete(y[lo:hi], i - lo)
-            if len(others) and np.abs(y[i] - others).min() <= far:
-                continue
-            up, down = (y[i] - others.max(), y[i] - others.min()) if len(others) else (100 * far, 100 * far)
-            above, below = (up, -down) if len(others) else (100 * far, 100 * far)
-            if above > 0:
-                out[i] = np.median(y[lo:hi]) + near
-            if below > 0:
-                out[i] = np.median(y[lo:hi]) - near
+        if e - a == 1:
+            out[a] = y[a] - near if far > 0 else y[a]
+            continue
+        padded = np.concatenate([np.full(region, np.nan), y[a:e], np.full(region, np.nan)])
+        for i in range(0, e - a, 50_000):  # a block of windows at a time
+            around = np.lib.stride_tricks.sliding_window_view(padded[i : min(e - a, i + 50_000) + 2 * region], 2 * region + 1).copy()
+            own = around[:, region].copy()
+            around[:, region] = np.nan
+            low, high = np.nanmin(around, 1), np.nanmax(around, 1)
+            alone = np.nanmin(np.abs(around - own[:, None]), 1) > far
+            k = np.flatnonzero(alone & ((own > high) | (own < low)))
+            around[k, region] = own[k]
+            out[a + i + k] = np.nanmedian(around[k], 1) + np.where(own[k] > high[k], near, -near) if len(k) else 0
     x = x.copy()
     x[ok] = out
     return x
