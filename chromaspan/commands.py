@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import logging
+import os
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from .functions.predicates import ensure_log_scale, is_aberrant
 from .operators import cbs, intervals, merge
 from .sources import files
 
+log = logging.getLogger(__name__)
+
 
 def _write(kind: str, df, path: str) -> None:
     if kind.startswith("segmented"):
@@ -38,7 +42,10 @@ def run(spark: SparkSession, args: list[str]) -> None:
     p.add_argument("--alpha", type=float, default=0.01)
     p.add_argument("--nperm", type=int, default=200)
     p.add_argument("--min-width", type=int, default=2)
+    p.add_argument("--log-level", default=os.environ.get("CHROMASPAN_LOG_LEVEL", "WARNING"), type=str.upper, choices=["DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"])
     a = p.parse_args(args)
+    logging.getLogger("chromaspan").setLevel(a.log_level)
+    log.info("%s %s to %s", a.command, a.input, a.output)
     if a.command == "sort":
         return files.write_markers(files.read_markers(spark, a.input, named=True), a.output)
     kind, df = files.read_any(spark, a.input)
@@ -68,4 +75,5 @@ def run(spark: SparkSession, args: list[str]) -> None:
 if __name__ == "__main__":
     import sys
 
+    logging.basicConfig()
     run(SparkSession.builder.getOrCreate(), sys.argv[1:])

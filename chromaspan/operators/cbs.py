@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterable
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from .intervals import running_count
 from .stats import inflation
 
 
@@ -18,19 +22,19 @@ def trimmed_variance(x: np.ndarray, trim: float = 0.025) -> float:
     return inflation(trim) * float((d[:keep] ** 2).sum()) / (2 * keep) if keep else 0.0
 
 
-def smooth(x: np.ndarray, chrom: np.ndarray | None = None, region: int = 10, outlier_sd: float = 4.0, smooth_sd: float = 2.0, trim: float = 0.025) -> np.ndarray:
+def smooth(x: np.ndarray, chrom: np.ndarray | None = None, region: int = 10, outlier_sd: float = 4.0, smooth_sd: float = 2.0, trim: float = 0.025, sd: float | None = None) -> np.ndarray:
     """Outliers shrunk towards the median of their neighbours (within `region` places and the same chromosome run).
 
     A value stays if any neighbour lies within outlier_sd deviations, or if some neighbour lies above and some below it;
     above all of them it becomes the neighbourhood's median plus smooth_sd deviations, below all of them minus. A value
-    without neighbours ends below itself. Values that aren't finite take no part.
+    without neighbours ends below itself. Values that aren't finite take no part. sd: the deviation, if it is known.
     """
     x = np.asarray(x, float)
     ok = np.flatnonzero(np.isfinite(x))
-    if len(ok) < 2:
+    if len(ok) < (2 if sd is None else 1):
         return x.copy()
     y, c = x[ok], np.zeros(len(ok)) if chrom is None else np.asarray(chrom)[ok]
-    sd = math.sqrt(trimmed_variance(y, trim))
+    sd = math.sqrt(trimmed_variance(y, trim)) if sd is None else sd
     far, near = outlier_sd * sd, smooth_sd * sd
     out, edges = y.copy(), np.flatnonzero(np.append(True, c[1:] != c[:-1]))
     for a, e in zip(edges, np.append(edges[1:], len(y)), strict=True):
@@ -52,54 +56,112 @@ def smooth(x: np.ndarray, chrom: np.ndarray | None = None, region: int = 10, out
     return x
 
 
+def least_weights(m: np.ndarray, lengths: Iterable[int]) -> np.ndarray:
+    """For each length the least weight of that many neighbours on the circle; m: prefix sums of the weights, from 0."""
+    n = len(m) - 1
+    return np.array([min((m[k:] - m[: n + 1 - k]).min(), m[n] - (m[n - k :] - m[: k + 1]).max()) for k in lengths])
+
+
+def _sums(x: np.ndarray, w: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Prefix sums of values and of weights, and the sum of squares."""
+    y = x if w is None else w * x
+    m = np.arange(len(x) + 1.0) if w is None else np.concatenate([[0.0], np.cumsum(w)])
+    return np.concatenate([[0.0], np.cumsum(y)]), m, float((y * x).sum())
+
+
+def _best_arc(s: np.ndarray, m: np.ndarray, al0: int, longest: int | None, floor: float = 0.0, enough: float = math.inf) -> tuple[float, int, int]:
+    """The largest between-group sum of squares of an arc and its ends, of equal ones the shortest and first.
+
+    Places are in blocks of about sqrt(n). The extremes of two blocks' prefix sums and the least and most weight between
+    them bound the arcs from one to the other; pairs of blocks are opened by falling bound until none can be better.
+    Arcs below `floor` aren't looked for, and the search ends at one of `enough`.
+    """
+    n, whole = len(s) - 1, m[-1]
+    longest = min(n - al0, longest or n)
+    best, at = 0.0, (0, n)
+    if longest < al0:
+        return best, *at
+    first = np.arange(0, n + 1, max(16, math.isqrt(n)))
+    last = np.append(first[1:], n + 1) - 1
+    low, high = np.minimum.reduceat(s, first), np.maximum.reduceat(s, first)
+    p, q = np.triu_indices(len(first))
+    fits = (last[q] - first[p] >= al0) & (first[q] - last[p] <= longest)
+    p, q = p[fits], q[fits]
+    least = least_weights(m, [al0])[0]
+    light, heavy = np.maximum(m[first[q]] - m[last[p]], least), np.minimum(m[last[q]] - m[first[p]], whole - least)
+    under = np.minimum(light * (whole - light), heavy * (whole - heavy))
+    bound = np.full(len(p), math.inf)
+    np.divide(whole * np.maximum(high[q] - low[p], high[p] - low[q]) ** 2, under, out=bound, where=under > 0)
+    for o in np.argsort(-bound, kind="stable"):
+        if bound[o] * (1 + 1e-9) < max(best, floor) or best >= enough:
+            break
+        i, j = np.arange(first[p[o]], last[p[o]] + 1)[:, None], np.arange(first[q[o]], last[q[o]] + 1)
+        k, d, size = j - i, s[j] - s[i], m[j] - m[i]
+        v, left = np.zeros(k.shape), whole - size
+        np.divide(whole * d * d, size * left, out=v, where=(k >= al0) & (k <= longest) & (size > 0) & (left > 0))
+        most = float(v.max())
+        if most > 0 and most >= best:
+            length, start = min((int(k[y, x]), int(i[y, 0])) for y, x in np.argwhere(v == most))
+            if most > best or (length, start) < (at[1] - at[0], at[0]):
+                best, at = most, (start, start + length)
+    return best, *at
+
+
+def _statistic(best: float, t: float, n: int) -> float:
+    t = best + 1 if t <= best + 1e-4 else t
+    return best * (n - 2) / (t - best)
+
+
 def largest_arc(x: np.ndarray, al0: int, w: np.ndarray | None = None, longest: int | None = None, tss: float | None = None) -> tuple[float, int, int]:
     """The arc (i, j] with the largest between-group sum of squares: its F-like statistic and its ends (i < j <= n).
 
     Arcs and their complements hold al0 values at least; with `longest`, arcs hold that many at most. With weights, means,
     lengths and sums are weighted. x must have (weighted) mean zero.
     """
-    n = len(x)
-    s = np.concatenate([[0.0], np.cumsum(x if w is None else w * x)])
-    m = None if w is None else np.concatenate([[0.0], np.cumsum(w)])
-    whole = float(n) if w is None else m[-1]
-    best, at = 0.0, (0, n)
-    for k in range(al0, min(n - al0, longest or n) + 1):
-        d = s[k:] - s[:-k]
-        size = np.full(len(d), float(k)) if m is None else m[k:] - m[:-k]
-        left = whole - size
-        with np.errstate(divide="ignore", invalid="ignore"):
-            v = np.where(left > 0, whole * d * d / (size * left), 0.0) if m is not None else n * d * d / (k * (n - k)) if k < n else np.zeros(len(d))
-        i = int(np.argmax(v))
-        if v[i] > best:
-            best, at = float(v[i]), (i, i + k)
-    t = float((x * x).sum() if w is None else (w * x * x).sum()) if tss is None else tss
-    t = best + 1 if t <= best + 1e-4 else t
-    return best / ((t - best) / (n - 2)), *at
+    s, m, t = _sums(x, w)
+    best, i, j = _best_arc(s, m, al0, longest)
+    return _statistic(best, t if tss is None else tss, len(x)), i, j
+
+
+def reaches(x: np.ndarray, al0: int, stat: float, w: np.ndarray | None = None, longest: int | None = None) -> bool:
+    """Whether the largest arc's statistic is `stat` or more; arcs that can't be are passed over by their bounds."""
+    s, m, t = _sums(x, w)
+    need = stat * t / (len(x) - 2 + stat)
+    return _statistic(_best_arc(s, m, al0, longest, need * (1 - 1e-6), need * (1 + 1e-6))[0], t, len(x)) >= stat
+
+
+def nu(v: float, tol: float = 1e-6) -> float:
+    """The correction of a Brownian crossing probability for discrete steps."""
+    if v <= 0.01:
+        return math.exp(-0.583 * v)
+    phi = NormalDist().cdf
+    total, k, step, term = math.log(2) - 2 * math.log(v), 0, 2, 1.0
+    while term > tol and k < 100_000:
+        inc = sum(phi(-v * math.sqrt(j) / 2) / j for j in range(k + 1, k + step + 1))
+        total, k, step = total - 2 * inc, k + step, step * 2
+        term = abs(2 * inc / total) if total else 0
+    return math.exp(total)
 
 
 def tail(b: float, delta: float, m: int, grid: int = 100, tol: float = 1e-6) -> float:
     """Tail probability of the largest arc statistic over arcs of a share of delta or more."""
-    phi = lambda v: 0.5 * math.erfc(-v / math.sqrt(2))
-
-    def nu(v: float) -> float:
-        if v <= 0.01:
-            return math.exp(-0.583 * v)
-        total, k, step, term = math.log(2) - 2 * math.log(v), 0, 2, 1.0
-        while term > tol and k < 100_000:
-            inc = sum(phi(-v * math.sqrt(j) / 2) / j for j in range(k + 1, k + step + 1))
-            total, k, step = total - 2 * inc, k + step, step * 2
-            term = abs(2 * inc / total) if total else 0
-        return math.exp(total)
-
     h = (0.5 - delta) / grid
     area = 0.0
     for k in range(grid):
         t = 0.5 - (k + 0.5) * h
         x = b / math.sqrt(m * t * (1 - t))
-        area += nu(x) ** 2 / (t * (1 - t)) ** 2 * h
+        area += nu(x, tol) ** 2 / (t * (1 - t)) ** 2 * h
     return 2 * area * b**3 * math.exp(-b * b / 2) / (4 * math.sqrt(2 * math.pi))
 
 
+def boundary_tail(b: float, m: int, grid: int = 100, tol: float = 1e-6) -> float:
+    """Tail probability of the largest statistic of a single change among m values, two or more on either side."""
+    at = b * math.sqrt(1 / (m - 2) - 1 / m), b * math.sqrt(1 / 2 - 1 / m)
+    x = np.linspace(*at, grid + 1)
+    y = np.array([nu(v + b * b / (m * v), tol) / v for v in x])
+    return b * math.exp(-b * b / 2) * float(np.trapezoid(y, x)) / math.sqrt(2 * math.pi) + 2 * (1 - NormalDist().cdf(b))
+
+
 def permutation_p(a: np.ndarray, b: np.ndarray, nperm: int, rng: np.random.Generator) -> float:
     """Two-sided permutation p value of the difference of two groups' means; groups of one value count as equal."""
     n1, n2 = len(a), len(b)
@@ -118,6 +180,26 @@ def permutation_p(a: np.ndarray, b: np.ndarray, nperm: int, rng: np.random.Gener
     return hits / nperm
 
 
+def weighted_permutation_p(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, nperm: int, rng: np.random.Generator) -> float:
+    """permutation_p with weights. What is permuted are the first group's values times the roots of their weights and
+    the second's as they are; a drawn value is weighed by the root of its new place, at the end."""
+    n1, n2 = len(a), len(b)
+    if n1 == 1 or n2 == 1:
+        return 1.0
+    root, n, total = np.sqrt(np.concatenate([wa, wb])), n1 + n2, wa.sum() + wb.sum()
+    sums = (wa * a).sum(), (wb * b).sum()
+    mean = (sums[0] + sums[1]) / total
+    tss = (wa * a * a).sum() + (wb * b * b).sum() - total * mean * mean
+    m, small, other, mass = (n1, wa.sum(), wb.sum(), sums[0]) if n1 <= n2 else (n2, wb.sum(), wa.sum(), sums[1])
+    d = 0.99999 * abs(mass / small - mean)
+    t = d * d * small * total / other
+    if m >= 10 and t / ((tss - t) / (n - 2)) > 25:
+        return 0.0
+    both, ends = np.concatenate([a * root[:n1], b]), root[n - m :]
+    hits = sum(abs((rng.permutation(both)[:m] * ends).sum() / small - mean) >= d for _ in range(nperm))
+    return hits / nperm
+
+
 def change_points(x: np.ndarray, alpha: float, nperm: int, rng: np.random.Generator, min_width: int, hybrid: bool, kmax: int, nmin: int, w: np.ndarray | None = None) -> list[int]:
     """0, 1 or 2 places where the mean of x changes."""
     n = len(x)
@@ -128,7 +210,8 @@ def change_points(x: np.ndarray, alpha: float, nperm: int, rng: np.random.Genera
     if not (math.sqrt(stat) >= 7 and length >= 10):
         limit, cut = int(alpha * nperm), None
         if hybrid and n > nmin:
-            p = tail(math.sqrt(stat), (kmax + 1) / n, n)
+            delta = (kmax + 1) / n if w is None else least_weights(np.concatenate([[0.0], np.cumsum(w)]), [kmax + 1])[0] / w.sum()
+            p = tail(math.sqrt(stat), delta, n)
             if p > alpha:
                 return []
             limit, cut = int((alpha - p) * nperm), kmax
@@ -137,36 +220,33 @@ def change_points(x: np.ndarray, alpha: float, nperm: int, rng: np.random.Genera
             y = rng.permutation(x) if w is None else rng.permutation(x * np.sqrt(w)) / np.sqrt(w)
             if w is not None:
                 y = y - (w * y).sum() / w.sum()
-            hits += largest_arc(y, min_width, w, cut)[0] >= 0.99999 * stat
+            hits += reaches(y, min_width, 0.99999 * stat, w, cut)
             if hits > limit:
                 return []
     if i == 0 or j == n:
         return [j if i == 0 else i] if 0 < (j if i == 0 else i) < n else []
-    y = x if w is None else x * np.sqrt(w)
-    first = permutation_p(y[:i], y[i:j], nperm, rng) <= alpha
-    second = permutation_p(y[i:j], y[j:], nperm, rng) <= alpha
-    return [p for p, ok in ((i, first), (j, second)) if ok]
+    p = [permutation_p(x[a:c], x[c:e], nperm, rng) if w is None else weighted_permutation_p(x[a:c], x[c:e], w[a:c], w[c:e], nperm, rng) for a, c, e in ((0, i, j), (i, j, n))]
+    return [c for c, v in zip((i, j), p, strict=True) if v <= alpha]
 
 
 def prune(x: np.ndarray, ends: list[int], cutoff: float = 0.05) -> list[int]:
     """The fewest of the segments' ends whose sum of squares is within a share `cutoff` of that with all."""
     s, q = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
-    points = [0, *ends]
-    cost = lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a)
-    k = len(ends)
-    # best[m][e]: least sum of squares of m segments up to point e; the exact optimum over all subsets.
-    best = [[math.inf] * (k + 1) for _ in range(k + 1)]
-    back = [[0] * (k + 1) for _ in range(k + 1)]
-    best[0][0] = 0.0
-    for m in range(1, k + 1):
-        for e in range(m, k + 1):
-            best[m][e], back[m][e] = min((best[m - 1][a] + cost(points[a], points[e]), a) for a in range(m - 1, e))
-    full = best[k][k]
-    m = next(m for m in range(1, k + 1) if best[m][k] <= (1 + cutoff) * full + 1e-12)
-    out, e = [], k
-    while m:
-        out.append(points[e])
-        e, m = back[m][e], m - 1
+    points, k = np.array([0, *ends]), len(ends)
+    cost = np.full((k + 1, k + 1), math.inf)  # of a segment from one point to a later one
+    for a in range(k):
+        e = points[a + 1 :]
+        cost[a, a + 1 :] = q[e] - q[points[a]] - (s[e] - s[points[a]]) ** 2 / (e - points[a])
+    full = float(cost[np.arange(k), np.arange(1, k + 1)].sum())
+    best, back = cost[0], []  # least sum of squares up to each point, of one segment more each time: the exact optimum
+    while best[k] > (1 + cutoff) * full + 1e-12 and len(back) + 1 < k:
+        by = best[:, None] + cost
+        back.append(by.argmin(0))
+        best = by.min(0)
+    out, e = [int(points[k])], k
+    for step in reversed(back):
+        e = int(step[e])
+        out.append(int(points[e]))
     return out[::-1]
 
 
@@ -216,12 +296,33 @@ def segment_raw(raw: DataFrame, seed: int = 1, **options) -> DataFrame:
     return raw.select("sample", "chrom", "pos", "value").groupBy("sample", "chrom").applyInPandas(run, SEGMENTS)
 
 
-def smooth_raw(raw: DataFrame, scope: str = "sample", **options) -> DataFrame:
+def deviations(raw: DataFrame, trim: float = 0.025) -> DataFrame:
+    """(of, sd): of each sample the root of trimmed_variance over its finite values in order of chromosome and place.
+
+    Differences are taken within chromosomes and between their ends, and ranked within cells of size, so no sample
+    meets in one task.
+    """
+    value, place = F.col("value").cast("double"), F.struct("pos", "marker")
+    ok = raw.select("sample", "chrom", "pos", "marker", value.alias("value")).filter("value is not null and not isnan(value) and abs(value) < double('infinity')")
+    inner = ok.select("sample", F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("sample", "chrom").orderBy("pos", "marker"))).alias("a"))
+    ends = ok.groupBy("sample", "chrom").agg(F.min_by("value", place).alias("head"), F.max_by("value", place).alias("tail"))
+    between = ends.select("sample", F.abs(F.col("head") - F.lag("tail").over(Window.partitionBy("sample").orderBy("chrom"))).alias("a"))
+    d = inner.unionByName(between).filter("a is not null").withColumn("cell", F.when(F.col("a") > 0, F.floor(F.log2("a") * 32)).otherwise(-100_000))
+    keep = d.groupBy(F.col("sample").alias("of")).agg(F.floor((1 - 2 * trim) * F.count("*") + 0.5).alias("keep"))
+    kept = running_count(d, ["sample"], "cell", ["a"], F.lit(1), 1).join(keep, F.col("sample").eqNullSafe(F.col("of"))).filter("_n <= keep")
+    return kept.groupBy("of").agg(F.sqrt(F.lit(inflation(trim)) * F.sum(F.col("a") * F.col("a")) / (2 * F.max("keep"))).alias("sd"))
+
+
+def smooth_raw(raw: DataFrame, scope: str = "sample", trim: float = 0.025, **options) -> DataFrame:
     """raw with smoothed values; the deviation is that of the whole sample, or of each chromosome."""
+    names = ["sample", "marker", "chrom", "pos", "value"]
+    cols = raw.select(*names)
+    whole = scope == "sample"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chrom", "pos", "marker"])
-        return pdf.assign(value=smooth(pdf["value"].to_numpy(), pdf["chrom"].to_numpy(), **options))
+        pdf = pdf.sort_values(["pos", "marker"])
+        sd = float(pdf["sd"].fillna(0.0).iloc[0]) if whole else None
+        return pdf.assign(value=smooth(pdf["value"].to_numpy(), trim=trim, sd=sd, **options))[names]
 
-    cols = raw.select("sample", "marker", "chrom", "pos", "value")
-    return cols.groupBy(*(["sample"] if scope == "sample" else ["sample", "chrom"])).applyInPandas(run, cols.schema)
+    given = cols.join(deviations(cols, trim), F.col("sample").eqNullSafe(F.col("of")), "left").drop("of") if whole else cols
+    return given.groupBy("sample", "chrom").applyInPandas(run, cols.schema)

@@ -489,9 +489,14 @@ def _(v):
     return v.raw.withColumn("a", a).select("sample", "chrom", "pos", F.round(mid, 9).alias("med"))
 
 
-@query("w5_smooth")
-def _(v):
-    return cbs.smooth_raw(v.raw)
+@query("w5_smooth", f"""WITH d AS (SELECT sample, abs(value - lag(value) OVER (PARTITION BY sample ORDER BY chrom, pos, marker)) AS a FROM v_raw),
+    r AS (SELECT sample, a, row_number() OVER (PARTITION BY sample ORDER BY a) AS i, count(*) OVER (PARTITION BY sample) AS n FROM d WHERE a IS NOT NULL),
+    s AS (SELECT sample, sqrt({stats.inflation(0.025)!r} * sum(a * a) / (2 * count(*))) AS sd FROM r WHERE i <= floor(0.95 * n + 0.5) GROUP BY sample),
+    w AS (SELECT v.*, s.sd, list(v.value) OVER (PARTITION BY v.sample, v.chrom ORDER BY v.pos, v.marker ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING EXCLUDE CURRENT ROW) AS near FROM v_raw v JOIN s ON v.sample = s.sample)
+    SELECT sample, marker, chrom, pos, round(CASE WHEN near IS NULL OR len(near) = 0 THEN value - 2 * sd WHEN value - list_max(near) > 4 * sd THEN list_median(list_append(near, value)) + 2 * sd
+    WHEN list_min(near) - value > 4 * sd THEN list_median(list_append(near, value)) - 2 * sd ELSE value END, 9) AS value FROM w""")
+def _(v):
+    return cbs.smooth_raw(v.raw).withColumn("value", F.round("value", 9))
 
 
 @query("w7_peaks", """WITH a AS (SELECT sample, chrom, value > avg(value) OVER p + 1.6448536269514715 * sqrt(coalesce(var_samp(value) OVER p, 0) / count(value) OVER p) AS high, row_number() OVER (PARTITION BY sample, chrom ORDER BY pos) - 1 AS i FROM v_raw WINDOW p AS (PARTITION BY sample, chrom)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.coords import DATA_TYPES, chrom_id, chrom_name, parse_region
@@ -97,6 +97,26 @@ def read_gene_sets(spark: SparkSession, paths) -> DataFrame:
     return spark.read.text(paths).filter("value <> ''").select(F.get(f, F.lit(0)).alias("set_name"), F.get(f, F.lit(1)).alias("description"), F.filter(F.slice(f, F.lit(3), F.greatest(F.size(f) - 2, F.lit(0))), lambda x: x != "").alias("genes"))
 
 
+# The columns of the public gene tables, in the files' order.
+REF_GENE = "bin name chrom strand txStart txEnd cdsStart cdsEnd exonCount exonStarts exonEnds score name2 cdsStartStat cdsEndStat exonFrames"
+KNOWN_GENE = "name chrom strand txStart txEnd cdsStart cdsEnd exonCount exonStarts exonEnds proteinID alignID"
+KG_XREF = "kgID mRNA spID spDisplayID geneSymbol refseq protAcc description"
+
+
+def read_genes(spark: SparkSession, paths, symbols=None) -> DataFrame:
+    """(gene, transcript, g_chrom, strand, tx_start, tx_end, cds_start, cds_end, exons) of refGene tables without a header
+    or, given the paths of kgXref tables, which name the genes, of knownGene tables. Positions are as in the files; rows
+    of unknown chromosomes go, and so do transcripts without a name."""
+    df = _table(spark, paths, "\t", (REF_GENE if symbols is None else KNOWN_GENE).split(), header=False)
+    if symbols is not None:
+        names = _table(spark, symbols, "\t", KG_XREF.split(), header=False).groupBy(F.col("kgID").alias("name")).agg(F.min("geneSymbol").alias("name2"))
+        df = df.join(names, "name")
+    starts, ends = (F.filter(F.split(c, ","), lambda x: x != "") for c in ("exonStarts", "exonEnds"))
+    exons = F.zip_with(starts, ends, lambda s, e: F.struct(s.try_cast("long").alias("start"), e.try_cast("long").alias("end")))
+    places = [_number(c, "long").alias(a) for c, a in (("txStart", "tx_start"), ("txEnd", "tx_end"), ("cdsStart", "cds_start"), ("cdsEnd", "cds_end"))]
+    return _known(df).select(F.col("name2").alias("gene"), F.col("name").alias("transcript"), F.col("chrom").alias("g_chrom"), "strand", *places, exons.alias("exons"))
+
+
 def read_lesions(spark: SparkSession, path: str, first_sample: int = 12) -> DataFrame:
     """(region, sample, state): lesion tables whose first column tells amplifications from deletions."""
     df = _table(spark, path, "\t", None)
@@ -116,12 +136,26 @@ def _csv(df: DataFrame, path: str) -> None:
     df.write.option("sep", "\t").option("header", True).option("quote", "").mode("overwrite").csv(path)
 
 
-def write_segments(df: DataFrame, path: str) -> None:
-    rows = df.orderBy("sample", "chrom", "seg_start", "seg_end")
-    if dict(df.dtypes)["state"].startswith("struct"):
-        _csv(rows.select("sample", F.col("chrom").alias("chromosome"), F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), F.col("n_markers").alias("count"), F.col("state.a").alias("stateA"), F.col("state.b").alias("stateB")), path)
-    else:
-        _csv(rows.select("sample", F.col("chrom").alias("chromosome"), F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), F.col("n_markers").alias("count"), plain_number("state").alias("state")), path)
+def write_segments(df: DataFrame, path: str, full: bool = False) -> None:
+    """States have six significant digits, or, if full, as many as they need to be read back the same."""
+    number = (lambda c: F.col(c).cast("string")) if full else plain_number
+    parts = {"stateA": "state.a", "stateB": "state.b"} if dict(df.dtypes)["state"].startswith("struct") else {"state": "state"}
+    states = [number(c).alias(n) if len(parts) == 1 or full else F.col(c).alias(n) for n, c in parts.items()]
+    _csv(df.orderBy("sample", "chrom", "seg_start", "seg_end").select("sample", F.col("chrom").alias("chromosome"), F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), F.col("n_markers").alias("count"), *states), path)
+
+
+# The header of peak tables; lines end before its last three columns.
+PEAKS = "index chromosome region_start region_end peak_start peak_end enlarged_peak_start enlarged_peak_end n_genes_in_region genes_in_region n_genes_in_peak genes_in_peak n_genes_on_chip genes_on_chip".split()
+
+
+def write_peaks(peaks: DataFrame, path: str, items: str = ",") -> None:
+    """Numbered lines of peaks (chrom, region_start, region_end, peak_start, peak_end, wide_start, wide_end, and the arrays
+    region_genes and wide_genes). They are numbered in one task: peaks are a study's few results."""
+    at = Window.orderBy("chrom", "region_start", "region_end", "peak_start", "peak_end")
+    n = peaks.withColumn("n", F.row_number().over(at))
+    genes = [x for c in ("region_genes", "wide_genes") for x in (F.size(c), F.array_join(c, items))]
+    line = F.concat_ws("\t", "n", "chrom", "region_start", "region_end", "peak_start", "peak_end", "wide_start", "wide_end", *genes)
+    n.select("n", line.alias("\t".join([*PEAKS, "top 3"]))).orderBy("n").drop("n").write.options(sep="\u0001", header=True, quote="", ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
 
 
 def raw_matrix(raw: DataFrame, samples: list[str]) -> DataFrame:

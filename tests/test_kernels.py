@@ -2,6 +2,7 @@
 
 import math
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -13,8 +14,8 @@ from chromaspan.operators import cbs, genes, intervals, merge, stats
 from chromaspan.sources import files
 
 SEG = "sample string, chrom int, seg_start long, seg_end long, n_markers long, state double"
-A = [(1, 752566, 3108517), (1, 3110735, 3441382), (1, 10218439, 10793411), (1, 10801585, 17045646), (1, 21447935, 23266340), (2, 23271432, 24422626), (2, 24452399, 26699157), (2, 26719264, 29631909), (2, 29643881, 34462829)]
-B = [(1, 752600, 3108500), (1, 10218439, 10793411), (1, 20801585, 27045646), (2, 23271432, 24422626), (2, 26719364, 29632009)]
+A = [(1, 1000, 9000), (1, 9500, 12_000), (1, 20_000, 30_000), (1, 30_500, 60_000), (1, 70_000, 80_000), (2, 100, 900), (2, 1000, 3000), (2, 4000, 7000), (2, 8000, 20_000)]
+B = [(1, 1010, 8990), (1, 20_000, 30_000), (1, 90_000, 99_000), (2, 100, 900), (2, 4100, 7050)]
 
 
 def segs(spark, rows):
@@ -198,6 +199,7 @@ def test_smoothing(x, chrom, region):
 
 
 def test_segment_command(spark, tmp_path):
+    # Inputs and the segments that have to come of them.
     s1 = "-.2 -.1 0 1.1 1.2 1.0 .1 -.1 -.3 -.2 0 .9 1.0 1.1 .2 -.2".split()
     s2 = "-.4 -.3 -.2 0 .1 .2 1.4 1.5 -.5 -.4 -.2 0 .2 .1 1.3 1.4".split()
     lines = ["marker\tchromosome\tposition\tsample1\tsample2"] + [f"m{k}\t{1 + k // 8}\t{10 * (k % 8 + 1)}\t{a}\t{b}" for k, (a, b) in enumerate(zip(s1, s2, strict=True))]
@@ -287,3 +289,113 @@ def test_an_interval_that_ends_before_it_starts_raises(spark):
     assert intervals.validated(df.limit(1)).count() == 1
     with pytest.raises(Exception, match="ends before it starts"):
         intervals.validated(df).collect()
+
+
+def every_arc(x, al0, w, longest=None):
+    """(sum of squares, length, start) of the best arc, the first of the shortest, by looking at all."""
+    w, n = np.ones(len(x)) if w is None else w, len(x)
+    found = []
+    for k in range(al0, min(n - al0, longest or n) + 1):
+        for i in range(n - k + 1):
+            size, total = w[i : i + k].sum(), w.sum()
+            found.append((total * (w[i : i + k] * x[i : i + k]).sum() ** 2 / (size * (total - size)) if size < total else 0, -k, -i))
+    b, k, i = max(found)
+    t = (w * x * x).sum()
+    t = b + 1 if t <= b + 1e-4 else t
+    return b / ((t - b) / (n - 2)), -i, -i - k
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_arcs_by_bounds_are_those_of_a_full_search(seed):
+    r = np.random.default_rng(seed)
+    x, al0, longest = r.normal(size=int(r.integers(20, 90))), int(r.integers(1, 5)), (None, 25)[seed % 2]
+    x[5:9] += seed % 5
+    w = r.random(len(x)) + 0.05 if seed % 3 else None
+    x -= x.mean() if w is None else (w * x).sum() / w.sum()
+    want = every_arc(x, al0, w, longest)
+    got = cbs.largest_arc(x, al0, w, longest)
+    assert math.isclose(got[0], want[0], rel_tol=1e-9) and got[1:] == want[1:]
+    assert cbs.reaches(x, al0, got[0] * 0.999, w, longest) and not cbs.reaches(x, al0, got[0] * 1.001, w, longest)
+
+
+def test_long_segments():
+    x = np.random.default_rng(1).normal(size=80_000)
+    x[30_000:31_000] += 0.8
+    lengths, means = cbs.segment(x, seed=1)
+    ends = np.cumsum(lengths)
+    assert abs(ends[0] - 30_000) < 30 and abs(ends[1] - 31_000) < 30 and means[1] > 0.7
+
+
+def test_least_weights():
+    w = np.random.default_rng(2).random(12)
+    m = np.concatenate([[0.0], np.cumsum(w)])
+    circle = np.concatenate([w, w])
+    assert np.allclose(cbs.least_weights(m, range(1, 12)), [min(circle[i : i + k].sum() for i in range(12)) for k in range(1, 12)])
+
+
+def test_tails():
+    assert math.isclose(cbs.nu(0.001), math.exp(-0.000583))
+    for z in (0.5, 1.0, 2.0):  # the definition, summed far
+        assert math.isclose(cbs.nu(z), 2 / z**2 * math.exp(-sum(math.erfc(z * math.sqrt(k / 8)) / k for k in range(1, 3000))), rel_tol=1e-4)
+    got = [cbs.boundary_tail(b, 200) for b in (2.5, 3.0, 3.5, 4.0)]
+    assert got == sorted(got, reverse=True)
+    r = np.random.default_rng(3)
+    i = np.arange(2, 199)
+    s = np.cumsum(r.normal(size=(20_000, 200)), axis=1)
+    z = np.abs(s[:, i - 1] - s[:, -1:] * i / 200) / np.sqrt(i * (200 - i) / 200)
+    assert abs((z.max(1) >= 3.5).mean() - got[2]) < 0.003
+
+
+def test_weighted_permutations():
+    r = np.random.default_rng(4)
+    one = lambda n: (r.normal(size=n), r.random(n) + 0.5)
+    (a, wa), (b, wb) = one(30), one(50)
+    assert cbs.weighted_permutation_p(a, b + 9, wa, wb, 50, r) == 0 and cbs.weighted_permutation_p(a[:1], b, wa[:1], wb, 50, r) == 1
+    level = lambda f: np.mean([f() <= 0.2 for _ in range(200)])
+    assert 0.1 < level(lambda: cbs.weighted_permutation_p(r.normal(size=20), r.normal(size=25), np.ones(20), np.ones(25), 100, r)) < 0.32
+    assert 0.1 < level(lambda: cbs.permutation_p(r.normal(size=20), r.normal(size=25), 100, r)) < 0.32
+
+
+def test_prune_is_the_best_of_all_subsets():
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        x = r.normal(size=40) + np.repeat(r.normal(size=4), 10) * 2
+        ends = sorted({*(int(v) for v in r.integers(2, 39, 6)), 40})
+        rest = lambda e: sum(((x[a:b] - x[a:b].mean()) ** 2).sum() for a, b in zip([0, *e], e))  # noqa: B023, B905, E731
+        subsets = [[*s, 40] for k in range(len(ends)) for s in combinations(ends[:-1], k)]
+        fewest = min(len(s) for s in subsets if rest(s) <= 1.05 * rest(ends) + 1e-12)
+        got = cbs.prune(x, ends)
+        assert len(got) == fewest and math.isclose(rest(got), min(rest(s) for s in subsets if len(s) == fewest), rel_tol=1e-9)
+
+
+def test_smooth_samples_by_chromosome(spark):
+    r = np.random.default_rng(6)
+    rows = [("A", f"m{k}", 1 + k // 40, k, float(r.normal() + (9 if k % 17 == 0 else 0))) for k in range(100)]
+    rows += [("A", "n", 1, 12, None), ("A", "x", 1, 13, float("nan")), ("A", "y", 3, 500, float("inf")), ("A", "z", 4, 1, 2.0), ("B", "m0", 1, 0, 3.0), (None, "m0", 1, 0, 1.0), (None, "m1", 1, 1, 4.0), ("C", "m0", 1, 0, None)]
+    got = {(x["sample"], x.marker): x.value for x in cbs.smooth_raw(spark.createDataFrame(rows, "sample string, marker string, chrom int, pos long, value double")).collect()}
+    for sample in ("A", "B", "C", None):
+        own = sorted((x for x in rows if x[0] == sample), key=lambda x: (x[2], x[3], x[1]))
+        want = cbs.smooth(np.array([x[4] for x in own], float), np.array([x[2] for x in own]))
+        assert np.allclose(np.array([got[x[0], x[1]] for x in own], float), want, equal_nan=True)
+    assert len(got) == len(rows)
+
+
+def test_gene_tables(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("1\tT1\tchr3\t+\t10\t90\t20\t80\t2\t10,50,\t30,90,\t0\tG1\tcmpl\tcmpl\t0,0,\n1\tT2\tchrUn_x\t+\t1\t9\t2\t8\t1\t1,\t9,\t0\tG2\tcmpl\tcmpl\t0,\n")
+    g = files.read_genes(spark, str(tmp_path / "r.txt")).collect()
+    assert [(x.gene, x.transcript, x.g_chrom, x.strand, x.tx_start, x.tx_end, x.cds_start, x.cds_end, [tuple(e) for e in x.exons]) for x in g] == [("G1", "T1", 3, "+", 10, 90, 20, 80, [(10, 30), (50, 90)])]
+    (tmp_path / "k.txt").write_text("T1\tchrX\t-\t10\t90\t20\t80\t1\t10,\t90,\tP\tA\nT9\tchr1\t-\t1\t2\t1\t2\t1\t1,\t2,\tP\tA\n")
+    (tmp_path / "x.txt").write_text("T1\tm\ts\td\tSYM\tr\tp\ttext\n")
+    assert [(x.gene, x.g_chrom) for x in files.read_genes(spark, str(tmp_path / "k.txt"), str(tmp_path / "x.txt")).collect()] == [("SYM", 23)]
+
+
+def test_states_in_full_and_peaks(spark, tmp_path):
+    files.write_segments(segs(spark, [(1, 1, 9, 3, 1 / 3)]), str(tmp_path / "f.seg"), full=True)
+    assert files.read_segments(spark, str(tmp_path / "f.seg")).first().state == 1 / 3
+    files.write_segments(segs(spark, [(1, 1, 9, 3, 1 / 3)]), str(tmp_path / "s.seg"))
+    assert files.read_segments(spark, str(tmp_path / "s.seg")).first().state == 0.333333
+    peaks = [("2", 5, 90, 10, 20, 8, 30, ["A", "B"], ["A"]), ("1", 1, 9, 2, 3, 2, 4, [], [])]
+    df = spark.createDataFrame(peaks, "chrom string, region_start long, region_end long, peak_start long, peak_end long, wide_start long, wide_end long, region_genes array<string>, wide_genes array<string>")
+    files.write_peaks(df, str(tmp_path / "p"))
+    head, *lines = "".join(p.read_text() for p in sorted((tmp_path / "p").glob("part*"))).splitlines()
+    assert len(head.split("\t")) == 15 and lines == ["1\t1\t1\t9\t2\t3\t2\t4\t0\t\t0\t", "2\t2\t5\t90\t10\t20\t8\t30\t2\tA,B\t1\tA"]
