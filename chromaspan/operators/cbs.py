@@ -155,7 +155,11 @@ def tail(b: float, delta: float, m: int, grid: int = 100, tol: float = 1e-6) ->
 
 
 def boundary_tail(b: float, m: int, grid: int = 100, tol: float = 1e-6) -> float:
-    """Tail probability of the largest statistic of a single change among m values, two or more on either side."""
+    """Tail probability of the largest statistic of a single change among m values, two or more on either side.
+
+    As it is usually stated: crossings of one direction and the last place's two tails, so about half of what changes in
+    either direction have.
+    """
     at = b * math.sqrt(1 / (m - 2) - 1 / m), b * math.sqrt(1 / 2 - 1 / m)
     x = np.linspace(*at, grid + 1)
     y = np.array([nu(v + b * b / (m * v), tol) / v for v in x])
