@@ -303,18 +303,20 @@ def segment_raw(raw: DataFrame, seed: int = 1, **options) -> DataFrame:
 def deviations(raw: DataFrame, trim: float = 0.025) -> DataFrame:
     """(of, sd): of each sample the root of trimmed_variance over its finite values in order of chromosome and place.
 
-    Differences are taken within chromosomes and between their ends, and ranked within cells of size, so no sample
-    meets in one task.
+    Differences are taken within chromosomes and between their ends, equal ones are counted, and they are ranked within
+    cells of size, so no sample meets in one task.
     """
     value, place = F.col("value").cast("double"), F.struct("pos", "marker")
     ok = raw.select("sample", "chrom", "pos", "marker", value.alias("value")).filter("value is not null and not isnan(value) and abs(value) < double('infinity')")
     inner = ok.select("sample", F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("sample", "chrom").orderBy("pos", "marker"))).alias("a"))
     ends = ok.groupBy("sample", "chrom").agg(F.min_by("value", place).alias("head"), F.max_by("value", place).alias("tail"))
     between = ends.select("sample", F.abs(F.col("head") - F.lag("tail").over(Window.partitionBy("sample").orderBy("chrom"))).alias("a"))
-    d = inner.unionByName(between).filter("a is not null").withColumn("cell", F.when(F.col("a") > 0, F.floor(F.log2("a") * 32)).otherwise(-100_000))
-    keep = d.groupBy(F.col("sample").alias("of")).agg(F.floor((1 - 2 * trim) * F.count("*") + 0.5).alias("keep"))
-    kept = running_count(d, ["sample"], "cell", ["a"], F.lit(1), 1).join(keep, F.col("sample").eqNullSafe(F.col("of"))).filter("_n <= keep")
-    return kept.groupBy("of").agg(F.sqrt(F.lit(inflation(trim)) * F.sum(F.col("a") * F.col("a")) / (2 * F.max("keep"))).alias("sd"))
+    d = inner.unionByName(between).filter("a is not null").groupBy("sample", "a").agg(F.count("*").alias("n"))
+    d = d.withColumn("cell", F.when(F.col("a") > 0, F.floor(F.log2("a") * 32)).otherwise(-100_000))
+    keep = d.groupBy(F.col("sample").alias("of")).agg(F.floor((1 - 2 * trim) * F.sum("n") + 0.5).alias("keep"))
+    kept = running_count(d, ["sample"], "cell", ["a"], F.col("n"), 1).join(keep, F.col("sample").eqNullSafe(F.col("of"))).filter("_n - n < keep")
+    squares = F.sum(F.col("a") * F.col("a") * F.least("n", F.col("keep") - (F.col("_n") - F.col("n"))))
+    return kept.groupBy("of").agg(F.sqrt(F.lit(inflation(trim)) * squares / (2 * F.max("keep"))).alias("sd"))
 
 
 def smooth_raw(raw: DataFrame, scope: str = "sample", trim: float = 0.025, **options) -> DataFrame:
