@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import bounded_batches, connected_components, stored
 
 log = logging.getLogger(__name__)
 LISTS = "id long, nbrs binary, sims binary"
@@ -289,60 +290,79 @@ def search(rows: DataFrame, queries: Callable, k: int = 20, key: str = "vec_id",
     n, largest = one.agg(F.count("*"), F.max(F.sqrt(dot("v", "v")))).first()
     vec = stored(packed(one.select("id", "v"), largest or 1.0), "lifted")
     g = graph(vec, n, degree, rounds, trees, seed)
-    longest = [r.id for r in one.orderBy(F.desc(dot("v", "v")), "id").limit(seeds).select("id").collect()]
+    longest = np.array([r.id for r in one.orderBy(F.desc(dot("v", "v")), "id").limit(seeds).select("id").collect()], np.int64).tobytes()
     asked = stored(v.filter(queries(F.col("id"))).select(F.col("id").alias("query_id"), "v").join(one.select("id", "v"), "v").select("query_id", "id"), "asked")
     own = stored(asked.select("id").distinct(), "own")
-    state = own.select("id", *(F.lit(b"").alias(c) for c in ("nbrs", "sims", "opened")))
+    pools = ("nbrs", "sims", "opened")
+    state = own.select("id", *(F.lit(b"").alias(c) for c in pools))
+
+    def unopened(nbrs: bytes, opened: bytes) -> np.ndarray:
+        best = np.frombuffer(nbrs, np.int64)
+        return best[~np.isin(best, np.frombuffer(opened, np.int64))][:width]
 
     def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes = []
-            for x, o in zip(b.column("nbrs").to_pylist(), b.column("opened").to_pylist(), strict=True):
-                best = np.frombuffer(x, np.int64)
-                nodes.append(best[~np.isin(best, np.frombuffer(o, np.int64))][:width])
+            nodes = [unopened(x, o) for x, o in zip(b.column("nbrs").to_pylist(), b.column("opened").to_pylist(), strict=True)]
             q = np.repeat(b.column("id").to_numpy(), [len(x) for x in nodes])
             yield pa.record_batch([pa.array(q), pa.array(np.concatenate([*nodes, np.zeros(0, np.int64)]))], names=["q", "id"])
 
-    def both_opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The state's opened nodes with those that this hop opens: the same choice as fresh's."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for x, o in zip(b.column("nbrs").to_pylist(), b.column("opened").to_pylist(), strict=True):
-                best, had = np.frombuffer(x, np.int64), np.frombuffer(o, np.int64)
-                out.append(o + best[~np.isin(best, had)][:width].tobytes())
-            yield pa.record_batch([b.column("id"), pa.array(out, pa.binary())], names=["id", "opened"])
+            nbrs = b.column("nbrs").to_pylist()
+            q = np.repeat(b.column("q").to_numpy(), [len(x) // 8 for x in nbrs])
+            yield pa.record_batch([pa.array(q), pa.array(np.frombuffer(b"".join(nbrs), np.int64))], names=["q", "id"])
+
+    def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One list for each query: what its new lists hold, but itself and what it has scored before."""
+        for t in whole_groups(batches, ["q"]):
+            q, nbrs, new = t.column("q").to_numpy(), [np.frombuffer(x, np.int64) for x in t.column("nbrs").to_pylist()], t.column("new").to_numpy()
+            start = np.append(np.unique(q, return_index=True)[1], len(q))
+            who, out = [], []
+            for a, e in zip(start, start[1:], strict=False):
+                ids = np.unique(np.concatenate([x for x, n in zip(nbrs[a:e], new[a:e], strict=True) if n]))
+                ids = ids[~np.isin(ids, np.concatenate([q[a : a + 1], *(x for x, n in zip(nbrs[a:e], new[a:e], strict=True) if not n)]))]
+                if len(ids):
+                    who.append(int(q[a]))
+                    out.append(ids.tobytes())
+            yield pa.record_batch([pa.array(who, pa.int64()), pa.array(out, pa.binary())], names=["q", "nbrs"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pools after a hop, of rows with the query's own vector and pool (mine) and rows with new candidates."""
         for t in whole_groups(batches, ["q"]):
             q, ids, x = t.column("q").to_numpy(), t.column("id").to_numpy(), matrix(t.column("u"))
             mine = t.column("mine").to_numpy(zero_copy_only=False)
+            held = t.filter(t.column("mine")).select(["q", *pools]).rename_columns(["id", *pools])
             start = np.append(np.unique(q, return_index=True)[1], len(q))
-            out = []
+            out = [flat(held)]
             for a, e in zip(start, start[1:], strict=False):
-                me = x[a:e][mine[a:e]]
                 others = ~mine[a:e]
-                if len(me):
-                    me = np.append(me[0][:-1], np.float32(0))  # a query has no part in the component that evens out lengths
-                    out.append((q[a:e][others], ids[a:e][others], (x[a:e][others] @ me).astype(np.float32)))
-            if out:
-                yield top(*(np.concatenate(c) for c in zip(*out, strict=True)), pool)
-
-    done = None
+                me = np.append(x[a:e][~others][0][:-1], np.float32(0))  # a query has no part in the component that evens out lengths
+                out.append((q[a:e][others], ids[a:e][others], (x[a:e][others] @ me).astype(np.float32)))
+            best = top(*(np.concatenate(c) for c in zip(*out, strict=True)), pool)
+            opened = {r["id"]: r["opened"] + unopened(r["nbrs"], r["opened"]).tobytes() for r in held.to_pylist()}
+            yield pa.record_batch([*best.columns, pa.array([opened[i] for i in best.column("id").to_pylist()], pa.binary())], names=[*best.schema.names, "opened"])
+
+    bounded_batches(rows.sparkSession)
+    ended, done = [], None
     for hop in count():
         nodes = stored(state.mapInArrow(fresh, "q long, id long") if hop else own.selectExpr("id q", "id"), "nodes")
         if nodes.isEmpty():
             break
-        back = g.mapInArrow(lambda bs: (pa.record_batch([pa.array((f := flat(b))[0]), pa.array(f[1])], names=["id", "nbr"]) for b in bs), "id long, nbr long")
-        seen = nodes.join(back, "id").select("q", F.col("nbr").alias("id"))
-        if not hop and longest:
-            seen = seen.unionByName(own.select(F.col("id").alias("q"), F.explode(F.lit(longest)).alias("id")))
-        seen = seen.filter("q <> id").distinct()
-        seen = stored(seen if done is None else seen.join(done, ["q", "id"], "left_anti"), "seen")
+        # Queries that have nothing more to open take no part in further hops.
+        going = nodes.select("q").distinct()
+        ended.append(state.join(going, F.col("id") == F.col("q"), "left_anti"))
+        lists = nodes.join(g.select("id", "nbrs"), "id").select("q", "nbrs")
+        if not hop:
+            lists = lists.unionByName(own.select(F.col("id").alias("q"), F.lit(longest).alias("nbrs")))
+        lists = lists.withColumn("new", F.lit(True))
+        if done is not None:
+            lists = lists.unionByName(done.join(going, "q", "left_semi").withColumn("new", F.lit(False)))
+        seen = stored(lists.repartition("q").sortWithinPartitions("q").mapInArrow(unseen, "q long, nbrs binary"), "seen")
         done = seen if done is None else done.unionByName(seen)
-        all_ = seen.withColumn("mine", F.lit(False)).unionByName(state.selectExpr("id q", "id", "true mine"))
-        scored = all_.join(vec, "id").select("q", "id", "u", "mine").repartition("q").sortWithinPartitions("q").mapInArrow(near, LISTS)
-        best = merged(state.select("id", "nbrs", "sims").unionByName(scored), pool)
-        state = stored(best.join(state.mapInArrow(both_opened, "id long, opened binary"), "id"), "pools")
+        mine = state.join(going, F.col("id") == F.col("q"), "left_semi").join(vec, "id").select(F.col("id").alias("q"), "id", "u", *pools, F.lit(True).alias("mine"))
+        others = seen.mapInArrow(listed, "q long, id long").join(vec, "id").select("q", "id", "u", *(F.lit(None).cast("binary").alias(c) for c in pools), F.lit(False).alias("mine"))
+        state = stored(mine.unionByName(others).repartition("q").sortWithinPartitions("q").mapInArrow(near, f"{LISTS}, opened binary"), "pools")
+    state = reduce(DataFrame.unionByName, ended, state)
     a, b = one.select(F.col("id").alias("q"), F.col("v").alias("qv")), one.select("id", "ids", F.col("v").alias("cv"))
     pairs = exploded(state.select("id", "nbrs", "sims")).selectExpr("id q", "nbr id").unionByName(own.selectExpr("id q", "id")).join(b, "id").join(a, "q")
 
