@@ -13,6 +13,8 @@ A token file is a folder of three Parquet tables, so that it is written and comm
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -20,16 +22,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, scratch, slices, stored
+from .common import bounded_batches, scratch, stored
 from .token_count import LONG, _tokenizer
 
 STRIDE = 256  # ids between checkpoints
+SLICE_BYTES = 8_000_000  # of text whose words are told apart at once
 BLOCKS = "part int, block int, start long, n_ids long, doc_ids array<long>, lengths array<long>, checkpoints binary, payload binary, crc long"
 
 
@@ -116,39 +120,117 @@ class Codes:
         return out.T.ravel()[:n] if len(at) else np.zeros(0, np.uint32)
 
 
+#: The normalizer and the pre-tokenizer pattern of word-level vocabularies of this kind.
+NORMALIZER = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same pieces of lower-case words of printable ASCII and Latin-1 letters, and such words.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+
+
 class Words:
-    """Ids of texts, word by word: white space ends a pre-token of such a vocabulary and is dropped.
+    """Ids of texts by a vocabulary file of that kind, word by word: white space ends a pre-token and is dropped.
 
-    A word that was met before is looked up. When `cache_words` are known, they make place and are taken over one by
-    one as they occur again, so that frequent words stay and at most twice as many are held.
+    A word that was met before is looked up; another one is put together from its pieces, which are looked up or
+    encoded. Only words of other characters, or with a special string, are encoded whole. When `cache_words` words (or half
+    as many pieces) are known, they make place and are taken over one by one as they occur again, so that frequent ones
+    stay and about twice as many are held at most.
     """
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 800_000):
         self.tokenizer, self.cache_words = _tokenizer(path), cache_words
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        if steps != NORMALIZER or split.get("pattern") != {"Regex": PATTERN} or not spec["model"].get("end_of_word_suffix") or any(a["lstrip"] or a["rstrip"] for a in spec["added_tokens"]):
+            raise ValueError(f"not a word-level vocabulary whose pre-tokens white space ends: {path}")
+        self.special = [a["content"] for a in spec["added_tokens"]]
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(suffix)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encoded(self, pieces: list[str], at_once: int = 1000) -> Iterator[bytes]:
+        """Ids of pieces, each of which is one pre-token: they are encoded as one text, and every last token ends a piece."""
+        size = np.dtype(self.kind).itemsize
+        for i in range(0, len(pieces), at_once):
+            some = pieces[i : i + at_once]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * size
+            if len(ends) == len(some):
+                raw = ids.tobytes()
+                yield from (raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False))
+            else:
+                yield from self._whole(some)
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        missing = list(set(chain.from_iterable(parts)).difference(self.known))
+    def _learn(self, missing: set[bytes]) -> None:
+        """Puts missing words into self.known."""
         if len(self.known) + len(missing) > self.cache_words:
             self.known, self.older = {}, self.known
-            missing = list(set(chain.from_iterable(parts)))
-        known, older = self.known, self.older
-        fresh = []
+        if 2 * len(self.pieces) > self.cache_words:
+            self.pieces, self.older_pieces = {}, self.pieces
+        joined = b" ".join(missing)
+        special = [x for x in self.special if x.encode() in joined]
+        cut, whole, asked = {}, [], set()
+        older = self.older.get
         for w in missing:
-            if (got := older.get(w)) is not None:
-                known[w] = got
+            if (got := older(w)) is not None:
+                self.known[w] = got
+            elif w.isalpha():  # letters of ASCII: one piece
+                cut[w] = piece = (w.decode().lower(),)
+                asked.update(piece)
+            elif PLAIN(t := w.decode("utf-8", "replace")) and not any(x in t for x in special):
+                cut[w] = PIECES(t.lower())
+                asked.update(cut[w])
+            else:
+                whole.append(w)
+        asked.difference_update(self.pieces)
+        fresh = []
+        for p in asked:
+            if (got := self.older_pieces.get(p)) is not None:
+                self.pieces[p] = got
             else:
-                fresh.append(w)
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-        known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(fresh, found, strict=True))
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for w in fresh:
-            if len(w) >= LONG:  # the cache is bounded in bytes, too
+                fresh.append(p)
+        self.pieces.update(zip(fresh, self._encoded(fresh), strict=True))
+        self.known.update(zip(whole, self._whole([w.decode("utf-8", "replace") for w in whole]), strict=True))
+        of = self.pieces.__getitem__
+        self.known.update((w, of(x[0]) if len(x) == 1 else b"".join(map(of, x))) for w, x in cut.items())
+        for p in fresh:
+            if len(p) >= LONG:  # what is kept is bounded in bytes, too
+                del self.pieces[p]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings without nulls) one after the other, and how many each has.
+
+        Words are split and told apart by Arrow's kernels; only different ones are looked up, and their ids are laid out for
+        every word by numpy.
+        """
+        parts = pc.ascii_split_whitespace(texts)
+        words = parts.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        found = list(map(self.known.get, distinct))
+        missing = {w for w, x in zip(distinct, found, strict=True) if x is None}
+        self._learn(missing)
+        known = self.known
+        found = [known[w] if x is None else x for w, x in zip(distinct, found, strict=True)]
+        for w in missing:
+            if len(w) >= LONG:
                 del known[w]
-        return out
+        of = words.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
+        each = sizes[of]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[of] - ends[:-1], each) + np.arange(ends[-1])
+        first = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+        return np.frombuffer(b"".join(found), self.kind)[at], np.diff(ends[first])
 
 
 @lru_cache(2)
@@ -162,24 +244,35 @@ def _codes(lengths: bytes) -> Codes:
     return Codes(lengths)
 
 
-def token_ids(docs: DataFrame, path: str, end_id: int, cache_words: int = 400_000) -> DataFrame:
+def token_ids(docs: DataFrame, path: str, end_id: int, cache_words: int = 800_000) -> DataFrame:
     """(doc_id, tie, ids): the ids of every whole text and the end id, in two bytes each if the vocabulary allows it, else four; tie numbers a task's rows."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(path, cache_words)
-        end, row = np.array([end_id], words.kind).tobytes(), 0
+        words, row = _words(path, cache_words), 0
         for b in batches:
-            texts = [t or b"" for t in b.column("text").to_pylist()]
-            for i, j in slices(texts):
-                ids = pa.array([x + end for x in words.ids(texts[i:j])], pa.binary())
-                yield pa.record_batch([b.column("doc_id").slice(i, j - i), pa.array(range(row, row + j - i), pa.int64()), ids], names=["doc_id", "tie", "ids"])
+            texts = b.column("text").fill_null("")
+            for i, j in _ranges(pc.binary_length(texts).to_numpy(), SLICE_BYTES):
+                ids, n = words.ids(texts.slice(i, j - i))
+                whole = np.insert(ids, np.cumsum(n), end_id)
+                offsets = np.concatenate([[0], np.cumsum(n + 1)]) * whole.itemsize
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(whole)]).cast(pa.binary())
+                yield pa.record_batch([b.column("doc_id").slice(i, j - i), pa.array(np.arange(row, row + j - i)), column], names=["doc_id", "tie", "ids"])
                 row += j - i
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, tie long, ids binary")
 
 
+def _ranges(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to about limit; a larger row stands alone."""
+    ends, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+        yield i, j
+        i = j
+
+
 def _ids_of(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a column of binaries, and how many each row has."""
     lengths = np.array([len(x) // np.dtype(kind).itemsize for x in column.to_pylist()], np.int64)

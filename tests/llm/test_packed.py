@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -259,7 +260,20 @@ def test_damaged_block_raises(spark, oddities):
         token_files.read(spark, f"{path}-2").count()
 
 
-def test_word_cache_turns_over():
+def test_words_are_put_together():
     texts = [" ".join(f"word{k} shared" for k in range(i, i + 30)).encode() for i in range(0, 300, 10)]
-    a, b = token_files.Words(WORD), token_files.Words(WORD, cache_words=20)
-    assert a.ids(texts) == [x for t in texts for x in b.ids([t])] and len(b.known) < 40
+    odd = "It's HE'LL x'sy ''s '' don't $$$'re,a1b22 É Éa ÄÖÜß naïve×÷ œuvre İstanbul ΣΑΣ e\u0301 <|endoftext|>x y<|startoftext|> 汉字abc \x1ca a\x1cb \x7f \u00a0a ½ ª º Ⅷ " + "x" * 400 + " " + "$a" * 300
+    texts += [odd.encode(), *(w.encode() for w in odd.split(" ")), b"\xff\xfe a"]
+    r = random.Random(6)
+    texts += ["".join(r.choice("aZ'sdm1 é$-ÿ.Ø<|") for _ in range(200)).encode() for _ in range(200)]
+    a, b, t = token_files.Words(WORD), token_files.Words(WORD, cache_words=20), Tokenizer.from_file(WORD)
+    want = [np.array(t.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
+
+    def ids(words, texts):
+        flat, n = words.ids(pa.array(texts, pa.binary()).cast(pa.string(), safe=False) if not any(b"\xff" in x for x in texts) else pa.Array.from_buffers(pa.string(), len(texts), pa.array(texts, pa.binary()).buffers()))
+        return [x.astype("<u2").tobytes() for x in np.split(flat, np.cumsum(n)[:-1])]
+
+    assert ids(a, texts) == want and [x for t in texts for x in ids(b, [t])] == want == ids(a, texts)
+    assert len(b.known) < 300 and not any(len(w) >= 256 for w in [*a.known, *a.pieces])
+    with pytest.raises(ValueError, match="white space"):
+        token_files.Words(public_tokenizers.path("byte_bpe_50k.json"))
