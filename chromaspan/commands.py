@@ -9,9 +9,8 @@ import os
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions.coords import DATA_TYPES
 from .functions.predicates import ensure_log_scale, is_aberrant
-from .operators import cbs, intervals, merge
+from .operators import intervals, merge, segmentation
 from .sources import files
 
 log = logging.getLogger(__name__)
@@ -50,10 +49,10 @@ def run(spark: SparkSession, args: list[str]) -> None:
         return files.write_markers(files.read_markers(spark, a.input, named=True), a.output)
     kind, df = files.read_any(spark, a.input)
     if a.command == "convert":
-        to = DATA_TYPES[a.output.rstrip("/").rpartition(".")[2]]
+        to = files.kind_of(a.output)
         return _write(to, files.convert(kind, df, to), a.output)
     if a.command == "segment":
-        df = cbs.segment_raw(ensure_log_scale(df), alpha=a.alpha, nperm=a.nperm, min_width=a.min_width, hybrid=a.hybrid, undo_prune=a.undo_prune)
+        df = segmentation.segment_raw(ensure_log_scale(df), alpha=a.alpha, nperm=a.nperm, min_width=a.min_width, hybrid=a.hybrid, undo_prune=a.undo_prune)
         return files.write_segments(df, a.output)
     if kind.startswith("raw"):
         if a.command == "clean":
@@ -64,12 +63,10 @@ def run(spark: SparkSession, args: list[str]) -> None:
         return files.write_segments(merge.clean(df, a.count, a.length, a.aberrant, a.ref_state, 0.2 if a.state_diff is None else a.state_diff, a.merge), a.output)
     ref = files.read_segments(spark, a.reference, reference=True)
     diff = 0.1 if a.state_diff is None else a.state_diff
-    kept = intervals.exists_filter(df, ref, a.score, a.threshold, a.inverse, (a.ref_state, diff) if a.aberrant else None, not a.no_optimize)
+    how = (a.score, a.threshold, a.inverse, (a.ref_state, diff) if a.aberrant else None, not a.no_optimize)
     if a.merge:
-        key = ["sample", "chrom", "seg_start", "seg_end", "n_markers", "state"]
-        flagged = df.join(kept.select(*key).distinct().withColumn("_kept", F.lit(True)), key, "left")
-        kept = merge.remove_flagged(flagged, F.col("_kept").isNull(), diff, True)
-    files.write_segments(kept, a.output)
+        return files.write_segments(merge.remove_flagged(intervals.exists_flag(df, ref, "_flag", *how), F.col("_flag"), diff, True), a.output)
+    files.write_segments(intervals.exists_filter(df, ref, *how), a.output)
 
 
 if __name__ == "__main__":

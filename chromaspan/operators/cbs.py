@@ -1,10 +1,11 @@
-"""Smoothing and circular binary segmentation: numeric kernels and their grouped application."""
+"""Smoothing, and the numeric kernels of circular binary segmentation (segmentation.py applies them)."""
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from functools import cache
 from statistics import NormalDist
 
 import numpy as np
@@ -12,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import running_count
-from .stats import inflation
+from . import scan
+from .stats import differences, inflation, trimmed_squares
 
 
 def trimmed_variance(x: np.ndarray, trim: float = 0.025) -> float:
@@ -69,12 +70,13 @@ def _sums(x: np.ndarray, w: np.ndarray | None) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate([[0.0], np.cumsum(y)]), m, float((y * x).sum())
 
 
-def _best_arc(s: np.ndarray, m: np.ndarray, al0: int, longest: int | None, floor: float = 0.0, enough: float = math.inf) -> tuple[float, int, int]:
+def _best_arc(s: np.ndarray, m: np.ndarray, al0: int, longest: int | None, floor: float = 0.0, enough: float = math.inf, share: tuple[int, int] = (0, 1), common: int = 4) -> tuple[float, int, int]:
     """The largest between-group sum of squares of an arc and its ends, of equal ones the shortest and first.
 
     Places are in blocks of about sqrt(n). The extremes of two blocks' prefix sums and the least and most weight between
     them bound the arcs from one to the other; pairs of blocks are opened by falling bound until none can be better.
-    Arcs below `floor` aren't looked for, and the search ends at one of `enough`.
+    Arcs below `floor` aren't looked for, and the search ends at one of `enough`. share (k, n): the kth of n searches that
+    together open all pairs; each opens the `common` most promising ones, so that all know a good arc early.
     """
     n, whole = len(s) - 1, m[-1]
     longest = min(n - al0, longest or n)
@@ -92,9 +94,11 @@ def _best_arc(s: np.ndarray, m: np.ndarray, al0: int, longest: int | None, floor
     under = np.minimum(light * (whole - light), heavy * (whole - heavy))
     bound = np.full(len(p), math.inf)
     np.divide(whole * np.maximum(high[q] - low[p], high[p] - low[q]) ** 2, under, out=bound, where=under > 0)
-    for o in np.argsort(-bound, kind="stable"):
+    for rank, o in enumerate(np.argsort(-bound, kind="stable")):
         if bound[o] * (1 + 1e-9) < max(best, floor) or best >= enough:
             break
+        if rank >= common and rank % share[1] != share[0]:
+            continue
         i, j = np.arange(first[p[o]], last[p[o]] + 1)[:, None], np.arange(first[q[o]], last[q[o]] + 1)
         k, d, size = j - i, s[j] - s[i], m[j] - m[i]
         v, left = np.zeros(k.shape), whole - size
@@ -155,15 +159,12 @@ def tail(b: float, delta: float, m: int, grid: int = 100, tol: float = 1e-6) ->
 
 
 def boundary_tail(b: float, m: int, grid: int = 100, tol: float = 1e-6) -> float:
-    """Tail probability of the largest statistic of a single change among m values, two or more on either side.
-
-    As it is usually stated: crossings of one direction and the last place's two tails, so about half of what changes in
-    either direction have.
-    """
+    """Tail probability of the largest statistic of a single change, up or down, among m values, two or more on either side:
+    crossings in both directions and the last place's two tails."""
     at = b * math.sqrt(1 / (m - 2) - 1 / m), b * math.sqrt(1 / 2 - 1 / m)
     x = np.linspace(*at, grid + 1)
     y = np.array([nu(v + b * b / (m * v), tol) / v for v in x])
-    return b * math.exp(-b * b / 2) * float(np.trapezoid(y, x)) / math.sqrt(2 * math.pi) + 2 * (1 - NormalDist().cdf(b))
+    return 2 * b * math.exp(-b * b / 2) * float(np.trapezoid(y, x)) / math.sqrt(2 * math.pi) + 2 * (1 - NormalDist().cdf(b))
 
 
 def permutation_p(a: np.ndarray, b: np.ndarray, nperm: int, rng: np.random.Generator) -> float:
@@ -204,33 +205,122 @@ def weighted_permutation_p(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.
     return hits / nperm
 
 
-def change_points(x: np.ndarray, alpha: float, nperm: int, rng: np.random.Generator, min_width: int, hybrid: bool, kmax: int, nmin: int, w: np.ndarray | None = None) -> list[int]:
-    """0, 1 or 2 places where the mean of x changes."""
-    n = len(x)
-    stat, i, j = largest_arc(x, min_width, w)
+def draws(seed: int, a: int, e: int) -> Callable[[int], np.random.Generator]:
+    """Random numbers of the kth permutation of the values a..e-1: counted, so that they don't depend on what was drawn
+    before, nor where."""
+    return lambda k: np.random.Generator(np.random.Philox(key=[seed, a << 32 | e], counter=[0, 0, 0, k]))
+
+
+@cache
+def stopping(nperm: int, limit: int, eta: float) -> tuple[int, ...]:
+    """Of a test that fails at more than `limit` hits in nperm permutations: after how many of them it may end with
+    success, if 0, 1, ..., limit were hits. Permutations with just one hit more than that end wrongly with a probability of
+    at most eta.
+
+    For j hits it ends where so few have a probability of e at most by the hypergeometric distribution; e is the largest
+    (by bisection) for which all ends together stay within eta, summed over the ways the hits can fall.
+    """
+    bad = limit + 1
+    none = tuple([nperm] * bad)
+    if eta <= 0 or bad > nperm:
+        return none
+    few = np.array([[math.comb(n, j) * math.comb(nperm - n, bad - j) / math.comb(nperm, bad) for j in range(bad)] for n in range(nperm + 1)]).cumsum(axis=1)
+
+    def ends(e: float) -> list[int]:
+        return [int(np.argmax(few[:, j] <= e)) if (few[:, j] <= e).any() else nperm for j in range(bad)]
+
+    def wrong(at: list[int]) -> float:
+        going, out = np.zeros(bad + 1), 0.0
+        going[0] = 1.0
+        for n in range(1, nperm + 1):
+            share = (bad - np.arange(bad + 1)) / (nperm - n + 1)
+            hit = going * share
+            going = going - hit
+            going[1:] += hit[:-1]
+            for j in range(bad):
+                if n >= at[j]:
+                    out, going[j] = out + going[j], 0.0
+        return out
+
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        mid = (low + high) / 2
+        low, high = (mid, high) if wrong(ends(mid)) <= eta else (low, mid)
+    return tuple(ends(low)) if low > 0 else none
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Of segmentation. eta: 0 makes all permutations, more may end a test early (see stopping)."""
+
+    alpha: float = 0.01
+    nperm: int = 200
+    min_width: int = 2
+    hybrid: bool = False
+    kmax: int = 25
+    nmin: int = 200
+    eta: float = 0.0
+
+
+def trial(stat: float, i: int, j: int, n: int, given: Settings, w: np.ndarray | None = None) -> tuple[int, int | None] | bool:
+    """What the largest arc of n values asks for: False, no change; True, one without a test; else how many permutations may reach it, and the longest arcs they look at."""
     if stat <= 0.01:
-        return []
-    length = min(j - i, n - (j - i))
-    if not (math.sqrt(stat) >= 7 and length >= 10):
-        limit, cut = int(alpha * nperm), None
-        if hybrid and n > nmin:
-            delta = (kmax + 1) / n if w is None else least_weights(np.concatenate([[0.0], np.cumsum(w)]), [kmax + 1])[0] / w.sum()
-            p = tail(math.sqrt(stat), delta, n)
-            if p > alpha:
-                return []
-            limit, cut = int((alpha - p) * nperm), kmax
-        hits = 0
-        for _ in range(nperm):
-            y = rng.permutation(x) if w is None else rng.permutation(x * np.sqrt(w)) / np.sqrt(w)
-            if w is not None:
-                y = y - (w * y).sum() / w.sum()
-            hits += reaches(y, min_width, 0.99999 * stat, w, cut)
-            if hits > limit:
-                return []
+        return False
+    if math.sqrt(stat) >= 7 and min(j - i, n - (j - i)) >= 10:
+        return True
+    limit, cut = int(given.alpha * given.nperm), None
+    if given.hybrid and n > given.nmin:
+        delta = (given.kmax + 1) / n if w is None else least_weights(np.concatenate([[0.0], np.cumsum(w)]), [given.kmax + 1])[0] / w.sum()
+        p = tail(math.sqrt(stat), delta, n)
+        if p > given.alpha:
+            return False
+        limit, cut = int((given.alpha - p) * given.nperm), given.kmax
+    return limit, cut
+
+
+def hit(x: np.ndarray, rng: np.random.Generator, stat: float, cut: int | None, min_width: int, w: np.ndarray | None = None) -> bool:
+    """Whether a permutation of x reaches the statistic."""
+    y = rng.permutation(x) if w is None else rng.permutation(x * np.sqrt(w)) / np.sqrt(w)
+    if w is not None:
+        y = y - (w * y).sum() / w.sum()
+    return reaches(y, min_width, 0.99999 * stat, w, cut)
+
+
+def confirmed(hits: Iterable[tuple[int, bool]], limit: int, given: Settings) -> bool | None:
+    """Whether the test passes by the hits of permutations 0, 1, ... in order; None if they don't decide yet."""
+    ends, n = stopping(given.nperm, limit, given.eta), 0
+    for k, is_hit in hits:
+        n += is_hit
+        if n > limit:
+            return False
+        if k + 1 >= ends[n]:
+            return True
+    return None
+
+
+def edges(x: np.ndarray, i: int, j: int, given: Settings, draw: Callable[[int], np.random.Generator], w: np.ndarray | None = None) -> list[int]:
+    """The ends of an arc at which the means of what lies on either side differ."""
+    n = len(x)
     if i == 0 or j == n:
-        return [j if i == 0 else i] if 0 < (j if i == 0 else i) < n else []
-    p = [permutation_p(x[a:c], x[c:e], nperm, rng) if w is None else weighted_permutation_p(x[a:c], x[c:e], w[a:c], w[c:e], nperm, rng) for a, c, e in ((0, i, j), (i, j, n))]
-    return [c for c, v in zip((i, j), p, strict=True) if v <= alpha]
+        return [c for c in ([j] if i == 0 else [i]) if 0 < c < n]
+    rng = draw(given.nperm)
+    p = [permutation_p(x[a:c], x[c:e], given.nperm, rng) if w is None else weighted_permutation_p(x[a:c], x[c:e], w[a:c], w[c:e], given.nperm, rng) for a, c, e in ((0, i, j), (i, j, n))]
+    return [c for c, v in zip((i, j), p, strict=True) if v <= given.alpha]
+
+
+def change_points(x: np.ndarray, given: Settings, draw: Callable[[int], np.random.Generator], w: np.ndarray | None = None) -> list[int]:
+    """0, 1 or 2 places where the mean of x changes. x must have (weighted) mean zero."""
+    stat, i, j = largest_arc(x, given.min_width, w)
+    asks = trial(stat, i, j, len(x), given, w)
+    if isinstance(asks, tuple):
+        limit, cut = asks
+        asks = confirmed(((k, hit(x, draw(k), stat, cut, given.min_width, w)) for k in range(given.nperm)), limit, given) is not False
+    return edges(x, i, j, given, draw, w) if asks else []
+
+
+def varies(x: np.ndarray, min_width: int) -> bool:
+    """Whether there is something to cut: values enough, and not all equal."""
+    return len(x) >= 2 * min_width and x.max() - x.min() > 1e-12
 
 
 def prune(x: np.ndarray, ends: list[int], cutoff: float = 0.05) -> list[int]:
@@ -254,81 +344,72 @@ def prune(x: np.ndarray, ends: list[int], cutoff: float = 0.05) -> list[int]:
     return out[::-1]
 
 
-def segment(x: np.ndarray, alpha: float = 0.01, nperm: int = 200, min_width: int = 2, hybrid: bool = False, kmax: int = 25, nmin: int = 200, undo_prune: bool = False, seed: int = 1, w: np.ndarray | None = None) -> tuple[list[int], list[float]]:
+def segment(x: np.ndarray, alpha: float = 0.01, nperm: int = 200, min_width: int = 2, hybrid: bool = False, kmax: int = 25, nmin: int = 200, undo_prune: bool = False, seed: int = 1, w: np.ndarray | None = None, eta: float = 0.0) -> tuple[list[int], list[float]]:
     """Lengths and (weighted) means of the segments of x."""
-    x = np.asarray(x, float)
-    rng, todo, ends = np.random.default_rng(seed), [(0, len(x))], []
+    x, given = np.asarray(x, float), Settings(alpha, nperm, min_width, hybrid, kmax, nmin, eta)
+    todo, ends = [(0, len(x))], []
     while todo:
         a, e = todo.pop()
         y, v = x[a:e], None if w is None else np.asarray(w, float)[a:e]
         found: list[int] = []
-        if e - a >= 2 * min_width and y.max() - y.min() > 1e-12:
+        if varies(y, min_width):
             mean = y.mean() if v is None else (v * y).sum() / v.sum()
-            found = change_points(y - mean, alpha, nperm, rng, min_width, hybrid, kmax, nmin, v)
+            found = change_points(y - mean, given, draws(seed, a, e), v)
         if found:
             cut = [a, *(a + p for p in found), e]
             todo += [*zip(cut, cut[1:], strict=False)]
         else:
             ends.append(e)
-    ends.sort()
-    if undo_prune and len(ends) > 2:
-        ends = prune(x, ends)
-    edges = [0, *ends]
-    means = [float(x[a:b].mean() if w is None else np.average(x[a:b], weights=w[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
-    return [b - a for a, b in zip(edges, edges[1:], strict=False)], means
-
-
-SEGMENTS = "sample string, chrom int, seg_start long, seg_end long, n_markers long, state double"
-
-
-def segment_raw(raw: DataFrame, seed: int = 1, **options) -> DataFrame:
-    """Segments of raw values (sample, chrom, pos, value): each (sample, chromosome) is smoothed and cut in one task.
-
-    The random numbers depend on the seed, sample and chromosome alone, not on how rows are partitioned.
-    """
+    return lengths_and_means(x, sorted(ends), undo_prune, w)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["value"]).sort_values(["pos", "value"])
-        if pdf.empty:
-            return pd.DataFrame(columns=["sample", "chrom", "seg_start", "seg_end", "n_markers", "state"])
-        sample, chrom = pdf["sample"].iloc[0], pdf["chrom"].iloc[0]
-        pos = pdf["pos"].to_numpy()
-        lengths, means = segment(smooth(pdf["value"].to_numpy()), seed=zlib.crc32(f"{sample}/{chrom}/{seed}".encode()), **options)
-        end = np.cumsum(lengths)
-        return pd.DataFrame({"sample": sample, "chrom": chrom, "seg_start": pos[end - lengths], "seg_end": pos[end - 1], "n_markers": lengths, "state": means})
 
-    return raw.select("sample", "chrom", "pos", "value").groupBy("sample", "chrom").applyInPandas(run, SEGMENTS)
+def lengths_and_means(x: np.ndarray, ends: list[int], undo_prune: bool = False, w: np.ndarray | None = None) -> tuple[list[int], list[float]]:
+    if undo_prune and len(ends) > 2:
+        ends = prune(x, ends)
+    at = [0, *ends]
+    means = [float(x[a:b].mean() if w is None else np.average(x[a:b], weights=w[a:b])) for a, b in zip(at, at[1:], strict=False)]
+    return [b - a for a, b in zip(at, at[1:], strict=False)], means
 
 
-def deviations(raw: DataFrame, trim: float = 0.025) -> DataFrame:
+def deviations(raw: DataFrame, trim: float = 0.025, width: int = scan.BIN) -> DataFrame:
     """(of, sd): of each sample the root of trimmed_variance over its finite values in order of chromosome and place.
 
     Differences are taken within chromosomes and between their ends, equal ones are counted, and they are ranked within
     cells of size, so no sample meets in one task.
     """
-    value, place = F.col("value").cast("double"), F.struct("pos", "marker")
-    ok = raw.select("sample", "chrom", "pos", "marker", value.alias("value")).filter("value is not null and not isnan(value) and abs(value) < double('infinity')")
-    inner = ok.select("sample", F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("sample", "chrom").orderBy("pos", "marker"))).alias("a"))
+    place = F.struct("pos", "marker")
+    ok = _finite(raw)
+    inner = differences(ok, ["sample", "chrom"], ["pos", "marker"], "value", width).select("sample", F.abs("diff").alias("a"))
     ends = ok.groupBy("sample", "chrom").agg(F.min_by("value", place).alias("head"), F.max_by("value", place).alias("tail"))
     between = ends.select("sample", F.abs(F.col("head") - F.lag("tail").over(Window.partitionBy("sample").orderBy("chrom"))).alias("a"))
-    d = inner.unionByName(between).filter("a is not null").groupBy("sample", "a").agg(F.count("*").alias("n"))
-    d = d.withColumn("cell", F.when(F.col("a") > 0, F.floor(F.log2("a") * 32)).otherwise(-100_000))
-    keep = d.groupBy(F.col("sample").alias("of")).agg(F.floor((1 - 2 * trim) * F.sum("n") + 0.5).alias("keep"))
-    kept = running_count(d, ["sample"], "cell", ["a"], F.col("n"), 1).join(keep, F.col("sample").eqNullSafe(F.col("of"))).filter("_n - n < keep")
-    squares = F.sum(F.col("a") * F.col("a") * F.least("n", F.col("keep") - (F.col("_n") - F.col("n"))))
-    return kept.groupBy("of").agg(F.sqrt(F.lit(inflation(trim)) * squares / (2 * F.max("keep"))).alias("sd"))
+    d = trimmed_squares(inner.unionByName(between).filter("a is not null"), ["sample"], trim)
+    return d.select(F.col("sample").alias("of"), F.sqrt("_variance").alias("sd"))
+
 
+def _finite(raw: DataFrame) -> DataFrame:
+    d = raw.select("sample", "chrom", "pos", "marker", F.col("value").cast("double").alias("value"))
+    return d.filter("value is not null and not isnan(value) and abs(value) < double('infinity')")
 
-def smooth_raw(raw: DataFrame, scope: str = "sample", trim: float = 0.025, **options) -> DataFrame:
-    """raw with smoothed values; the deviation is that of the whole sample, or of each chromosome."""
+
+def smooth_raw(raw: DataFrame, scope: str = "sample", trim: float = 0.025, region: int = 10, rows: int = 100_000, width: int = scan.BIN, ties: str = "marker", **options) -> DataFrame:
+    """raw with smoothed values; the deviation is that of the whole sample, or of each chromosome. ties: what orders values of one place.
+
+    Values are smoothed in bins of `rows` values with `region` of their neighbours on either side; those that aren't
+    finite stay as they are and are nobody's neighbours.
+    """
     names = ["sample", "marker", "chrom", "pos", "value"]
-    cols = raw.select(*names)
-    whole = scope == "sample"
+    given = _finite(raw)
+    rest = raw.select(*names[:-1], F.col("value").cast("double").alias("value")).filter("value is null or isnan(value) or abs(value) = double('infinity')")
+    if scope == "sample":
+        given = given.join(deviations(given, trim, width), F.col("sample").eqNullSafe(F.col("of")), "left").drop("of")
+    else:
+        sd = trimmed_squares(differences(given, ["sample", "chrom"], ["pos", ties], "value", width).filter("diff is not null").select("sample", "chrom", F.abs("diff").alias("a")), ["sample", "chrom"], trim)
+        sd = sd.select(F.col("sample").alias("of"), F.col("chrom").alias("of_chrom"), F.sqrt("_variance").alias("sd"))
+        given = given.join(sd, F.col("sample").eqNullSafe(F.col("of")) & F.col("chrom").eqNullSafe(F.col("of_chrom")), "left").drop("of", "of_chrom")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "marker"])
-        sd = float(pdf["sd"].fillna(0.0).iloc[0]) if whole else None
-        return pdf.assign(value=smooth(pdf["value"].to_numpy(), trim=trim, sd=sd, **options))[names]
+        sd = pdf["sd"].fillna(0.0).iloc[0]  # none: a single value, which stays
+        return pdf.assign(value=smooth(pdf["value"].to_numpy(), region=region, trim=trim, sd=float(sd), **options))[names]
 
-    given = cols.join(deviations(cols, trim), F.col("sample").eqNullSafe(F.col("of")), "left").drop("of") if whole else cols
-    return given.groupBy("sample", "chrom").applyInPandas(run, cols.schema)
+    out = scan.by_halo(given, ["sample", "chrom"], ["pos", ties], region, run, rest.schema, rows, width)
+    return out.unionByName(rest)

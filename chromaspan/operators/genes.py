@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.coords import size
 from ..functions.overlap import intersection, overlaps
-from .intervals import overlap_join, running_count
+from . import scan
+from .intervals import overlap_join
 
 GENE = ("g_chrom", "tx_start", "tx_end")
 SEG = ("chrom", "seg_start", "seg_end")
@@ -108,22 +109,47 @@ def set_overlaps(sets: DataFrame, genes: DataFrame) -> DataFrame:
     return sets.select("set_name").distinct().join(hit, "set_name", "left").select("set_name", F.coalesce("_n", F.lit(0)).alias("n"))
 
 
+def draw(*parts) -> Column:
+    """A number below 2**52 that depends on the parts alone: the first 13 hex digits of the MD5 of their decimal forms, joined by ':'."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p if isinstance(p, Column) else F.lit(p) for p in parts)).cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def resampled(genes: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
-    """(replicate, gene): as many genes drawn with replacement, each kept once."""
+    """(replicate, gene): as many genes drawn with replacement, each kept once. Genes are numbered by the first three hex
+    digits of their MD5, then by name, in bins of the former."""
     spark = genes.sparkSession
     n = genes.count()
-    dealt = genes.select("gene", F.pmod(F.xxhash64("gene"), F.lit(4096)).alias("_h"))
-    numbered = running_count(dealt, [], "_h", ["gene"], F.lit(1), 1).select("gene", (F.col("_n") - 1).alias("_i"))
-    draws = spark.range(n * replicates).select((F.col("id") % replicates).alias("replicate"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, n))).alias("_i"))
+    dealt = genes.select("gene", F.conv(F.substring(F.md5(F.col("gene").cast("binary")), 1, 3), 16, 10).cast("long").alias("_h"))
+    numbered = scan.prefix(dealt, [], ["_h", "gene"], count="_n", width=1).select("gene", (F.col("_n") - 1).alias("_i"))
+    draws = spark.range(n * replicates).select((F.col("id") % replicates).alias("replicate"), (draw(seed, F.col("id")) % max(1, n)).alias("_i"))
     return draws.distinct().join(numbered, "_i").select("replicate", "gene")
 
 
+def overlap_significance(sets: DataFrame, genes: DataFrame, hits: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
+    """(set_name, n, mean_n, p_value): how many of the hit genes each set (set_name, gene) holds, the mean for as many
+    genes drawn from all of them, and the share of draws, this one included, that hold as many or more.
+
+    A draw is the drawn numbers below the number of hits; counts by set and draw are all that is kept of them.
+    """
+    hits, members = hits.select("gene").distinct(), sets.select("set_name", "gene").distinct()
+    k, n = hits.count(), genes.count()
+    observed = members.join(hits, "gene").groupBy("set_name").agg(F.count("*").alias("n"))
+    numbered = scan.prefix(genes.select("gene", F.conv(F.substring(F.md5(F.col("gene").cast("binary")), 1, 3), 16, 10).cast("long").alias("_h")), [], ["_h", "gene"], count="_n", width=1)
+    draws = genes.sparkSession.range(k * replicates).select((F.col("id") % replicates).alias("replicate"), (draw(seed, F.col("id")) % max(1, n) + 1).alias("_n")).distinct()
+    counts = draws.join(numbered.select("_n", "gene"), "_n").join(members, "gene").groupBy("set_name", "replicate").agg(F.count("*").alias("_k"))
+    known = members.select("set_name").distinct().join(observed, "set_name", "left").select("set_name", F.coalesce("n", F.lit(0)).alias("n"))
+    drawn = counts.join(known, "set_name").groupBy("set_name").agg(F.sum("_k").alias("_sum"), F.count_if(F.col("_k") >= F.col("n")).alias("_as_many"))
+    out = known.join(drawn, "set_name", "left")
+    as_many = F.when(F.col("n") == 0, F.lit(replicates)).otherwise(F.coalesce("_as_many", F.lit(0)))
+    return out.select("set_name", "n", (F.coalesce("_sum", F.lit(0)) / replicates).alias("mean_n"), ((as_many + 1) / (replicates + 1)).alias("p_value"))
+
+
 def relocated(regions: DataFrame, lengths: DataFrame, replicates: int, seed: int = 1, other_chromosome: bool = True) -> DataFrame:
     """Regions (region_id, r_chrom, region_start, region_end) at random places of chromosomes (r_chrom, length) of at most some dozens."""
     all_ = lengths.orderBy("r_chrom").collect()
     chroms = F.array(*[F.struct(F.lit(r.r_chrom).alias("c"), F.lit(int(r.length)).cast("long").alias("n")) for r in all_])
     out = regions.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = lambda k: F.pmod(F.xxhash64("region_id", "replicate", F.lit(seed), F.lit(k)), F.lit(1 << 53)) / float(1 << 53)
+    u = lambda k: draw(seed, k, F.col("region_id"), F.col("replicate")) / float(1 << 52)
     pick = F.get(chroms, F.floor(u(1) * len(all_)).cast("int")) if other_chromosome else F.get(F.filter(chroms, lambda x: x["c"] == F.col("r_chrom")), F.lit(0))
     long = size(F.col("region_start"), F.col("region_end"))
     out = out.withColumn("_p", pick)

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.overlap import overlaps, score, start_bounds
 from ..functions.predicates import is_aberrant
@@ -51,27 +53,40 @@ def overlap_join(q: DataFrame, r: DataFrame, q_cols: tuple[str, str, str], r_col
     return a.join(b, on, how).drop("_level", "_w", "_bin", "_rlevel", "_rw", "_rbin")
 
 
-def exists_filter(q: DataFrame, r: DataFrame, kind: str = "dice", threshold: float = 0.5, inverse: bool = False, aberrant: tuple[float, float] | None = None, optimize: bool = True, q_cols=("chrom", "seg_start", "seg_end"), r_cols=("chrom", "seg_start", "seg_end"), bin_width: int = BIN) -> DataFrame:
-    """Rows of q without a reference row that overlaps with a score of threshold or more (inverse: those with one).
-
-    aberrant: (reference state, deviation); then only aberrant rows can be flagged, and the others bypass the join.
-    optimize adds the cheaper necessary condition, which changes no result. A null or unknown chromosome never matches.
-    """
+def _hits(asked: DataFrame, r: DataFrame, kind: str, threshold: float, optimize: bool, q_cols, r_cols, bin_width: int) -> tuple[DataFrame, Column]:
+    """The distinct intervals (_k0, _k1, _k2) of `asked` that have a reference row, and how they are joined to it."""
     ref = r.select(*(F.col(c).alias(f"_r{k}") for k, c in enumerate(r_cols))).distinct()
     cols = [F.col(c) for c in (*q_cols[1:], "_r1", "_r2")]
     met = score(kind, *cols) >= threshold
     if optimize:
         met = start_bounds(kind, threshold, *cols) & met
-    asked = q if aberrant is None else q.filter(is_aberrant(F.col("state"), *aberrant))
     keys = asked.select(*q_cols).distinct()
     hit = overlap_join(keys, ref, q_cols, ("_r0", "_r1", "_r2"), met, bin_width, how="left_semi").select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(q_cols))).distinct()
-    same = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_k{k}") for k, c in enumerate(q_cols)))
+    return hit, reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_k{k}") for k, c in enumerate(q_cols)))
+
+
+def exists_filter(q: DataFrame, r: DataFrame, kind: str = "dice", threshold: float = 0.5, inverse: bool = False, aberrant: tuple[float, float] | None = None, optimize: bool = True, q_cols=("chrom", "seg_start", "seg_end"), r_cols=("chrom", "seg_start", "seg_end"), bin_width: int = BIN) -> DataFrame:
+    """Rows of q without a reference row that overlaps with a score of threshold or more (inverse: those with one).
+
+    aberrant: (reference state, deviation); then only aberrant rows can be flagged, and the others bypass the join.
+    optimize adds the cheaper necessary condition, which changes no result. A null or unknown chromosome never matches.
+    """
+    asked = q if aberrant is None else q.filter(is_aberrant(F.col("state"), *aberrant))
+    hit, same = _hits(asked, r, kind, threshold, optimize, q_cols, r_cols, bin_width)
     out = asked.join(hit, same, "left_semi" if inverse else "left_anti")
     if aberrant is not None and not inverse:
         out = out.unionByName(q.filter(~F.coalesce(is_aberrant(F.col("state"), *aberrant), F.lit(False))))
     return out
 
 
+def exists_flag(q: DataFrame, r: DataFrame, flag: str, kind: str = "dice", threshold: float = 0.5, inverse: bool = False, aberrant: tuple[float, float] | None = None, optimize: bool = True, q_cols=("chrom", "seg_start", "seg_end"), r_cols=("chrom", "seg_start", "seg_end"), bin_width: int = BIN) -> DataFrame:
+    """q with a flag where exists_filter would leave the row out, whatever is null in it."""
+    asked = F.lit(True) if aberrant is None else F.coalesce(is_aberrant(F.col("state"), *aberrant), F.lit(False))
+    hit, same = _hits(q.filter(asked), r, kind, threshold, optimize, q_cols, r_cols, bin_width)
+    met = asked & F.col("_k0").isNotNull()
+    return q.join(hit, same, "left").withColumn(flag, ~met if inverse else met).drop("_k0", "_k1", "_k2")
+
+
 def marker_filter(raw: DataFrame, reference: DataFrame) -> DataFrame:
     """Rows whose marker isn't in the reference (marker)."""
     return raw.join(reference.select("marker").distinct(), "marker", "left_anti")
@@ -117,11 +132,66 @@ def validated(df: DataFrame, start: str = "seg_start", end: str = "seg_end") ->
     return df.withColumn(start, F.when(ok.isNull(), F.col(start)))
 
 
+def _least_around(rows: list[tuple], strict: bool) -> list[tuple | None]:
+    """For each of rows (stratum, end, what) by stratum the least `what` of earlier strata whose end is no less (strict:
+    greater): ends are ranked, and a tree over ranks holds least ones of what was met so far."""
+    ends = sorted({r[1] for r in rows}, reverse=True)
+    rank = {e: k + 1 for k, e in enumerate(ends)}
+    tree: list[tuple | None] = [None] * (len(ends) + 1)
+    out: list[tuple | None] = [None] * len(rows)
+    at = 0
+    while at < len(rows):
+        upto = at
+        while upto < len(rows) and rows[upto][0] == rows[at][0]:
+            k = rank[rows[upto][1]] - strict
+            while k:
+                if tree[k] is not None and (out[upto] is None or tree[k] < out[upto]):
+                    out[upto] = tree[k]
+                k -= k & -k
+            upto += 1
+        for _, end, what in rows[at:upto]:
+            k = rank[end]
+            while k < len(tree):
+                if tree[k] is None or what < tree[k]:
+                    tree[k] = what
+                k += k & -k
+        at = upto
+    return out
+
+
 def self_containment(df: DataFrame, id_col: str, cols=("chrom", "seg_start", "seg_end"), bin_width: int = BIN) -> DataFrame:
-    """(child, parent): the shortest other interval that contains each (ties: smallest id); of equal intervals the smaller id contains."""
+    """(child, parent): the shortest other interval that contains each (ties: smallest id); of equal intervals the smaller id contains.
+
+    What contains an interval begins in the bin where that begins, or ends in the bin where that ends, or begins in an
+    earlier and ends in a later bin. The first two are found within bins of starts and of ends, in order of start, with
+    the least length so far by end; the third needs no places, only each pair of bins' shortest interval. So there are
+    three rows an interval, however many contain it. Null chromosomes and places match nothing.
+    """
     c, s, e = cols
-    a = df.select(F.col(id_col).alias("child"), F.col(c).alias("_c"), F.col(s).alias("_s"), F.col(e).alias("_e"))
-    b = df.select(F.col(id_col).alias("parent"), c, s, e)
-    inside = (F.col(s) <= F.col("_s")) & (F.col("_e") <= F.col(e)) & ((F.col(s) < F.col("_s")) | (F.col("_e") < F.col(e)) | (F.col("parent") < F.col("child")))
-    pairs = overlap_join(a, b, ("_c", "_s", "_e"), cols, inside, bin_width)
-    return pairs.groupBy("child").agg(F.min_by("parent", F.struct(F.col(e) - F.col(s), F.col("parent"))).alias("parent"))
+    kind = df.schema[id_col].dataType
+    d = df.select(F.col(id_col).alias("child"), F.col(c).alias("_c"), F.col(s).cast("long").alias("_s"), F.col(e).cast("long").alias("_e")).dropna(subset=["_c", "_s", "_e"])
+    d = d.withColumns({"_sb": F.floor(F.col("_s") / bin_width), "_eb": F.floor(F.col("_e") / bin_width)})
+    result = StructType([StructField("child", kind), StructField("_size", LongType()), StructField("parent", kind)])
+
+    def found(pdf: pd.DataFrame, around: list) -> pd.DataFrame:
+        rows = [(i, *x) for i, x in zip(pdf["child"].tolist(), around, strict=True) if x is not None]
+        return pd.DataFrame(rows, columns=["child", "_size", "parent"])
+
+    def from_starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_s", "_e", "child"], ascending=[True, False, True])
+        return found(pdf, _least_around([(k, b, (b - a, i)) for k, (a, b, i) in enumerate(zip(pdf["_s"].tolist(), pdf["_e"].tolist(), pdf["child"].tolist(), strict=True))], False))
+
+    def from_ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_sb")
+        return found(pdf, _least_around([(k, b, (b - a, i)) for k, a, b, i in zip(pdf["_sb"].tolist(), pdf["_s"].tolist(), pdf["_e"].tolist(), pdf["child"].tolist(), strict=True)], False))
+
+    def from_cells(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_sb")
+        around = _least_around([(k, b, (n, i)) for k, b, n, i in zip(pdf["_sb"].tolist(), pdf["_eb"].tolist(), pdf["_size"].tolist(), pdf["child"].tolist(), strict=True)], True)
+        return pdf[["_c", "_sb", "_eb"]].assign(_size=[x and x[0] for x in around], parent=[x and x[1] for x in around]).dropna(subset=["_size"])
+
+    cells = d.groupBy("_c", "_sb", "_eb").agg(F.min(F.struct((F.col("_e") - F.col("_s")).alias("_size"), "child")).alias("_m")).select("_c", "_sb", "_eb", "_m._size", "_m.child")
+    shape = StructType([StructField("_c", d.schema["_c"].dataType), StructField("_sb", LongType()), StructField("_eb", LongType()), *result.fields[1:]])
+    far = d.join(cells.groupBy("_c").applyInPandas(from_cells, shape), ["_c", "_sb", "_eb"]).select("child", "_size", "parent")
+    near = d.groupBy("_c", "_sb").applyInPandas(from_starts, result).unionByName(d.groupBy("_c", "_eb").applyInPandas(from_ends, result))
+    return near.unionByName(far).groupBy("child").agg(F.min_by("parent", F.struct("_size", "parent")).alias("parent"))

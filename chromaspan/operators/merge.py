@@ -2,35 +2,34 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..functions.predicates import is_aberrant, small, spurious
+from . import scan
 from .intervals import stab
 
 EPSILON = 2.0**-23  # how far apart equal values may be: the precision of 32-bit floats
 
 
-def runs(raw: DataFrame, value: str = "value", epsilon: float = EPSILON) -> DataFrame:
+def runs(raw: DataFrame, value: str = "value", epsilon: float = EPSILON, width: int = scan.BIN) -> DataFrame:
     """Segments of adjacent values no more than epsilon apart (of a struct all components), by sample and chromosome;
-    nulls are alike. A segment has its first value."""
-    w = Window.partitionBy("sample", "chrom").orderBy("pos", "marker")
+    nulls are alike. A segment has its first value.
+
+    Changes are flagged and numbered by scans in bins; a segment is put together from what each task has of it.
+    """
+    keys, order = ["sample", "chrom"], ["pos", "marker"]
     kind = raw.schema[value].dataType
     parts = [f"{value}.{f.name}" for f in kind.fields] if isinstance(kind, StructType) else [value]
-
-    def same(c: str) -> Column:
-        before = F.lag(c).over(w)
-        return F.coalesce(F.abs(F.col(c) - before) <= epsilon, F.col(c).eqNullSafe(before))
-
-    new = (~reduce(and_, map(same, parts))).cast("int")
-    new = F.when(F.row_number().over(w) == 1, 1).otherwise(new)
-    marked = raw.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
-    return marked.groupBy("sample", "chrom", "_run").agg(F.min("pos").alias("seg_start"), F.max("pos").alias("seg_end"), F.count("*").alias("n_markers"), F.first(value).alias("state")).drop("_run")
+    d = raw.select(*keys, *order, value, *(F.col(c).alias(f"_v{k}") for k, c in enumerate(parts)))
+    d = scan.changes(d, keys, order, [f"_v{k}" for k in range(len(parts))], lambda a, b: F.coalesce(F.abs(b - a) <= epsilon, a.eqNullSafe(b)), width=width)
+    d = scan.prefix(d, keys, order, {"_run": F.col("_new")}, width=width)
+    return d.groupBy(*keys, "_run").agg(F.min("pos").alias("seg_start"), F.max("pos").alias("seg_end"), F.count("*").alias("n_markers"), F.min_by(value, F.struct(*order)).alias("state")).drop("_run")
 
 
 def to_raw(segments: DataFrame, markers: DataFrame) -> DataFrame:
@@ -47,68 +46,103 @@ def pooled(segments: DataFrame) -> DataFrame:
     return segments.select(F.lit("ALL").alias("sample"), "chrom", "seg_start", "seg_end", F.lit(0).cast("long").alias("n_markers"), F.lit(0.0).alias("state"))
 
 
-def remove_flagged_kernel(rows: list[dict], deviation: float, merge: bool) -> list[dict]:
-    """One chromosome's segments, by start, without the flagged ones; with merge their neighbours take their place.
+class Merging:
+    """Segments of one chromosome by start, one after the other, without the flagged ones, whose neighbours take their place.
 
     A kept segment joins the next one if that is kept and alike (then done with: merging is by pairs). A run of flagged
     segments either joins the kept ones on both sides, if they are alike, or goes to the longer of them: upstream
     extends to the end of the run's first segment only, downstream to its start. The joint state weighs the first
-    segment with the summed count, as the counts are added before the mean is taken.
+    segment with the summed count, as the counts are added before the mean is taken. A null state is like no other; with
+    a null count the joint count is null, and so is the joint state of different ones.
+
+    All that is held is the last kept segment (start, end, count, state), whether it may still join the next one, and
+    the first one of an open run.
     """
-    rows = [dict(r) for r in rows]
-    out: list[dict] = []
-    gone = [False] * len(rows)
-
-    def join(a: dict, b: dict) -> None:
-        a["seg_end"] = b["seg_end"]
-        a["n_markers"] += b["n_markers"]
-        if a["state"] != b["state"]:
-            a["state"] = (a["state"] * a["n_markers"] + b["state"] * b["n_markers"]) / (a["n_markers"] + b["n_markers"])
-
-    def alike(a: dict, b: dict) -> bool:
-        return abs(a["state"] - b["state"]) <= deviation
-
-    for i, this in enumerate(rows):
-        if gone[i]:
-            continue
-        if not this["flag"]:
-            out.append(this)
-            nxt = i + 1
-            if merge and nxt < len(rows) and not rows[nxt]["flag"] and not gone[nxt] and alike(this, rows[nxt]):
-                join(this, rows[nxt])
-                gone[nxt] = True
-        elif merge:
-            nxt = i + 1
-            while nxt < len(rows) and (rows[nxt]["flag"] or gone[nxt]):
-                gone[nxt] = True
-                nxt += 1
-            before, after = out[-1] if out else None, rows[nxt] if nxt < len(rows) else None
-            length = lambda s: s["seg_end"] - s["seg_start"] if s else 0
-            if before and after and alike(before, after):
-                join(before, after)
-                gone[nxt] = True
-            elif before and length(before) >= length(after):
-                before["seg_end"] = this["seg_end"]
-            elif after and after["seg_start"] > this["seg_start"]:
-                after["seg_start"] = this["seg_start"]
-    return out
-
-
-def remove_flagged(segments: DataFrame, flag: Column, deviation: float = -1.0, merge: bool = False) -> DataFrame:
-    """Segments (sample, chrom, seg_start, seg_end, n_markers, state) without those flagged; merge: see the kernel.
-
-    Without merge it is a filter. With it, each (sample, chromosome) is one sequential pass in one task.
+
+    def __init__(self, deviation: float):
+        self.deviation = deviation
+        self.reset()
+
+    def reset(self) -> None:
+        self.last, self.single, self.run = None, False, None
+
+    def _alike(self, row: tuple) -> bool:
+        return self.last is not None and self.last[3] is not None and row[3] is not None and abs(self.last[3] - row[3]) <= self.deviation
+
+    def _join(self, row: tuple) -> None:
+        start, _, count, state = self.last
+        n = None if count is None or row[2] is None else count + row[2]
+        if state != row[3]:
+            state = None if n is None or n + row[2] == 0 else (state * n + row[3] * row[2]) / (n + row[2])
+        self.last, self.single = (start, row[1], n, state), False
+
+    def add(self, row: tuple, flag: bool) -> tuple | None:
+        """Takes the next segment; returns one that nothing can change any more, or None."""
+        if flag:
+            self.run = self.run or row
+            return None
+        run, self.run = self.run, None
+        if self._alike(row) and (run or self.single):
+            self._join(row)
+            return None
+        done = self.last
+        if run and done and done[1] - done[0] >= row[1] - row[0]:
+            done = (done[0], run[1], *done[2:])
+        elif run and row[0] > run[0]:
+            row = (run[0], *row[1:])
+        self.last, self.single = row, True
+        return done
+
+    def end(self) -> tuple | None:
+        """The last segment, as nothing follows."""
+        done, run = self.last, self.run
+        self.reset()
+        return (done[0], run[1], *done[2:]) if done and run else done
+
+
+def islands(segments: DataFrame, flag: str, deviation: float, width: int = scan.BIN) -> DataFrame:
+    """segments with _island: neighbours are in one island if either is flagged or they are alike. Merging never
+    reaches from one island to the next."""
+    order = ["seg_start", "seg_end", "n_markers", "state"]
+    d = scan.lagged(segments, ["sample", "chrom"], order, {flag: "_flag", "state": "_state"}, "_follows", width)
+    tied = F.col(flag) | F.col("_flag") | F.coalesce(F.abs(F.col("_state") - F.col("state")) <= deviation, F.lit(False))
+    d = d.withColumn("_cut", (~(F.col("_follows") & tied)).cast("long")).drop("_flag", "_state", "_follows")
+    return scan.prefix(d, ["sample", "chrom"], order, {"_island": F.col("_cut")}, width=width).drop("_cut")
+
+
+def remove_flagged(segments: DataFrame, flag: Column, deviation: float = -1.0, merge: bool = False, width: int = scan.BIN) -> DataFrame:
+    """Segments (sample, chrom, seg_start, seg_end, n_markers, state) without those flagged; merge: see Merging.
+
+    Without merge it is a filter. With it, segments are dealt by islands, and each task takes its islands' segments in
+    order; a kept segment that is an island by itself passes at once.
     """
     cols = ["sample", "chrom", "seg_start", "seg_end", "n_markers", "state"]
     if not merge:
         return segments.filter(~F.coalesce(flag, F.lit(False))).select(*cols)
-    schema = "sample string, chrom int, seg_start long, seg_end long, n_markers long, state double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["seg_start", "seg_end", "n_markers", "state"]).to_dict("records")
-        return pd.DataFrame(remove_flagged_kernel(rows, deviation, True), columns=[*cols, "flag"])[cols]
-
-    return segments.select(*cols, F.coalesce(flag, F.lit(False)).alias("flag")).groupBy("sample", "chrom").applyInPandas(run, schema)
+    d = islands(segments.select(*cols, F.coalesce(flag, F.lit(False)).alias("_flagged")), "_flagged", deviation, width)
+    key = ["sample", "chrom", "_island"]
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in segments.select(*cols).schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, at = Merging(deviation), None
+        out: list[tuple] = []
+        for b in batches:
+            table = b.to_pydict()
+            for island, row, flagged in zip(zip(*(table[k] for k in key), strict=True), zip(*(table[c] for c in cols[2:]), strict=True), table["_flagged"], strict=True):
+                if island != at:
+                    if done := fold.end():
+                        out.append((*at[:2], *done))
+                    at = island
+                if done := fold.add(row, flagged):
+                    out.append((*at[:2], *done))
+            yield pa.RecordBatch.from_pylist([dict(zip(cols, r, strict=True)) for r in out], schema)
+            out = []
+        if done := fold.end():
+            yield pa.RecordBatch.from_pylist([dict(zip(cols, (*at[:2], *done), strict=True))], schema)
+
+    d = d.repartition(*key).withColumn("_alone", (F.count(F.lit(1)).over(Window.partitionBy(*key)) == 1) & ~F.col("_flagged"))
+    merged = d.filter(~F.col("_alone")).drop("_alone").sortWithinPartitions(*key, *cols[2:]).mapInArrow(run, segments.select(*cols).schema)
+    return d.filter("_alone").select(*cols).unionByName(merged)
 
 
 def clean(segments: DataFrame, min_count: int | None = None, min_length: int | None = None, aberrant: bool = False, reference: float = 0.0, deviation: float = 0.2, merge: bool = False) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alleles, coords, predicates
-from ..operators import cbs, genes, intervals, merge, stats
+from ..operators import cbs, genes, intervals, merge, segmentation, stats
 from ..sources import files
-from .views import spark_view, with_views
+from ..streaming import segments
+from .views import VIEWS, spark_view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -150,8 +151,7 @@ def _(v):
 
 @query("p14_stride", "SELECT sample, chrom, pos, value FROM (SELECT *, row_number() OVER (PARTITION BY sample, chrom ORDER BY pos) - 1 AS i FROM v_raw) WHERE i % 5 = 0")
 def _(v):
-    w = Window.partitionBy("sample", "chrom").orderBy("pos")
-    return v.raw.withColumn("i", F.row_number().over(w) - 1).filter("i % 5 = 0").select("sample", "chrom", "pos", "value")
+    return stats.every_nth(v.raw, ["sample", "chrom"], ["pos"], 5).select("sample", "chrom", "pos", "value")
 
 
 @query("p15_colour", "SELECT CASE WHEN state > CAST(0.2 AS DOUBLE) THEN 'red' WHEN state < CAST(-0.2 AS DOUBLE) THEN 'blue' ELSE 'grey' END AS colour, count(*) AS n FROM v_seg GROUP BY 1")
@@ -336,9 +336,31 @@ def _(v):
     return merge.pooled(v.seg)
 
 
-@query("m1_merge_flagged")
+#: One row of each (sample, chromosome) at a time: c.. is the last kept segment, w whether it is single, r.. the first of an open run of flagged ones, and o.. what this row sets free.
+MERGED = """WITH RECURSIVE g AS (SELECT sample, chrom, n_markers < 25 AS flag, seg_start AS s, seg_end AS e, n_markers AS n, state AS x,
+        row_number() OVER (PARTITION BY sample, chrom ORDER BY seg_start, seg_end, n_markers, state) AS k, count(*) OVER (PARTITION BY sample, chrom) AS final FROM v_seg),
+    f AS (SELECT DISTINCT sample, chrom, final, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS cs, CAST(NULL AS BIGINT) AS ce, CAST(NULL AS BIGINT) AS cn, CAST(NULL AS DOUBLE) AS cx, false AS w, CAST(NULL AS BIGINT) AS rs, CAST(NULL AS BIGINT) AS re,
+            CAST(NULL AS BIGINT) AS os, CAST(NULL AS BIGINT) AS oe, CAST(NULL AS BIGINT) AS o_n, CAST(NULL AS DOUBLE) AS ox FROM g
+        UNION ALL
+        SELECT sample, chrom, final, k, CASE WHEN flag OR joins THEN cs WHEN later THEN rs ELSE s END, CASE WHEN flag THEN ce ELSE e END, CASE WHEN flag THEN cn WHEN joins THEN cn + n ELSE n END,
+            CASE WHEN flag THEN cx WHEN NOT joins THEN x WHEN cx = x THEN x ELSE (cx * (cn + n) + x * n) / (cn + n + n) END, CASE WHEN flag THEN w ELSE NOT joins END,
+            CASE WHEN flag THEN coalesce(rs, s) END, CASE WHEN flag THEN coalesce(re, e) END,
+            CASE WHEN frees THEN cs END, CASE WHEN frees THEN CASE WHEN sooner THEN re ELSE ce END END, CASE WHEN frees THEN cn END, CASE WHEN frees THEN cx END
+        FROM (SELECT *, NOT flag AND NOT joins AND cs IS NOT NULL AS frees, NOT flag AND NOT joins AND NOT sooner AND rs IS NOT NULL AND s > rs AS later
+            FROM (SELECT g.*, cs, ce, cn, cx, w, rs, re, NOT flag AND coalesce(abs(cx - x) <= CAST(0.1 AS DOUBLE), false) AND (rs IS NOT NULL OR w) AS joins, coalesce(rs IS NOT NULL AND ce - cs >= e - s, false) AS sooner
+                FROM f JOIN g ON f.sample = g.sample AND f.chrom = g.chrom AND f.k + 1 = g.k) q1) q2)
+    SELECT sample, chrom, os AS seg_start, oe AS seg_end, o_n AS n_markers, round(ox, 9) AS state FROM f WHERE os IS NOT NULL
+    UNION ALL SELECT sample, chrom, cs, coalesce(re, ce), cn, round(cx, 9) FROM f WHERE k = final AND cs IS NOT NULL"""
+
+
+@query("m1_merge_flagged", MERGED)
+def _(v):
+    return merge.remove_flagged(v.seg, predicates.spurious(F.col("n_markers"), 25), 0.1, merge=True).withColumn("state", F.round("state", 9))
+
+
+@query("m2_merge_pairs", MERGED.replace("n_markers < 25 AS flag", "false AS flag").replace("0.1", "0.3"))
 def _(v):
-    return merge.remove_flagged(v.seg, predicates.spurious(F.col("n_markers"), 25), 0.1, merge=True)
+    return merge.remove_flagged(v.seg, F.lit(False), 0.3, merge=True).withColumn("state", F.round("state", 9))
 
 
 @query("clean", f"SELECT {COLS} FROM v_seg WHERE n_markers >= 20 AND seg_end - seg_start + 1 >= 500 AND state > 0 - CAST(0.4 AS DOUBLE) AND state < CAST(0.4 AS DOUBLE)")
@@ -483,10 +505,7 @@ def _(v):
 
 @query("w3_median", "SELECT sample, chrom, pos, round(median(value) OVER (PARTITION BY sample, chrom ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 9) AS med FROM v_raw")
 def _(v):
-    a = F.array_sort(F.collect_list("value").over(Window.partitionBy("sample", "chrom").orderBy("pos").rowsBetween(-5, 5)))
-    n = F.size("a")
-    mid = (F.get("a", ((n - 1) / 2).cast("int")) + F.get("a", (n / 2).cast("int"))) / 2
-    return v.raw.withColumn("a", a).select("sample", "chrom", "pos", F.round(mid, 9).alias("med"))
+    return stats.neighbour_median(v.raw, ["sample", "chrom"], ["pos"], "value").select("sample", "chrom", "pos", F.round("med", 9).alias("med"))
 
 
 @query("w5_smooth", f"""WITH d AS (SELECT sample, abs(value - lag(value) OVER (PARTITION BY sample ORDER BY chrom, pos, marker)) AS a FROM v_raw),
@@ -770,26 +789,62 @@ def _(v):
     )
 
 
-# Changepoints and randomisation: no SQL
+# Changepoints (no SQL) and randomisation
 
 
 @query("c20_segment")
 def _(v):
-    return cbs.segment_raw(v.raw)
+    return segmentation.segment_raw(v.raw)
+
 
+DRAW = "CAST('0x' || left(md5({0}), 13) AS BIGINT)"
+NUMBERED = "numbered AS (SELECT gene, row_number() OVER (ORDER BY left(md5(gene), 3), gene) - 1 AS i FROM v_gene)"
 
-@query("z1_resampled")
+
+@query("z1_resampled", f"WITH {NUMBERED} SELECT DISTINCT replicate, gene FROM (SELECT id % 20 AS replicate, {DRAW.format("'1:' || id")} % n AS i FROM (SELECT unnest(range(20 * n)) AS id, n FROM (SELECT count(*) AS n FROM v_gene) q1) q2) d JOIN numbered USING (i)")
 def _(v):
     return genes.resampled(v.gene, 20)
 
 
-@query("z2_relocated")
+@query("z2_relocated", f"""WITH d AS (SELECT *, {DRAW.format("'1:1:' || region_id || ':' || replicate")} / CAST(4503599627370496 AS DOUBLE) AS u1, {DRAW.format("'1:2:' || region_id || ':' || replicate")} / CAST(4503599627370496 AS DOUBLE) AS u2,
+        region_end - region_start + 1 AS size FROM v_region CROSS JOIN (SELECT CAST(unnest(range(20)) AS INT) AS replicate) q),
+    p AS (SELECT region_id, replicate, size, CAST(floor(u1 * 24) AS INT) + 1 AS r_chrom, u2 FROM d), b AS (SELECT *, CAST(floor(u2 * greatest(1000000 + r_chrom * 1000 - size + 2, 1)) AS BIGINT) AS region_start FROM p)
+    SELECT region_id, replicate, r_chrom, region_start, region_start + size - 1 AS region_end FROM b""")
 def _(v):
-    lengths = v.spark.range(1, 25).select(F.col("id").cast("int").alias("r_chrom"), (F.col("id") * 0 + 1_000_000).alias("length"))
+    lengths = v.spark.range(1, 25).select(F.col("id").cast("int").alias("r_chrom"), (F.col("id") * 1000 + 1_000_000).alias("length"))
     return genes.relocated(v.region, lengths, 20)
 
 
-@query("z3_null_distribution")
+@query("z3_null_distribution", f"""WITH {NUMBERED}, hit AS (SELECT gene FROM v_gene WHERE g_chrom <= 6), k AS (SELECT count(*) AS k, (SELECT count(*) FROM v_gene) AS n FROM hit),
+    d AS (SELECT DISTINCT id % 50 AS replicate, {DRAW.format("'1:' || id")} % n AS i FROM (SELECT unnest(range(50 * k)) AS id, n FROM k) q1),
+    c AS (SELECT p_brand, replicate, count(*) AS c FROM d JOIN numbered USING (i) JOIN v_gene USING (gene) GROUP BY p_brand, replicate),
+    o AS (SELECT p_brand, count(*) FILTER (WHERE g_chrom <= 6) AS n FROM v_gene GROUP BY p_brand)
+    SELECT p_brand AS set_name, n, round(coalesce(sum(c), 0) / CAST(50 AS DOUBLE), 6) AS mean_n, round((1 + CASE WHEN n = 0 THEN 50 ELSE count(*) FILTER (WHERE c >= n) END) / CAST(51 AS DOUBLE), 6) AS p_value FROM o LEFT JOIN c USING (p_brand) GROUP BY p_brand, n""")
+def _(v):
+    sets = v.gene.select(F.col("p_brand").alias("set_name"), "gene")
+    got = genes.overlap_significance(sets, v.gene, v.gene.filter("g_chrom <= 6"), 50)
+    return got.select("set_name", "n", F.round("mean_n", 6).alias("mean_n"), F.round("p_value", 6).alias("p_value"))
+
+
+# Streams: read from files until all that is there has been read
+
+
+@query("stream_runs", RUNS.replace("min(cn) AS state", "CAST(min(cn) AS DOUBLE) AS state"))
+def _(v):
+    """m3_runs over v_raw as a stream of six files in random order, two to a micro-batch."""
+    given, out = v.folder("raw"), v.folder("runs")
+    v.raw.select("sample", "marker", "chrom", "pos", F.col("cn").cast("double").alias("value")).repartition(6, F.xxhash64("marker")).write.parquet(given)
+    segments.runs_into(segments.read(v.spark, given, segments.RAW, maxFilesPerTrigger=2), out, v.folder("state"), available_now=True).awaitTermination()
+    return segments.segments_of(v.spark.read.schema(segments.BIN_RUNS + ", batch long").parquet(out))
+
+
+@query("stream_dice_anti", _exists("dice", 0.5, False))
 def _(v):
-    draws = genes.resampled(v.gene.filter("g_chrom <= 6"), 50)
-    return draws.join(v.gene.select("gene", "p_brand"), "gene").groupBy("p_brand", "replicate").agg(F.count("*").alias("n")).groupBy("p_brand").agg(F.round(F.avg("n"), 6).alias("mean_n"))
+    """j3_dice_anti with the segments as a stream of the files of orders."""
+    out = v.folder("kept")
+    orders = v.table("orders")
+    orders = v.spark.readStream.schema(orders.schema).parquet(f"{v.sf_dir}/orders.parquet*")
+    orders.createOrReplaceTempView("chromaspan_orders_stream")
+    seg = v.spark.sql(VIEWS["v_seg"].format(orders="chromaspan_orders_stream"))
+    segments.filter_into(seg, v.ref, out, v.folder("state"), available_now=True, kind="dice", threshold=0.5).awaitTermination()
+    return v.spark.read.schema(segments.SCHEMA + ", batch long").parquet(out).select(*COLS.split(", "))

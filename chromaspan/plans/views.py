@@ -35,5 +35,6 @@ def with_views(sql: str) -> str:
     used = [f"{n} AS ({v.format(**{t: t for t in TABLES})})" for n, v in VIEWS.items() if re.search(rf"\b{n}\b", sql)]
     if not used:
         return sql
-    head = "WITH " + ", ".join(used)
-    return head + (", " + sql.strip()[5:] if sql.strip().upper().startswith("WITH ") else " " + sql)
+    recursive = "RECURSIVE " if sql.strip().upper().startswith("WITH RECURSIVE ") else ""
+    head = f"WITH {recursive}" + ", ".join(used)
+    return head + (", " + sql.strip()[5 + len(recursive) :] if sql.strip().upper().startswith("WITH ") else " " + sql)

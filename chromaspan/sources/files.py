@@ -129,7 +129,7 @@ def read_lesions(spark: SparkSession, path: str, first_sample: int = 12) -> Data
 def plain_number(c: str):
     """Six significant digits, without zeros at the end."""
     t = F.format_string("%.6g", F.col(c).cast("double"))
-    return F.when(t.contains("e"), t).when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    return F.when(t.contains("e"), F.regexp_replace(t, r"\.?0*e", "e")).when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
 
 
 def _csv(df: DataFrame, path: str) -> None:
@@ -179,11 +179,17 @@ def write_gene_sets(sets: DataFrame, path: str) -> None:
     sets.select(F.concat_ws("\t", "set_name", "description", F.array_join("genes", "\t"))).write.mode("overwrite").text(path)
 
 
-def read_any(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
-    """The kind of data that the file's extension names, and its rows."""
+def kind_of(path: str) -> str:
+    """The kind of data that a file's extension names."""
     kind = DATA_TYPES.get(path.rstrip("/").rpartition(".")[2])
     if kind is None or kind == "raw_lrrbaf":
-        raise ValueError(f"no reader for the extension of {path!r}; known are {', '.join(sorted(set(DATA_TYPES) - {'lrrbaf'}))}")
+        raise ValueError(f"unknown extension of {path!r}; known are {', '.join(sorted(set(DATA_TYPES) - {'lrrbaf'}))}")
+    return kind
+
+
+def read_any(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """The kind of data that the file's extension names, and its rows."""
+    kind = kind_of(path)
     read = {"raw": read_raw, "raw_ref": read_raw, "segmented": read_segments, "segmented_ascn": read_allele_segments}
     if kind == "raw_ascn":
         return kind, read_raw(spark, path, alleles=True)
