@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.coords import size
 from ..functions.overlap import intersection, overlaps
 from . import scan
-from .intervals import overlap_join
+from .intervals import for_each_sample, overlap_join
 
 GENE = ("g_chrom", "tx_start", "tx_end")
 SEG = ("chrom", "seg_start", "seg_end")
@@ -58,15 +58,17 @@ def most_extreme(score: str) -> Column:
     return F.coalesce(F.max_by(score, F.struct(F.abs(score), -F.col(score))), F.lit(0)).cast("int")
 
 
-def region_scores(regions: DataFrame, scored: DataFrame, key: list[str], cols=("r_chrom", "region_start", "region_end"), least: float = 0.0) -> DataFrame:
-    """(key, sample, score): of each region in each sample the most extreme score of its segments (0 without any);
-    least > 0 leaves out segments that cover that share of the region or less."""
+def region_scores(regions: DataFrame, scored: DataFrame, key: list[str], cols=("r_chrom", "region_start", "region_end"), least: float = 0.0, dense: bool = True) -> DataFrame:
+    """(key, sample, score): of each region in each sample the most extreme score of its segments (0 without any; such
+    rows only if dense); least > 0 leaves out segments that cover that share of the region or less."""
     pairs = overlap_join(regions.select(*key, *cols), scored.select("sample", *SEG, "score"), cols, SEG)
     if least > 0:
         r = [F.col(c) for c in cols[1:]]
         pairs = pairs.filter(intersection(*r, F.col("seg_start"), F.col("seg_end")) / size(*r).cast("double") > least)
     got = pairs.groupBy(*key, "sample").agg(most_extreme("score").alias("score"))
-    every = regions.select(*key).distinct().join(F.broadcast(scored.select("sample").distinct()))
+    if not dense:
+        return got
+    every = for_each_sample(regions.select(*key).distinct(), scored)
     return every.join(got, [*key, "sample"], "left").select(*key, "sample", F.coalesce("score", F.lit(0)).alias("score"))
 
 
@@ -98,9 +100,10 @@ def scores_in_regions(regions: DataFrame, genes: DataFrame, scored: DataFrame, k
     return overlap_join(cut, genes.select("gene", *GENE), ("_c", "_s", "_e"), GENE).groupBy(*key, "gene", "sample").agg(most_extreme("score").alias("score"))
 
 
-def matrix(scores: DataFrame, row: str, samples: list[str]) -> DataFrame:
-    """A row for each `row`, a column for each sample."""
-    return scores.groupBy(row).pivot("sample", samples).agg(F.first("score")).na.fill(0)
+def matrix(scores: DataFrame, row: str, samples: list[str] | None = None) -> DataFrame:
+    """A row for each `row`, a column for each sample (those there are, unless given), 0 where there is no score."""
+    names = sorted(r.sample for r in scores.select("sample").distinct().collect()) if samples is None else samples
+    return scores.groupBy(row).pivot("sample", names).agg(F.first("score")).na.fill(0)
 
 
 def set_overlaps(sets: DataFrame, genes: DataFrame) -> DataFrame:

@@ -87,6 +87,16 @@ def exists_flag(q: DataFrame, r: DataFrame, flag: str, kind: str = "dice", thres
     return q.join(hit, same, "left").withColumn(flag, ~met if inverse else met).drop("_k0", "_k1", "_k2")
 
 
+def for_each_sample(rows: DataFrame, of: DataFrame, most: int = 100_000) -> DataFrame:
+    """A row for each of rows and each sample of `of`: what asks for it returns so many. The samples are broadcast once
+    they are known to be `most` at most; more meet the rows by a key of hundredths instead."""
+    samples = of.select("sample").distinct()
+    if samples.limit(most + 1).count() <= most:
+        return rows.crossJoin(F.broadcast(samples))
+    dealt = samples.withColumn("_deal", F.pmod(F.xxhash64("sample"), F.lit(100)))
+    return rows.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("_deal", F.col("_deal").cast("long")).join(dealt, "_deal").drop("_deal")
+
+
 def marker_filter(raw: DataFrame, reference: DataFrame) -> DataFrame:
     """Rows whose marker isn't in the reference (marker)."""
     return raw.join(reference.select("marker").distinct(), "marker", "left_anti")

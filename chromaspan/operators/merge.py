@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.predicates import is_aberrant, small, spurious
 from . import scan
-from .intervals import stab
+from .intervals import for_each_sample, stab
 
 EPSILON = 2.0**-23  # how far apart equal values may be: the precision of 32-bit floats
 
@@ -34,10 +34,9 @@ def runs(raw: DataFrame, value: str = "value", epsilon: float = EPSILON, width:
 
 def to_raw(segments: DataFrame, markers: DataFrame) -> DataFrame:
     """The state of each sample at each marker; null where no segment covers it (of several the first to start)."""
-    samples = segments.select("sample").distinct()
     points = markers.select(F.col("chrom").alias("p_chrom"), "pos", "marker")
     covered = stab(points, segments).groupBy("sample", F.col("p_chrom").alias("chrom"), "pos", "marker").agg(F.min_by("state", F.struct("seg_start", "seg_end", "state")).alias("value"))
-    every = points.withColumnRenamed("p_chrom", "chrom").join(F.broadcast(samples))
+    every = for_each_sample(points.withColumnRenamed("p_chrom", "chrom"), segments)
     return every.join(covered, ["sample", "chrom", "pos", "marker"], "left").select("sample", "marker", "chrom", "pos", "value")
 
 

@@ -465,25 +465,28 @@ def _(v):
     return genes.scores_in_regions(v.region, v.gene, scored(v), ["region_id"], relaxed=True)
 
 
+#: SQL has to name the columns of a pivot; the queries find the samples themselves.
 SAMPLES = [f"S{k}" for k in range(20)]
 PIVOT = ", ".join(f"CAST(coalesce(max(score) FILTER (WHERE sample = '{s}'), 0) AS INT) AS {s}" for s in SAMPLES)
 
 
 @query("a18_gene_matrix", SCORED_SQL.strip() + f", {PAIR}, s AS (SELECT gene, sample, {EXTREME} AS score FROM pair GROUP BY gene, sample) SELECT gene, {PIVOT} FROM s GROUP BY gene")
 def _(v):
-    return genes.matrix(genes.gene_scores(with_exons(v.gene), scored(v), relaxed=True), "gene", SAMPLES)
+    return genes.matrix(genes.gene_scores(with_exons(v.gene), scored(v), relaxed=True), "gene")
 
 
 @query("a19_region_matrix", SCORED_SQL.strip() + f", s AS (SELECT region_id, s.sample, {EXTREME} AS score FROM v_region CROSS JOIN (SELECT DISTINCT sample FROM v_seg) s LEFT JOIN scored q ON q.sample = s.sample AND {REGION_ON} GROUP BY region_id, s.sample) SELECT region_id, {PIVOT} FROM s GROUP BY region_id")
 def _(v):
-    return genes.matrix(genes.region_scores(v.region, scored(v), ["region_id"]), "region_id", SAMPLES)
+    got = genes.region_scores(v.region, scored(v), ["region_id"], dense=False)
+    wide = genes.matrix(got, "region_id")
+    return v.region.select("region_id").distinct().join(wide, "region_id", "left").na.fill(0)
 
 
 @query("a20_lesion_matrix", SCORED_SQL.strip() + f""", s AS (SELECT gene, sample, {EXTREME} AS score FROM v_region JOIN scored ON {REGION_ON} AND score <> 0 JOIN v_gene ON g_chrom = chrom AND greatest(region_start, seg_start) <= tx_end AND tx_start <= least(region_end, seg_end) GROUP BY gene, sample)
     SELECT gene, {PIVOT} FROM s GROUP BY gene""")
 def _(v):
     got = genes.scores_in_regions(v.region, v.gene, scored(v), ["region_id"], relaxed=True)
-    return genes.matrix(got.groupBy("gene", "sample").agg(genes.most_extreme("score").alias("score")), "gene", SAMPLES)
+    return genes.matrix(got.groupBy("gene", "sample").agg(genes.most_extreme("score").alias("score")), "gene")
 
 
 @query("a21_set_overlaps", "SELECT p_brand AS set_name, count(DISTINCT gene) FILTER (WHERE g_chrom <= 6) AS n FROM v_gene GROUP BY p_brand")
@@ -598,14 +601,14 @@ def _(v):
 @query("s1_raw_files", "SELECT sample, marker, chrom, pos, round(value, 4) AS value FROM v_raw")
 def _(v):
     path = v.folder("raw.cn")
-    files.write_raw(v.raw.withColumn("value", F.round("value", 4)), path, SAMPLES[:10])
+    files.write_raw(v.raw.withColumn("value", F.round("value", 4)), path)
     return files.read_raw(v.spark, path).filter("value is not null").select("sample", "marker", "chrom", "pos", F.round("value", 4).alias("value"))
 
 
 @query("s2_allele_raw_files", "SELECT sample, marker, chrom, pos, CAST(cn % 2 AS DOUBLE) AS a, CAST(cn AS DOUBLE) AS b FROM v_raw")
 def _(v):
     path = v.folder("raw.cnas")
-    files.write_raw(v.raw.withColumn("value", F.struct((F.col("cn") % 2).alias("a"), F.col("cn").alias("b"))), path, SAMPLES[:10])
+    files.write_raw(v.raw.withColumn("value", F.struct((F.col("cn") % 2).alias("a"), F.col("cn").alias("b"))), path)
     return files.read_raw(v.spark, path, alleles=True).filter("value.a is not null").select("sample", "marker", "chrom", "pos", "value.a", "value.b")
 
 
@@ -655,20 +658,20 @@ def _(v):
 @query("convert_raw_to_segments", RUNS.replace("min(cn) AS state", "CAST(min(cn) AS DOUBLE) AS state"))
 def _(v):
     path = v.folder("raw.cn")
-    files.write_raw(v.raw.withColumn("value", F.col("cn").cast("double")), path, SAMPLES[:10])
+    files.write_raw(v.raw.withColumn("value", F.col("cn").cast("double")), path)
     kind, df = files.read_any(v.spark, path)
     return files.convert(kind, df.filter("value is not null"), "segmented")
 
 
 @query("k1_raw_matrix", f"SELECT marker, chrom, pos, {', '.join(f'max(cn) FILTER (WHERE sample = {s!r}) AS {s}' for s in SAMPLES[:10])} FROM v_raw GROUP BY marker, chrom, pos")
 def _(v):
-    return files.raw_matrix(v.raw.drop("value").withColumnRenamed("cn", "value"), SAMPLES[:10])
+    return files.raw_matrix(v.raw.drop("value").withColumnRenamed("cn", "value"))
 
 
 @query("k2_allele_matrix", f"SELECT marker, chrom, pos, {', '.join(f'max(cn % 2) FILTER (WHERE sample = {s!r}) AS {s}_a, max(cn) FILTER (WHERE sample = {s!r}) AS {s}_b' for s in SAMPLES[:10])} FROM v_raw GROUP BY marker, chrom, pos")
 def _(v):
-    wide = files.raw_matrix(v.raw.withColumn("value", alleles.pair(F.col("cn") % 2, F.col("cn"))), SAMPLES[:10])
-    return wide.select("marker", "chrom", "pos", *(F.col(f"`{s}.{x.upper()}`").alias(f"{s}_{x}") for s in SAMPLES[:10] for x in "ab"))
+    wide = files.raw_matrix(v.raw.withColumn("value", alleles.pair(F.col("cn") % 2, F.col("cn"))))
+    return wide.select("marker", "chrom", "pos", *(F.col(f"`{c}`").alias(c.replace(".A", "_a").replace(".B", "_b")) for c in wide.columns[3:]))
 
 
 @query("k5_unnamed_markers", "SELECT DISTINCT concat(CAST(chrom AS VARCHAR), ':', CAST(pos AS VARCHAR)) AS marker, chrom, pos FROM v_raw")
@@ -681,9 +684,10 @@ def _(v):
 @query("k7_matrix_files", SCORED_SQL.strip() + f", {PAIR}, s AS (SELECT gene, sample, {EXTREME} AS score FROM pair GROUP BY gene, sample) SELECT gene, {PIVOT} FROM s GROUP BY gene")
 def _(v):
     path = v.folder("genes.mat")
-    files.write_matrix(genes.matrix(genes.gene_scores(with_exons(v.gene), scored(v), relaxed=True), "gene", SAMPLES), "gene", path)
-    back = v.spark.read.schema(", ".join(["gene string", *(f"{s} int" for s in SAMPLES)])).option("sep", "\t").option("header", True).csv(path)
-    return back.select("gene", *SAMPLES)
+    files.write_matrix(genes.gene_scores(with_exons(v.gene), scored(v), relaxed=True), "gene", path)
+    back = v.spark.read.options(sep="\t", header=True).csv(path)
+    first, *samples = back.columns
+    return back.select(F.col(f"`{first}`").alias("gene"), *(F.col(f"`{s}`").cast("int").alias(s) for s in samples))
 
 
 @query("k8_gene_list_files", """SELECT concat('R', CAST(region_id AS VARCHAR)) AS region, count(DISTINCT gene) AS n, coalesce(string_agg(DISTINCT gene, ',' ORDER BY gene), '') AS genes

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.coords import DATA_TYPES, chrom_id, chrom_name, parse_region
@@ -71,19 +71,34 @@ def read_markers(spark: SparkSession, paths, sep: str = "\t", named: bool = Fals
     return df.select(F.lit(platform).alias("platform"), name.alias("marker"), "chrom", _number("p", "long").alias("pos"))
 
 
+def line_ordinals(lines: DataFrame) -> DataFrame:
+    """lines (file, block, line) with ordinal, a line's place in its file from 0, where block is the begin of the byte range that a task reads.
+
+    A task numbers the lines that it reads; what it takes off is the first number of the range, and what it adds are the
+    lines of the file's ranges before. Of these counts there is one for each range.
+    """
+    d = lines.withColumn("_id", F.monotonically_increasing_id())
+    ranges = d.groupBy("file", "block").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
+    before = F.coalesce(F.sum("_lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(F.col("file").alias("_file"), F.col("block").alias("_block"), (before - F.col("_first")).alias("_shift"))
+    out = d.join(ranges, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    return out.withColumn("ordinal", F.col("_id") + F.col("_shift")).drop("_id", "_file", "_block", "_shift")
+
+
 def read_split_raw(spark: SparkSession, paths, markers: DataFrame, column: int, sep: str = "\t") -> DataFrame:
-    """One file for each sample (named by its stem), a line for each marker in order; markers has an ordinal from 0.
+    """One file for each sample (named by its stem), a header and a line for each marker in order; markers has an ordinal from 0.
 
-    A line's place in its file comes from the order in which the file is read, so each file is one partition's.
+    Blank lines don't count. Files are read in byte ranges, so a large one is read by many tasks; a line's place comes
+    from counts by range. Files with more values than there are markers raise.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("f"), "value")
-    lines = files.select(F.regexp_replace("f", r"\.[^.]*$", "").alias("sample"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("i", "line")).filter("i > 0")
-    values = lines.select("sample", (F.col("i") - 1).cast("long").alias("ordinal"), F.get(F.split("line", sep), F.lit(column)).alias("v"))
-    long = values.select("sample", "ordinal", _number("v", "double").alias("value"))
-    most = long.agg(F.max("ordinal")).first()[0]
-    if most is not None and most >= markers.count():
+    text = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = line_ordinals(text.filter("value <> ''").withColumnRenamed("value", "line")).filter("ordinal > 0")
+    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
+    long = lines.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("sample"), (F.col("ordinal") - 1).alias("ordinal"), F.get(F.split("line", sep), F.lit(column)).alias("v"))
+    most = lines.agg(F.max("ordinal")).first()[0]
+    if most is not None and most > markers.count():
         raise ValueError("a file has more values than there are markers")
-    return long.join(markers, "ordinal").select("sample", "marker", "chrom", "pos", "value")
+    return long.withColumn("value", _number("v", "double")).join(markers, "ordinal").select("sample", "marker", "chrom", "pos", "value")
 
 
 def read_cytobands(spark: SparkSession, paths) -> DataFrame:
@@ -158,16 +173,54 @@ def write_peaks(peaks: DataFrame, path: str, items: str = ",") -> None:
     n.select("n", line.alias("\t".join([*PEAKS, "top 3"]))).orderBy("n").drop("n").write.options(sep="\u0001", header=True, quote="", ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
 
 
-def raw_matrix(raw: DataFrame, samples: list[str]) -> DataFrame:
-    """A row for each marker, a column for each sample (a pair of columns for allele values)."""
+def sample_names(df: DataFrame, most: int = 1_000_000) -> list[str]:
+    """The names of all samples, sorted; more than `most` raise, as a header is one line."""
+    names = [r.sample for r in df.select("sample").filter("sample is not null").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} samples have no place in a header")
+    return sorted(names)
+
+
+def raw_matrix(raw: DataFrame, samples: list[str] | None = None) -> DataFrame:
+    """A row for each marker, a column for each sample (a pair of columns for allele values): for some hundreds of samples; write_raw takes any number."""
+    samples = sample_names(raw) if samples is None else samples
     wide = raw.groupBy("marker", "chrom", "pos").pivot("sample", samples).agg(F.first("value"))
     if dict(raw.dtypes)["value"].startswith("struct"):
         return wide.select("marker", "chrom", "pos", *(F.col(f"`{s}`")[x].alias(f"{s}.{x.upper()}") for s in samples for x in "ab"))
     return wide
 
 
-def write_raw(raw: DataFrame, path: str, samples: list[str]) -> None:
-    _csv(raw_matrix(raw, samples).orderBy("chrom", "pos", "marker").withColumnsRenamed({"chrom": "chromosome", "pos": "position"}), path)
+def matrix_lines(cells: DataFrame, key: list[str], samples: list[str], values: list[Column], blank: str = "") -> DataFrame:
+    """(key, line): for each key a line of the samples' values (texts; of a sample one or more, side by side), parted by tabs.
+
+    Only cells that are there become rows; blanks are laid out between them when a line is put together, so a row costs
+    what it holds and no column is a plan's column, however many samples there are. Of several values for a cell the least stays.
+    """
+    spark = cells.sparkSession
+    places = spark.createDataFrame([(n, k) for k, n in enumerate(samples)], "_name string, _k int")
+    empty = "\t".join([blank] * len(values))
+    text = F.concat_ws("\t", *(F.coalesce(v.cast("string"), F.lit(blank)) for v in values))
+    found = cells.join(places, F.col("sample") == F.col("_name")).groupBy(*key, "_k").agg(F.min(text).alias("_t"))
+    lines = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_k", "_t"))).alias("_x"))
+    gap = lambda n: F.repeat(F.lit(empty + "\t"), n)
+    laid = F.transform("_x", lambda x, i: F.concat(gap(x["_k"] - F.coalesce(F.get("_x", i - 1)["_k"], F.lit(-1)) - 1), x["_t"]))
+    after = F.repeat(F.lit("\t" + empty), F.lit(len(samples) - 1) - F.get("_x", F.size("_x") - 1)["_k"])
+    return lines.select(*key, F.concat(F.array_join(laid, "\t"), after).alias("line"))
+
+
+def _write_lines(lines: DataFrame, header: str, path: str) -> None:
+    """Lines of text (line), each file with a header."""
+    lines.select(F.col("line").alias(header)).write.options(sep="\u0001", header=True, quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
+
+
+def write_raw(raw: DataFrame, path: str, samples: list[str] | None = None) -> None:
+    """A line for each marker by place, a column for each sample (a pair for allele values); samples default to those there are."""
+    samples = sample_names(raw) if samples is None else samples
+    alleles = dict(raw.dtypes)["value"].startswith("struct")
+    names = [f"{s}.{x}" for s in samples for x in "AB"] if alleles else samples
+    lines = matrix_lines(raw, ["chrom", "pos", "marker"], samples, [F.col("value.a"), F.col("value.b")] if alleles else [F.col("value")])
+    lines = lines.orderBy("chrom", "pos", "marker").select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("marker", "chrom", "pos")), "line").alias("line"))
+    _write_lines(lines, "\t".join(["marker", "chromosome", "position", *names]), path)
 
 
 def write_markers(markers: DataFrame, path: str, named: bool = True) -> None:
@@ -238,9 +291,11 @@ def _lines(spark: SparkSession, paths, header: bool) -> DataFrame:
     return reader.csv(paths).filter("value is not null and trim(value) <> ''")
 
 
-def write_matrix(matrix: DataFrame, row: str, path: str) -> None:
-    """A row label, then a column for each sample; the header's first cell is blank."""
-    _csv(matrix.orderBy(row).withColumnRenamed(row, " "), path)
+def write_matrix(scores: DataFrame, row: str, path: str, samples: list[str] | None = None, value: str = "score") -> None:
+    """A line for each `row` of scores (row, sample, value), a column for each sample, 0 where there is none; the header's first cell is blank."""
+    samples = sample_names(scores) if samples is None else samples
+    lines = matrix_lines(scores, [row], samples, [F.col(value)], "0").orderBy(row)
+    _write_lines(lines.select(F.concat_ws("\t", F.col(row).cast("string"), "line").alias("line")), "\t".join([" ", *samples]), path)
 
 
 def write_gene_lists(listed: DataFrame, region: str, path: str) -> None:
