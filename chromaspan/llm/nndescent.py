@@ -376,6 +376,15 @@ def search(rows: DataFrame, queries: Callable, k: int = 20, key: str = "vec_id",
     return best_of(found, "query_id", "vec_id", k).select("query_id", "rank", "vec_id", "score")
 
 
+def trees_for(n: int, least: float, lost: float = 0.01, leaf: int = 256) -> int:
+    """How many trees it takes for all but a share `lost` of pairs at the threshold to meet in a leaf of one: a plane
+    parts a pair with a probability of its angle / pi, and the planes of a tree are as many as the table has doublings
+    beyond a leaf."""
+    depth = max(0, math.ceil(math.log2(max(1, n) / leaf)))
+    meet = (1 - math.acos(min(1.0, max(-1.0, least))) / math.pi) ** depth
+    return max(8, math.ceil(math.log(lost) / math.log(1 - meet))) if meet < 1 else 8
+
+
 def cosine():
     return dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))
 
@@ -386,7 +395,7 @@ def _exact(pairs: DataFrame, v: DataFrame, least: float) -> DataFrame:
     return p.filter(cosine() >= least).selectExpr("x a", "y b")
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding", degree: int = 16, rounds: int = 2, trees: int = 8, audit: int = 2000, recall: float = 0.999) -> DataFrame:
+def near_duplicates(rows: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding", degree: int = 16, rounds: int = 2, trees: int | None = None, audit: int = 2000, recall: float = 0.999) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: links are pairs of cosine >= least in double precision.
 
     A neighbour graph by NN-descent over the distinct vectors gives the links of lists that aren't full. Where a list
@@ -395,10 +404,11 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, key: str = "vec_id", ve
     any other member is compared with the whole class, in blocks. So no pairs of a group of copies are listed. Centres
     of classes get a graph of their own, which joins classes that the first graph left apart. A saturated list may
     have no place for a link to another class, as nearer members fill it: all vectors with such lists get further
-    lists, of vectors outside their class alone, until no class has a link outside (`_foreign`). The links of about
-    `audit` vectors with neighbours near the threshold, of classes of all sizes alike, are then compared with brute
-    force; if less than `recall` of them have all theirs, another graph adds its own, with lists twice as long and
-    twice the trees; if lists as long as the table aren't enough, an error says so.
+    lists, of vectors outside their class alone, until no class has a link outside (`_foreign`). The links of `audit`
+    vectors drawn from all, and of more until enough of them have links, are then compared with brute force; if less
+    than `recall` of the linked ones have all theirs (or less than that by 0.009 of those with about so many links),
+    another graph adds its own, with lists twice as long and twice the trees; if lists as long as the table aren't
+    enough, an error says so. The number of trees follows the table's size (trees_for), unless it is given.
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are their own component.
     A null vec_id gives a row with nulls and no links; rows that repeat a vec_id get the same result; an empty table
@@ -410,7 +420,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, key: str = "vec_id", ve
     one = stored(copies, "distinct")
     n = one.count()
     vec = stored(packed(one.select("id", "v"), None), "units")
-    pairs = None
+    pairs, trees = None, trees or trees_for(n, least)
     for attempt in count():
         k, more = degree << attempt, trees << attempt
         own = graph(vec, n, k, rounds, more, seed=1 + attempt)
@@ -423,12 +433,12 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, key: str = "vec_id", ve
         comp = stored(connected_components(pairs), "components")
         pairs, comp = _foreign(own, vec, one, pairs, comp, least, k, rounds, more, seed=101 + 100 * attempt)
         counted = stored(_counts(one, comp, _centres(comp, pairs), least), "links")
-        got, asked = _audit(one, own, comp, counted, audit, least)
-        log.info("share of %d audited vectors all of whose links are found: %.4f", asked, got)
-        if got >= recall:
+        got, worst, linked, asked = _audit(one, counted, n, audit, least)
+        log.info("%d of %d audited vectors have links; share of them all of whose links are found: %.4f, least by number of links %.4f", linked, asked, got, worst)
+        if got >= recall and worst >= recall - 0.009:
             break
         if k >= n:
-            raise RuntimeError(f"only {got:.4f} of {asked} audited vectors have all their links with lists of {k}")
+            raise RuntimeError(f"only {got:.4f} of {linked} audited vectors with links have all of them with lists of {k}")
     info = one.join(comp.selectExpr("id", "component_id"), "id", "left").join(counted, "id", "left")
     links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
     info = info.select("v", "copies", links, F.coalesce("component_id", "id").alias("component_id"))
@@ -516,48 +526,50 @@ def _counts(one: DataFrame, comp: DataFrame, centres: DataFrame, least: float, b
     return easy.unionByName(compared).groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _audit(one: DataFrame, own: DataFrame, comp: DataFrame, counted: DataFrame, size: int, least: float) -> tuple[float, int]:
-    """The share of about `size` vectors whose links, by brute force over all, were all counted and no others; and the number of linked ones.
+def _audit(one: DataFrame, counted: DataFrame, n: int, size: int, least: float, enough: int = 300, most: int = 64_000) -> tuple[float, float, int, int]:
+    """Of vectors drawn from all by a hash, compared with all by brute force: the share of those with links whose links,
+    copies included, were all counted and no others; the least such share among a hundred or more of like numbers of
+    links; how many have links; how many were drawn.
 
-    Asked are vectors with a neighbour near the threshold in the graph, as many of small classes as of large ones.
+    Nothing of the graph decides who is drawn. `size` vectors are drawn, then twice as many again, until `enough` of them
+    have links, or all vectors or `most` are drawn; if none of these have links, hardly any vector has.
     """
     spark = one.sparkSession
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            best = [float(np.frombuffer(x, np.float32)[0]) if x else -2.0 for x in b.column("sims").to_pylist()]
-            yield pa.record_batch([b.column("id").filter(pa.array([x >= least - 0.05 for x in best], pa.bool_()))], names=["id"])
-
-    sizes = comp.groupBy("component_id").agg(F.count("*").alias("n"))
-    rows = own.mapInArrow(close, "id long").join(comp, "id", "left").join(sizes, "component_id", "left")
-    rows = stored(rows.select("id", F.floor(F.log2(F.coalesce("n", F.lit(1)))).cast("int").alias("kind")), "kinds")
-    kinds = rows.groupBy("kind").count().collect()  # one for each doubling of the classes' size
-    if not kinds:
-        return 1.0, 0
-    rate = F.create_map(*(F.lit(c) for r in kinds for c in (r["kind"], size / len(kinds) / r["count"])))
-    picked = rows.filter(F.pmod(F.xxhash64("id", F.lit(size)), F.lit(1_000_000)) < rate[F.col("kind")] * 1_000_000)
-    t = picked.select("id").join(one, "id").select("id", "v").toArrow()
-    if not t.num_rows:
-        return 1.0, 0
-
     def units(column: pa.Array) -> np.ndarray:
         x = np.array(column.to_pylist())
         x /= np.abs(x).max(1)[:, None]
         return x / np.sqrt((x * x).sum(1))[:, None]
 
-    given = spark.sparkContext.broadcast((t.column("id").to_numpy(), units(t.column("v"))))
-
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, q = given.value
-        sure, most = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
-        for b in batches:
-            for i in range(0, b.num_rows, BLOCK):
-                c = b.slice(i, BLOCK)
-                cos, other, copies = q @ units(c.column("v")).T, asked[:, None] != c.column("id").to_numpy(), c.column("copies").to_numpy()
-                sure += ((cos >= least + 1e-9) & other) @ copies
-                most += ((cos >= least - 1e-9) & other) @ copies
-        yield pa.record_batch([pa.array(asked), pa.array(sure), pa.array(most)], names=["q", "due", "most"])
-
-    truth = one.select("id", "v", "copies").mapInArrow(brute, "q long, due long, most long").groupBy("q").agg(F.sum("due").alias("due"), F.sum("most").alias("most")).filter("most > 0")
-    have = truth.join(counted, F.col("q") == F.col("id"), "left").agg(F.count("*"), F.count(F.when(F.coalesce("links", F.lit(0)).between(F.col("due"), F.col("most")), 1))).first()
-    return (have[1] / have[0] if have[0] else 1.0), have[0]
+    kinds: dict[int, list[int]] = {}
+    low, drawn, whole = 0, 0, 1 << 30
+    while n:
+        high = min(whole, low + max(1, math.ceil(size / n * whole)))
+        place = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(whole))
+        t = one.filter((place >= low) & (place < high)).select("id", "v").toArrow()
+        drawn += t.num_rows
+        if t.num_rows:
+            given, block = spark.sparkContext.broadcast((t.column("id").to_numpy(), units(t.column("v")))), max(16, BLOCK * 2000 // max(2000, t.num_rows))
+
+            def brute(batches: Iterator[pa.RecordBatch], given=given, block=block) -> Iterator[pa.RecordBatch]:
+                asked, q = given.value
+                sure, up_to = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+                for b in batches:
+                    for i in range(0, b.num_rows, block):
+                        c = b.slice(i, block)
+                        cos, other, copies = q @ units(c.column("v")).T, asked[:, None] != c.column("id").to_numpy(), c.column("copies").to_numpy()
+                        sure += ((cos >= least + 1e-9) & other) @ copies
+                        up_to += ((cos >= least - 1e-9) & other) @ copies
+                yield pa.record_batch([pa.array(asked), pa.array(sure), pa.array(up_to)], names=["q", "due", "up_to"])
+
+            truth = one.select("id", "v", "copies").mapInArrow(brute, "q long, due long, up_to long").groupBy("q").agg(F.sum("due").alias("due"), F.sum("up_to").alias("up_to")).filter("up_to > 0")
+            right = F.count_if(F.coalesce("links", F.lit(0)).between(F.col("due"), F.col("up_to")))
+            for r in truth.join(counted, F.col("q") == F.col("id"), "left").groupBy(F.floor(F.log2("up_to")).cast("int").alias("kind")).agg(F.count("*").alias("asked"), right.alias("right")).collect():
+                old = kinds.get(r["kind"], [0, 0])
+                kinds[r["kind"]] = [old[0] + r["asked"], old[1] + r["right"]]
+        linked = sum(a for a, _ in kinds.values())
+        if linked >= enough or high >= whole or drawn >= most:
+            break
+        low, size = high, 2 * size
+    linked = sum(a for a, _ in kinds.values())
+    return (sum(r for _, r in kinds.values()) / linked if linked else 1.0), min((r / a for a, r in kinds.values() if a >= 100), default=1.0), linked, drawn

@@ -297,3 +297,38 @@ def test_search_among_equal_vectors(spark):
     assert len(got) == 90 and len(asked) > 40
     for q in asked:
         assert [i for _, i in sorted(got[q])] == [i for i in group if i != q][:20]
+
+
+def test_audit_sees_lost_links(spark):
+    """Pairs far from everything else, and settings that lose most of them: the audit doesn't ask the graph whom to look at,
+    so other graphs follow until all links are there."""
+    r = np.random.default_rng(1)
+    x = r.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 240, 2):
+        y = r.standard_normal(64)
+        y -= (y @ x[i]) * x[i]
+        c = r.uniform(0.901, 0.95)
+        x[i + 1] = c * x[i] + np.sqrt(1 - c * c) * y / np.linalg.norm(y)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = ((x @ x.T >= 0.9).sum(1) - 1).tolist()
+    got = {q.vec_id: q.n_links for q in nndescent.near_duplicates(df, degree=2, rounds=0, trees=1).collect()}
+    assert [got[i] for i in range(1500)] == want and sum(want) == 240
+
+
+def test_trees_follow_the_depth():
+    """By simulation at depth 7: all but about a hundredth of pairs at the threshold share a leaf; deeper trees are more."""
+    n = [nndescent.trees_for(n, 0.9) for n in (100, 20_000, 10**6, 10**8)]
+    assert n[0] == 8 and n == sorted(n) and n[1] == 12 and 80 < n[3] < 90
+    r = np.random.default_rng(2)
+    x = r.standard_normal((500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = r.standard_normal((500, 64))
+    y -= (y * x).sum(1)[:, None] * x
+    y = 0.9 * x + np.sqrt(0.19) * y / np.linalg.norm(y, axis=1)[:, None]
+    met = np.zeros(500, bool)
+    for _ in range(n[1]):
+        p = r.standard_normal((64, 7))
+        met |= ((x @ p > 0) == (y @ p > 0)).all(1)
+    assert 0.96 < met.mean() < 1
