@@ -134,6 +134,17 @@ ORACLE_SQL = {
         SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY row""",
+    "op6_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+        link AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= CAST(0.9 AS DOUBLE)),
+        reach AS (SELECT vec_id AS id, vec_id AS r FROM v UNION SELECT reach.id, link.b FROM reach JOIN link ON reach.r = link.a),
+        class AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id), links AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+        FROM embeddings LEFT JOIN class ON vec_id = id LEFT JOIN links ON vec_id = a""",
     "op11_periodic_runs": f"""
         WITH one AS (
             SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS w,

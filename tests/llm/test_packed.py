@@ -115,6 +115,11 @@ def test_runs_on_odd_rows(spark, which, request, tmp_path):
     assert (one.n_runs, one.start, one.length, one.period, one.exponent_milli) == (1, 0, 100_000, 1, 100_000_000)
 
 
+def test_near_duplicates_query(spark):
+    want = same_as_sql(spark, "op6_embedding_near_dedup", SF, embeddings=f"{SF}/embeddings.parquet")
+    assert sum(r[1] > 0 for r in want) > 20
+
+
 def test_vector_codes_query(spark):
     same_as_sql(spark, "op12_vector_codes", SF, embeddings=f"{SF}/embeddings.parquet")
 
