@@ -324,23 +324,37 @@ def varies(x: np.ndarray, min_width: int) -> bool:
 
 
 def prune(x: np.ndarray, ends: list[int], cutoff: float = 0.05) -> list[int]:
-    """The fewest of the segments' ends whose sum of squares is within a share `cutoff` of that with all."""
+    """The fewest of the segments' ends whose sum of squares is within a share `cutoff` of that with all.
+
+    Leaving out the ends between two points adds an excess to the sum of squares, which grows with every further point;
+    so from each point only those are tried up to which the excess stays within what may be added. By point and number
+    of ends left out the least excess is kept: the exact optimum.
+    """
     s, q = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
     points, k = np.array([0, *ends]), len(ends)
-    cost = np.full((k + 1, k + 1), math.inf)  # of a segment from one point to a later one
-    for a in range(k):
-        e = points[a + 1 :]
-        cost[a, a + 1 :] = q[e] - q[points[a]] - (s[e] - s[points[a]]) ** 2 / (e - points[a])
-    full = float(cost[np.arange(k), np.arange(1, k + 1)].sum())
-    best, back = cost[0], []  # least sum of squares up to each point, of one segment more each time: the exact optimum
-    while best[k] > (1 + cutoff) * full + 1e-12 and len(back) + 1 < k:
-        by = best[:, None] + cost
-        back.append(by.argmin(0))
-        best = by.min(0)
-    out, e = [int(points[k])], k
-    for step in reversed(back):
-        e = int(step[e])
-        out.append(int(points[e]))
+    cost = lambda a, b: q[points[b]] - q[points[a]] - (s[points[b]] - s[points[a]]) ** 2 / (points[b] - points[a])
+    upto = np.concatenate([[0.0], np.cumsum(np.maximum(cost(np.arange(k), np.arange(1, k + 1)), 0.0))])
+    room = cutoff * upto[k] + 1e-12
+    least, back = [np.zeros(1)], [np.zeros(1, np.int64)]
+    for j in range(1, k + 1):
+        best, by = least[j - 1].copy(), np.full(len(least[j - 1]), j - 1)
+        for a in range(j - 2, -1, -1):
+            excess, gone = float(cost(a, j) - (upto[j] - upto[a])), j - a - 1
+            if excess > room:
+                break
+            new = least[a] + excess
+            n = gone + int(np.count_nonzero(new <= room))  # the least excess grows with the number left out
+            if n > len(best):
+                best, by = np.append(best, np.full(n - len(best), math.inf)), np.append(by, np.full(n - len(by), -1))
+            better = new[: n - gone] < best[gone:n]
+            best[gone:n][better], by[gone:n][better] = new[: n - gone][better], a
+        least.append(best)
+        back.append(by)
+    out, j, gone = [], k, len(least[k]) - 1
+    while j:
+        out.append(int(points[j]))
+        a = int(back[j][gone])
+        j, gone = a, gone - (j - a - 1)
     return out[::-1]
 
 

@@ -398,10 +398,18 @@ def _(v):
     return stats.trimmed_variance(v.raw, ["sample", "chrom"], ["pos"], "value").withColumn("trimmed_var", F.round("trimmed_var", 9))
 
 
-#: The integral of x^2 over the middle 95 % of the normal distribution in closed form; its 0.975 quantile is a fixed value.
-@query("a8_inflation", "SELECT round(CAST(0.95 AS DOUBLE) / (CAST(0.95 AS DOUBLE) - 2 * a * exp(-a * a / 2) / sqrt(2 * pi())), 6) AS factor FROM (SELECT CAST(1.959963984540054 AS DOUBLE) AS a) q")
+#: Quantiles of the normal distribution at 1 - trim. The integral of x^2 between them is known in closed form.
+QUANTILES = {0.025: 1.959963984540054, 0.05: 1.6448536269514722, 0.1: 1.2815515655446004}
+
+
+@query("a8_inflation", DIFF + f""", t AS (SELECT CAST(trim AS DOUBLE) AS trim, CAST(a AS DOUBLE) AS a FROM (VALUES {', '.join(map(str, QUANTILES.items()))}) v(trim, a)),
+    e AS (SELECT sample, abs(diff) AS d, row_number() OVER (PARTITION BY sample ORDER BY abs(diff)) AS rn, count(*) OVER (PARTITION BY sample) AS n FROM d WHERE diff IS NOT NULL)
+    SELECT sample, trim, round((1 - 2 * trim) / (1 - 2 * trim - 2 * a * exp(-a * a / 2) / sqrt(2 * pi())) * sum(d * d) / (2 * count(*)), 8) AS inflated FROM e CROSS JOIN t WHERE rn <= floor((1 - 2 * trim) * n + 0.5) GROUP BY sample, trim, a""")
 def _(v):
-    return v.spark.range(1).select(F.round(F.lit(stats.inflation(0.025)), 6).alias("factor"))
+    """Each sample's trimmed variance at several trims, inflated for each."""
+    d = stats.differences(v.raw, ["sample", "chrom"], ["pos"], "value").filter("diff is not null").select("sample", F.abs("diff").alias("a"))
+    parts = [stats.trimmed_squares(d, ["sample"], t).select("sample", F.lit(t).alias("trim"), F.round("_variance", 8).alias("inflated")) for t in QUANTILES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 SUMMARY = """SELECT chrom, pos, round(CASE WHEN sum(CASE WHEN {d} * state > CAST(0.3 AS DOUBLE) THEN exp({d} * state) ELSE 0 END) IS NULL THEN 0 ELSE sum(CASE WHEN {d} * state > CAST(0.3 AS DOUBLE) THEN exp({d} * state) ELSE 0 END) / count(seg_start) END, 8) AS value
@@ -521,6 +529,17 @@ def _(v):
     return cbs.smooth_raw(v.raw).withColumn("value", F.round("value", 9))
 
 
+@query("w6_smooth_chromosomes", f"""WITH d AS (SELECT sample, chrom, abs(value - lag(value) OVER (PARTITION BY sample, chrom ORDER BY pos, marker)) AS a FROM v_raw),
+    r AS (SELECT sample, chrom, a, row_number() OVER (PARTITION BY sample, chrom ORDER BY a) AS i, count(*) OVER (PARTITION BY sample, chrom) AS n FROM d WHERE a IS NOT NULL),
+    s AS (SELECT sample, chrom, sqrt({stats.inflation(0.025)!r} * sum(a * a) / (2 * count(*))) AS sd FROM r WHERE i <= floor(0.95 * n + 0.5) GROUP BY sample, chrom),
+    w AS (SELECT v.*, s.sd, list(v.value) OVER (PARTITION BY v.sample, v.chrom ORDER BY v.pos, v.marker ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW) AS near FROM v_raw v JOIN s ON v.sample = s.sample AND v.chrom = s.chrom)
+    SELECT sample, marker, chrom, pos, round(CASE WHEN near IS NULL OR len(near) = 0 THEN value - 2 * sd WHEN value - list_max(near) > 0.5 * sd THEN list_median(list_append(near, value)) + 2 * sd
+    WHEN list_min(near) - value > 0.5 * sd THEN list_median(list_append(near, value)) - 2 * sd ELSE value END, 9) AS value FROM w""")
+def _(v):
+    """Each chromosome by its own deviation, three neighbours on either side."""
+    return cbs.smooth_raw(v.raw, "chromosome", region=3, outlier_sd=0.5).withColumn("value", F.round("value", 9))
+
+
 @query("w7_peaks", """WITH a AS (SELECT sample, chrom, value > avg(value) OVER p + 1.6448536269514715 * sqrt(coalesce(var_samp(value) OVER p, 0) / count(value) OVER p) AS high, row_number() OVER (PARTITION BY sample, chrom ORDER BY pos) - 1 AS i FROM v_raw WINDOW p AS (PARTITION BY sample, chrom)),
     b AS (SELECT *, i - row_number() OVER (PARTITION BY sample, chrom ORDER BY i) AS run FROM a WHERE high) SELECT sample, chrom, min(i) AS peak_start, max(i) AS peak_end FROM b GROUP BY sample, chrom, run""")
 def _(v):
@@ -648,11 +667,11 @@ def _(v):
     return files.read_segments(v.spark, paths).groupBy("sample").agg(F.count("*").alias("n"))
 
 
-@query("s14_gene_set_files", "SELECT p_brand AS set_name, count(*) AS n FROM v_gene GROUP BY p_brand")
+@query("s14_gene_set_files", "SELECT p_brand AS set_name, count(*) AS n, string_agg(gene, ',' ORDER BY gene) AS genes FROM v_gene GROUP BY p_brand")
 def _(v):
     path = v.folder("sets.gmt")
     files.write_gene_sets(v.gene.groupBy(F.col("p_brand").alias("set_name")).agg(F.first("p_brand").alias("description"), F.collect_set("gene").alias("genes")), path)
-    return files.read_gene_sets(v.spark, path).select("set_name", F.size("genes").cast("long").alias("n"))
+    return files.read_gene_sets(v.spark, path).select("set_name", F.size("genes").cast("long").alias("n"), F.array_join(F.array_sort("genes"), ",").alias("genes"))
 
 
 @query("convert_raw_to_segments", RUNS.replace("min(cn) AS state", "CAST(min(cn) AS DOUBLE) AS state"))
@@ -735,6 +754,87 @@ def _(v):
     return files.read_region_table(v.spark, path)
 
 
+@query("s6_reference_raw_files", "SELECT 'raw_ref' AS kind, sample, marker, chrom, pos, round(value, 4) AS value FROM v_raw")
+def _(v):
+    path = v.folder("raw.cnref")
+    files.write_raw(v.raw.withColumn("value", F.round("value", 4)), path)
+    kind, df = files.read_any(v.spark, path)
+    return df.filter("value is not null").select(F.lit(kind).alias("kind"), "sample", "marker", "chrom", "pos", F.round("value", 4).alias("value"))
+
+
+@query("s12_gene_tables", f"SELECT sample, seg_start, gene, tx_end - tx_start AS size FROM v_seg q JOIN v_gene g ON {OVER}")
+def _(v):
+    """Genes in the layout of public gene tables, joined to segments."""
+    path = v.folder("genes")
+    name = F.concat(F.lit("chr"), coords.chrom_name(F.col("g_chrom")))
+    ends = [F.concat(F.col(c).cast("string"), F.lit(",")) for c in ("tx_start", "tx_end")]
+    table = v.gene.select(F.lit(0), "gene", name, F.lit("+"), *("tx_start", "tx_end") * 2, F.lit(1), *ends, F.lit(0), F.col("gene").alias("name2"), F.lit("cmpl"), F.lit("cmpl"), F.lit("0,"))
+    table.toDF(*files.REF_GENE.split()).write.option("sep", "\t").csv(path)
+    got = files.read_genes(v.spark, path).select("gene", "g_chrom", "tx_start", "tx_end")
+    return intervals.overlap_join(v.seg, got, genes.SEG, genes.GENE).select("sample", "seg_start", "gene", (F.col("tx_end") - F.col("tx_start")).alias("size"))
+
+
+@query("k6_full_segment_files", "SELECT sample, chrom, seg_start, seg_end, n_markers, state / CAST(3 AS DOUBLE) AS state FROM v_seg")
+def _(v):
+    path = v.folder("full.seg")
+    files.write_segments(v.seg.withColumn("state", F.col("state") / 3), path, full=True)
+    return files.read_segments(v.spark, path)
+
+
+@query("k9_peak_files", """SELECT concat_ws(chr(9), CAST(row_number() OVER (ORDER BY r_chrom, region_start, region_end) AS VARCHAR), CAST(r_chrom AS VARCHAR), CAST(region_start AS VARCHAR), CAST(region_end AS VARCHAR), CAST(region_start AS VARCHAR), CAST(region_end AS VARCHAR),
+    CAST(region_start - 10 AS VARCHAR), CAST(region_end + 10 AS VARCHAR), '2', concat('A', CAST(region_id AS VARCHAR), ',B'), '1', 'C') AS line FROM v_region""")
+def _(v):
+    path = v.folder("peaks.txt")
+    genes_of = [F.array(F.concat(F.lit("A"), F.col("region_id").cast("string")), F.lit("B")).alias("region_genes"), F.array(F.lit("C")).alias("wide_genes")]
+    places = [F.col("region_start").alias("peak_start"), F.col("region_end").alias("peak_end"), (F.col("region_start") - 10).alias("wide_start"), (F.col("region_end") + 10).alias("wide_end")]
+    files.write_peaks(v.region.select(F.col("r_chrom").alias("chrom"), "region_start", "region_end", *places, *genes_of), path)
+    return v.spark.read.text(path).filter("value not like 'index%'").withColumnRenamed("value", "line")
+
+
+DEFAULT_CASE = SCORE_CASE.replace("< 3000", "< 12000000").replace("< 2000", "< 12000000").replace("CAST(0.6 AS DOUBLE)", "log2(CAST(2.5 AS DOUBLE))").replace("CAST(-0.6 AS DOUBLE)", "log2(CAST(0.35 AS DOUBLE))")
+
+
+@query("p11_default_scores", f"SELECT sample, chrom, seg_start, CAST({DEFAULT_CASE} AS INT) AS score FROM (SELECT sample, chrom, seg_start, seg_end, state * 2 AS state FROM v_seg) q")
+def _(v):
+    return v.seg.select("sample", "chrom", "seg_start", predicates.state_score(F.col("state") * 2, F.col("seg_start"), F.col("seg_end")).alias("score"))
+
+
+@query("convert_allele_raw_to_segments", """WITH a AS (SELECT *, cn % 2 AS a, cn AS b FROM v_raw), c AS (SELECT *, CASE WHEN lag(cn) OVER w IS NULL OR lag(a) OVER w <> a OR lag(b) OVER w <> b THEN 1 ELSE 0 END AS n FROM a WINDOW w AS (PARTITION BY sample, chrom ORDER BY pos)),
+    d AS (SELECT *, sum(n) OVER (PARTITION BY sample, chrom ORDER BY pos) AS run FROM c) SELECT sample, chrom, min(pos) AS seg_start, max(pos) AS seg_end, count(*) AS n_markers, CAST(min(a) AS DOUBLE) AS a, CAST(min(b) AS DOUBLE) AS b FROM d GROUP BY sample, chrom, run""")
+def _(v):
+    path = v.folder("raw.cnas")
+    files.write_raw(v.raw.withColumn("value", F.struct((F.col("cn") % 2).cast("double").alias("a"), F.col("cn").cast("double").alias("b"))), path)
+    kind, df = files.read_any(v.spark, path)
+    out = files.convert(kind, df.filter("value.a is not null"), "segmented_ascn")
+    return out.select("sample", "chrom", "seg_start", "seg_end", "n_markers", "state.a", "state.b")
+
+
+def _command(v: Views, *args: str) -> DataFrame:
+    """The segments that a command writes of v_seg, with v_ref as its reference."""
+    from .. import commands
+
+    given, reference, out = v.folder("x.seg"), v.folder("r.segref"), v.folder("y.seg")
+    files.write_segments(v.seg, given)
+    files.write_segments(v.ref.select(F.lit("R").alias("sample"), "chrom", "seg_start", "seg_end", F.lit(1).cast("long").alias("n_markers"), F.lit(0.0).alias("state")), reference)
+    commands.run(v.spark, [args[0], given, out, *(reference if a == "REFERENCE" else a for a in args[1:])])
+    return files.read_segments(v.spark, out)
+
+
+@query("filter_command", _exists("query", 0.5, False))
+def _(v):
+    return _command(v, "filter", "--reference", "REFERENCE", "--score", "query")
+
+
+@query("filter_command_aberrant_inverse", _exists("dice", 0.2, True, aberrant=True))
+def _(v):
+    return _command(v, "filter", "--reference", "REFERENCE", "--threshold", "0.2", "--aberrant", "--state-diff", "0.4", "--inverse")
+
+
+@query("clean_command", f"SELECT {COLS} FROM v_seg WHERE n_markers >= 20 AND seg_end - seg_start + 1 >= 500 AND state > 0 - CAST(0.4 AS DOUBLE) AND state < CAST(0.4 AS DOUBLE)")
+def _(v):
+    return _command(v, "clean", "--count", "20", "--length", "500", "--aberrant", "--state-diff", "0.4")
+
+
 @query("a22_filtered_counts", "SELECT sample, count(*) FILTER (WHERE n_markers < 25) AS n_filtered, count(*) AS n FROM v_seg GROUP BY sample")
 def _(v):
     return v.seg.groupBy("sample").agg(F.count_if(predicates.spurious(F.col("n_markers"), 25)).alias("n_filtered"), F.count("*").alias("n"))

@@ -40,3 +40,23 @@ def test_query(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize(("name", "order"), [("t2_sorted_raw", "chrom pos sample"), ("t3_sorted_segments", "sample chrom seg_start seg_end"), ("t6_genes_by_start", "g_chrom tx_start gene")])
+def test_rows_come_in_order(spark, name, order):
+    """By collecting, and by reading written files one after the other."""
+    got = [tuple(r[c] for c in order.split()) for r in QUERIES[name](spark, SF).collect()]
+    assert len(got) > 50 and got == sorted(got)
+
+
+def test_sorted_files_hold_rows_in_order(spark, tmp_path):
+    from chromaspan import commands
+
+    rows = QUERIES["t2_sorted_raw"](spark, SF).selectExpr("concat('m', pos) marker", "chrom", "pos").distinct().repartition(5, "pos")
+    given, out = str(tmp_path / "markers"), tmp_path / "sorted"
+    rows.write.option("sep", "\t").option("header", True).csv(given)
+    commands.run(spark, ["sort", given, str(out)])
+    lines = [x.split("\t") for p in sorted(out.glob("part-*")) for x in p.read_text().splitlines()[1:]]
+    names = {"X": 23, "Y": 24}
+    got = [(names.get(c) or int(c), int(p)) for _, c, p in lines]
+    assert len(got) == rows.count() and got == sorted(got)
