@@ -480,13 +480,13 @@ PIVOT = ", ".join(f"CAST(coalesce(max(score) FILTER (WHERE sample = '{s}'), 0) A
 
 @query("a18_gene_matrix", SCORED_SQL.strip() + f", {PAIR}, s AS (SELECT gene, sample, {EXTREME} AS score FROM pair GROUP BY gene, sample) SELECT gene, {PIVOT} FROM s GROUP BY gene")
 def _(v):
-    return genes.matrix(genes.gene_scores(with_exons(v.gene), scored(v), relaxed=True), "gene")
+    return genes.matrix(genes.gene_scores(with_exons(v.gene), scored(v), relaxed=True), "gene", files.sample_names(v.seg))
 
 
 @query("a19_region_matrix", SCORED_SQL.strip() + f", s AS (SELECT region_id, s.sample, {EXTREME} AS score FROM v_region CROSS JOIN (SELECT DISTINCT sample FROM v_seg) s LEFT JOIN scored q ON q.sample = s.sample AND {REGION_ON} GROUP BY region_id, s.sample) SELECT region_id, {PIVOT} FROM s GROUP BY region_id")
 def _(v):
     got = genes.region_scores(v.region, scored(v), ["region_id"], dense=False)
-    wide = genes.matrix(got, "region_id")
+    wide = genes.matrix(got, "region_id", files.sample_names(v.seg))
     return v.region.select("region_id").distinct().join(wide, "region_id", "left").na.fill(0)
 
 
@@ -494,7 +494,7 @@ def _(v):
     SELECT gene, {PIVOT} FROM s GROUP BY gene""")
 def _(v):
     got = genes.scores_in_regions(v.region, v.gene, scored(v), ["region_id"], relaxed=True)
-    return genes.matrix(got.groupBy("gene", "sample").agg(genes.most_extreme("score").alias("score")), "gene")
+    return genes.matrix(got.groupBy("gene", "sample").agg(genes.most_extreme("score").alias("score")), "gene", files.sample_names(v.seg))
 
 
 @query("a21_set_overlaps", "SELECT p_brand AS set_name, count(DISTINCT gene) FILTER (WHERE g_chrom <= 6) AS n FROM v_gene GROUP BY p_brand")
@@ -703,7 +703,7 @@ def _(v):
 @query("k7_matrix_files", SCORED_SQL.strip() + f", {PAIR}, s AS (SELECT gene, sample, {EXTREME} AS score FROM pair GROUP BY gene, sample) SELECT gene, {PIVOT} FROM s GROUP BY gene")
 def _(v):
     path = v.folder("genes.mat")
-    files.write_matrix(genes.gene_scores(with_exons(v.gene), scored(v), relaxed=True), "gene", path)
+    files.write_matrix(genes.gene_scores(with_exons(v.gene), scored(v), relaxed=True), "gene", path, files.sample_names(v.seg))
     back = v.spark.read.options(sep="\t", header=True).csv(path)
     first, *samples = back.columns
     return back.select(F.col(f"`{first}`").alias("gene"), *(F.col(f"`{s}`").cast("int").alias(s) for s in samples))
