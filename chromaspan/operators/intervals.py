@@ -10,14 +10,15 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.overlap import overlaps, score, start_bounds
 from ..functions.predicates import is_aberrant
+from . import scan
 
-BIN = 20_000
+BIN = scan.BIN
 LEVEL = 64  # a level's bins are so many times as wide as those of the one before
 
 
@@ -108,19 +109,8 @@ def stab(points: DataFrame, segments: DataFrame, cols=("chrom", "seg_start", "se
 
 
 def running_count(df: DataFrame, keys: list[str], position: str, order: list[str], one: Column, bin_width: int = BIN) -> DataFrame:
-    """df with _n: the sum of `one` over the rows of the same keys up to each, by position and order.
-
-    Rows are counted within bins along the position, and what lies before a bin is added from the bins' sums; so only
-    those sums, and no whole chromosome, meet in one task.
-    """
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy(position, *order).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("_bin", F.expr(f"{position} div {bin_width}")).withColumn("_one", one)
-    sums = d.groupBy(*keys, "_bin").agg(F.sum("_one").alias("_sum"))
-    earlier = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate((*keys, "_bin"))), earlier.alias("_earlier"))
-    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate((*keys, "_bin"))))
-    out = d.withColumn("_n", F.sum("_one").over(in_bin)).join(sums, same)
-    return out.select(*df.columns, (F.col("_n") + F.col("_earlier")).cast("long").alias("_n"))
+    """df with _n: the sum of `one` over the rows of the same keys up to each, by position and order, scanned in bins."""
+    return scan.prefix(df, keys, [position, *order], {"_n": one.cast("long")}, width=bin_width).select(*df.columns, "_n")
 
 
 def predecessor(points: DataFrame, starts: DataFrame, keys: list[str], bin_width: int = BIN) -> DataFrame:
