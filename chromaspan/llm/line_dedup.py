@@ -54,8 +54,10 @@ class LineRuns:
         name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
         before = self.spark.conf.get(name)
         self.spark.conf.set(name, "true")
-        yield
-        self.spark.conf.set(name, before)
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
 
     def _write(self, rows: DataFrame) -> tuple[str, str]:
         name, path = f"chromaspan_run_{uuid.uuid4().hex}", scratch(self.spark, "run")
@@ -159,12 +161,13 @@ def dedup_lines(docs: DataFrame, least: int = 20, min_docs: int = 3, fanout: int
     lines = rows.select("doc_id", row_hash, "text").mapInArrow(keys, f"doc_id long, row_hash long, {ANY}")
     lines.withColumn("batch", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(path)
     stored = spark.read.schema(f"doc_id long, row_hash long, {ANY}, batch int").parquet(path)
-    runs = LineRuns(spark, fanout)
-    for k in range(batches):
-        runs.add(stored.filter(F.col("batch") == k).select("h1", "h2", "doc_id"))
-    repeated = scratch(spark, "repeated")
-    runs.repeated(min_docs).write.parquet(repeated)
-    runs.close()
+    runs, repeated = LineRuns(spark, fanout), scratch(spark, "repeated")
+    try:
+        for k in range(batches):
+            runs.add(stored.filter(F.col("batch") == k).select("h1", "h2", "doc_id"))
+        runs.repeated(min_docs).write.parquet(repeated)
+    finally:  # a job that fails leaves no tables in the catalog
+        runs.close()
 
     again = spark.read.schema(f"{ANY}, max_doc long").parquet(repeated).selectExpr("h1 r1", "h2 r2", "max_doc")
     null_least = lambda c: F.coalesce(c, F.lit(LEAST_ID))

@@ -411,3 +411,22 @@ def test_exchange_beats_start():
     n = rng.poisson(p[true][:, true] * 30)
     got = lm_score.exchange(n, 3)
     assert all(len(set(got[true == k])) == 1 for k in range(3)) and len(set(got)) == 3
+
+
+def test_failed_line_dedup_leaves_nothing(spark, oddities, monkeypatch):
+    """No table in the catalog and no changed setting after a failure in the midst."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before, tables = spark.conf.get(name), {t.name for t in spark.catalog.listTables()}
+    made = []
+
+    def fails(self, lines):
+        made.append(1)
+        if len(made) > 2:
+            raise RuntimeError("as if an executor had gone for good")
+        return add(self, lines)
+
+    add = line_dedup.LineRuns.add
+    monkeypatch.setattr(line_dedup.LineRuns, "add", fails)
+    with pytest.raises(RuntimeError, match="for good"):
+        line_dedup.dedup_lines(oddities, batch_docs=2)
+    assert len(made) == 3 and spark.conf.get(name) == before and {t.name for t in spark.catalog.listTables()} == tables
