@@ -1,6 +1,7 @@
 """Runs of words, vector codes and token files against brute force, SQL and exact round trips."""
 
 import heapq
+import math
 import random
 import zlib
 
@@ -115,9 +116,19 @@ def test_runs_on_odd_rows(spark, which, request, tmp_path):
     assert (one.n_runs, one.start, one.length, one.period, one.exponent_milli) == (1, 0, 100_000, 1, 100_000_000)
 
 
-def test_near_duplicates_query(spark):
-    want = same_as_sql(spark, "op6_embedding_near_dedup", SF, embeddings=f"{SF}/embeddings.parquet")
-    assert sum(r[1] > 0 for r in want) > 20
+def test_near_duplicates_query(spark, tmp_path):
+    """The test tables' vectors have no links at sf0.01; so planted ones: near and exact copies, a chain, odd rows."""
+    r = np.random.default_rng(6)
+    v = r.normal(size=(60, 16))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    rows += [(100 + k, (v[k % 9] + r.normal(size=16) * 0.15).tolist()) for k in range(50)] + [(200 + k, v[2].tolist()) for k in range(5)]
+    for k in range(12):  # each links with its neighbours only
+        a = 0.4 * k
+        rows.append((300 + k, [math.cos(a), math.sin(a)] + [0.0] * 14))
+    rows += [(400, None), (401, [0.0] * 16), (402, [float("nan")] * 16), (403, [1.0] * 15 + [None]), (5, v[5].tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = same_as_sql(spark, "op6_embedding_near_dedup", str(tmp_path), embeddings=f"{tmp_path}/embeddings.parquet/*.parquet")
+    assert sum(x[1] > 0 for x in want) > 60 and {x[2] for x in want if 300 <= x[0] < 312} == {300}
 
 
 def test_vector_codes_query(spark):
