@@ -12,7 +12,8 @@ from pyspark.sql.types import StructType
 
 from ..functions.predicates import is_aberrant, small, spurious
 from . import scan
-from .intervals import for_each_sample, stab
+from .best import first_to_start
+from .intervals import at_home, for_each_sample
 
 EPSILON = 2.0**-23  # how far apart equal values may be: the precision of 32-bit floats
 
@@ -35,7 +36,15 @@ def runs(raw: DataFrame, value: str = "value", epsilon: float = EPSILON, width:
 def to_raw(segments: DataFrame, markers: DataFrame) -> DataFrame:
     """The state of each sample at each marker; null where no segment covers it (of several the first to start)."""
     points = markers.select(F.col("chrom").alias("p_chrom"), "pos", "marker")
-    covered = stab(points, segments).groupBy("sample", F.col("p_chrom").alias("chrom"), "pos", "marker").agg(F.min_by("state", F.struct("seg_start", "seg_end", "state")).alias("value"))
+    kind = segments.schema["state"].dataType
+    parts = [f"_state.state.{f.name}" for f in kind.fields] if isinstance(kind, StructType) else ["_state.state"]
+    held = segments.groupBy("sample", "chrom", "seg_start", "seg_end").agg(F.min(F.struct("state")).alias("_state"))
+    held = held.select("sample", "chrom", "seg_start", "seg_end", F.col("_state.state").isNotNull().alias("_there"), *(F.col(c).alias(f"_v{k}") for k, c in enumerate(parts)))
+    values = ["_there", *(f"_v{k}" for k in range(len(parts)))]
+    schema = StructType([*points.schema.fields, held.schema["sample"], *held.select(*values).schema.fields])
+    got = at_home(points.distinct().withColumn("_end", F.col("pos")), held, ("p_chrom", "pos", "_end"), ("chrom", "seg_start", "seg_end"), first_to_start(points.columns, values), schema)
+    state = F.struct(*(F.col(f"_v{k}").alias(f.name) for k, f in enumerate(kind.fields))) if isinstance(kind, StructType) else F.col("_v0")
+    covered = got.select("sample", F.col("p_chrom").alias("chrom"), "pos", "marker", F.when(F.col("_there"), state).alias("value"))
     every = for_each_sample(points.withColumnRenamed("p_chrom", "chrom"), segments)
     return every.join(covered, ["sample", "chrom", "pos", "marker"], "left").select("sample", "marker", "chrom", "pos", "value")
 

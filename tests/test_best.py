@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chromaspan.operators import genes
+from chromaspan.operators import genes, intervals, merge
 from chromaspan.operators.best import Rule, best_scores
 
 RULES = [Rule(relaxed=True), Rule(gain=0.3, loss=0.2), Rule(greatest=True), Rule(gain=0.8, loss=0.9)]
@@ -109,3 +109,41 @@ def test_exons_beyond_the_unrolled_ones_count(spark):
     got = df.filter("size(exons) > 0").select(genes.covered("exons", F.col("s"), F.col("e")).alias("c")).collect()
     assert [x.c for x in got] == [48 / 100, 0.5]
     assert df.filter("exons is null").select(genes.covered("exons", F.col("s"), F.col("e")).alias("c")).first().c is None
+
+
+def test_genes_of_regions_with_shared_keys_and_without_places(spark):
+    r = random.Random(8)
+    regions = [(k % 9 if k < 20 else k, r.randrange(1, 3), s := r.randrange(60_000), s + int(10 ** (r.random() * 5))) for k in range(40)] + [(99, None, 1, 2), (98, 7, 1, 2)]
+    gs = [(f"G{k % 70}" if k < 90 else None, r.randrange(1, 3), s := r.randrange(60_000), s + r.randrange(3000)) for k in range(100)]
+    df, g = spark.createDataFrame(regions, "region_id int, c int, s long, e long"), spark.createDataFrame(gs, "gene string, g_chrom int, tx_start long, tx_end long")
+    for some in (regions, regions[20:]):  # with keys of several rows, and without
+        want = {k: sorted({n for k2, c, s, e in some for n, c2, s2, e2 in gs if k2 == k and n and c == c2 and s <= e2 and s2 <= e}) for k, *_ in some}
+        rows = df if some is regions else df.filter("region_id >= 20")
+        got = genes.genes_of(rows, g, ["region_id"], ("c", "s", "e")).collect()
+        assert len(got) == len(want) and {x.region_id: x.genes for x in got} == {k: ",".join(v) for k, v in want.items()} and all(x.n_genes == len(want[x.region_id]) for x in got)
+        near = genes.inside(rows.dropna(), g.dropna(), ["region_id"], ("c", "s", "e"))
+        assert sorted(map(tuple, near.collect())) == sorted((k, n) for k, v in want.items() for n in v)
+
+
+@pytest.mark.parametrize("alleles", [False, True])
+def test_raw_values_are_of_the_first_segment_to_start(spark, alleles):
+    r = random.Random(3)
+    segs = [("ST"[k % 2], r.randrange(1, 3), s := r.randrange(100), s + r.randrange(20), r.choice([None, 0.5, 1.0])) for k in range(80)]
+    df = spark.createDataFrame(segs, "sample string, chrom int, seg_start long, seg_end long, state double")
+    if alleles:
+        df = df.withColumn("state", F.when(F.col("state").isNotNull(), F.struct(F.col("state").alias("a"), F.lit(1).alias("b"))))
+    markers = spark.createDataFrame([(c, p, f"{c}:{p}") for c in (1, 2, 3) for p in range(0, 130, 3)], "chrom int, pos long, marker string")
+    got = {(x.sample, x.chrom, x.pos): x.value for x in merge.to_raw(df, markers.union(markers.limit(1))).collect()}
+    for (sample, c, p), value in got.items():
+        met = [(s, e, (v is not None, v or 0)) for q, c2, s, e, v in segs if q == sample and c == c2 and s <= p <= e]
+        want = min(met)[2] if met else (False, 0)
+        assert (None if not want[0] else (want[1], 1) if alleles else want[1]) == (tuple(value) if alleles and value else value)
+    assert len(got) == 2 * 3 * 44
+
+
+def test_few_bytes_with_many_pairs_are_dealt_to_many_tasks(spark):
+    """By bytes all of this is one task's."""
+    q = spark.range(3000).selectExpr("id % 24 c", "id * 7919 % 1000000 s", "id * 7919 % 1000000 + 20000 e")
+    r = spark.range(3000).selectExpr("id % 24 c2", "id * 4099 % 1000000 s2", "id * 4099 % 1000000 + 5000 e2")
+    got = intervals.overlap_join(q, r, ("c", "s", "e"), ("c2", "s2", "e2"))
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
