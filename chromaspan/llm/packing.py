@@ -52,6 +52,8 @@ def cut_points(ids: np.ndarray, closes: np.ndarray, sentence_cost: float, word_c
     ends = np.flatnonzero(closes[ids[:-1]]) + 1
     ends = ends[ends < len(ids)]
     edges = np.concatenate([[0], ends, [len(ids)]])
+    if int(np.diff(edges).max()) <= stride:
+        return edges[1:].astype(np.int64), np.append(np.full(len(ends), sentence_cost), 0.0)
     gaps = np.diff(edges)
     wide = np.flatnonzero(gaps > stride)
     extra = np.concatenate([np.arange(edges[k] + stride, edges[k + 1], stride) for k in wide]) if len(wide) else np.zeros(0, np.int64)
@@ -69,8 +71,14 @@ def best_cuts(at: list[int], cost: list[float], window: int, each: float = 0.0)
     a queue that is monotone in best + at. The power-of-two lengths are looked up by their start.
     """
     points = [0, *at]
-    where = {p: k for k, p in enumerate(points)}
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
+    # By point the earlier ones that are a power of two before it, by power: few are, so they are found beforehand.
+    places = np.array(points)
+    back_by: dict[int, list[int]] = {}
+    for n in (1 << k for k in range(window.bit_length()) if 1 << k <= window):
+        k = np.searchsorted(places, places - n)
+        met = np.flatnonzero(places[k] == places - n)
+        for j, i in zip(met.tolist(), k[met].tolist(), strict=True):
+            back_by.setdefault(j, []).append(i)
     key, back = [0.0] * len(points), [0] * len(points)
     best, queue, head = [0.0] * len(points), deque([0]), 0
     for j in range(1, len(points)):
@@ -79,9 +87,8 @@ def best_cuts(at: list[int], cost: list[float], window: int, each: float = 0.0)
             queue.popleft()
         i = queue[0]
         least = key[i] + window - p
-        for n in powers:
-            k = where.get(p - n)
-            if k is not None and best[k] < least:
+        for k in back_by.get(j, ()):
+            if best[k] < least:
                 least, i = best[k], k
         best[j], back[j] = least + cost[j - 1] + each, i
         key[j] = best[j] + p

@@ -293,3 +293,28 @@ def test_words_are_put_together():
     assert len(b.known) < 300 and not any(len(w) >= 256 for w in [*a.known, *a.pieces])
     with pytest.raises(ValueError, match="white space"):
         token_files.Words(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_cuts_look_up_powers_of_two_only_where_there_are_points(monkeypatch):
+    """Cuts are those of looking at every point before each, and documents without long stretches get no extra points."""
+    import random
+
+    import numpy as np
+
+    from chromaspan.llm import packing
+
+    r = random.Random(4)
+    for reach in (3, 20, 60):
+        at = np.cumsum([r.randrange(1, reach) for _ in range(60)]).tolist()
+        cost = [r.choice([0.0, 4.0, 24.0]) for _ in at]
+        points, best = [0, *at], [0.0]
+        for j in range(1, len(points)):
+            long = {i: points[j] - points[i] for i in range(j) if points[j] - points[i] <= 64}
+            best.append(cost[j - 1] + 7.0 + min(best[i] + (0 if n & (n - 1) == 0 else 64 - n) for i, n in long.items()))
+        ends = packing.best_cuts(at, cost, 64, 7.0)
+        spent = sum(cost[at.index(b)] + 7.0 + (0 if (b - a) & (b - a - 1) == 0 else 64 - b + a) for a, b in zip([0, *ends], ends, strict=False))
+        assert spent == best[-1]
+    closes = np.array([False, True])
+    monkeypatch.setattr(np, "argsort", None)
+    p, c = packing.cut_points(np.array([0, 1, 0, 0, 1, 0]), closes, 4.0, 24.0, 64)
+    assert p.tolist() == [2, 5, 6] and c.tolist() == [4.0, 4.0, 0.0]
