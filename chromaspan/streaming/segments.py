@@ -17,6 +17,7 @@ from ..operators.merge import EPSILON
 SCHEMA = "sample string, chrom int, seg_start long, seg_end long, n_markers long, state double"
 RAW = "sample string, marker string, chrom int, pos long, value double"
 BIN_RUNS = "sample string, chrom int, bin long, version long, seg_start long, first_marker string, seg_end long, n_markers long, first double, last double"
+STATE_BIN = 100 * scan.BIN  # a bin is a call of Python for each micro-batch: it should hold hundreds of markers
 
 
 def read(spark: SparkSession, path: str, schema: str = SCHEMA, **options) -> DataFrame:
@@ -59,7 +60,7 @@ def _bin_runs(pos: np.ndarray, marker: list[str], value: np.ndarray, epsilon: fl
     return pd.DataFrame({"seg_start": p[begin], "first_marker": [marker[order[k]] for k in begin], "seg_end": p[end - 1], "n_markers": end - begin, "first": v[begin], "last": v[end - 1]})
 
 
-def bin_runs(stream: DataFrame, epsilon: float = EPSILON, width: int = scan.BIN) -> DataFrame:
+def bin_runs(stream: DataFrame, epsilon: float = EPSILON, width: int = STATE_BIN) -> DataFrame:
     """The runs of equal values (as merge.runs has them) of a stream of raw values (sample, marker, chrom, pos, value),
     by bins along the chromosome, in update mode: a bin with new values is given anew, as its next version.
 
@@ -94,7 +95,7 @@ def runs_into(stream: DataFrame, out: str, checkpoint: str, available_now: bool
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def segments_of(versions: DataFrame, epsilon: float = EPSILON, width: int = scan.BIN) -> DataFrame:
+def segments_of(versions: DataFrame, epsilon: float = EPSILON, width: int = STATE_BIN) -> DataFrame:
     """The segments (as merge.runs has them) by the last version of each bin: a bin's first run goes on from the run
     before it, if it begins as that ends."""
     last = versions.groupBy("sample", "chrom", "bin").agg(F.max("version").alias("_last")).withColumnsRenamed({c: f"_{c}" for c in ("sample", "chrom", "bin")})
