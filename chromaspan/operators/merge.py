@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +15,7 @@ from pyspark.sql.types import StructType
 from ..functions.predicates import is_aberrant, small, spurious
 from . import scan
 from .best import first_to_start
-from .intervals import at_home, for_each_sample
+from .intervals import at_home, for_each_sample, spread
 
 EPSILON = 2.0**-23  # how far apart equal values may be: the precision of 32-bit floats
 
@@ -22,15 +24,36 @@ def runs(raw: DataFrame, value: str = "value", epsilon: float = EPSILON, width:
     """Segments of adjacent values no more than epsilon apart (of a struct all components), by sample and chromosome;
     nulls are alike. A segment has its first value.
 
-    Changes are flagged and numbered by scans in bins; a segment is put together from what each task has of it.
+    Runs are put together within bins, which are dealt to as many tasks as shuffles have. Only a bin's first and last
+    runs meet those of its neighbours, two rows a bin at most.
     """
     keys, order = ["sample", "chrom"], ["pos", "marker"]
     kind = raw.schema[value].dataType
-    parts = [f"{value}.{f.name}" for f in kind.fields] if isinstance(kind, StructType) else [value]
-    d = raw.select(*keys, *order, value, *(F.col(c).alias(f"_v{k}") for k, c in enumerate(parts)))
-    d = scan.changes(d, keys, order, [f"_v{k}" for k in range(len(parts))], lambda a, b: F.coalesce(F.abs(b - a) <= epsilon, a.eqNullSafe(b)), width=width)
-    d = scan.prefix(d, keys, order, {"_run": F.col("_new")}, width=width)
-    return d.groupBy(*keys, "_run").agg(F.min("pos").alias("seg_start"), F.max("pos").alias("seg_end"), F.count("*").alias("n_markers"), F.min_by(value, F.struct(*order)).alias("state")).drop("_run")
+    names = [f.name for f in kind.fields] if isinstance(kind, StructType) else []
+    own = [f"_v{k}" for k in range(len(names) or 1)]
+    first, last = [f"_a{k}" for k in range(len(own))], [f"_z{k}" for k in range(len(own))]
+
+    def alike(before: list[Column], now: list[str]) -> Column:
+        return reduce(and_, (F.coalesce(F.abs(F.col(b) - a) <= epsilon, a.eqNullSafe(F.col(b))) for a, b in zip(before, now, strict=True)))
+
+    parts = [F.col(value)[n] for n in names] or [F.col(value)]
+    d = raw.select(*keys, *order, F.col(value).isNotNull().alias("_there"), *(c.alias(n) for c, n in zip(parts, own, strict=True)), F.expr(f"pos div {width}").alias("_bin"))
+    place = Window.partitionBy(*keys, "_bin").orderBy(*order)
+    d = spread(d, *keys, "_bin").withColumns({"_first": F.row_number().over(place) == 1, "_last": F.lead(F.lit(1)).over(place).isNull(), "_same": alike([F.lag(n).over(place) for n in own], own)})
+    d = d.withColumn("_new", F.col("_first") | ~F.col("_same"))
+    d = d.withColumn("_run", F.sum(F.col("_new").cast("long")).over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = [F.max(F.when(F.col(at), F.col(n))).alias(to) for at, to_all in (("_new", first), ("_last", last)) for n, to in zip(own, to_all, strict=True)]
+    d = d.groupBy(*keys, "_bin", "_run").agg(
+        F.min("pos").alias("seg_start"), F.max("pos").alias("seg_end"), F.count("*").alias("n_markers"), F.max("_first").alias("_first"), F.max("_last").alias("_last"), F.max(F.when(F.col("_new"), F.col("_there"))).alias("_there"), *ends,
+    )
+    of_bins = Window.partitionBy(*keys).orderBy("_bin", "_run")
+    tied = d.filter("_first or _last").withColumn("_on", F.col("_first") & F.lag(F.lit(True), 1, False).over(of_bins) & alike([F.lag(n).over(of_bins) for n in last], first))
+    tied = tied.withColumn("_run", F.sum((~F.col("_on")).cast("long")).over(of_bins.rowsBetween(Window.unboundedPreceding, 0)))
+    head = [F.max(F.when(~F.col("_on"), F.col(n))).alias(n) for n in ("_there", *first)]
+    tied = tied.groupBy(*keys, "_run").agg(F.min("seg_start").alias("seg_start"), F.max("seg_end").alias("seg_end"), F.sum("n_markers").alias("n_markers"), *head)
+    cols = [*keys, "seg_start", "seg_end", "n_markers", "_there", *first]
+    state = F.when(F.col("_there"), F.struct(*(F.col(a).alias(n) for a, n in zip(first, names, strict=True)))) if names else F.col(first[0])
+    return d.filter("not (_first or _last)").select(*cols).unionByName(tied.select(*cols)).select(*cols[:5], state.alias("state"))
 
 
 def to_raw(segments: DataFrame, markers: DataFrame) -> DataFrame:

@@ -274,6 +274,24 @@ def test_runs_within_epsilon(spark):
     assert [r.n_markers for r in merge.runs(raw, epsilon=1e-4).orderBy("seg_start").collect()] == [3, 2, 1]
 
 
+def test_runs_across_bins_read_their_rows_twice_at_most(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for sample, chrom in (("A", 1), ("A", None), (None, 2), ("B", 1)):
+        pos, value = np.cumsum(rng.choice([1, 2, 9, 60], 150)).tolist(), rng.choice([0.0, 1.0, np.nan], 150, p=[0.45, 0.45, 0.1])
+        values = [None if math.isnan(v) else float(v) for v in np.repeat(value, rng.integers(1, 12, 150))[:150]]
+        rows += [(sample, f"m{k:03d}", chrom, p, v) for k, (p, v) in enumerate(zip(pos, values, strict=True))]
+        for p, v in zip(pos, values, strict=True):
+            if want and want[-1][:2] == (sample, chrom) and want[-1][5] == v:
+                want[-1] = (*want[-1][:3], p, want[-1][4] + 1, v)
+            else:
+                want.append((sample, chrom, p, p, 1, v))
+    raw = spark.createDataFrame(rows, "sample string, marker string, chrom int, pos long, value double")
+    for width in (7, 50, 100_000):
+        assert sorted(map(tuple, merge.runs(raw, width=width).collect()), key=str) == sorted(want, key=str)
+    assert merge.runs(raw)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
+
+
 def test_invalid_conversions_raise(spark):
     raw = spark.createDataFrame([("S", "m", 1, 1, 0.5)], "sample string, marker string, chrom int, pos long, value double")
     for kind, to in (("raw", "segmented_ascn"), ("raw", "raw_ascn"), ("segmented", "segmented_ascn")):
