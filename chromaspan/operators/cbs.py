@@ -42,16 +42,21 @@ def smooth(x: np.ndarray, chrom: np.ndarray | None = None, region: int = 10, out
         if e - a == 1:
             out[a] = y[a] - near if far > 0 else y[a]
             continue
+        # A value as near as `far` to a neighbour at its side stays; only around the others windows are laid out.
+        step = np.abs(np.diff(y[a:e])) > far
+        apart = np.flatnonzero(np.append(True, step) & np.append(step, True)) if region else np.arange(e - a)
         padded = np.concatenate([np.full(region, np.nan), y[a:e], np.full(region, np.nan)])
-        for i in range(0, e - a, 50_000):  # a block of windows at a time
-            around = np.lib.stride_tricks.sliding_window_view(padded[i : min(e - a, i + 50_000) + 2 * region], 2 * region + 1).copy()
+        windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * region + 1)
+        for i in range(0, len(apart), 50_000):  # a block of windows at a time
+            at = apart[i : i + 50_000]
+            around = windows[at]
             own = around[:, region].copy()
             around[:, region] = np.nan
             low, high = np.nanmin(around, 1), np.nanmax(around, 1)
             alone = np.nanmin(np.abs(around - own[:, None]), 1) > far
             k = np.flatnonzero(alone & ((own > high) | (own < low)))
             around[k, region] = own[k]
-            out[a + i + k] = np.nanmedian(around[k], 1) + np.where(own[k] > high[k], near, -near) if len(k) else 0
+            out[a + at[k]] = np.nanmedian(around[k], 1) + np.where(own[k] > high[k], near, -near) if len(k) else 0
     x = x.copy()
     x[ok] = out
     return x
