@@ -75,11 +75,16 @@ def _sums(x: np.ndarray, w: np.ndarray | None) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate([[0.0], np.cumsum(y)]), m, float((y * x).sum())
 
 
+FINE = 16  # places in the parts of blocks
+
+
 def _best_arc(s: np.ndarray, m: np.ndarray, al0: int, longest: int | None, floor: float = 0.0, enough: float = math.inf, share: tuple[int, int] = (0, 1), common: int = 4) -> tuple[float, int, int]:
     """The largest between-group sum of squares of an arc and its ends, of equal ones the shortest and first.
 
     Places are in blocks of about sqrt(n). The extremes of two blocks' prefix sums and the least and most weight between
-    them bound the arcs from one to the other; pairs of blocks are opened by falling bound until none can be better.
+    them bound the arcs from one to the other; pairs of blocks are opened by falling bound until none can be better. An
+    opened pair's blocks are cut in parts of FINE places, whose pairs are bounded in the same way, so that near places,
+    whose blocks' bounds are loose, cost FINE pairs each instead of sqrt(n).
     Arcs below `floor` aren't looked for, and the search ends at one of `enough`. share (k, n): the kth of n searches that
     together open all pairs; each opens the `common` most promising ones, so that all know a good arc early.
     """
@@ -88,31 +93,56 @@ def _best_arc(s: np.ndarray, m: np.ndarray, al0: int, longest: int | None, floor
     best, at = 0.0, (0, n)
     if longest < al0:
         return best, *at
-    first = np.arange(0, n + 1, max(16, math.isqrt(n)))
-    last = np.append(first[1:], n + 1) - 1
-    low, high = np.minimum.reduceat(s, first), np.maximum.reduceat(s, first)
-    p, q = np.triu_indices(len(first))
-    fits = (last[q] - first[p] >= al0) & (first[q] - last[p] <= longest)
-    p, q = p[fits], q[fits]
+    block = max(16, math.isqrt(n))
+    first = np.arange(0, n + 1, block)
     least = least_weights(m, [al0])[0]
-    light, heavy = np.maximum(m[first[q]] - m[last[p]], least), np.minimum(m[last[q]] - m[first[p]], whole - least)
-    under = np.minimum(light * (whole - light), heavy * (whole - heavy))
-    bound = np.full(len(p), math.inf)
-    np.divide(whole * np.maximum(high[q] - low[p], high[p] - low[q]) ** 2, under, out=bound, where=under > 0)
-    for rank, o in enumerate(np.argsort(-bound, kind="stable")):
-        if bound[o] * (1 + 1e-9) < max(best, floor) or best >= enough:
+
+    def bounds(first: np.ndarray, p: np.ndarray, q: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of blocks that may hold an arc to look for, and the most that one of it can be."""
+        fits = (last[q] - first[p] >= al0) & (first[q] - last[p] <= longest)
+        p, q = p[fits], q[fits]
+        light, heavy = np.maximum(m[first[q]] - m[last[p]], least), np.minimum(m[last[q]] - m[first[p]], whole - least)
+        under = np.minimum(light * (whole - light), heavy * (whole - heavy))
+        bound = np.full(len(p), math.inf)
+        np.divide(whole * np.maximum(high[q] - low[p], high[p] - low[q]) ** 2, under, out=bound, where=under > 0)
+        open_ = bound * (1 + 1e-9) >= max(best, floor)
+        return p[open_], q[open_], bound[open_]
+
+    def blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.append(first[1:], n + 1) - 1, np.minimum.reduceat(s, first), np.maximum.reduceat(s, first)
+
+    parts = np.unique(np.minimum(first[:, None] + np.arange(0, block, FINE), n))
+    part_of, ends = np.searchsorted(parts, np.append(first, n + 1)), blocks(parts)
+    steps, inner, places = np.arange(FINE), np.arange(-(-block // FINE)), np.arange(n + 1)
+    p, q, bound = bounds(first, *np.triu_indices(len(first)), *blocks(first))
+    ranked = np.argsort(-bound, kind="stable")
+    ranked = ranked[(np.arange(len(ranked)) < common) | (np.arange(len(ranked)) % share[1] == share[0])]
+    for at_once in (ranked[:common], *(ranked[k : k + 64] for k in range(common, len(ranked), 64))):
+        o = at_once[bound[at_once] * (1 + 1e-9) >= max(best, floor)]
+        if not len(o) or best >= enough:
             break
-        if rank >= common and rank % share[1] != share[0]:
-            continue
-        i, j = np.arange(first[p[o]], last[p[o]] + 1)[:, None], np.arange(first[q[o]], last[q[o]] + 1)
-        k, d, size = j - i, s[j] - s[i], m[j] - m[i]
-        v, left = np.zeros(k.shape), whole - size
-        np.divide(whole * d * d, size * left, out=v, where=(k >= al0) & (k <= longest) & (size > 0) & (left > 0))
-        most = float(v.max())
-        if most > 0 and most >= best:
-            length, start = min((int(k[y, x]), int(i[y, 0])) for y, x in np.argwhere(v == most))
-            if most > best or (length, start) < (at[1] - at[0], at[0]):
-                best, at = most, (start, start + length)
+        u, v = np.broadcast_arrays(part_of[p[o]][:, None, None] + inner[:, None], part_of[q[o]][:, None, None] + inner)
+        real = (u < part_of[p[o] + 1][:, None, None]) & (v < part_of[q[o] + 1][:, None, None]) & (u <= v)
+        u, v, most_of = bounds(parts, u[real], v[real], *ends)
+        order = np.argsort(-most_of, kind="stable")
+        for x in (order[:4], *(order[k : k + 200] for k in range(4, len(order), 200))):
+            x = x[most_of[x] * (1 + 1e-9) >= max(best, floor)]
+            if not len(x):
+                break
+            i, j = parts[u[x]][:, None] + steps, parts[v[x]][:, None] + steps
+            real = (i <= ends[0][u[x]][:, None])[:, :, None] & (j <= ends[0][v[x]][:, None])[:, None, :]
+            i, j = np.minimum(i, n), np.minimum(j, n)
+            k, d, size = (y[j][:, None, :] - y[i][:, :, None] for y in (places, s, m))
+            left = whole - size
+            value = np.zeros(k.shape)
+            np.divide(whole * d * d, size * left, out=value, where=real & (k >= al0) & (k <= longest) & (size > 0) & (left > 0))
+            most = float(value.max())
+            if most > 0 and most >= best:
+                length, start = min((int(k[z]), int(i[z[0], z[1]])) for z in map(tuple, np.argwhere(value == most)))
+                if most > best or (length, start) < (at[1] - at[0], at[0]):
+                    best, at = most, (start, start + length)
+            if best >= enough:
+                break
     return best, *at
 
 

@@ -139,3 +139,25 @@ def test_significance_of_overlaps(spark):
     got = {x.set_name: x for x in genes.overlap_significance(sets, all_, all_.filter("k = 0"), 200).collect()}
     assert (got["set0"].n, got["set1"].n) == (20, 0) and got["set0"].p_value == pytest.approx(1 / 201) and got["set1"].p_value == 1
     assert 0.7 < got["set0"].mean_n < 1.3
+
+
+def test_arc_search_grows_with_the_values(monkeypatch):
+    """Noise of six times the values costs about six times the pairs of places that are looked at, and finds the plain search's arc."""
+    looked = []
+    divide = np.divide
+    monkeypatch.setattr(np, "divide", lambda a, b, **k: (looked.append(np.size(a)), divide(a, b, **k))[1])
+    counts = []
+    for n in (6_000, 36_000):
+        x = np.random.default_rng(3).normal(0, 1, n)
+        looked.clear()
+        cbs.largest_arc(x - x.mean(), 2)
+        counts.append(sum(looked))
+    assert counts[1] < 9 * counts[0]
+    assert counts[1] < 150 * 36_000
+    for n in (4, 5, 17, 33, 300):
+        x = np.random.default_rng(n).integers(0, 3, n).astype(float)
+        x -= x.mean()
+        s = np.append(0.0, np.cumsum(x))
+        arcs = [(float(n * (s[j] - s[i]) * (s[j] - s[i]) / ((j - i) * (n - j + i))), i - j, -i) for i in range(n + 1) for j in range(i + 2, n + 1) if j - i <= n - 2]
+        most, length, i = max(arcs)
+        assert cbs._best_arc(s, np.arange(n + 1.0), 2, None) == (most, -i, -i - length)
