@@ -134,20 +134,29 @@ class View:
             v = np.concatenate([v, np.repeat(2 / np.sqrt(np.maximum(size, 1)), size)])
         return who, what, v
 
+    def blocks(self, rows: Rows, most: int = 200_000) -> Iterator[tuple[slice, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Stretches of rows of about `most` elements each, and their design matrices: no more of it is laid out at once."""
+        size = np.full(len(rows.x), rows.x.shape[1] + 1) + (0 if rows.grams is None else np.array([len(g) for g in rows.grams], np.int64))
+        of = (np.cumsum(size) - size) // most
+        cut = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(rows.x)]
+        for u, v in zip(cut, cut[1:], strict=False):
+            yield slice(u, v), self.design(Rows(rows.x[u:v], None if rows.grams is None else rows.grams[u:v]))
+
     def fit(self, rows: Rows, y: np.ndarray) -> None:
-        who, what, v = self.design(rows)
-        n, size = len(y), self.width + (0 if rows.grams is None else 2 * GRAMS)
+        size = self.width + (0 if rows.grams is None else 2 * GRAMS)
 
         def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-            z = np.bincount(who, w[what] * v, n)
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            return float(np.logaddexp(0, z).sum() - z @ y + w @ w / 2), np.bincount(what, v * (p - y)[who], size) + w
+            z, slope = np.zeros(len(y)), np.zeros(size)
+            for at, (who, what, v) in self.blocks(rows):
+                z[at] = np.bincount(who, w[what] * v, at.stop - at.start)
+                p = 1 / (1 + np.exp(-np.clip(z[at], -30, 30)))
+                np.add.at(slope, what, v * (p - y[at])[who])
+            return float(np.logaddexp(0, z).sum() - z @ y + w @ w / 2), slope + w
 
         self.w = minimise(loss, np.zeros(size) if self.w is None else self.w)
 
     def margin(self, rows: Rows) -> np.ndarray:
-        who, what, v = self.design(rows)
-        return np.bincount(who, self.w[what] * v, len(rows.x))
+        return np.concatenate([np.zeros(0), *(np.bincount(who, self.w[what] * v, at.stop - at.start) for at, (who, what, v) in self.blocks(rows))])
 
     def calibrate(self, rows: Rows, y: np.ndarray) -> None:
         self.scale = logistic(self.margin(rows), y)

@@ -332,3 +332,21 @@ def test_trees_follow_the_depth():
         p = r.standard_normal((64, 7))
         met |= ((x @ p > 0) == (y @ p > 0)).all(1)
     assert 0.96 < met.mean() < 1
+
+
+def test_quality_views_lay_out_a_part_of_their_design_at_a_time():
+    import tracemalloc
+
+    r = np.random.default_rng(0)
+    grams = [r.integers(0, 2 * quality.GRAMS, n).astype(np.uint16) for n in (0, 1, 300_000, *[5_000] * 300)]
+    x, y = r.normal(size=(len(grams), quality.SHAPE)), np.arange(len(grams)) % 2.0
+    rows, v = quality.Rows(x, grams), quality.View(0, quality.SHAPE)
+    v.cuts(rows)
+    tracemalloc.start()
+    v.fit(rows, y)
+    got = v.margin(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000  # the whole design has some 45 MB, and as much again in each step
+    who, what, value = v.design(rows)
+    assert np.array_equal(got, np.bincount(who, v.w[what] * value, len(x)))
