@@ -161,3 +161,17 @@ def test_arc_search_grows_with_the_values(monkeypatch):
         arcs = [(float(n * (s[j] - s[i]) * (s[j] - s[i]) / ((j - i) * (n - j + i))), i - j, -i) for i in range(n + 1) for j in range(i + 2, n + 1) if j - i <= n - 2]
         most, length, i = max(arcs)
         assert cbs._best_arc(s, np.arange(n + 1.0), 2, None) == (most, -i, -i - length)
+
+
+def test_smoothing_looks_around_few_values(monkeypatch):
+    """Of values near their neighbours no windows are laid out; those far from both are judged by all of them."""
+    looked = []
+    nanmin = np.nanmin
+    monkeypatch.setattr(np, "nanmin", lambda a, *rest: (looked.append(np.size(a)), nanmin(a, *rest))[1])
+    x = np.random.default_rng(1).integers(0, 11, 5_000) / 100.0
+    x[[0, 700, 4_999]] = 3.0, -3.0, 3.0
+    x[[1_000, 1_005]] = 3.0  # another one as high is near by: both stay
+    got = cbs.smooth(x, sd=0.03)
+    assert sum(looked) < 5_000
+    assert np.flatnonzero(got != x).tolist() == [0, 700, 4_999]
+    assert got[700] == np.median(x[690:711]) - 0.06
