@@ -304,6 +304,24 @@ def test_components(spark):
     assert {k: got.get(k, k) for k in least} == least
 
 
+def test_components_spare_the_driver(spark, monkeypatch):
+    """Stars take no round, as nothing is left to link; without hubs no round asks for a broadcast."""
+    from chromaspan.llm import common
+
+    plans = []
+    stored = common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: plans.append(df._jdf.queryExecution().logical().toString()) or stored(df, name))
+    stars = [(10, 10 + k) for k in range(1, 200)] + [(500, 500 + k) for k in range(1, 5)]
+    got = {x.id: x.component_id for x in connected_components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {x: p[0] for p in stars for x in p}
+    assert len(plans) == 1
+    chain = [(k, k + 1) for k in range(20)]
+    assert {x.id: x.component_id for x in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()} == dict.fromkeys(range(21), 0)
+    assert len(plans) > 2
+    assert not any("broadcast" in p for p in plans)
+    assert connected_components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("which", ["docs", "oddities", "nothing"])
 def test_lm(which, request):
     import math
