@@ -78,6 +78,29 @@ def test_gene_scores_shuffle_no_pairs(spark, options):
     assert shuffled_rows(genes.gene_scores(g, segs, **options)) < 150_000  # pairs: 2 million
 
 
+def test_relaxed_scores_in_regions_shuffle_no_pairs(spark):
+    segs, g = dense(spark)
+    regions = spark.range(2000).selectExpr("id region_id", "1 r_chrom", "id * 13 + 1 region_start", "id * 13 + 3000 region_end")
+    assert shuffled_rows(genes.scores_in_regions(regions, g, segs, ["region_id"], relaxed=True).groupBy().count()) < 150_000  # pairs of regions and genes: 200,000
+
+
+def test_relaxed_scores_in_regions_are_those_of_all_pairs(spark):
+    r = random.Random(11)
+    make = lambda n, long: [(r.randrange(1, 3), s := r.randrange(50_000), s + r.randrange(long)) for _ in range(n)]
+    regions, gs, segs = [(k % 20, *x) for k, x in enumerate(make(25, 60_000))], make(30, 9000), [("ST"[k % 2], *x, k % 7 - 3) for k, x in enumerate(make(40, 20_000))]
+    want = {}
+    for i, c, s, e in regions:
+        for k, (c2, s2, e2) in enumerate(gs):
+            for sample, c3, s3, e3, v in segs:
+                if v and c == c2 == c3 and max(s, s2, s3) <= min(e, e2, e3):
+                    want.setdefault((i, f"G{k}", sample), []).append((abs(v), -v))
+    given = [spark.createDataFrame(regions, "region_id long, r_chrom int, region_start long, region_end long"), spark.createDataFrame([(f"G{k}", *x) for k, x in enumerate(gs)], "gene string, g_chrom int, tx_start long, tx_end long")]
+    scored = spark.createDataFrame(segs, "sample string, chrom int, seg_start long, seg_end long, score int")
+    got = genes.scores_in_regions(*given, scored, ["region_id"], relaxed=True).collect()
+    assert len(got) == len(want) > 100
+    assert {(x.region_id, x.gene, x.sample): x.score for x in got} == {k: -max(v)[1] for k, v in want.items()}
+
+
 def test_rows_of_one_gene_are_one_target(spark):
     segs = spark.createDataFrame([("S", 1, 10, 20, 2), ("S", 2, 10, 20, -3), ("T", 1, 100_000, 900_000, 1)], "sample string, chrom int, seg_start long, seg_end long, score int")
     g = spark.createDataFrame([("A", 1, 1, 30), ("A", 2, 1, 30), ("B", 1, 1, 5_000_000), ("C", None, 1, 30)], "gene string, g_chrom int, tx_start long, tx_end long")
