@@ -9,6 +9,8 @@ from ..functions.coords import DATA_TYPES, chrom_id, chrom_name, parse_region
 from ..operators import merge
 from ..operators.intervals import running_count
 
+CELLS = 250_000  # cells of a matrix that a task puts together, about
+NAMES = 100_000  # samples of a matrix that are broadcast at most
 INT, REAL = r"^\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^-?(nan|inf|infinity)$"
 
 
@@ -175,10 +177,18 @@ def write_peaks(peaks: DataFrame, path: str, items: str = ",") -> None:
 
 def sample_names(df: DataFrame, most: int = 1_000_000) -> list[str]:
     """The names of all samples, sorted; more than `most` raise, as a header is one line."""
-    names = [r.sample for r in df.select("sample").filter("sample is not null").distinct().limit(most + 1).collect()]
-    if len(names) > most:
+    return _counted(df, None, most)[0]
+
+
+def _counted(df: DataFrame, samples: list[str] | None = None, most: int = 1_000_000) -> tuple[list[str], int]:
+    """The samples, those there are unless given (see sample_names), and the number of rows that have one."""
+    rows = df.filter("sample is not null")
+    if samples is not None:
+        return samples, rows.count()
+    found = rows.groupBy("sample").count().limit(most + 1).collect()
+    if len(found) > most:
         raise ValueError(f"more than {most} samples have no place in a header")
-    return sorted(names)
+    return sorted(r.sample for r in found), sum(r["count"] for r in found)
 
 
 def raw_matrix(raw: DataFrame, samples: list[str] | None = None) -> DataFrame:
@@ -190,22 +200,26 @@ def raw_matrix(raw: DataFrame, samples: list[str] | None = None) -> DataFrame:
     return wide
 
 
-def matrix_lines(cells: DataFrame, key: list[str], samples: list[str], values: list[Column], blank: str = "") -> DataFrame:
-    """(key, line): for each key a line of the samples' values (texts; of a sample one or more, side by side), parted by tabs.
+def matrix_lines(cells: DataFrame, key: list[str], samples: list[str], values: list[Column], blank: str = "", n: int | None = None) -> DataFrame:
+    """(key, line), in order of key: for each key a line of the samples' values (texts; of a sample one or more, side by side), parted by tabs.
 
     Only cells that are there become rows; blanks are laid out between them when a line is put together, so a row costs
     what it holds and no column is a plan's column, however many samples there are. Of several values for a cell the least stays.
+    Cells are dealt once, by ranges of key, to tasks that follow their number n (counted, if not given): of about CELLS each.
     """
     spark = cells.sparkSession
     places = spark.createDataFrame([(n, k) for k, n in enumerate(samples)], "_name string, _k int")
+    places = F.broadcast(places) if len(samples) <= NAMES else places  # else cells would be shuffled by sample, of which there may be few
     empty = "\t".join([blank] * len(values))
     text = F.concat_ws("\t", *(F.coalesce(v.cast("string"), F.lit(blank)) for v in values))
-    found = cells.join(places, F.col("sample") == F.col("_name")).groupBy(*key, "_k").agg(F.min(text).alias("_t"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(cells.count() if n is None else n) // CELLS))
+    found = cells.join(places, F.col("sample") == F.col("_name")).select(*key, "_k", text.alias("_t")).repartitionByRange(tasks, *key)
     lines = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_k", "_t"))).alias("_x"))
+    lines = lines.withColumn("_x", F.filter("_x", lambda x, i: ~x["_k"].eqNullSafe(F.get("_x", i - 1)["_k"])))
     gap = lambda n: F.repeat(F.lit(empty + "\t"), n)
     laid = F.transform("_x", lambda x, i: F.concat(gap(x["_k"] - F.coalesce(F.get("_x", i - 1)["_k"], F.lit(-1)) - 1), x["_t"]))
     after = F.repeat(F.lit("\t" + empty), F.lit(len(samples) - 1) - F.get("_x", F.size("_x") - 1)["_k"])
-    return lines.select(*key, F.concat(F.array_join(laid, "\t"), after).alias("line"))
+    return lines.orderBy(*key).select(*key, F.concat(F.array_join(laid, "\t"), after).alias("line"))
 
 
 def _write_lines(lines: DataFrame, header: str, path: str) -> None:
@@ -215,11 +229,11 @@ def _write_lines(lines: DataFrame, header: str, path: str) -> None:
 
 def write_raw(raw: DataFrame, path: str, samples: list[str] | None = None) -> None:
     """A line for each marker by place, a column for each sample (a pair for allele values); samples default to those there are."""
-    samples = sample_names(raw) if samples is None else samples
+    samples, n = _counted(raw, samples)
     alleles = dict(raw.dtypes)["value"].startswith("struct")
     names = [f"{s}.{x}" for s in samples for x in "AB"] if alleles else samples
-    lines = matrix_lines(raw, ["chrom", "pos", "marker"], samples, [F.col("value.a"), F.col("value.b")] if alleles else [F.col("value")])
-    lines = lines.orderBy("chrom", "pos", "marker").select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("marker", "chrom", "pos")), "line").alias("line"))
+    lines = matrix_lines(raw, ["chrom", "pos", "marker"], samples, [F.col("value.a"), F.col("value.b")] if alleles else [F.col("value")], n=n)
+    lines = lines.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("marker", "chrom", "pos")), "line").alias("line"))
     _write_lines(lines, "\t".join(["marker", "chromosome", "position", *names]), path)
 
 
@@ -293,8 +307,8 @@ def _lines(spark: SparkSession, paths, header: bool) -> DataFrame:
 
 def write_matrix(scores: DataFrame, row: str, path: str, samples: list[str] | None = None, value: str = "score") -> None:
     """A line for each `row` of scores (row, sample, value), a column for each sample, 0 where there is none; the header's first cell is blank."""
-    samples = sample_names(scores) if samples is None else samples
-    lines = matrix_lines(scores, [row], samples, [F.col(value)], "0").orderBy(row)
+    samples, n = _counted(scores, samples)
+    lines = matrix_lines(scores, [row], samples, [F.col(value)], "0", n)
     _write_lines(lines.select(F.concat_ws("\t", F.col(row).cast("string"), "line").alias("line")), "\t".join([" ", *samples]), path)
 
 

@@ -95,3 +95,15 @@ def test_raw_values_are_filtered_by_markers(spark, tmp_path):
     assert {(x.sample, x.marker) for x in got} == {("A", "m1"), ("B", "m3")}
     with pytest.raises(ValueError, match="needs --reference"):
         commands.run(spark, ["filter", str(tmp_path / "x.cn")])
+
+
+def test_matrix_cells_are_dealt_once_to_tasks_that_follow_their_number(spark, monkeypatch):
+    monkeypatch.setattr(files, "CELLS", 10)
+    cells = spark.createDataFrame([(s, f"m{k:02}", v) for k in range(40) for s in "AC" for v in (2.5, 1.5)] + [("B", "m07", 9.0)], "sample string, marker string, value double")
+    lines = files.matrix_lines(cells, ["marker"], ["A", "B", "C"], [F.col("value")])
+    assert lines.rdd.getNumPartitions() >= 16
+    got = [(x.marker, x.line) for x in lines.collect()]
+    assert got == [(f"m{k:02}", "1.5\t9.0\t1.5" if k == 7 else "1.5\t\t1.5") for k in range(40)]
+    plan = lines._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "hashpartitioning" not in plan
+    assert plan.count("Exchange rangepartitioning") == 1
