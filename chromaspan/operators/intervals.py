@@ -55,7 +55,8 @@ def overlap_join(q: DataFrame, r: DataFrame, q_cols: tuple[str, str, str], r_col
     on = (F.col(qc) == F.col(rc)) & (F.col("_level") == F.col("_rlevel")) & (F.col("_bin") == F.col("_rbin")) & overlaps(F.col(qs), F.col(qe), F.col(rs), F.col(re))
     if how == "inner":
         on &= F.col("_bin") == F.expr(f"greatest({qs}, {rs}) div _w")
-        a, b = spread(a, qc, "_level", "_bin"), spread(b, rc, "_rlevel", "_rbin")
+        # Spark takes a side's size from its file, before bins multiply its rows, and would broadcast it through the driver.
+        a, b = spread(a, qc, "_level", "_bin").hint("merge"), spread(b, rc, "_rlevel", "_rbin")
     if condition is not None:
         on &= condition
     return a.join(b, on, how).drop("_level", "_w", "_bin", "_rlevel", "_rw", "_rbin")

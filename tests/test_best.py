@@ -101,6 +101,23 @@ def test_relaxed_scores_in_regions_are_those_of_all_pairs(spark):
     assert {(x.region_id, x.gene, x.sample): x.score for x in got} == {k: -max(v)[1] for k, v in want.items()}
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_genes_in_regions_are_not_broadcast(spark, adaptive):
+    """Regions seem small by what they are made of; in bins they are many more rows, which a broadcast takes through the driver."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        regions = spark.range(300).selectExpr("id region_id", "cast(id % 2 as int) r_chrom", "id * 131 % 30000 region_start", "id * 131 % 30000 + 3000 region_end")
+        g = spark.range(200).selectExpr("concat('G', id) gene", "cast(id % 2 as int) g_chrom", "id * 61 % 30000 tx_start", "id * 61 % 30000 + 900 tx_end")
+        got = genes.inside(regions, g, ["region_id"])
+        want = {(i, f"G{k}") for i in range(300) for k in range(200) if i % 2 == k % 2 and i * 131 % 30000 <= k * 61 % 30000 + 900 and k * 61 % 30000 <= i * 131 % 30000 + 3000}
+        rows = got.collect()
+        assert len(rows) == len(want) > 1000 and {(r.region_id, r.gene) for r in rows} == want
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_rows_of_one_gene_are_one_target(spark):
     segs = spark.createDataFrame([("S", 1, 10, 20, 2), ("S", 2, 10, 20, -3), ("T", 1, 100_000, 900_000, 1)], "sample string, chrom int, seg_start long, seg_end long, score int")
     g = spark.createDataFrame([("A", 1, 1, 30), ("A", 2, 1, 30), ("B", 1, 1, 5_000_000), ("C", None, 1, 30)], "gene string, g_chrom int, tx_start long, tx_end long")
