@@ -187,3 +187,25 @@ def test_few_bytes_with_many_pairs_are_dealt_to_many_tasks(spark):
     r = spark.range(3000).selectExpr("id % 24 c2", "id * 4099 % 1000000 s2", "id * 4099 % 1000000 + 5000 e2")
     got = intervals.overlap_join(q, r, ("c", "s", "e"), ("c2", "s2", "e2"))
     assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pairs_come_by_start_and_only_levels_that_are_there_are_dealt(spark, monkeypatch):
+    """Neighbours with the same partners follow each other, so that written pairs compress; no row is dealt to a level without rows."""
+    dealt, binned = [], intervals._binned
+    monkeypatch.setattr(intervals, "_binned", lambda df, start, end, width, levels, own: dealt.append(levels) or binned(df, start, end, width, levels, own))
+    q = [(1 + k % 2, k * 7919 % 20_000, k * 7919 % 20_000 + k % 50 * 100) for k in range(300)] + [(None, 5, 9), (1, None, 9), (1, 5, None)]
+    r = [(1 + k % 2, k * 4099 % 20_000, k * 4099 % 20_000 + k % 70 * 90) for k in range(100)] + [(None, 5, 9)]
+    a, b = spark.createDataFrame(q, "c int, s long, e long").repartition(5), spark.createDataFrame(r, "c2 int, s2 long, e2 long").repartition(3)
+    for longest, levels in ((6210, 1), (8 * 20_000 * 64 + 1, 3)):
+        more = [(1, 0, longest)]
+        got = intervals.overlap_join(a, b.union(spark.createDataFrame(more, b.schema)), ("c", "s", "e"), ("c2", "s2", "e2"))
+        tasks = [[tuple(x) for x in t] for t in got.rdd.glom().collect()]
+        want = [x + y for x in q for y in r + more if None not in x + y and x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2]]
+        assert sorted(sum(tasks, [])) == sorted(want) and set(dealt) == {levels}
+        dealt.clear()
+    got = intervals.overlap_join(a, b, ("c", "s", "e"), ("c2", "s2", "e2"), bin_width=1_000_000, levels=1)
+    for t in got.rdd.glom().collect():
+        for c in (1, 2):
+            starts = [(x.s, x.e, x.s2) for x in t if x.c == c]
+            assert [x[0] for x in starts] == sorted(x[0] for x in starts)
+            assert all(x[2] <= y[2] for x, y in zip(starts, starts[1:]) if x[:2] == y[:2])
