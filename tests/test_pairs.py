@@ -1,10 +1,11 @@
 """Queries whose results are pairs, on tables with what larger ones have: places and names that repeat."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chromaspan.operators import genes
+from chromaspan.operators import best, genes, intervals
 from chromaspan.plans.queries import ORACLE_SQL, QUERIES
 
 from .test_queries import SF, rows
@@ -55,3 +56,51 @@ def test_generated_code_covers_exons(spark):
     plan = genes.coverage(s, g, ["sample", "seg_start"])._jdf.queryExecution().executedPlan().toString()
     assert "aggregate(" not in plan.split("SortMergeJoin")[0]
     assert genes.coverage(s, g, ["sample", "seg_start"]).select(F.sum("coverage")).first()[0] == round(7 / 20, 9)
+
+
+def test_gene_lists_are_handed_on_in_parts(spark, monkeypatch):
+    """However many lists a bin has, a task holds a part of them and one more at most."""
+    seen = []
+
+    def at_home(q, r, q_cols, r_cols, f, *args, **options):
+        x = pd.DataFrame({"id": range(40), "_s": [k * 13 % 100 for k in range(40)], "_e": [k * 13 % 100 + 30 for k in range(40)]})
+        y = pd.DataFrame({"gene": [f"G{k}" for k in range(50)] + [None], "_s": [2 * k for k in range(51)], "_e": [2 * k + 5 for k in range(51)]})
+        seen.append((x, y, list(f(x, y))))
+        return intervals.at_home(q, r, q_cols, r_cols, f, *args, **options)
+
+    monkeypatch.setattr(genes, "at_home", at_home)
+    rows = [(k, 1, k * 13 % 100, k * 13 % 100 + 30) for k in range(40)] + [(99, 2, 5, 9), (98, None, 5, 9)]
+    again = [(k % 4, *x[1:]) for k, x in enumerate(rows)]
+    g = spark.createDataFrame([(f"G{k}", 1, 2 * k, 2 * k + 5) for k in range(50)], "gene string, g_chrom int, tx_start long, tx_end long")
+    for given in (rows, again):
+        got = genes.genes_of(spark.createDataFrame(given, "id int, c int, s long, e long"), g, ["id"], ("c", "s", "e"), part=200)
+        want = {}
+        for i, c, s, e in given:
+            want.setdefault(i, set()).update(f"G{k}" for k in range(50) if c == 1 and 2 * k <= e and s <= 2 * k + 5)
+        assert {x.id: (x.n_genes, x.genes) for x in got.collect()} == {i: (len(v), ",".join(sorted(v))) for i, v in want.items()}
+    for (x, y, parts), column in zip(seen, ("genes", "_g"), strict=True):
+        one = max(len(",".join(v) if column == "_g" else v) for p in parts for v in p[column])
+        assert len(parts) > 5 and sum(map(len, parts)) == len(x)
+        assert all(sum(len(",".join(v) if column == "_g" else v) + 1 for v in p[column]) <= 200 + one + 1 for p in parts)
+
+
+def test_scores_in_regions_are_handed_on_in_parts(monkeypatch):
+    """However many pairs of regions and genes a bin has, a task lays out CHUNK places for them (or one region's genes) and hands on CHUNK scores."""
+    monkeypatch.setattr(best, "CHUNK", 60)
+    regions = pd.DataFrame({"region_id": range(30), "_s": [7 * k for k in range(30)], "_e": [7 * k + 40 for k in range(30)]})
+    g = [(f"G{k}", 10 * k, 10 * k + 15) for k in range(20)]
+    segs = [("ST"[k % 2], 6 * k, 6 * k + 9, k % 5 - 2) for k in range(40)]
+    segs = [x for x in segs if x[3]]
+    others = pd.concat([pd.DataFrame(g, columns=["gene", "_s", "_e"]).assign(_gene=True), pd.DataFrame(segs, columns=["sample", "_s", "_e", "score"]).assign(_gene=False)])
+    laid, score = [], best.best_parts
+    monkeypatch.setattr(best, "best_parts", lambda key, rule: lambda targets, segments: laid.append(len(targets)) or score(key, rule)(targets, segments))
+    parts = list(best.best_in_regions(["region_id"], best.Rule(relaxed=True))(regions, others))
+    want = {}
+    for r in regions.itertuples(index=False):
+        for name, gs, ge in g:
+            for sample, s, e, v in segs:
+                if max(r[1], gs, s) <= min(r[2], ge, e):
+                    want.setdefault((r[0], name, sample), []).append((abs(v), -v))
+    got = [tuple(x) for p in parts for x in p[["region_id", "gene", "sample", "score"]].itertuples(index=False)]
+    assert sorted(got) == sorted((*k, -max(v)[1]) for k, v in want.items())
+    assert max(laid) <= 60 and max(map(len, parts)) <= 60 and len(parts) >= 10
