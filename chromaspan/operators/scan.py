w2_runs: rows are dealt into bins once, only the bins' border runs are scanned

Symptom: shuffled bytes of w2_runs grew faster than its rows (370 MB at 6 times sf0.1, 1687 MB at 24 times: power 1.09), and a task's peak rose from 134 to 235 MB.
Evidence: event logs at 1, 6 and 24 times (local[6], 12, 12 and 48 shuffle partitions): the bins' summaries were put together before the shuffle from rows spread over all tasks, so they took 1.6, 18.3 and 176.9 MB; every later step shuffled the rows again, and pieces of all runs were shuffled to find the few that cross bins.
Fix: rows are shuffled once by key and bin and numbered and counted there in one sort; scan.changes and scan.prefix run over each bin's first and last run only, whose numbers and lengths come back to the bin as extra rows that need no further shuffle of the rows.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 1812 -> 1460 s, shuffle 4.38 -> 1.44 GB, spill 0.00 -> 0.00 GB, read 0.51 -> 0.51 GB, longest task 22 -> 25 s, most memory of a task 671 -> 336 MB; at 6 GB of input CPU 9719 -> 5075 s, shuffle 28.34 -> 9.07 GB, spill 3.71 -> 0.00 GB, read 3.79 -> 3.79 GB, longest task 28 -> 17 s, most memory of a task 1577 -> 604 MB; with hot keys, at 1 GB of input CPU 2203 -> 1251 s, shuffle 4.17 -> 1.39 GB, spill 0.00 -> 0.00 GB, read 0.49 -> 0.49 GB, longest task 27 -> 21 s, most memory of a task 604 -> 336 MB.

@@ -20,37 +20,54 @@ BIN = 20_000
 Handed = dict[str, Column]
 
 
+def _binned(df: DataFrame, order: list[str], width: int) -> DataFrame:
+    return df.withColumn("_bin", F.expr(f"`{order[0]}` div {width}"))
+
+
+def deal(df: DataFrame, keys: list[str], order: list[str], width: int = BIN) -> DataFrame:
+    """df with _bin, dealt to tasks by key and bin. Scans of such rows (`dealt`) keep _bin and leave the rows where they
+    are: a bin's summary is made by the task that has the bin, and only summaries are shuffled."""
+    return _binned(df, order, width).repartition(*keys, "_bin")
+
+
+def headed(rows: DataFrame, extra: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, WindowSpec]:
+    """rows (_own is 1) and the bins' extra rows (_own is 0), and a bin's window, in which its extra row is the first.
+    Where both come by key and bin (see deal), they stay where they are."""
+    both = rows.withColumn("_own", F.lit(1)).unionByName(extra.withColumn("_own", F.lit(0)), allowMissingColumns=True)
+    return both, Window.partitionBy(*keys, "_bin").orderBy("_own", *order)
+
+
 def scanned(
     df: DataFrame, keys: list[str], order: list[str], each: dict[str, Column], handed: dict[str, Callable[[WindowSpec, WindowSpec], Column]],
-    result: dict[str, Callable[[WindowSpec, WindowSpec, Handed], Column]], width: int = BIN,
+    result: dict[str, Callable[[WindowSpec, WindowSpec, Handed], Column]], width: int = BIN, dealt: bool = False,
 ) -> DataFrame:
-    """df with the columns of `result`; order: the position, then what breaks its ties.
+    """df with the columns of `result`; order: the position, then what breaks its ties. dealt: df comes from deal() or
+    from a scan of such rows, by the same keys, place and width.
 
     each: aggregates over a bin's rows. handed: of the summaries, by two windows: the bins before, and all of the key's;
     later ones may use earlier ones by name. result: of the rows, by two windows over the bin's extra row and its rows
     in order: without a frame, and up to each row; and of what was handed on. In the extra row _own is 0 (else 1) and
     df's columns are null, so sums and averages pass over it. Null keys are keys, a null position stands first.
     """
-    rows = df.withColumn("_bin", F.expr(f"`{order[0]}` div {width}"))
+    rows = df if dealt else _binned(df, order, width)
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = rows.groupBy(*keys, "_bin").agg(*(c.alias(n) for n, c in each.items()))
     for n, f in handed.items():
         bins = bins.withColumn(n, f(before, by_key))
-    extra = bins.select(*keys, "_bin", F.struct(*handed).alias("_handed"), F.lit(0).alias("_own"))
-    both = rows.withColumn("_own", F.lit(1)).unionByName(extra, allowMissingColumns=True)
-    place = Window.partitionBy(*keys, "_bin").orderBy("_own", *order)
+    extra = bins.select(*keys, "_bin", F.struct(*handed).alias("_handed"))
+    both, place = headed(rows, extra.repartition(*keys, "_bin") if dealt else extra, keys, order)
     upto = place.rowsBetween(Window.unboundedPreceding, 0)
     given = {n: F.first(F.col("_handed")[n]).over(upto) for n in handed}
     out = both.withColumns({n: f(place, upto, given) for n, f in result.items()})
-    return out.filter("_own = 1").drop("_own", "_bin", "_handed")
+    return out.filter("_own = 1").drop("_own", "_handed", *([] if dealt else ["_bin"]))
 
 
 def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0))
 
 
-def lagged(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], exists: str = "_lagged", width: int = BIN) -> DataFrame:
+def lagged(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], exists: str = "_lagged", width: int = BIN, dealt: bool = False) -> DataFrame:
     """df with each column's value in the row before, by its new name, and whether there is such a row.
 
     Carry: a bin's last row.
@@ -62,10 +79,10 @@ def lagged(df: DataFrame, keys: list[str], order: list[str], columns: dict[str,
         return lambda place, _, given: F.when(F.lag("_own").over(place) == 0, given["_last"][n]).otherwise(F.lag(n).over(place))
 
     there = lambda place, _, given: (F.lag("_own").over(place) == 1) | (given["_bins"] > 0)
-    return scanned(df, keys, order, each, handed, {new: lag(n) for n, new in columns.items()} | {exists: there}, width)
+    return scanned(df, keys, order, each, handed, {new: lag(n) for n, new in columns.items()} | {exists: there}, width, dealt)
 
 
-def prefix(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, count: str | None = None, totals: dict[str, Column] | None = None, width: int = BIN) -> DataFrame:
+def prefix(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, count: str | None = None, totals: dict[str, Column] | None = None, width: int = BIN, dealt: bool = False) -> DataFrame:
     """df with the sums of columns over all rows up to each, and the number of rows; nulls are passed over, a sum of no
     values is null. totals: sums over all rows of the key, handed on to each bin as well.
 
@@ -88,7 +105,7 @@ def prefix(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Col
     result = {n: added(n) for n in sums} | {n: (lambda _, __, given, n=n: given[f"_whole_{n}"]) for n in totals}
     if count:
         result[count] = lambda _, upto, given: F.sum("_own").over(upto) + given["_earlier"]
-    return scanned(d, keys, order, each, handed, result, width).drop(*(f"_s_{n}" for n in sums), *(f"_t_{n}" for n in totals))
+    return scanned(d, keys, order, each, handed, result, width, dealt).drop(*(f"_s_{n}" for n in sums), *(f"_t_{n}" for n in totals))
 
 
 def moments(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = BIN) -> DataFrame:
@@ -112,10 +129,10 @@ def moments(df: DataFrame, keys: list[str], order: list[str], value: str, width:
     return out.withColumns({"_n": n, "_mean": mean, "_m2": m2}).drop("_own_n", "_own_m", "_own_2", "_middle", "_n0", "_d0", "_q0")
 
 
-def changes(df: DataFrame, keys: list[str], order: list[str], columns: list[str], same: Callable[[Column, Column], Column], new: str = "_new", width: int = BIN) -> DataFrame:
+def changes(df: DataFrame, keys: list[str], order: list[str], columns: list[str], same: Callable[[Column, Column], Column], new: str = "_new", width: int = BIN, dealt: bool = False) -> DataFrame:
     """df with a flag (1 or 0) where any of the columns isn't the same as in the row before, or there is none."""
     names = {c: f"_lag{k}" for k, c in enumerate(columns)}
-    d = lagged(df, keys, order, names, width=width)
+    d = lagged(df, keys, order, names, width=width, dealt=dealt)
     alike = reduce(and_, (same(F.col(n), F.col(c)) for c, n in names.items()))
     return d.withColumn(new, (~(F.col("_lagged") & alike)).cast("long")).drop("_lagged", *names.values())
 

@@ -74,18 +74,38 @@ def trimmed_variance(df: DataFrame, keys: list[str], order: list[str], value: st
 def run_ids(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = scan.BIN) -> DataFrame:
     """Numbers of runs of equal values, and their lengths.
 
-    A run's length is counted within its bin; of runs that cross bins, at most one for each border, the bins' counts are
-    added, and each bin is handed those of its first and its last run.
+    Rows are dealt into bins once, and runs are numbered and counted within their bin. Only a bin's first and last run
+    may go on in other bins: these pieces, two a bin at most, are put together and numbered by key, and come back to
+    their bin as extra rows.
     """
-    d = scan.changes(df, keys, order, [value], lambda a, b: a.eqNullSafe(b), width=width)
-    d = scan.prefix(d, keys, order, {"run_id": F.col("_new")}, width=width).drop("_new").withColumn("_bin", F.expr(f"`{order[0]}` div {width}"))
-    in_bin = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_bin", "run_id"))
-    pieces = d.groupBy(*keys, "_bin", "run_id").agg(F.count("*").alias("_k"))
-    crossing = pieces.groupBy(*keys, "run_id").agg(F.sum("_k").alias("_long"), F.count("*").alias("_bins")).filter("_bins > 1")
-    pieces = pieces.select(*(F.col(c).alias(f"_of{k}") for k, c in enumerate([*keys, "run_id", "_bin"])), "_k")
-    long = pieces.join(crossing, _same([*keys, "run_id"])).select(*(f"_of{k}" for k in range(len(keys) + 2)), "_long")
-    out = d.withColumn("run_length", in_bin).join(long, _same([*keys, "run_id", "_bin"]), "left")
-    return out.withColumn("run_length", F.coalesce("_long", "run_length")).select(*df.columns, "run_id", "run_length")
+    same = lambda a, b: a.eqNullSafe(b)
+    in_bin = Window.partitionBy(*keys, "_bin")
+    place = in_bin.orderBy("_own", *order)
+    upto = place.rowsBetween(Window.unboundedPreceding, 0)
+    quoted = lambda *names: ", ".join(f"`{n}`" for n in names)
+    next_from = F.expr(f"lead(_from) ignore nulls over (partition by {quoted(*keys, '_bin')} order by {quoted('_own', *order)})")
+
+    def in_bins(d: DataFrame) -> DataFrame:
+        """d with _n and _k, number and length of the row's run in its bin, _from, where a run begins, and _runs, the bin's number of runs."""
+        goes_on = F.lag("_own").over(place).eqNullSafe(F.lit(1)) & same(F.lag(value).over(place), F.col(value))
+        d = d.withColumn("_from", F.when((F.col("_own") == 1) & ~goes_on, F.row_number().over(place)))
+        d = d.withColumns({"_n": F.count("_from").over(upto), "_k": F.coalesce(next_from, F.count(F.lit(1)).over(in_bin) + 1) - F.last("_from", ignorenulls=True).over(upto)})
+        return d.withColumn("_runs", F.max("_n").over(in_bin))
+
+    rows = scan.deal(df, keys, order, width)
+    ends = in_bins(rows.withColumn("_own", F.lit(1))).filter("_from is not null and (_n = 1 or _n = _runs)")
+    at = ["_place", "_piece"]
+    pieces = scan.deal(ends.select(*keys, F.col("_bin").alias("_place"), F.col("_n").alias("_piece"), F.col(value).alias("_value"), F.col("_k").alias("_count")), keys, at, width)
+    pieces = scan.changes(pieces, keys, at, ["_value"], same, width=width, dealt=True)
+    # All runs of a bin but the first begin in it.
+    begun = F.when(F.col("_piece") > 1, F.col("_piece") - 1).otherwise(F.col("_new"))
+    pieces = scan.prefix(pieces, keys, at, {"run_id": begun}, width=width, dealt=True).withColumn("run_length", F.sum("_count").over(Window.partitionBy(*keys, "run_id")))
+    extra = pieces.select(*keys, F.col("_place").alias("_bin"), F.struct("_piece", "run_id", "run_length").alias("_ends")).repartition(*keys, "_bin")
+
+    both, _ = scan.headed(rows, extra, keys, order)
+    d = in_bins(both).withColumns({"_first": F.min("_ends").over(in_bin), "_last": F.max("_ends").over(in_bin)}).filter("_own = 1")
+    length = F.when(F.col("_n") == 1, F.col("_first.run_length")).when(F.col("_n") == F.col("_runs"), F.col("_last.run_length")).otherwise(F.col("_k"))
+    return d.select(*df.columns, (F.col("_first.run_id") + F.col("_n") - 1).alias("run_id"), length.alias("run_length"))
 
 
 def peaks(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float = 0.05, width: int = scan.BIN) -> DataFrame:
