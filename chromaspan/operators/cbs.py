w6_smooth_chromosomes, w5_smooth: deviations come with the bins' summaries, rows aren't joined

Symptom: w6_smooth_chromosomes shuffled 717 MB at 6 times sf0.1 (67.5 MB of lineitem) and 3165 MB at 24 times.
Evidence: the plan and event logs: every row was shuffled by sample and chromosome to be joined with its deviation, once whole (99 MB at 6 times) and once for the count of a bin's rows (43 MB), whether or not the join then went by broadcast; and as that join stood below both branches of the scan, all that makes the deviations was computed twice.
Fix: a scan takes a table of its keys' values (of_key) and joins it with the bins' summaries, a row a bin, which hand it on to the rows; nothing is broadcast by hint.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 2382 -> 1464 s, shuffle 7.21 -> 3.08 GB, spill 0.00 -> 0.00 GB, read 0.50 -> 0.50 GB, longest task 36 -> 22 s, most memory of a task 738 -> 604 MB; at 6 GB of input CPU 12181 -> 6366 s, shuffle 52.47 -> 19.05 GB, spill 0.00 -> 0.00 GB, read 3.74 -> 3.74 GB, longest task 27 -> 24 s, most memory of a task 805 -> 604 MB; with hot keys, at 1 GB of input CPU 2516 -> 1612 s, shuffle 6.70 -> 2.87 GB, spill 0.00 -> 0.00 GB, read 0.48 -> 0.48 GB, longest task 29 -> 28 s, most memory of a task 638 -> 604 MB.

@@ -421,7 +421,7 @@ def lengths_and_means(x: np.ndarray, ends: list[int], undo_prune: bool = False,
 
 
 def deviations(raw: DataFrame, trim: float = 0.025, width: int = scan.BIN) -> DataFrame:
-    """(of, sd): of each sample the root of trimmed_variance over its finite values in order of chromosome and place.
+    """(sample, sd): of each sample the root of trimmed_variance over its finite values in order of chromosome and place.
 
     Differences are taken within chromosomes and between their ends, equal ones are counted, and they are ranked within
     cells of size, so no sample meets in one task.
@@ -432,7 +432,7 @@ def deviations(raw: DataFrame, trim: float = 0.025, width: int = scan.BIN) -> Da
     ends = ok.groupBy("sample", "chrom").agg(F.min_by("value", place).alias("head"), F.max_by("value", place).alias("tail"))
     between = ends.select("sample", F.abs(F.col("head") - F.lag("tail").over(Window.partitionBy("sample").orderBy("chrom"))).alias("a"))
     d = trimmed_squares(inner.unionByName(between).filter("a is not null"), ["sample"], trim)
-    return d.select(F.col("sample").alias("of"), F.sqrt("_variance").alias("sd"))
+    return d.select("sample", F.sqrt("_variance").alias("sd"))
 
 
 def _finite(raw: DataFrame) -> DataFrame:
@@ -444,21 +444,20 @@ def smooth_raw(raw: DataFrame, scope: str = "sample", trim: float = 0.025, regio
     """raw with smoothed values; the deviation is that of the whole sample, or of each chromosome. ties: what orders values of one place.
 
     Values are smoothed in bins of `rows` values with `region` of their neighbours on either side; those that aren't
-    finite stay as they are and are nobody's neighbours.
+    finite stay as they are and are nobody's neighbours. The deviation comes to the rows with what their bin is handed.
     """
-    names = ["sample", "marker", "chrom", "pos", "value"]
+    names, keys, order = ["sample", "marker", "chrom", "pos", "value"], ["sample", "chrom"], ["pos", ties]
     given = _finite(raw)
     rest = raw.select(*names[:-1], F.col("value").cast("double").alias("value")).filter("value is null or isnan(value) or abs(value) = double('infinity')")
     if scope == "sample":
-        given = given.join(deviations(given, trim, width), F.col("sample").eqNullSafe(F.col("of")), "left").drop("of")
+        sd = deviations(given, trim, width)
     else:
-        sd = trimmed_squares(differences(given, ["sample", "chrom"], ["pos", ties], "value", width).filter("diff is not null").select("sample", "chrom", F.abs("diff").alias("a")), ["sample", "chrom"], trim)
-        sd = sd.select(F.col("sample").alias("of"), F.col("chrom").alias("of_chrom"), F.sqrt("_variance").alias("sd"))
-        given = given.join(sd, F.col("sample").eqNullSafe(F.col("of")) & F.col("chrom").eqNullSafe(F.col("of_chrom")), "left").drop("of", "of_chrom")
+        sizes = differences(given, keys, order, "value", width).filter("diff is not null").select(*keys, F.abs("diff").alias("a"))
+        sd = trimmed_squares(sizes, keys, trim).select(*keys, F.sqrt("_variance").alias("sd"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sd = pdf["sd"].fillna(0.0).iloc[0]  # none: a single value, which stays
         return pdf.assign(value=smooth(pdf["value"].to_numpy(), region=region, trim=trim, sd=float(sd), **options))[names]
 
-    out = scan.by_halo(given, ["sample", "chrom"], ["pos", ties], region, run, rest.schema, rows, width)
+    out = scan.by_halo(given, keys, order, region, run, rest.schema, rows, width, of_key=sd)
     return out.unionByName(rest)

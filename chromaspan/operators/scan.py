@@ -39,10 +39,11 @@ def headed(rows: DataFrame, extra: DataFrame, keys: list[str], order: list[str])
 
 def scanned(
     df: DataFrame, keys: list[str], order: list[str], each: dict[str, Column], handed: dict[str, Callable[[WindowSpec, WindowSpec], Column]],
-    result: dict[str, Callable[[WindowSpec, WindowSpec, Handed], Column]], width: int = BIN, dealt: bool = False,
+    result: dict[str, Callable[[WindowSpec, WindowSpec, Handed], Column]], width: int = BIN, dealt: bool = False, of_key: DataFrame | None = None,
 ) -> DataFrame:
     """df with the columns of `result`; order: the position, then what breaks its ties. dealt: df comes from deal() or
-    from a scan of such rows, by the same keys, place and width.
+    from a scan of such rows, by the same keys, place and width. of_key: a row for each value of one or more of the keys'
+    columns; its other columns are handed on, too, so that only summaries are joined with it.
 
     each: aggregates over a bin's rows. handed: of the summaries, by two windows: the bins before, and all of the key's;
     later ones may use earlier ones by name. result: of the rows, by two windows over the bin's extra row and its rows
@@ -53,6 +54,10 @@ def scanned(
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = rows.groupBy(*keys, "_bin").agg(*(c.alias(n) for n, c in each.items()))
+    if of_key is not None:
+        of, new = [k for k in keys if k in of_key.columns], [c for c in of_key.columns if c not in keys]
+        bins = bins.join(of_key.withColumnsRenamed({k: f"_of_{k}" for k in of}), reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in of)), "left")
+        handed, result = handed | {c: (lambda *_, c=c: F.col(c)) for c in new}, result | {c: (lambda _, __, given, c=c: given[c]) for c in new}
     for n, f in handed.items():
         bins = bins.withColumn(n, f(before, by_key))
     extra = bins.select(*keys, "_bin", F.struct(*handed).alias("_handed"))
@@ -82,9 +87,9 @@ def lagged(df: DataFrame, keys: list[str], order: list[str], columns: dict[str,
     return scanned(df, keys, order, each, handed, {new: lag(n) for n, new in columns.items()} | {exists: there}, width, dealt)
 
 
-def prefix(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, count: str | None = None, totals: dict[str, Column] | None = None, width: int = BIN, dealt: bool = False) -> DataFrame:
+def prefix(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, count: str | None = None, totals: dict[str, Column] | None = None, width: int = BIN, **dealt) -> DataFrame:
     """df with the sums of columns over all rows up to each, and the number of rows; nulls are passed over, a sum of no
-    values is null. totals: sums over all rows of the key, handed on to each bin as well.
+    values is null. totals: sums over all rows of the key, handed on to each bin as well. dealt: as in scanned().
 
     Carry: the bins' sums.
     """
@@ -105,7 +110,7 @@ def prefix(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Col
     result = {n: added(n) for n in sums} | {n: (lambda _, __, given, n=n: given[f"_whole_{n}"]) for n in totals}
     if count:
         result[count] = lambda _, upto, given: F.sum("_own").over(upto) + given["_earlier"]
-    return scanned(d, keys, order, each, handed, result, width, dealt).drop(*(f"_s_{n}" for n in sums), *(f"_t_{n}" for n in totals))
+    return scanned(d, keys, order, each, handed, result, width, **dealt).drop(*(f"_s_{n}" for n in sums), *(f"_t_{n}" for n in totals))
 
 
 def moments(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = BIN) -> DataFrame:
@@ -137,24 +142,25 @@ def changes(df: DataFrame, keys: list[str], order: list[str], columns: list[str]
     return d.withColumn(new, (~(F.col("_lagged") & alike)).cast("long")).drop("_lagged", *names.values())
 
 
-def halo(df: DataFrame, keys: list[str], order: list[str], reach: int, rows: int = 100_000, width: int = BIN) -> DataFrame:
+def halo(df: DataFrame, keys: list[str], order: list[str], reach: int, rows: int = 100_000, width: int = BIN, **dealt) -> DataFrame:
     """Rows of df in bins of `rows` rows by their place (_i, from 0) in the key, each bin with copies of the `reach` rows
     before and behind it: adds _i, _part and _inner (false for copies). What looks no further than `reach` rows can be
-    computed by (keys, _part). `reach` is at most `rows`."""
+    computed by (keys, _part). `reach` is at most `rows`. dealt: as in scanned()."""
     if reach > rows:
         raise ValueError(f"a reach of {reach} rows is beyond a bin of {rows}")
-    d = prefix(df, keys, order, count="_i", width=width).withColumn("_i", F.col("_i") - 1)
+    d = prefix(df, keys, order, count="_i", width=width, **dealt).withColumn("_i", F.col("_i") - 1)
     at = F.expr(f"_i % {rows}")
     own = F.expr(f"_i div {rows}")
     parts = F.array_compact(F.array(own, F.when(at < reach, own - 1), F.when(at >= rows - reach, own + 1)))
     return d.withColumn("_part", F.explode(F.filter(parts, lambda x: x >= 0))).withColumn("_inner", F.col("_part") == own)
 
 
-def by_halo(df: DataFrame, keys: list[str], order: list[str], reach: int, f: Callable[[pd.DataFrame], pd.DataFrame], schema, rows: int = 100_000, width: int = BIN) -> DataFrame:
-    """f over each bin's rows with its halo, in order; f's result has a row for each of them, of which the bin's own stay."""
+def by_halo(df: DataFrame, keys: list[str], order: list[str], reach: int, f: Callable[[pd.DataFrame], pd.DataFrame], schema, rows: int = 100_000, width: int = BIN, **dealt) -> DataFrame:
+    """f over each bin's rows with its halo, in order; f's result has a row for each of them, of which the bin's own stay.
+    dealt: as in scanned()."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i", ignore_index=True)
         return f(pdf)[pdf["_inner"].to_numpy()]
 
-    return halo(df, keys, order, reach, rows, width).groupBy(*keys, "_part").applyInPandas(run, schema)
+    return halo(df, keys, order, reach, rows, width, **dealt).groupBy(*keys, "_part").applyInPandas(run, schema)
