w5_smooth, w6_smooth_chromosomes: rows are dealt into bins once for all their scans

Symptom: shuffled bytes of w5_smooth grew faster than its rows (706 MB at 6 times sf0.1, 3093 MB at 24 times: power 1.07), over five times what the view's grouping shuffles.
Evidence: event logs: each scan dealt the rows anew (123 MB at 6 times, each time) and put the bins' summaries together before that, from rows spread over ever more tasks (2.8 MB at 1 time, 30.4 at 6); a cast from double to double stayed as a new name in some branches of the plan, so that like shuffles weren't reused.
Fix: smooth_raw deals its finite values by key and bin once (scan.deal); differences, ends of chromosomes and the halo's numbers read these rows where they are, and doubles aren't cast.

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import scan
 from .stats import differences, inflation, trimmed_squares
@@ -420,44 +421,45 @@ def lengths_and_means(x: np.ndarray, ends: list[int], undo_prune: bool = False,
     return [b - a for a, b in zip(at, at[1:], strict=False)], means
 
 
-def deviations(raw: DataFrame, trim: float = 0.025, width: int = scan.BIN) -> DataFrame:
-    """(sample, sd): of each sample the root of trimmed_variance over its finite values in order of chromosome and place.
+def deviations(given: DataFrame, trim: float = 0.025, width: int = scan.BIN) -> DataFrame:
+    """(sample, sd): of each sample the root of trimmed_variance over its values, in order of chromosome and place.
+    given: finite values, dealt by scan.deal.
 
     Differences are taken within chromosomes and between their ends, equal ones are counted, and they are ranked within
     cells of size, so no sample meets in one task.
     """
     place = F.struct("pos", "marker")
-    ok = _finite(raw)
-    inner = differences(ok, ["sample", "chrom"], ["pos", "marker"], "value", width).select("sample", F.abs("diff").alias("a"))
-    ends = ok.groupBy("sample", "chrom").agg(F.min_by("value", place).alias("head"), F.max_by("value", place).alias("tail"))
+    inner = differences(given, ["sample", "chrom"], ["pos", "marker"], "value", width, dealt=True).select("sample", F.abs("diff").alias("a"))
+    ends = given.groupBy("sample", "chrom").agg(F.min_by("value", place).alias("head"), F.max_by("value", place).alias("tail"))
     between = ends.select("sample", F.abs(F.col("head") - F.lag("tail").over(Window.partitionBy("sample").orderBy("chrom"))).alias("a"))
     d = trimmed_squares(inner.unionByName(between).filter("a is not null"), ["sample"], trim)
     return d.select("sample", F.sqrt("_variance").alias("sd"))
 
 
 def _finite(raw: DataFrame) -> DataFrame:
-    d = raw.select("sample", "chrom", "pos", "marker", F.col("value").cast("double").alias("value"))
-    return d.filter("value is not null and not isnan(value) and abs(value) < double('infinity')")
+    # A cast that changes nothing would stay as a new name in some branches of a plan, which then share no shuffle.
+    value = F.col("value") if raw.schema["value"].dataType == DoubleType() else F.col("value").cast("double").alias("value")
+    return raw.select("sample", "chrom", "pos", "marker", value).filter("value is not null and not isnan(value) and abs(value) < double('infinity')")
 
 
 def smooth_raw(raw: DataFrame, scope: str = "sample", trim: float = 0.025, region: int = 10, rows: int = 100_000, width: int = scan.BIN, ties: str = "marker", **options) -> DataFrame:
     """raw with smoothed values; the deviation is that of the whole sample, or of each chromosome. ties: what orders values of one place.
 
     Values are smoothed in bins of `rows` values with `region` of their neighbours on either side; those that aren't
-    finite stay as they are and are nobody's neighbours. The deviation comes to the rows with what their bin is handed.
+    finite stay as they are and are nobody's neighbours. The deviations and the smoothing scan the same dealt rows.
     """
     names, keys, order = ["sample", "marker", "chrom", "pos", "value"], ["sample", "chrom"], ["pos", ties]
-    given = _finite(raw)
     rest = raw.select(*names[:-1], F.col("value").cast("double").alias("value")).filter("value is null or isnan(value) or abs(value) = double('infinity')")
+    given = scan.deal(_finite(raw), keys, order, width)
     if scope == "sample":
         sd = deviations(given, trim, width)
     else:
-        sizes = differences(given, keys, order, "value", width).filter("diff is not null").select(*keys, F.abs("diff").alias("a"))
+        sizes = differences(given, keys, order, "value", width, dealt=True).filter("diff is not null").select(*keys, F.abs("diff").alias("a"))
         sd = trimmed_squares(sizes, keys, trim).select(*keys, F.sqrt("_variance").alias("sd"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sd = pdf["sd"].fillna(0.0).iloc[0]  # none: a single value, which stays
         return pdf.assign(value=smooth(pdf["value"].to_numpy(), region=region, trim=trim, sd=float(sd), **options))[names]
 
-    out = scan.by_halo(given, keys, order, region, run, rest.schema, rows, width, of_key=sd)
+    out = scan.by_halo(given, keys, order, region, run, rest.schema, rows, width, dealt=True, of_key=sd)
     return out.unionByName(rest)

@@ -148,7 +148,7 @@ def halo(df: DataFrame, keys: list[str], order: list[str], reach: int, rows: int
     computed by (keys, _part). `reach` is at most `rows`. dealt: as in scanned()."""
     if reach > rows:
         raise ValueError(f"a reach of {reach} rows is beyond a bin of {rows}")
-    d = prefix(df, keys, order, count="_i", width=width, **dealt).withColumn("_i", F.col("_i") - 1)
+    d = prefix(df, keys, order, count="_i", width=width, **dealt).withColumn("_i", F.col("_i") - 1).drop("_bin")
     at = F.expr(f"_i % {rows}")
     own = F.expr(f"_i div {rows}")
     parts = F.array_compact(F.array(own, F.when(at < reach, own - 1), F.when(at >= rows - reach, own + 1)))

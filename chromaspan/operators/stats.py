@@ -34,8 +34,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str, width:
     return d.withColumns({"run_mean": F.col("_mean"), "run_sd": zero(F.sqrt(over(n - 1))), "run_psd": F.sqrt(over(n)), "run_var": zero(over(n - 1))}).drop("_n", "_mean", "_m2")
 
 
-def differences(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = scan.BIN) -> DataFrame:
-    return scan.lagged(df, keys, order, {value: "_before"}, width=width).withColumn("diff", F.col(value) - F.col("_before")).drop("_before", "_lagged")
+def differences(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = scan.BIN, dealt: bool = False) -> DataFrame:
+    return scan.lagged(df, keys, order, {value: "_before"}, width=width, dealt=dealt).withColumn("diff", F.col(value) - F.col("_before")).drop("_before", "_lagged")
 
 
 def datum_variance(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

@@ -82,6 +82,14 @@ def test_smoothing_joins_no_rows(many, scope):
     assert len(got) == len(rows) and joined and joined[0] < 0.1 * len(rows)
 
 
+@pytest.mark.parametrize("scope", ["sample", "chromosome"])
+def test_smoothing_deals_rows_once_for_all_scans(many, scope):
+    """The rows are shuffled for the scans, their keys alone to count them, and once more into bins of rows; no join shuffles them."""
+    df, rows = many
+    got, wrote = shuffled(cbs.smooth_raw(df, scope, region=3, outlier_sd=0.5, rows=1000, width=1000))
+    assert len(got) == len(rows) and sum(wrote) < 3.5 * len(rows)
+
+
 @pytest.mark.parametrize("scope", ["sample", "chromosome"])
 @pytest.mark.parametrize("kind", ["double", "float"])
 def test_smoothing_of_odd_rows(spark, scope, kind):
